@@ -1,11 +1,15 @@
 """The query functions of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from . import dedup
+from . import dedup, mixing, sharding
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
+    "op3_sharding": sharding.op3_sharding,
     "op9_exact_dedup": dedup.op9_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op2_mixing": mixing.OP2_SQL,
+    "op3_sharding": sharding.OP3_SQL,
     "op9_exact_dedup": dedup.OP9_SQL,
 }
