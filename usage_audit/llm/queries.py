@@ -1,11 +1,12 @@
 """The query functions of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from . import dedup, mixing, sharding
+from . import dedup, mixing, sharding, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
     "op9_exact_dedup": dedup.op9_exact_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
