@@ -1,10 +1,11 @@
 """The query functions of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from . import dedup, mixing, sharding, toxicity
+from . import dedup, mixing, sharding, toxicity, urls
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
+    "op5_url_filter": urls.op5_url_filter,
     "op9_exact_dedup": dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
@@ -12,5 +13,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
     "op3_sharding": sharding.OP3_SQL,
+    "op5_url_filter": urls.OP5_SQL,
     "op9_exact_dedup": dedup.OP9_SQL,
 }
