@@ -1,12 +1,13 @@
 """The query functions of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from . import dedup, html, mixing, sharding, toxicity, urls
+from . import dedup, html, mixing, sharding, tokenfile, toxicity, urls
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
     "op4_html": html.op4_html,
     "op5_url_filter": urls.op5_url_filter,
+    "op6_token_files": tokenfile.op6_token_files,
     "op9_exact_dedup": dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
