@@ -1,8 +1,9 @@
 """The query functions of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from . import dedup, html, mixing, sharding, tokenfile, toxicity, urls
+from . import dedup, html, mixing, packing, sharding, tokenfile, toxicity, urls
 
 QUERIES = {
+    "op1_packing": packing.op1_packing,
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
     "op4_html": html.op4_html,
