@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: ASCII white space, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -47,22 +48,66 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def with_bloom_hits(df: DataFrame, hashed: Column, keys: DataFrame, n_keys: int, max_log2_words: int = 20) -> DataFrame:
-    """Rows of `df` whose 64-bit `hashed` may be among column ``h`` of `keys`.
+def _word(h: Column, log2: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - log2)
+
+
+def _bits(h: Column) -> Column:
+    one = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, by).bitwiseAND(F.lit(63)).cast("int"))
+    return one(0).bitwiseOR(one(6)).bitwiseOR(one(12))
+
+
+def with_bloom_mark(df: DataFrame, hashed: Column, keys: DataFrame, n_keys: int, max_log2_words: int = 20) -> DataFrame:
+    """`df` with ``__maybe``: may its 64-bit `hashed` be among column ``h`` of `keys`?
 
     A blocked Bloom filter of one 64-bit word a key, three bits each, kept as a table (word, mask) of at most
     2**max_log2_words rows: that bound is why it may be broadcast at any size of the input. When more keys come
-    than it was sized for, more rows pass; none is lost, and callers join exactly afterwards.
+    than it was sized for, more rows are marked; none is missed, and callers join exactly afterwards.
     """
     log2 = max(6, min(max_log2_words, max(1, n_keys // 8).bit_length()))
+    words = keys.groupBy(_word(F.col("h"), log2).alias("__word")).agg(F.bit_or(_bits(F.col("h"))).alias("__mask"))
+    probed = df.withColumn("__h", hashed).withColumn("__of", _word(F.col("__h"), log2))
+    joined = probed.join(F.broadcast(words), F.col("__of") == F.col("__word"), "left")
+    maybe = F.coalesce(F.col("__mask").bitwiseAND(_bits(F.col("__h"))) == _bits(F.col("__h")), F.lit(False))
+    return joined.withColumn("__maybe", maybe).drop("__h", "__of", "__word", "__mask")
 
-    def word(h: Column) -> Column:
-        return F.shiftrightunsigned(h, 64 - log2)
 
-    def bits(h: Column) -> Column:
-        one = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftright(h, by).bitwiseAND(F.lit(63))).cast("int"))
-        return one(0).bitwiseOR(one(6)).bitwiseOR(one(12))
+def with_bloom_hits(df: DataFrame, hashed: Column, keys: DataFrame, n_keys: int) -> DataFrame:
+    """Rows of `df` whose 64-bit `hashed` may be among column ``h`` of `keys`."""
+    return with_bloom_mark(df, hashed, keys, n_keys).filter("__maybe").drop("__maybe")
 
-    words = keys.select(word(F.col("h")).alias("__word"), bits(F.col("h")).alias("__bits")).groupBy("__word").agg(F.bit_or("__bits").alias("__mask"))
-    probed = df.withColumn("__h", hashed)
-    return probed.join(F.broadcast(words), word(F.col("__h")) == F.col("__word")).filter(F.col("__mask").bitwiseAND(bits(F.col("__h"))) == bits(F.col("__h"))).drop("__h", "__word", "__mask")
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, component) of each node of `edges` (a long, b long): the smallest node that it is connected with.
+
+    Alternating large and small stars: every round links nodes to the smallest node known near them, so that long chains
+    shrink exponentially; each round is written to the shared folder. Nothing is collected but two numbers a round.
+    """
+    links = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links, before = staged(links, "links"), None
+    for _ in range(most_rounds):
+        after = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if after == before:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        before = after
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        nearest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(nearest, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        links = staged(small.unionByName(nearest.select("a", F.col("m").alias("b"))).distinct(), "links")
+    raise RuntimeError(f"not connected after {most_rounds} rounds")
+
+
+def keep_decided(docs: DataFrame, key: Column, decisions: DataFrame, n_decisions: int) -> DataFrame:
+    """`docs` without the rows that `decisions` (h long, keep boolean) drops; of equal keys that stay, one row stays.
+
+    Only rows whose key is in the Bloom filter of the decided keys are shuffled; all others stay where they are.
+    """
+    columns = docs.columns
+    marked = with_bloom_mark(docs.withColumn("__key", key), F.col("__key"), decisions.select("h"), n_decisions)
+    sure = marked.filter("not __maybe").select(columns)
+    maybe = marked.filter("__maybe").join(decisions.withColumnRenamed("h", "__key"), "__key", "left")
+    first = F.row_number().over(W.partitionBy("__key", "keep").orderBy("__key"))
+    rest = maybe.filter("keep is null or keep").withColumn("__n", first).filter("keep is null or __n = 1").select(columns)
+    return sure.unionByName(rest)
