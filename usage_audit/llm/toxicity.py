@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: At most so many labelled documents are fitted on, drawn by hash of their ids: the bound of the fit's memory and time.
-FIT_DOCS = 16_000
+FIT_DOCS = 10_000
 #: At most so many features get a weight, those in MIN_DOCS documents or more that tell most about the label.
 FIT_WORDS, MIN_DOCS, EVIDENCE, PREFIX = 20_000, 3, 12.0, 4
 #: A document is rejected at this score.
@@ -40,30 +40,36 @@ def features(sentence: str) -> set[str]:
     return words | {w[:PREFIX] + "*" for w in words if len(w) > PREFIX}
 
 
-def telling(bags: list[set[str]], y: np.ndarray) -> dict[str, int]:
-    """Numbers for the features whose presence depends on the label: chi-square of EVIDENCE or more."""
-    toxic, clean = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        (toxic if label else clean).update(bag)
-    n, pos = len(y), int(y.sum())
-    names = sorted(w for w in toxic | clean if toxic[w] + clean[w] >= MIN_DOCS)
+def telling(texts: list[str], y: np.ndarray) -> dict[str, int]:
+    """Numbers for the features that are commoner in toxic documents: chi-square of EVIDENCE or more."""
+
+    def counted(label: bool, among: set[str] | None = None) -> Counter:
+        found: Counter = Counter()
+        for i in np.flatnonzero(y == label):
+            has = set().union(*map(features, sentences(texts[i])))
+            found.update(has if among is None else has & among)
+        return found
+
+    toxic = {w: n for w, n in counted(True).items() if n >= MIN_DOCS}
+    clean = counted(False, set(toxic))
+    n, pos, names = len(y), int(y.sum()), sorted(toxic)
     a, b = np.array([toxic[w] for w in names], float), np.array([clean[w] for w in names], float)
     c, d = pos - a, n - pos - b
     chi = n * (np.abs(a * d - b * c) - n / 2).clip(0) ** 2 / np.maximum((a + b) * (c + d) * pos * (n - pos), 1)
+    chi[a * d <= b * c] = 0
     order = np.lexsort((np.arange(len(names)), -chi))[:FIT_WORDS]
     return {names[i]: k for k, i in enumerate(i for i in order if chi[i] >= EVIDENCE)}
 
 
 def fit_bags(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-4) -> dict[str, float]:
     """Feature weights, and the sentence's bias at "", fitted to document labels by Adam on the noisy-or likelihood."""
-    bags = [[features(s) for s in sentences(t)] for t in texts]
-    words = telling([set().union(*bag) for bag in bags], labels)
+    words = telling(texts, labels)
     # one entry for each known word of each sentence; sentences with none share one that only counts
     doc_of, sizes, cols = [], [], []
-    plain = np.zeros(len(bags))
-    for d, bag in enumerate(bags):
-        for s in bag:
-            got = [words[w] for w in s if w in words]
+    plain = np.zeros(len(texts))
+    for d, text in enumerate(texts):
+        for s in sentences(text):
+            got = sorted(words[w] for w in features(s) & words.keys())
             if got:
                 doc_of.append(d)
                 sizes.append(len(got))
@@ -80,9 +86,9 @@ def fit_bags(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: floa
     softplus = lambda z: np.logaddexp(0, z)
     for t in range(1, rounds + 1):
         z = theta[-1] + (np.add.reduceat(theta[cols], starts) if len(starts) else np.zeros(0))
-        hazard = np.bincount(doc_of, softplus(z), len(bags)) + plain * softplus(theta[-1])  # -log of prod(1 - p)
+        hazard = np.bincount(doc_of, softplus(z), len(texts)) + plain * softplus(theta[-1])  # -log of prod(1 - p)
         # d loss / d hazard: 1 for a clean document, -(1 - P) / P for a toxic one
-        slope = np.where(y > 0, -1 / np.expm1(np.clip(hazard, 1e-6, 50)), 1.0) / len(bags)
+        slope = np.where(y > 0, -1 / np.expm1(np.clip(hazard, 1e-6, 50)), 1.0) / len(texts)
         by_sentence = slope[doc_of] / (1 + np.exp(-z))
         grad = np.append(np.bincount(cols, by_sentence[sent_of], len(words)) + decay * theta[:-1], by_sentence.sum() + (slope * plain).sum() / (1 + np.exp(-theta[-1])))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
