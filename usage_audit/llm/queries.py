@@ -1,6 +1,6 @@
 """The query functions of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from . import dedup, html, mixing, ngrams, packing, sharding, tokenfile, toxicity, urls
+from . import dedup, html, mixing, neighbours, ngrams, packing, sharding, tokenfile, toxicity, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_html": html.op4_html,
     "op5_url_filter": urls.op5_url_filter,
     "op6_token_files": tokenfile.op6_token_files,
+    "op7_neighbours": neighbours.op7_neighbours,
     "op8_ngram_join": ngrams.op8_ngram_join,
     "op9_exact_dedup": dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
