@@ -215,7 +215,7 @@ def _runs(table: pa.Table, keys: int) -> tuple[pa.Table, np.ndarray]:
 def _lower(docs: DataFrame) -> DataFrame:
     """(doc_id, v, text): the text in lower case, and a stand-in for a missing doc_id."""
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("v"), text.alias("text"), F.xxhash64("doc_id", "text").alias("row"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("v"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
