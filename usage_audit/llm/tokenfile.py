@@ -34,7 +34,7 @@ END_ID = 1
 #: Ids are below this: the size of the frequency table, and the bound of its broadcast.
 VOCABULARY = 1 << 16
 #: Documents of a file, about; files come in ascending doc_id.
-DOCS_PER_FILE = 20_000
+DOCS_PER_FILE = 4_000
 
 _HEADER = np.dtype([("magic", "S4"), ("version", "<u4"), ("docs", "<u8"), ("ids", "<u8"), ("ranks", "<u8")])
 _LENGTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3).astype(np.uint8) + 1
@@ -46,7 +46,7 @@ def encode(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, id_of_rank:
     rank_of[id_of_rank] = np.arange(len(id_of_rank), dtype=np.uint32)
     ranks = rank_of[ids]
     used = int(ranks.max()) + 1 if len(ranks) else 0
-    size = 1 + (ranks > 0xFF) + (ranks > 0xFFFF).astype(int) + (ranks > 0xFFFFFF)
+    size = np.uint8(1) + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     two_bits = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     two_bits[: len(ranks)] = size - 1
     control = (two_bits.reshape(-1, 4) << np.arange(0, 8, 2, dtype=np.uint8)).sum(1, dtype=np.uint8)
@@ -84,9 +84,8 @@ def tokenised(docs: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded = tokens.word_encoder(folder)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                ids = [x + end for x in encoded([t or "" for t in batch.column(1).to_pylist()])]
+            for batch in tokens.slices(whole, 1):
+                ids = [x + end for x in encoded(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
@@ -123,6 +122,8 @@ def write_files(spark: SparkSession, docs: DataFrame, path: str, folder: str) ->
     Files are named by their place in ascending doc_id; each is written under another name and moved when complete, so
     a repeated task leaves one whole file. Returns (file int, name string, docs long, ids long).
     """
+    fs, base = pyarrow.fs.FileSystem.from_uri(path)
+    fs.create_dir(base, recursive=True)  # for no documents, no files
     ids = common.staged(tokenised(docs, folder), "ids")
     ranks = spark.sparkContext.broadcast(by_frequency(frequencies(ids)).tobytes())
     files = max(1, ids.count() // DOCS_PER_FILE)
@@ -159,13 +160,14 @@ def write_files(spark: SparkSession, docs: DataFrame, path: str, folder: str) ->
 NO_ID = np.iinfo(np.int64).min
 
 
-def read_files(spark: SparkSession, path: str, written: DataFrame) -> DataFrame:
-    """The documents of the files under `path`: doc_id, start, n_tokens, ids (32-bit), in any order.
+def read_files(spark: SparkSession, path: str, written: DataFrame, digest: bool = False) -> DataFrame:
+    """The documents of the files under `path`: doc_id, start, n_tokens, ids (32-bit), in any order; with `digest`
+    ids_crc32, made where the file is decoded, instead of ids.
 
     start counts the ids of all documents before it, in ascending doc_id; rows without doc_id come last.
     """
     starts = written.select("name", (F.sum("ids").over(W.orderBy("file")) - F.col("ids")).alias("first"))
-    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("place", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("place", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()) if digest else T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,20 +177,14 @@ def read_files(spark: SparkSession, path: str, written: DataFrame) -> DataFrame:
                 for i in range(0, len(doc_ids), 2000):
                     part = slice(i, i + 2000)
                     cut = [ids[b - n : b].astype("<u4").tobytes() for n, b in zip(counts[part], ends[part], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(cut)), pa.array(doc_ids[part], mask=doc_ids[part] == NO_ID), pa.array(ends[part] - counts[part]), pa.array(counts[part]), pa.array(cut, pa.binary())], schema=None, names=schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(cut)), pa.array(doc_ids[part], mask=doc_ids[part] == NO_ID), pa.array(ends[part] - counts[part]), pa.array(counts[part]), pa.array(map(zlib.crc32, cut), pa.int64()) if digest else pa.array(cut, pa.binary())], names=schema.names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tids").load(path)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return files.mapInArrow(run, schema).join(starts, "name").select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids")
+    return files.mapInArrow(run, schema).join(starts, "name").select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32" if digest else "ids")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_path(spark, "token-files")
     written = write_files(spark, common.read(spark, sf_dir, "documents"), path, tokens.vocabulary_dir())
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = pa.array([zlib.crc32(x) for x in b.column(3).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_files(spark, path, written).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_files(spark, path, written, digest=True)

@@ -10,14 +10,18 @@ import base64
 import functools
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A worker remembers the ids of at most so many distinct words.
-REMEMBERED = 400_000
-_SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split() alone
-_ASCII_WORDS = re.compile("[^ \t\n\r\f\v]+").findall
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+REMEMBERED = 240_000
+# Words of these characters alone are cut as the tokenizer cuts them: letters, single digits, runs of marks.
+_ODD = re.compile("[^!-&(-~À-ÖØ-öø-ÿ]").search
+_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
 
 
 def vocabulary_dir() -> str:
@@ -26,6 +30,17 @@ def vocabulary_dir() -> str:
     return os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """`batch` in slices of at most `most` bytes in column `text`, or of one row."""
+    sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 @functools.lru_cache(maxsize=1)
 def byte_encoder(folder: str):
     """A function from a text to its byte-level BPE ids, as unsigned 16-bit integers in bytes.
@@ -49,43 +64,67 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_file(os.path.join(folder, "word_bpe_49k.json"))
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.old: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
+        self.part: dict[str, bytes] = {}
 
     def add(self, words: set[str]) -> None:
-        """Make what is missing of the ids of `words`."""
-        new, got = [w for w in words if w not in self.young], self.young
-        for w in [w for w in new if w in self.old]:
+        """Make the ids of `words`, which aren't among the young ones."""
+        got = self.young
+        for w in words & self.old.keys():
             got[w] = self.old[w]
-        parts = {w: m for w in new if w not in got and (m := _SIMPLE.fullmatch(w))}
-        low = sorted({m[1].lower() for m in parts.values()} - got.keys())
-        if low:  # runs of letters alone: each is one pre-token, which ends with one end-of-word id
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(low)], add_special_tokens=False)[0].ids, np.uint16)
-            at = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
-            assert len(at) == len(low) + 1
+        plain, odd = [], []
+        for w in words.difference(self.old):
+            (odd if not w or _ODD(w) else plain).append(w)
+        for w in odd:
+            got[w] = self.made(w) if w else b""
+        if not plain:
+            return
+        low = " ".join(plain).lower().split(" ")
+        cut = [(w, _PARTS(x)) for w, x in zip(plain, low, strict=True) if not x.isalpha()]
+        parts = {x for x in low if x.isalpha()}.union(*(x for _, x in cut))
+        new = parts.difference(self.part)
+        cut_model = self.model.tokenize  # printable ASCII stands for its own bytes: the model can take it at once
+        self.part.update((x, array("H", [t.id for t in cut_model(x)]).tobytes()) for x in new if x.isascii())
+        other = [x for x in new if not x.isascii()]
+        if other:  # each is one pre-token, which ends with one end-of-word id
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(other)], add_special_tokens=False)[0].ids, np.uint16)
+            at = [0, *(2 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            assert len(at) == len(other) + 1
             data = ids.tobytes()
-            got.update((w, data[2 * i : 2 * j]) for w, i, j in zip(low, at, at[1:], strict=False))
-        for w in new:
-            if w not in got:
-                if w in parts:
-                    marks = parts[w][2]
-                    got[w] = got[parts[w][1].lower()] + ((got.get(marks) or self.made(marks)) if marks else b"")
-                else:
-                    got[w] = self.made(w)
+            self.part.update((w, data[i:j]) for w, i, j in zip(other, at, at[1:], strict=False))
+        ids_of = self.part.__getitem__
+        got.update((w, ids_of(x)) for w, x in zip(plain, low, strict=True) if x.isalpha())
+        got.update((w, b"".join(map(ids_of, x))) for w, x in cut)
 
     def made(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [_ASCII_WORDS(t) if _SEPARATORS.search(t) else t.split() for t in texts]
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        words = lists.flatten().dictionary_encode()
         if len(self.young) > REMEMBERED // 2:
             self.old, self.young = self.young, {}
-        self.add(set().union(*split))
-        ids = self.young.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+        if len(self.part) > REMEMBERED // 2:
+            self.part = {}
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.young.get, distinct))
+        if None in found:
+            self.add({w for w, x in zip(distinct, found, strict=True) if x is None})
+            found = list(map(self.young.__getitem__, distinct))
+        # every word's ids are copied from those of the distinct words
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 2
+        pool, first = np.frombuffer(b"".join(found), np.uint16), np.cumsum(sizes) - sizes
+        at = words.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n, dtype=np.int64)
+        ids = pool[np.repeat((first[at] - (ends - n)).astype(np.int32), n) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
+        bound = np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(bound, bound[1:], strict=False)]
 
 
 @functools.lru_cache(maxsize=1)
