@@ -107,7 +107,8 @@ def keep_decided(docs: DataFrame, key: Column, decisions: DataFrame, n_decisions
     columns = docs.columns
     marked = with_bloom_mark(docs.withColumn("__key", key), F.col("__key"), decisions.select("h"), n_decisions)
     sure = marked.filter("not __maybe").select(columns)
-    maybe = marked.filter("__maybe").join(decisions.withColumnRenamed("h", "__key"), "__key", "left")
-    first = F.row_number().over(W.partitionBy("__key", "keep").orderBy("__key"))
-    rest = maybe.filter("keep is null or keep").withColumn("__n", first).filter("keep is null or __n = 1").select(columns)
+    maybe = marked.filter("__maybe").join(decisions.select(F.col("h").alias("__key"), F.col("keep").alias("__keep")), "__key", "left")
+    undecided = maybe.filter("__keep is null").select(columns)
+    first = F.row_number().over(W.partitionBy("__key").orderBy("__key"))
+    rest = maybe.filter("__keep").withColumn("__n", first).filter("__n = 1").select(columns).unionByName(undecided)
     return sure.unionByName(rest)

@@ -321,7 +321,8 @@ def verified(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def jaccard_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of `docs` (doc_id, text): doc_id, class_id, copies, links, row.
+    """One row for each row of `docs` (doc_id, text): doc_id, class_id, copies, links; row, a hash of
+    doc_id and lower-cased text; and class_key, a number of the class.
 
     Two documents are linked when the sets of their runs of five lower-cased words have a Jaccard similarity of
     `threshold` or more. class_id is the smallest doc_id that a document is connected with by links; copies counts the
@@ -344,11 +345,11 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, threshold: float = THR
     known = reps.select("u", "u2", "n", "least", "copies").join(classes, "u", "left").join(counts, "u", "left")
     known = common.staged(known.withColumn("component", F.coalesce("component", "u")), "known")
     names = known.groupBy("component").agg(F.min("least").alias("class_id"))
-    known = known.join(names, "component").select("u", "u2", "n", "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    worded = signed.filter("n > 0").select("doc_id", "row", "u", "u2", "n").join(known, ["u", "u2", "n"]).select("doc_id", "class_id", "copies", "links", "row")
-    alone = signed.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"), "row")
+    known = known.join(names, "component").select("u", "u2", "n", F.col("component").alias("class_key"), "class_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    worded = signed.filter("n > 0").select("doc_id", "row", "u", "u2", "n").join(known, ["u", "u2", "n"]).select("doc_id", "class_id", "copies", "links", "row", "class_key")
+    alone = signed.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links"), "row", F.col("row").alias("class_key"))
     return worded.unionByName(alone)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(spark, common.read(spark, sf_dir, "documents")).drop("row")
+    return jaccard_classes(spark, common.read(spark, sf_dir, "documents")).drop("row", "class_key")

@@ -118,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS) -> dict[str,
 
 
 def held_out(doc_id):
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
+    """Is a row held out? One without doc_id is not, but has no label either."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def scored(docs: DataFrame, model: dict[str, float], name: str = "score", where: bool = False) -> DataFrame:
