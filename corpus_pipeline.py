@@ -23,10 +23,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the row with the smallest doc_id."""
+    """Of each class of linked documents the row with the smallest doc_id; if none has one, the row of the smallest hash."""
     classes = ngrams.jaccard_classes(spark, docs).filter("links > 0")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.lower(F.coalesce(F.col("text"), F.lit(""))))
-    decided = classes.groupBy(F.col("row").alias("h")).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("keep"))
+    first = classes.filter("class_id is null").groupBy("class_key").agg(F.min("row").alias("first"))
+    stays = F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("row") == F.col("first"), F.lit(False))
+    decided = classes.join(first, "class_key", "left").groupBy(F.col("row").alias("h")).agg(F.bool_or(stays).alias("keep"))
     decided = common.staged(decided, "decided")
     return common.keep_decided(docs, key, decided, decided.count())
 
@@ -38,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens."""
-    return packing.digests(packing.pack(spark, docs, 1024, tokens.vocabulary_dir()))
+    return packing.pack(spark, docs, 1024, tokens.vocabulary_dir(), digest=True)
 
 
 STAGES = [

@@ -37,8 +37,7 @@ def tokenised(docs: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded = tokens.byte_encoder(folder)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in tokens.slices(whole, 1):
                 ids = [encoded(t or "") + end for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), batch.column(2)], names=["doc_id", "ids", "place"])
 
@@ -141,10 +140,11 @@ def pack_shard(docs: list[np.ndarray], index: _Index, window: int) -> Iterator[t
             seed = -1
 
 
-def pack(spark: SparkSession, docs: DataFrame, window: int, folder: str) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, window: int, folder: str, digest: bool = False) -> DataFrame:
     """The pieces of all rows of `docs` (doc_id, text), packed into sequences of at most `window` tokens.
 
-    doc_id, start, length, ids (32 bits each), doc_tokens, sequence_id, offset. A null or empty text has the end id
+    doc_id, start, length, ids (32 bits each), doc_tokens, sequence_id, offset; with `digest` ids_crc32 instead of ids,
+    made in the same task: a second Python step there would double an executor's workers. A null or empty text has the end id
     alone. Only the last sequence of each shard may be short of `window`. Rows with equal doc_id are packed each for
     itself. Sequences are numbered within shards: sequence_id = shard * 2**32 + number. No rows give no pieces;
     further columns of `docs` aren't read.
@@ -162,23 +162,14 @@ def pack(spark: SparkSession, docs: DataFrame, window: int, folder: str) -> Data
         d, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pack_shard(lists, index, window), strict=True))
         base = got.column("shard")[0].as_py() << 32
         cut = [lists[i][a : a + n].astype("<u4").tobytes() for i, a, n in zip(d, start, length, strict=True)]
+        ids = {"ids_crc32": pa.array(map(zlib.crc32, cut), pa.int64())} if digest else {"ids": pa.array(cut, pa.binary())}
         sizes = np.array([len(x) for x in lists])
-        return pa.table({"doc_id": got.column("doc_id").take(pa.array(d)), "start": start, "length": length, "ids": pa.array(cut, pa.binary()), "doc_tokens": sizes[d], "sequence_id": sequence + base, "offset": offset})
+        columns = {"doc_id": got.column("doc_id").take(pa.array(d)), "start": start, "length": length} | ids
+        return pa.table(columns | {"doc_tokens": sizes[d], "sequence_id": sequence + base, "offset": offset})
 
     dealt = ids.withColumn("shard", F.pmod("place", F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(one, PIECES)
-
-
-def digests(pieces: DataFrame) -> DataFrame:
-    """`pieces` with ids_crc32 instead of ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = pa.array([zlib.crc32(x) for x in b.column(3).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], crc, *b.columns[4:]], names=[*b.schema.names[:3], "ids_crc32", *b.schema.names[4:]])
-
-    return pieces.mapInArrow(run, PIECES.replace("ids binary", "ids_crc32 long"))
+    return dealt.groupBy("shard").applyInArrow(one, PIECES.replace("ids binary", "ids_crc32 long") if digest else PIECES)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(pack(spark, common.read(spark, sf_dir, "documents"), 1024, tokens.vocabulary_dir()))
+    return pack(spark, common.read(spark, sf_dir, "documents"), 1024, tokens.vocabulary_dir(), digest=True)
