@@ -221,9 +221,9 @@ def _literal(value: Column, origin: str, precedence: int) -> Column:
 
 def harvest_literals(literals: Col, code: Col) -> Column:
     """array<struct(literal, origin, precedence)>: literals, names inside query-shaped ones, merge fields and their parts."""
-    own = F.filter(F.transform(_c(literals), F.trim), lambda v: F.length(v) >= 2)
+    own = F.filter(F.transform(_c(literals), lambda v: F.trim(v)), lambda v: F.length(v) >= 2)
     inside = F.flatten(F.transform(F.filter(own, lambda v: v.rlike(r"(?is)\bselect\b.*\bfrom\b")), lambda v: F.regexp_extract_all(v, F.lit(V.TOKEN), 0)))
-    merges = F.transform(F.regexp_extract_all(F.coalesce(_c(code), F.lit("")), F.lit(V.MERGE_FIELD), 1), F.trim)
+    merges = F.transform(F.regexp_extract_all(F.coalesce(_c(code), F.lit("")), F.lit(V.MERGE_FIELD), 1), lambda m: F.trim(m))
     parts = F.filter(F.flatten(F.transform(merges, lambda m: F.split(m, r"[.\s(),]+"))), lambda p: F.length(p) > 1)
     both = F.transform(F.concat(own, inside), lambda v: _literal(v, "string_literal", 2))
     return F.concat(both, F.transform(F.concat(merges, parts), lambda v: _literal(v, "merge_field", 3)))

@@ -108,5 +108,5 @@ def parse_bundle_meta(files: DataFrame) -> DataFrame:
     return files.select(
         "artifact_id", (F.lower(text("isExposed")) == "true").alias("is_exposed"), F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"(?is)<target>\s*([^<]*?)\s*</target>"), 1).alias("targets"),
         F.nullif(text("masterLabel"), F.lit("")).alias("label"), F.nullif(F.lower(attribute("access")), F.lit("")).alias("access"),
-        F.filter(F.transform(F.split(attribute("implements"), ","), F.trim), lambda x: x != "").alias("implements"),
+        F.filter(F.transform(F.split(attribute("implements"), ","), lambda x: F.trim(x)), lambda x: x != "").alias("implements"),
     )

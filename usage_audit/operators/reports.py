@@ -164,8 +164,8 @@ def coverage_caveats(collector_runs: DataFrame, capabilities: DataFrame) -> Data
 def kind_buckets(classes: DataFrame, methods: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(kind, classes, class_unused, class_review, methods, method_unused, method_review) by role."""
     label = verdicts.select(F.col("component_id").alias("id"), "label")
-    m = methods.join(label, "id").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("m"), F.count_if(F.col("label") == V.UNUSED).alias("mu"), F.count_if(F.col("label") == V.REVIEW).alias("mr"))
-    joined = classes.join(label, "id").join(m, "id", "left")
+    m = methods.select("id", "parent_id").join(label, "id").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("m"), F.count_if(F.col("label") == V.UNUSED).alias("mu"), F.count_if(F.col("label") == V.REVIEW).alias("mr"))
+    joined = classes.select("id", "kind").join(label, "id").join(m, "id", "left")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return joined.groupBy("kind").agg(F.count("*").alias("classes"), F.count_if(F.col("label") == V.UNUSED).alias("class_unused"), F.count_if(F.col("label") == V.REVIEW).alias("class_review"), total("m").alias("methods"), total("mu").alias("method_unused"), total("mr").alias("method_review"))
 
@@ -174,7 +174,7 @@ def attention_score(classes: DataFrame, methods: DataFrame, verdicts: DataFrame)
     """(id, score): how much of a class waits for a person; itself counts 3 (unused) or 2, each method 1 or half."""
     label = verdicts.select(F.col("component_id").alias("id"), "label")
     worth = lambda u, r: F.when(F.col("label") == V.UNUSED, u).when(F.col("label") == V.REVIEW, r).otherwise(0.0)
-    m = methods.join(label, "id").groupBy(F.col("parent_id").alias("id")).agg(F.sum(worth(1.0, 0.5)).alias("m"))
+    m = methods.select("id", "parent_id").join(label, "id").groupBy(F.col("parent_id").alias("id")).agg(F.sum(worth(1.0, 0.5)).alias("m"))
     return classes.select("id").join(label, "id").join(m, "id", "left").select("id", (worth(3.0, 2.0) + F.coalesce("m", F.lit(0.0))).alias("score"))
 
 

@@ -9,11 +9,16 @@ from pyspark.sql import Window as W
 from .. import vocabulary as V
 
 
+def _seconds(at: str):
+    return F.col(at).cast("timestamp").cast("double")
+
+
 def run_history(runs: DataFrame, verdicts: DataFrame, limit: int = 50) -> DataFrame:
     """The newest runs with their component and verdict counts and duration in seconds."""
     counts = verdicts.groupBy("run_id").agg(F.count("*").alias("components"), *[F.count_if(F.col("label") == k).alias(k.lower()) for k in (V.UNUSED, V.REVIEW, V.USED, V.OUT)])
-    seconds = F.col("finished_at").cast("double") - F.col("started_at").cast("double")
-    return runs.join(counts, "run_id", "left").withColumn("seconds", seconds).orderBy(F.desc("started_at"), "run_id").limit(limit)
+    seconds = _seconds("finished_at") - _seconds("started_at")
+    joined = runs.join(counts, "run_id", "left").na.fill(0, ["components", *(k.lower() for k in (V.UNUSED, V.REVIEW, V.USED, V.OUT))])
+    return joined.withColumn("seconds", seconds).orderBy(F.desc("started_at"), "run_id").limit(limit)
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
@@ -35,7 +40,7 @@ def run_snapshot(runs: DataFrame, stages: DataFrame, verdicts: DataFrame, events
 
 
 def stage_durations(stages: DataFrame) -> DataFrame:
-    return stages.select("run_id", "stage", F.round(F.col("finished_at").cast("double") - F.col("started_at").cast("double"), 3).alias("seconds"))
+    return stages.select("run_id", "stage", F.round(_seconds("finished_at") - _seconds("started_at"), 3).alias("seconds"))
 
 
 def assign_sequence(events: DataFrame, order: str = "at", tie: str = "event_id") -> DataFrame:

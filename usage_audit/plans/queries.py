@@ -574,7 +574,7 @@ def superseded_runs(spark, d):
     return RU.superseded_runs(I.runs(spark, d)).select("run_id", "later")
 
 
-@query("SELECT o_orderkey AS run_id, n AS components FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey ORDER BY o_orderdate DESC, run_id LIMIT 50", base=False)
+@query("SELECT o_orderkey AS run_id, coalesce(n, 0) AS components FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey ORDER BY o_orderdate DESC, run_id LIMIT 50", base=False)
 def run_history(spark, d):
     v = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("run_id"), F.lit("USED").alias("label"))
     return RU.run_history(I.runs(spark, d).withColumn("finished_at", F.col("started_at")), v).select("run_id", "components")
