@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 
 from .. import vocabulary as V
 from ..functions import text as T
@@ -220,7 +219,3 @@ def check_matrix(components: DataFrame, checks: DataFrame, evidence: DataFrame,
         .when(F.col("result") == V.HIT, "hit").when(F.col("result") == V.MISS, "clear").when(F.col("result") == V.UNCLEAR, "incomplete").otherwise("na")
     )
     return joined.select("component_id", "collector_id", state.alias("state"))
-
-
-def evidence_struct() -> ST.StructType:
-    return ST.StructType([ST.StructField(n, ST.DoubleType() if n == "weight" else ST.LongType() if n == "component_id" else ST.StringType()) for n in SHAPE])
