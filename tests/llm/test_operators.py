@@ -72,6 +72,40 @@ def test_packing_puts_related_documents_together(spark):
     assert np.mean([len(t) for t in together.values()]) < 2.5  # four topics; by chance nearly all meet in each window
 
 
+def test_packing_finds_related_documents_of_all_shards(spark, monkeypatch):
+    random.seed(8)
+    topics = [[f"{random.choice('bcdfgklm')}{random.choice('aeiou')}{random.choice('nprstvz')}{t}x{i}" for i in range(40)] for t in range(40)]
+    for n in (400, 1600):
+        docs = spark.createDataFrame([(i, " ".join(random.choices(topics[i % 40], k=20))) for i in range(n)], "doc_id long, text string").repartition(5)
+        mean = []
+        for size in (60, 10_000):
+            monkeypatch.setattr(packing, "DOCS_PER_SHARD", size)
+            together, shards = defaultdict(set), set()
+            for p in rows(packing.pack(spark, docs, 512, FOLDER)):
+                together[p["sequence_id"]].add(p["doc_id"] % 40)
+                shards.add(p["sequence_id"] >> 32)
+            assert (len(shards) > 3) == (size == 60)
+            mean.append(np.mean([len(t) for t in together.values()]))
+        assert mean[0] < 1.5 * mean[1]  # topics of a window: nearly as if all documents were in one index
+
+
+def test_packing_asks_again():
+    docs = [np.array([10 + i % 2, 100 + i % 2, 1000 + i, 0], np.uint16) for i in range(200)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=packing.VOCABULARY)
+    first = [d for d, _, _, sequence, _ in packing.pack_shard(docs, packing._Index(docs, df, len(docs), 4.0), 320) if sequence == 0]
+    assert len(first) == 80 and {d % 2 for d in first} == {0}  # five times as many as are asked for at once
+
+
+def test_a_hot_cluster_is_split(monkeypatch):
+    monkeypatch.setattr(packing, "DOCS_PER_SHARD", 10)
+    weights = np.array([3, 3, 0, 2, 100, 1, 9, 9, 4, 4, 4, 0], float)
+    first, number = packing.shards_of_cells(weights, 4)
+    held = np.zeros((first + number).max())
+    for w, f, n in zip(weights, first, number, strict=True):
+        held[f : f + n] += w / n
+    assert held.max() <= 15 and number.tolist() == [1, 1, 1, 1, 10, 1, 1, 1, 1, 1, 1, 1] and len(set(first[:4])) == len(set(first[8:])) == 1
+
+
 def test_packing_of_nothing(spark, no_docs):
     assert rows(packing.pack(spark, no_docs, 64, FOLDER)) == []
 

@@ -1,9 +1,10 @@
 """Lexical retrieval packing.
 
-Documents are dealt to shards by hash, and each shard is an inverted index of its documents' tokens. Windows are filled
-one after another: a seed document asks the index, by BM25 over its most telling tokens, for the nearest documents that
-aren't used yet, and they fill its window greedily. Document frequencies, lengths and their mean are those of the whole
-corpus: they are summed over all shards first, in one table of the vocabulary's size.
+Documents are dealt to shards by what they say: a tree of centroids, fitted on a sample of the whole corpus, puts related
+documents of any part of it into one shard, and grows with the corpus. Each shard is an inverted index of its documents'
+tokens. Windows are filled one after another: a seed document asks the index, by BM25 over its most telling tokens, for
+the nearest documents that aren't used yet, and they fill its window greedily. Document frequencies, lengths and their
+mean are those of the whole corpus: they are summed over all shards first, in one table of the vocabulary's size.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ DOCS_PER_SHARD = 2000
 #: A seed asks by so many of its tokens, those with the highest idf; it gets so many neighbours at once.
 QUERY_TOKENS, NEIGHBOURS = 12, 16
 K1, B = 1.2, 0.75
+#: Sketches have so many dimensions; the tree is fitted on so many of them a leaf, and has at most so many leaves.
+DIMENSIONS, SAMPLES, MOST_LEAVES = 128, 32, 4096
+#: A leaf's documents fall into so many cells by a MinHash of their tokens: a hot leaf is split along these.
+CELLS = 64
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -64,6 +69,79 @@ def statistics(ids: DataFrame) -> np.ndarray:
     return out
 
 
+class _Sketcher:
+    """Random projections of documents' weighted tokens, of length 1, and MinHash cells."""
+
+    def __init__(self, df: np.ndarray, n_docs: int) -> None:
+        self.idf, self.rare = np.log1p((n_docs - df + 0.5) / (df + 0.5)).astype(np.float32), df * 10 <= n_docs
+        r = np.random.default_rng(17)
+        self.signs = r.integers(0, 2, (VOCABULARY, DIMENSIONS), np.int8) * np.int8(2) - np.int8(1)
+        self.order = r.permutation(VOCABULARY)
+
+    def __call__(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        out, cells = np.zeros((len(docs), DIMENSIONS), np.float32), np.zeros(len(docs), np.int64)
+        for i, d in enumerate(docs):
+            t, tf = np.unique(d, return_counts=True)
+            out[i] = (self.idf[t] * (1 + np.log(tf)).astype(np.float32)) @ self.signs[t].astype(np.float32)
+            cells[i] = self.order[t[self.rare[t]]].min(initial=VOCABULARY) * 40503 // 7 % CELLS
+        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        return out, cells
+
+
+def _centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """At most `k` spherical k-means centroids of the rows of `x`."""
+    c = x[np.random.default_rng(5).permutation(len(x))[:k]]
+    for _ in range(rounds):
+        near = np.argmax(x @ c.T, axis=1)
+        order = np.argsort(near, kind="stable")
+        found, first = np.unique(near[order], return_index=True)
+        c = np.add.reduceat(x[order], first, axis=0)
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    return c
+
+
+class _Tree:
+    """Two levels of centroids; the leaves of one parent have neighbouring numbers."""
+
+    def __init__(self, sample: np.ndarray, leaves: int) -> None:
+        self.top = _centroids(sample, max(1, round(leaves**0.5)))
+        near = np.argmax(sample @ self.top.T, axis=1)
+        self.below = [_centroids(sample[near == k], max(1, round(leaves * (near == k).mean()))) if (near == k).any() else self.top[k : k + 1] for k in range(len(self.top))]
+        self.first = np.cumsum([0] + [len(b) for b in self.below])
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        near = np.argmax(x @ self.top.T, axis=1)
+        out = np.zeros(len(x), np.int64)
+        for k in np.unique(near):
+            out[near == k] = self.first[k] + np.argmax(x[near == k] @ self.below[k].T, axis=1)
+        return out
+
+
+def shards_of_cells(weights: np.ndarray, leaf_cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number) of each cell's shards, for cells of these weights in documents; none of a leaf's cells, in order.
+
+    Neighbouring cells fill a shard up to DOCS_PER_SHARD; a leaf that fits into one shard stays whole, and only a cell
+    that is itself above that, one of copies, has several shards.
+    """
+    first, number = np.zeros(len(weights), np.int64), np.ones(len(weights), np.int64)
+    shard, held = 0, 0.0
+    for at in range(0, len(weights), leaf_cells):
+        leaf = weights[at : at + leaf_cells]
+        if held and leaf.sum() <= 1.5 * DOCS_PER_SHARD < held + leaf.sum():
+            shard, held = shard + 1, 0.0
+        for c in range(at, at + len(leaf)):
+            w = weights[c]
+            if held and held + w > 1.5 * DOCS_PER_SHARD:
+                shard, held = shard + 1, 0.0
+            first[c] = shard
+            if w > 1.5 * DOCS_PER_SHARD:
+                number[c] = int(np.ceil(w / DOCS_PER_SHARD))
+                shard += number[c]
+            else:
+                held += w
+    return first, number
+
+
 class _Index:
     """An inverted index of one shard: for each token the documents that hold it, with their BM25 parts."""
 
@@ -77,13 +155,15 @@ class _Index:
         order = np.argsort(token, kind="stable")
         self.first = np.searchsorted(token[order], np.arange(VOCABULARY + 1))
         self.doc, self.part = doc[order], part[order]
-        self.queries = []
+        self.queries, self.all_tokens = [], []
         for t, _ in held:
             t = t[(self.first[t + 1] - self.first[t] > 1)]  # a token of no other document finds nothing
+            self.all_tokens.append(t)
             self.queries.append(t[np.lexsort((t, -self.idf[t]))[:QUERY_TOKENS]] if len(t) > QUERY_TOKENS else t)
 
-    def scores(self, seed: int) -> np.ndarray:
-        at = [(self.first[t], self.first[t + 1]) for t in self.queries[seed].astype(np.int64)]
+    def scores(self, seed: int, whole: bool = False) -> np.ndarray:
+        """BM25 of the documents by the seed's most telling tokens, or with `whole` by all of its tokens."""
+        at = [(self.first[t], self.first[t + 1]) for t in (self.all_tokens if whole else self.queries)[seed].astype(np.int64)]
         if not at:
             return np.zeros(0)
         return np.bincount(np.concatenate([self.doc[a:b] for a, b in at]), np.concatenate([self.part[a:b] for a, b in at]))
@@ -93,8 +173,8 @@ def pack_shard(docs: list[np.ndarray], index: _Index, window: int) -> Iterator[t
     """Pieces (document, start, length, sequence, offset) of a shard. Every token lies in exactly one of them.
 
     Whole windows of long documents are sequences of their own; what remains of each document is packed. A window that
-    is not full takes its seed's best unused neighbours, then the next unused documents; the one that it cuts seeds the
-    next window.
+    is not full takes its seed's best unused neighbours as long as any scores, then the next unused documents; the one
+    that it cuts seeds the next window.
     """
     sequence, left = 0, []
     for d, ids in enumerate(docs):
@@ -104,12 +184,27 @@ def pack_shard(docs: list[np.ndarray], index: _Index, window: int) -> Iterator[t
             sequence += 1
         left.append(len(ids) - whole * window)
     unused = np.array(left) > 0
-    following, seed, offset = 0, -1, 0
+    following, seed, asker, offset = 0, -1, -1, 0
     near: list[int] = []
+    score, whole = np.zeros(0), False
+
+    def best() -> list[int]:
+        open_ = np.where(unused[: len(score)], score, 0)
+        some = np.argpartition(-open_, NEIGHBOURS)[:NEIGHBOURS] if len(open_) > NEIGHBOURS else np.arange(len(open_))
+        some = some[open_[some] > 0]
+        return some[np.lexsort((-some, open_[some]))].tolist()  # the best is last
+
     while True:
         if seed < 0:
             while near and not unused[near[-1]]:
                 near.pop()
+            if not near and asker >= 0:  # the window outlasts its neighbours: its seed asks again, at last by all its tokens
+                near = best()
+                if not near and not whole:
+                    score, whole = index.scores(asker, True), True
+                    near = best()
+                if not near:
+                    asker = -1
             if near:
                 seed = near.pop()
             else:
@@ -126,20 +221,52 @@ def pack_shard(docs: list[np.ndarray], index: _Index, window: int) -> Iterator[t
         offset += take
         if offset == window:
             sequence, offset = sequence + 1, 0
-            near = []
+            near, asker = [], -1
         if first and offset:
-            score = index.scores(seed)
-            score = np.where(unused[: len(score)], score, 0)
-            if len(score) > NEIGHBOURS:
-                some = np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS]
-            else:
-                some = np.arange(len(score))
-            some = some[score[some] > 0]
-            near = some[np.lexsort((-some, score[some]))].tolist()  # the best is last
+            score, whole, asker = index.scores(seed), False, seed
+            near = best()
         if not left[seed]:
             seed = -1
 
 
+def deal(spark: SparkSession, ids: DataFrame, sums: np.ndarray) -> DataFrame:
+    """`ids` with its shard: related documents of the whole corpus have the same."""
+    n_docs, n_ids = int(sums[VOCABULARY]), int(sums[VOCABULARY + 1])
+    leaves = min(MOST_LEAVES, n_docs // DOCS_PER_SHARD)
+    if leaves < 2:
+        return ids.withColumn("shard", F.lit(0).cast("long"))
+    df = spark.sparkContext.broadcast(sums[:VOCABULARY].tobytes())
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = _Sketcher(np.frombuffer(df.value, np.int64), n_docs)
+        for batch in batches:
+            x, _ = sketch([np.frombuffer(i, np.uint16) for i in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), batch.column(1)], names=["x", "place"])
+
+    one_of = max(1, n_docs // (SAMPLES * leaves))
+    some = ids.filter(F.pmod(F.xxhash64("place"), F.lit(one_of)) == 0).select("ids", "place").mapInArrow(sketched, "x binary, place long")
+    got = sorted((r["place"], bytes(r["x"])) for r in some.collect())  # at most about 2 * SAMPLES * MOST_LEAVES rows
+    tree = spark.sparkContext.broadcast(_Tree(np.frombuffer(b"".join(x for _, x in got), np.float16).reshape(-1, DIMENSIONS).astype(np.float32), leaves))
+    n_cells = int(tree.value.first[-1]) * CELLS
+
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = _Sketcher(np.frombuffer(df.value, np.int64), n_docs)
+        for batch in batches:
+            x, cells = sketch([np.frombuffer(i, np.uint16) for i in batch.column(1).to_pylist()])
+            cell = tree.value.leaves(x) * CELLS + cells
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=["doc_id", "ids", "place", "cell"])
+
+    placed = common.staged(ids.mapInArrow(celled, "doc_id long, ids binary, place long, cell long"), "cells")
+    weights = np.zeros(n_cells)
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.length("ids") / 2).alias("ids")).toLocalIterator():
+        weights[r["cell"]] = (r["n"] + r["ids"] * n_docs / n_ids) / 2  # long documents fill a shard sooner
+    first, number = shards_of_cells(weights, CELLS)
+    found = np.flatnonzero(weights)
+    plan = spark.createDataFrame(pa.table({"cell": found, "first": first[found], "number": number[found]}))
+    # at most MOST_LEAVES * CELLS rows, whatever the input
+    return placed.join(F.broadcast(plan), "cell").select("doc_id", "ids", "place", (F.col("first") + F.pmod("place", "number")).alias("shard"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, window: int, folder: str, digest: bool = False) -> DataFrame:
     """The pieces of all rows of `docs` (doc_id, text), packed into sequences of at most `window` tokens.
 
@@ -152,7 +279,6 @@ def pack(spark: SparkSession, docs: DataFrame, window: int, folder: str, digest:
     ids = common.staged(tokenised(docs, folder), "ids")
     sums = statistics(ids)
     n_docs, n_ids = int(sums[VOCABULARY]), int(sums[VOCABULARY + 1])
-    shards = max(1, n_docs // DOCS_PER_SHARD)
     df = spark.sparkContext.broadcast(sums[:VOCABULARY].tobytes())
 
     def one(got: pa.Table) -> pa.Table:
@@ -167,7 +293,7 @@ def pack(spark: SparkSession, docs: DataFrame, window: int, folder: str, digest:
         columns = {"doc_id": got.column("doc_id").take(pa.array(d)), "start": start, "length": length} | ids
         return pa.table(columns | {"doc_tokens": sizes[d], "sequence_id": sequence + base, "offset": offset})
 
-    dealt = ids.withColumn("shard", F.pmod("place", F.lit(shards)))
+    dealt = deal(spark, ids, sums)
     return dealt.groupBy("shard").applyInArrow(one, PIECES.replace("ids binary", "ids_crc32 long") if digest else PIECES)
 
 
