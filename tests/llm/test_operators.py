@@ -200,6 +200,21 @@ def test_main_text_without_landmarks():
     assert html.main_text(page).split("\n")[0] == "Title" and "Home" not in html.main_text(page) and "Copyright" not in html.main_text(page)
 
 
+LONG = "<p>Some long text, with marks, and with more words than a menu has.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div>{LONG * 17}</div><div>{LONG * 3}</div></body>",
+    f"<body><p>A lead paragraph, which stands alone, and which says what follows, too.</p><div>{LONG * 17}</div></body>",
+    f"<body><h1>Title</h1><div>{LONG * 9}</div></body>",
+    f"<body><article><h2>One</h2>{LONG * 17}</article><article><h2>Two</h2>{LONG * 2}<p>Short.</p></article></body>",
+])
+def test_main_text_of_all_containers(page):
+    page = page.replace("<body>", "<body><ul><li><a href=x>Home</a><li><a href=y>News</a></ul>").replace("</body>", "<div>Copyright</div></body>")
+    want = re.sub(r"(<[^>]*>)+", "\n", page).strip().split("\n")
+    assert html.main_text(page).split("\n") == want[2:-1]
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<p>", ""), ("<script>x</script>", ""), ("plain", "plain"), ("<span>" * 3000 + "deep", "deep")])
 def test_main_text_of_odd_pages(page, text):
     assert html.main_text(page) == text

@@ -2,8 +2,9 @@
 
 A page is parsed into text nodes, each with its root-to-leaf tag path. Text length and punctuation are summed per path
 and divided by the path's nodes; both ratios are fused, smoothed along the page and thresholded by their spread. The
-nodes above it mark where the article is: the smallest element around nearly all of them is the region, and its blocks,
-without what markup declares to be something else, are the text.
+nodes above it are text wherever they stand. They also mark where the article is: the smallest element around nearly all
+of them is the region, and its shorter blocks, those of other articles that hold such nodes, and headings just before
+them are text, too. What markup declares to be something else is left out of all this.
 """
 
 from __future__ import annotations
@@ -186,7 +187,23 @@ def main_text(html: str | None) -> str:
             if not all(page.tag[e] in HEADINGS or within(e) for e in extra):
                 break
             region = page.parent[held]
-    texts = (" ".join("".join(pieces).split()) for e, pieces in page.blocks if within(e))
+    kept = [within(e) for e, _ in page.blocks]
+    articles = set()
+    for (_, element, block, _, _), w in zip(page.nodes, weight, strict=True):
+        if w and not kept[block]:
+            kept[block] = True
+            while element > 0 and page.tag[element] not in ("article", "main"):
+                element = page.parent[element]
+            articles.add(element)
+    articles.discard(0)
+    if articles:
+        for k, (e, _) in enumerate(page.blocks):
+            while e > 0 and e not in articles:
+                e = page.parent[e]
+            kept[k] = kept[k] or e > 0
+    for k in range(len(kept) - 2, -1, -1):
+        kept[k] = kept[k] or kept[k + 1] and page.tag[page.blocks[k][0]] in HEADINGS
+    texts = (" ".join("".join(pieces).split()) for (_, pieces), keep in zip(page.blocks, kept, strict=True) if keep)
     return "\n".join(t for t in texts if t)
 
 
