@@ -66,6 +66,20 @@ def test_reachability_rules(spark):
     assert got == {"t": (0, ["t"]), "e": (0, ["e"]), "f": (1, ["t", "f"]), "c": (2, ["t", "f", "c"]), "m": (3, ["t", "f", "c", "m"])}
 
 
+def test_a_chain_is_followed_to_its_end(spark):
+    keys = [f"n{k:02}" for k in range(17)]
+    nodes = spark.createDataFrame([(k, k == "n00", k.upper()) for k in keys], "key string, is_entry_point boolean, label string")
+    edges = spark.createDataFrame([(a, b, "reference") for a, b in zip(keys, keys[1:], strict=False)], "src string, dst string, kind string")
+    reached = G.reachability(nodes, edges, 16)
+    got = {r["key"]: r for r in reached.collect()}
+    assert got["n16"]["distance"] == 16 and got["n16"]["path"] == keys[5:] and got["n11"]["path"] == keys[:12]
+    routes = {r["key"]: r for r in G.path_to_root(reached, nodes).collect()}
+    assert (routes["n16"]["labels"][0], routes["n16"]["root"]) == ("N16", "N00")
+    for far in (lambda: G.reachability(nodes, edges, 3), lambda: G.closure(edges, nodes.selectExpr("key AS node").limit(1), most_hops=3)):
+        with pytest.raises(RuntimeError):
+            far()
+
+
 def test_clusters(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, 51), (51, 99)], "src long, dst long")
     members = spark.createDataFrame([(k,) for k in [*range(31), 50, 51]], "node long")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,31 +60,42 @@ def build_edges(edges: DataFrame, components: DataFrame, artifacts: DataFrame) -
     return every.groupBy("src", "dst").agg(F.min_by("kind", order).alias("kind"))
 
 
-def reachability(nodes: DataFrame, edges: DataFrame, most_hops: int = 100, keep_path: int = 12) -> DataFrame:
-    """(key, distance, path) of what can be reached from the entry points, level by level.
+def _hops(most_hops: int | None) -> Iterator[int]:
+    """1, 2, 3 and so on; an error where a frontier is left after `most_hops` and one more: nothing is cut silently."""
+    for hop in itertools.count(1):
+        if most_hops is not None and hop > most_hops + 1:
+            raise RuntimeError(f"nodes are still found after {most_hops} hops")
+        yield hop
+
+
+def reachability(nodes: DataFrame, edges: DataFrame, most_hops: int | None = None, keep_path: int = 12) -> DataFrame:
+    """(key, distance, path, root) of what can be reached from the entry points, level by level until nothing is new.
 
     ``declares`` is never crossed, ``member_of`` only from beyond an entry point. A node keeps its smallest predecessor;
-    path lists the keys from the entry on, at most `keep_path` of them. `nodes` needs key and is_entry_point.
+    path lists the keys up to the node, the last `keep_path` of them, and root is the entry. If nodes are further away
+    than `most_hops`, that is an error. `nodes` needs key and is_entry_point.
     """
     steps = edges.filter("kind != 'declares'").select("src", "dst", "kind")
-    seen = cut(nodes.filter("is_entry_point").select("key").distinct().withColumn("distance", F.lit(0)).withColumn("path", F.array("key")), "reached")
+    seen = cut(nodes.filter("is_entry_point").select("key").distinct().withColumn("distance", F.lit(0)).withColumn("path", F.array("key")).withColumn("root", F.col("key")), "reached")
     frontier = seen
-    for hop in range(1, most_hops + 1):
+    for hop in _hops(most_hops):
         usable = steps if hop > 1 else steps.filter("kind != 'member_of'")
-        onward = usable.join(frontier.select(F.col("key").alias("src"), "path"), "src").groupBy(F.col("dst").alias("key")).agg(F.min_by(F.struct("src", "path"), "src").alias("from"))
-        fresh = onward.join(seen.select("key"), "key", "left_anti").select("key", F.lit(hop).alias("distance"), F.slice(F.concat("from.path", F.array("key")), 1, keep_path).alias("path"))
+        onward = usable.join(frontier.select(F.col("key").alias("src"), "path", "root"), "src").groupBy(F.col("dst").alias("key")).agg(F.min_by(F.struct("src", "path", "root"), "src").alias("from"))
+        whole = F.concat("from.path", F.array("key"))
+        last = F.slice(whole, F.greatest(F.size(whole) - keep_path + 1, F.lit(1)), F.lit(keep_path))
+        fresh = onward.join(seen.select("key"), "key", "left_anti").select("key", F.lit(hop).alias("distance"), last.alias("path"), "from.root")
         frontier = cut(fresh, "frontier")
         if frontier.isEmpty():
             return seen
         seen = cut(seen.unionByName(frontier), "reached")
-    return seen
 
 
 def path_to_root(reached: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, labels, root): the labels from the node back to its entry point."""
+    """(key, labels, root): the labels from the node back to its entry point, as far as its path is kept; its entry's label."""
     named = reached.select("key", F.posexplode("path").alias("n", "step")).join(nodes.select(F.col("key").alias("step"), "label"), "step")
     lists = named.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "label"))).alias("l"))
-    return lists.select("key", F.transform("l", lambda x: x["label"]).alias("labels"), F.element_at("l", -1)["label"].alias("root"))
+    roots = reached.select("key", F.col("root").alias("step")).join(nodes.select(F.col("key").alias("step"), F.col("label").alias("root")), "step").select("key", "root")
+    return lists.join(roots, "key", "left").select("key", F.transform("l", lambda x: x["label"]).alias("labels"), "root")
 
 
 def reachability_evidence(nodes: DataFrame, edges: DataFrame, reached: DataFrame) -> DataFrame:
@@ -121,18 +134,20 @@ def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.unionByName(back).join(nodes.select("node"), "node", "left_semi").distinct()
 
 
-def closure(edges: DataFrame, starts: DataFrame, direction: str = "descendants", most_hops: int = 100) -> DataFrame:
-    """(start, node, hops) of all that `starts` (node) lead to, or with direction="ancestors" all that lead to them."""
+def closure(edges: DataFrame, starts: DataFrame, direction: str = "descendants", most_hops: int | None = None) -> DataFrame:
+    """(start, node, hops) of all that `starts` (node) lead to, or with direction="ancestors" all that lead to them.
+
+    If that is further than `most_hops`, it is an error.
+    """
     step = edges.select("src", "dst") if direction == "descendants" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     seen = cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops")).distinct(), "closure")
     frontier = seen
-    for hop in range(1, most_hops + 1):
+    for hop in _hops(most_hops):
         fresh = frontier.join(step.withColumnRenamed("src", "node"), "node").select("start", F.col("dst").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
         frontier = cut(fresh.withColumn("hops", F.lit(hop)), "frontier")
         if frontier.isEmpty():
-            break
+            return seen.filter("hops > 0")
         seen = cut(seen.unionByName(frontier), "closure")
-    return seen.filter("hops > 0")
 
 
 def degree(edges: DataFrame) -> DataFrame:
