@@ -35,6 +35,25 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_paths_over_whole_tables(spark, duck):
+    parts = {f"p{k}": k % 101 == 0 for (k,) in duck.execute("SELECT p_partkey FROM part").fetchall()}
+    links = duck.execute("SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION ALL SELECT 'p' || o_custkey, 'o' || o_orderkey FROM orders WHERE o_orderstatus <> 'P'").fetchall()
+    onward = {}
+    for a, b in links:
+        onward.setdefault(a, set()).add(b)
+    distance = {k: 0 for k, entry in parts.items() if entry}
+    level = list(distance)
+    for a in level:  # grows as it is read: breadth first
+        for b in onward.get(a, ()):
+            if b not in distance:
+                distance[b] = distance[a] + 1
+                level.append(b)
+    got = {r["key"]: r["steps"] for r in queries.QUERIES["path_to_root"](spark, SF).collect()}
+    assert set(got) == set(distance)
+    assert all(1 <= got[k] <= min(n + 1, 12) for k, n in distance.items())  # orders have no label
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

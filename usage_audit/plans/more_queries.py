@@ -159,7 +159,7 @@ def dependency_status(spark, d):
 
 def _small_graph(spark, d):
     nodes = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), F.lit("component").alias("kind"), F.col("p_name").alias("label"), F.col("p_type").alias("ctype"), F.col("p_partkey").alias("ref_id"), (F.col("p_partkey") % 101 == 0).alias("is_entry_point"), F.lit(None).cast("string").alias("entry_reason"))
-    edges = _parts_graph(spark, d)
+    edges = _parts_graph(spark, d, whole=True)
     return nodes, edges, G.reachability(nodes, edges, 30)
 
 

@@ -366,10 +366,11 @@ def check_matrix(spark, d):
 # --- the graph ----------------------------------------------------------------------------------------------------------------
 
 
-def _parts_graph(spark, d):
-    li = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_quantity > 47")
+def _parts_graph(spark, d, whole=False):
+    """Edges of the rows that the SQL of the graph queries takes, or with `whole` of all rows."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").filter("true" if whole else "l_quantity > 47")
     edges = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("reference").alias("kind"))
-    orders = spark.read.parquet(f"{d}/orders.parquet").filter("o_totalprice > 400000").select(F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"), F.when(F.col("o_orderstatus") == "P", "declares").otherwise("reference").alias("kind"))
+    orders = spark.read.parquet(f"{d}/orders.parquet").filter("true" if whole else "o_totalprice > 400000").select(F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"), F.when(F.col("o_orderstatus") == "P", "declares").otherwise("reference").alias("kind"))
     return edges.unionByName(orders).distinct()
 
 
