@@ -29,7 +29,6 @@ def texts_of(docs):
 
 def check_pieces(spark, docs, window):
     tokenizer = Tokenizer.from_file(f"{FOLDER}/byte_bpe_50k.json")
-    tokenizer.encode_special_tokens = True
     expected = Counter()
     for i, t in texts_of(docs):
         expected[i, tuple(tokenizer.encode(t, add_special_tokens=False).ids + [0])] += 1
@@ -267,9 +266,8 @@ def test_file_format_round_trip():
 
 
 def test_token_files(spark, odd_docs, no_docs, monkeypatch):
-    monkeypatch.setattr(tokenfile, "DOCS_PER_FILE", 4)
+    monkeypatch.setattr(tokenfile, "IDS_PER_FILE", 30)
     tokenizer = Tokenizer.from_file(f"{FOLDER}/word_bpe_49k.json")
-    tokenizer.encode_special_tokens = True
     path = common.shared_path(spark, "t")
     got = rows(tokenfile.read_files(spark, path, tokenfile.write_files(spark, odd_docs, path, FOLDER)))
     want = sorted(((i is None, i or 0), tuple(tokenizer.encode(t, add_special_tokens=False).ids + [1])) for i, t in texts_of(odd_docs))
@@ -284,13 +282,41 @@ def test_token_files(spark, odd_docs, no_docs, monkeypatch):
     assert rows(tokenfile.read_files(spark, path, tokenfile.write_files(spark, no_docs, path, FOLDER))) == []
 
 
+def test_token_files_of_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "IDS_PER_FILE", 500)
+    docs = spark.range(3000).selectExpr("CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 7 ELSE id END AS doc_id", "concat('word ', id % 5) AS text").repartition(4)
+    path = common.shared_path(spark, "t")
+    written = tokenfile.write_files(spark, docs, path, FOLDER)
+    got = rows(tokenfile.read_files(spark, path, written))
+    files = rows(written)
+    assert len(got) == 3000 and max(f["ids"] for f in files) <= 500 and len({f["part"] for f in files}) > 5
+    assert max(sum(g["ids"] for g in files if g["part"] == p) for p in {f["part"] for f in files}) < 4000  # of 9000 and more
+    order = sorted(got, key=lambda r: r["start"])
+    assert [r["doc_id"] for r in order] == sorted((r["doc_id"] for r in got), key=lambda i: (i is None, i or 0))
+    assert [r["start"] for r in order] == np.cumsum([0] + [r["n_tokens"] for r in order])[:-1].tolist()
+
+
 def test_encoders_equal_the_tokenizers():
-    odd = ["", " ", "a  b\n\n c", "ΣΑΣ Σ. ΟΔΟΣ", "İstanbul", "don't we'll I'M", "x\x1cy\x85z\xa0w", "é ́x", "日本語 テスト", "<|endoftext|> hi", "a_b-c 12.5%", "ſ ẞ ŉ", "ab,cd 'S it's.", "À!? ÷×", "Ab" * 500]
-    for name, encode in (("word_bpe_49k", lambda t: tokens.word_encoder(FOLDER)(pa.array([t]))[0]), ("byte_bpe_50k", tokens.byte_encoder(FOLDER))):
+    odd = ["", " ", "a  b\n\n c", "ΣΑΣ Σ. ΟΔΟΣ", "İstanbul", "don't we'll I'M", "x\x1cy\x85z\xa0w", "é ́x", "日本語 テスト", "<|endoftext|> hi", "a<|endoftext|>b <|ENDOFTEXT|>", "<|startoftext|>", "x \x01 y\x01", "a_b-c 12.5%", "ſ ẞ ŉ", "ab,cd 'S it's.", "À!? ÷×", "Ab" * 500, " \n x", "  \n x", "x\n \ny ", "x   y  ", "\x0b \x0b", "J̌ ǰ"]
+    parts = [" ", "  ", "\n", "\t", " ", " ", "\x0b", "\x1c", "\x85", "a", "B", "é", "É", "'s", "'S", "1", "23", "!", "…", "<|endoftext|>", "日", "\x01", "é", "İ", "ß"]
+    r = random.Random(1)
+    odd += ["".join(r.choices(parts, k=r.randint(1, 14))) for _ in range(3000)]
+    for name, encode in (("word_bpe_49k", tokens.word_encoder(FOLDER)), ("byte_bpe_50k", tokens.byte_encoder(FOLDER))):
         tokenizer = Tokenizer.from_file(f"{FOLDER}/{name}.json")
-        tokenizer.encode_special_tokens = True
-        for t in odd:
-            assert np.frombuffer(encode(t), np.uint16).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, (name, t)
+        for got in (encode(pa.array(odd)), [encode(pa.array([t]))[0] for t in odd[:40]]):
+            for t, ids in zip(odd, got, strict=False):
+                assert np.frombuffer(ids, np.uint16).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, (name, t)
+
+
+def test_pieces_are_forgotten_and_made_again(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 8)
+    pieces = tokens._Pieces(lambda p: (np.array([int(x) for x in p.to_pylist() for _ in range(int(x) % 3)], np.uint16), np.array([int(x) % 3 for x in p.to_pylist()])))
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        given = r.integers(0, 30, 12).tolist()
+        ids, sizes = pieces(pa.array(map(str, given)))
+        assert ids.tolist() == [x for x in given for _ in range(x % 3)] and sizes.tolist() == [x % 3 for x in given]
+        assert len(pieces.known) <= 20
 
 
 # --- neighbours ------------------------------------------------------------------------------------------------------------

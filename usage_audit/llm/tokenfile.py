@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +34,8 @@ from . import common, tokens
 END_ID = 1
 #: Ids are below this: the size of the frequency table, and the bound of its broadcast.
 VOCABULARY = 1 << 16
-#: Documents of a file, about; files come in ascending doc_id.
-DOCS_PER_FILE = 4_000
+#: Ids of a file, about, unless a document alone has more: the bound of a task's memory. Files come in ascending doc_id.
+IDS_PER_FILE = 4_000_000
 
 _HEADER = np.dtype([("magic", "S4"), ("version", "<u4"), ("docs", "<u8"), ("ids", "<u8"), ("ranks", "<u8")])
 _LENGTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3).astype(np.uint8) + 1
@@ -78,17 +79,18 @@ def decode(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def tokenised(docs: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, ids) of each row: its word BPE ids and the end id, in 16-bit integers."""
+    """(doc_id, row, ids) of each row: a number of its own, its word BPE ids and the end id, in 16-bit integers."""
     end = np.array([END_ID], np.uint16).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded = tokens.word_encoder(folder)
         for whole in batches:
-            for batch in tokens.slices(whole, 1):
-                ids = [x + end for x in encoded(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for batch in tokens.slices(whole, 2):
+                ids = [x + end for x in encoded(batch.column(2))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["doc_id", "row", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    return rows.mapInArrow(run, "doc_id long, row long, ids binary")
 
 
 def frequencies(ids: DataFrame) -> np.ndarray:
@@ -97,10 +99,7 @@ def frequencies(ids: DataFrame) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, np.uint16), minlength=VOCABULARY) if len(x) > 20_000 else 0
-            short = b"".join(x for x in batch.column(0).to_pylist() if len(x) <= 20_000)
-            total += np.bincount(np.frombuffer(short, np.uint16), minlength=VOCABULARY)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16), minlength=VOCABULARY)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], names=["id", "n"])
 
@@ -119,41 +118,47 @@ def by_frequency(counts: np.ndarray) -> np.ndarray:
 def write_files(spark: SparkSession, docs: DataFrame, path: str, folder: str) -> DataFrame:
     """Write the token-id files of `docs` (doc_id, text) under `path`, a URI that all executors reach.
 
-    Files are named by their place in ascending doc_id; each is written under another name and moved when complete, so
-    a repeated task leaves one whole file. Returns (file int, name string, docs long, ids long).
+    Rows are dealt to partitions by ranges of (doc_id, row), rows without doc_id last, so that neither a repeated doc_id
+    nor a missing one is bound to one partition; each partition writes files of about IDS_PER_FILE ids one after
+    another, named by partition and number, which is their order. Each is written under another name and moved when
+    complete, so a repeated task leaves whole files. Returns (part int, number int, name string, docs long, ids long).
     """
     fs, base = pyarrow.fs.FileSystem.from_uri(path)
     fs.create_dir(base, recursive=True)  # for no documents, no files
     ids = common.staged(tokenised(docs, folder), "ids")
-    ranks = spark.sparkContext.broadcast(by_frequency(frequencies(ids)).tobytes())
-    files = max(1, ids.count() // DOCS_PER_FILE)
-    bounds = ids.select(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 10_000).alias("b")).first()["b"] if files > 1 else []
-    bounds = np.array(sorted(set(bounds or [])), np.int64)
+    counts = frequencies(ids)
+    ranks = spark.sparkContext.broadcast(by_frequency(counts).tobytes())
+    parts = max(1, int(-(-counts.sum() // (2 * IDS_PER_FILE))))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("row").asc()]
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.searchsorted(bounds, batch.column(0).fill_null(np.iinfo(np.int64).max).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], names=["file", "doc_id", "ids"])
-
-    placed = ids.mapInArrow(place, "file int, doc_id long, ids binary")
-
-    def write(got: pa.Table) -> pa.Table:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(path)
-        number = got.column("file")[0].as_py()
-        lists, own = got.column("ids").to_pylist(), got.column("doc_id").to_pylist()
-        order = sorted(range(len(own)), key=lambda i: (own[i] is None, own[i] or 0, lists[i]))
-        doc_ids = np.array([NO_ID if own[i] is None else own[i] for i in order], np.int64)
-        counts = np.array([len(lists[i]) // 2 for i in order], np.int64)
-        content = encode(doc_ids, counts, np.frombuffer(b"".join(lists[i] for i in order), np.uint16), np.frombuffer(ranks.value, np.uint32))
-        name = f"tokens-{number:08d}.tids"
-        draft = f"{base}/_draft-{uuid.uuid4().hex}"
         fs.create_dir(base, recursive=True)
-        with fs.open_output_stream(draft) as out:
-            out.write(content)
-        fs.move(draft, f"{base}/{name}")
-        return pa.table({"file": pa.array([number], pa.int32()), "name": [name], "docs": pa.array([len(order)], pa.int64()), "ids": pa.array([int(counts.sum())], pa.int64())})
+        part, number, held, doc_ids, lists = TaskContext.get().partitionId(), 0, 0, [], []
+
+        def file() -> pa.RecordBatch:
+            counts = np.fromiter(map(len, lists), np.int64, len(lists)) // 2
+            content = encode(np.array(doc_ids, np.int64), counts, np.frombuffer(b"".join(lists), np.uint16), np.frombuffer(ranks.value, np.uint32))
+            name, draft = f"tokens-{part:08d}-{number:08d}.tids", f"{base}/_draft-{uuid.uuid4().hex}"
+            with fs.open_output_stream(draft) as out:
+                out.write(content)
+            fs.move(draft, f"{base}/{name}")
+            columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([name]), pa.array([len(lists)], pa.int64()), pa.array([int(counts.sum())], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "number", "name", "docs", "ids"])
+
+        for batch in batches:
+            for doc_id, x in zip(batch.column(0).fill_null(NO_ID).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if lists and held + len(x) // 2 > IDS_PER_FILE:
+                    yield file()
+                    number, held, doc_ids, lists = number + 1, 0, [], []
+                held += len(x) // 2
+                doc_ids.append(doc_id)
+                lists.append(x)
+        if lists:
+            yield file()
 
-    return common.staged(placed.groupBy("file").applyInArrow(write, "file int, name string, docs long, ids long"), "files")
+    dealt = ids.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    return common.staged(dealt.mapInArrow(write, "part int, number int, name string, docs long, ids long"), "files")
 
 
 #: Stands in a file for a row without doc_id.
@@ -166,18 +171,23 @@ def read_files(spark: SparkSession, path: str, written: DataFrame, digest: bool
 
     start counts the ids of all documents before it, in ascending doc_id; rows without doc_id come last.
     """
-    starts = written.select("name", (F.sum("ids").over(W.orderBy("file")) - F.col("ids")).alias("first"))
+    before = lambda window: F.sum("ids").over(window) - F.col("ids")
+    parts = written.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", before(W.orderBy("part")).alias("of_part"))
+    inside = written.select("part", "name", before(W.partitionBy("part").orderBy("number")).alias("of_file"))
+    starts = inside.join(parts, "part").select("name", (F.col("of_part") + F.col("of_file")).alias("first"))
     schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("place", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()) if digest else T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 doc_ids, counts, ids = decode(content.as_buffer())
+                ids = ids.astype("<u4", copy=False)
                 ends = np.cumsum(counts)
                 for i in range(0, len(doc_ids), 2000):
                     part = slice(i, i + 2000)
-                    cut = [ids[b - n : b].astype("<u4").tobytes() for n, b in zip(counts[part], ends[part], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(cut)), pa.array(doc_ids[part], mask=doc_ids[part] == NO_ID), pa.array(ends[part] - counts[part]), pa.array(counts[part]), pa.array(map(zlib.crc32, cut), pa.int64()) if digest else pa.array(cut, pa.binary())], names=schema.names)
+                    cut = [ids[b - n : b] for n, b in zip(counts[part], ends[part], strict=True)]
+                    last = pa.array([zlib.crc32(x) for x in cut], pa.int64()) if digest else pa.array([x.tobytes() for x in cut], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(cut)), pa.array(doc_ids[part], mask=doc_ids[part] == NO_ID), pa.array(ends[part] - counts[part]), pa.array(counts[part]), last], names=schema.names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tids").load(path)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
