@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..functions import text as T
+from ..operators import graph as G
 
 PAYLOAD = "layout_only boolean, layout_names array<string>, weak_references long, weak_source_types array<string>, reachable boolean, path array<string>"
 NONE = "array<string>"
@@ -52,13 +53,34 @@ def evidence_wide(evidence: DataFrame) -> DataFrame:
 #: What has to happen before something that only layouts show is removed.
 LAYOUT_STEPS = ("remove it from its layouts", "hide it by permissions and watch for a business cycle", "export its data")
 
+#: Of each way to decide, in no order, the rule's name, the label, and the bounds of its confidence.
+RULES = (
+    ("managed", "R0", V.OUT, 100, 100),
+    ("outside", "R1", V.OUT, 100, 100),
+    ("incomplete", "R2", V.REVIEW, 0, 55),
+    ("layout flagged", "R6", V.REVIEW, 0, 60),
+    ("layout only", "R3a", V.UNUSED, 0, 70),
+    ("bound", "R3", V.USED, 80, 100),
+    ("runtime", "R4", V.USED, 60, 75),
+    ("entry point", "R5", V.REVIEW, 0, 60),
+    ("exposed", "R5", V.REVIEW, 0, 60),
+    ("test", "R5", V.REVIEW, 0, 60),
+    ("flagged", "R6", V.REVIEW, 0, 60),
+    ("unreachable", "R5b", V.UNUSED, 70, 85),
+    ("presence", "R7a", V.UNUSED, 0, 70),
+    ("weak", "R7", V.REVIEW, 0, 65),
+    ("nothing", "R9", V.UNUSED, 70, 100),
+    ("unclear", "R2", V.REVIEW, 0, 55),
+)
+
 
 def classify(components: DataFrame, evidence: DataFrame, gaps: DataFrame, flags: DataFrame, ran: list[str]) -> DataFrame:
     """(component_id, label, confidence, reason_codes, rule_trace, score_breakdown, completeness, had_gaps, removal_prerequisites).
 
     `components`: id, ctype, namespace, in_scope, out_of_scope_reason, is_entry_point, is_exposed, is_test; `gaps`:
     component_id, collector_id; `flags`: component_id, code; `ran`: the collectors that finished. One aggregation of
-    each child table, three joins on the component, one ordered choice.
+    each child table, three joins on the component, one ordered choice of a way to decide; label and bounds come from
+    the table of these ways, so that whoever filters by label doesn't repeat the choice.
     """
     for name, kind in (("namespace", "string"), ("out_of_scope_reason", "string"), ("is_entry_point", "boolean"), ("is_exposed", "boolean"), ("is_test", "boolean")):
         if name not in components.columns:
@@ -66,60 +88,69 @@ def classify(components: DataFrame, evidence: DataFrame, gaps: DataFrame, flags:
     gap = gaps.groupBy("component_id").agg(F.array_sort(F.collect_set("collector_id")).alias("gap_collectors"))
     raised = flags.groupBy("component_id").agg(F.count("*").alias("n_flags"), F.array_sort(F.collect_set(F.when(~F.col("code").isin(*V.INFORMATIONAL_FLAGS), F.col("code")))).alias("review"))
     none = F.array().cast(NONE)
-    base = components.withColumnRenamed("id", "component_id").join(evidence_wide(evidence), "component_id", "left").join(gap, "component_id", "left").join(raised, "component_id", "left")
+    judged = components.select(F.col("id").alias("component_id"), "ctype", "namespace", "in_scope", "out_of_scope_reason", "is_entry_point", "is_exposed", "is_test")
+    base = judged.join(evidence_wide(evidence), "component_id", "left").join(gap, "component_id", "left").join(raised, "component_id", "left")
     base = base.na.fill(0, ["n_used", "n_a", "n_b", "n_a_other", "n_reach", "n_weak", "points", "n_flags"]).na.fill(False, ["layout_only", "zero_data", "reachable", "is_entry_point", "is_exposed", "is_test"])
-    for name in ("layout_names", "path", "weak_types", "gap_collectors", "review"):
-        base = base.withColumn(name, F.coalesce(name, none))
+    base = base.withColumns({name: F.coalesce(name, none) for name in ("layout_names", "path", "weak_types", "gap_collectors", "review")})
     base = base.withColumn("completeness", completeness_gate(required_collectors(), F.array(*map(F.lit, sorted(ran))).cast(NONE), F.col("gap_collectors")))
-    base = base.withColumn("conf", 50 + F.col("points") - 30 * F.col("n_flags"))
-
-    passed = F.col("completeness.gate") == "PASS"
-    conf = F.col("conf").cast("double")
-    most, least = lambda x: F.least(conf, F.lit(float(x))), lambda x: F.greatest(conf, F.lit(float(x)))
-    flagged = F.size("review") > 0
-    codes = F.concat_ws(", ", "review")
 
-    def rule(name: str, label: str, why: Column, confidence: Column) -> Column:
-        return F.struct(F.lit(name).alias("rule"), F.lit(label).alias("label"), why.alias("why"), T.clamp_confidence(confidence).alias("confidence"))
+    c = F.col
+    is_data, is_code, is_ui = c("ctype").isin(V.FIELD, V.OBJECT), c("ctype").isin(V.CLASS, V.METHOD), c("ctype").isin(*V.UI_TYPES)
+    facts = base.withColumns({
+        "conf": (50 + c("points") - 30 * c("n_flags")).cast("double"),
+        "passed": c("completeness.gate") == "PASS",
+        "flagged": F.size("review") > 0,
+        "only_presence": F.forall("weak_types", lambda s: s.isin(*V.PRESENCE_ONLY)) & (~is_data | c("zero_data")),
+        "is_reviewed_entry": is_code & c("is_entry_point"),
+        "is_shown": is_ui & (c("is_exposed") | c("is_entry_point")),
+        "is_dead": (c("n_reach") > 0) & ~c("reachable") & c("ctype").isin(*V.CODE_TYPES, *V.UI_TYPES) & ~c("is_entry_point"),
+    })
+    layouts = (c("n_a") > 0) & (c("n_a_other") == 0) & c("zero_data") & c("passed")
+    weak = (c("n_weak") > 0) & (c("n_used") == 0)
+    ways = (
+        (F.coalesce("namespace", F.lit("")) != "", "managed"), (~F.coalesce("in_scope", F.lit(False)), "outside"), (~c("passed") & (c("n_used") == 0), "incomplete"), (layouts & c("flagged"), "layout flagged"),
+        (layouts, "layout only"), (c("n_a") > 0, "bound"), (c("n_b") > 0, "runtime"), (c("is_reviewed_entry"), "entry point"), (c("is_shown"), "exposed"), (c("is_test"), "test"), (c("flagged"), "flagged"),
+        (c("is_dead"), "unreachable"), (weak & c("only_presence") & c("passed"), "presence"), (weak, "weak"), (c("passed"), "nothing"),
+    )
+    way = F.lit("unclear")
+    for condition, name in reversed(ways):
+        way = F.when(condition, name).otherwise(way)
+    spark = components.sparkSession
+    table = ", ".join(f"('{way}', '{rule}', '{label}', {low}D, {high}D)" for way, rule, label, low, high in RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {table} AS t(way, rule, label, low, high)")
+    decided = facts.withColumn("way", way).join(F.broadcast(rules), "way")  # a fixed table of sixteen rows
 
-    r6 = rule("R6", V.REVIEW, codes, most(60))
-    missing = F.concat_ws(", ", F.concat("completeness.missing", "completeness.gaps"))
+    codes = F.concat_ws(", ", "review")
     route = F.concat_ws(" -> ", F.slice("path", 1, 4))
-    bound = F.when(F.col("reachable"), F.when(F.size("path") > 0, F.concat(F.lit("REACHABLE_FROM_ENTRY_POINT ("), route, F.lit(")"))).otherwise(F.lit("REACHABLE_FROM_ENTRY_POINT"))).when(F.col("layout_only"), F.lit("BINDING_REFERENCE (layout-only, but data exists)")).otherwise(F.lit("BINDING_REFERENCE"))
-    layouts = (F.col("n_a") > 0) & (F.col("n_a_other") == 0) & F.col("zero_data") & passed
-    weak = (F.col("n_weak") > 0) & (F.col("n_used") == 0)
-    presence = F.forall("weak_types", lambda s: s.isin(*V.PRESENCE_ONLY)) & (~F.col("ctype").isin(V.FIELD, V.OBJECT) | F.col("zero_data")) & passed
+    bound = F.when(c("reachable"), F.when(F.size("path") > 0, F.concat(F.lit("REACHABLE_FROM_ENTRY_POINT ("), route, F.lit(")"))).otherwise(F.lit("REACHABLE_FROM_ENTRY_POINT"))).when(c("layout_only"), F.lit("BINDING_REFERENCE (layout-only, but data exists)")).otherwise(F.lit("BINDING_REFERENCE"))
     origin = F.when(F.size("weak_types") > 0, F.concat(F.lit(" ("), F.concat_ws(", ", F.slice("weak_types", 1, 3)), F.lit(" only)"))).otherwise(F.lit(""))
-    outside = F.coalesce("out_of_scope_reason", F.lit("OUT_OF_SCOPE"))
-    reviewed_entry = (F.col("ctype").isin(V.CLASS, V.METHOD)) & F.col("is_entry_point")
-    exposed = F.col("ctype").isin(*V.UI_TYPES) & (F.col("is_exposed") | F.col("is_entry_point"))
-    dead = (F.col("n_reach") > 0) & ~F.col("reachable") & F.col("ctype").isin(*V.CODE_TYPES, *V.UI_TYPES) & ~F.col("is_entry_point")
-    decided = (
-        F.when(F.coalesce("namespace", F.lit("")) != "", rule("R0", V.OUT, F.lit("MANAGED_PACKAGE"), F.lit(100.0)))
-        .when(~F.coalesce("in_scope", F.lit(False)), rule("R1", V.OUT, outside, F.lit(100.0)))
-        .when(~passed & (F.col("n_used") == 0), rule("R2", V.REVIEW, F.concat(F.lit("INSUFFICIENT_EVIDENCE (missing: "), missing, F.lit(")")), most(55)))
-        .when(layouts & flagged, r6)
-        .when(layouts, rule("R3a", V.UNUSED, F.concat(F.lit("LAYOUT_ONLY_NO_DATA ("), F.size("layout_names").cast("string"), F.lit(" layouts)")), most(70)))
-        .when(F.col("n_a") > 0, rule("R3", V.USED, F.concat(bound, F.lit(" ("), F.col("n_a").cast("string"), F.lit(" collectors)")), least(80)))
-        .when(F.col("n_b") > 0, rule("R4", V.USED, F.lit("RUNTIME_OR_DATA_EVIDENCE"), F.greatest(most(75), F.lit(60.0))))
-        .when(reviewed_entry, rule("R5", V.REVIEW, F.lit("UNCALLED_ENTRY_POINT"), most(60)))
-        .when(exposed, rule("R5", V.REVIEW, F.lit("EXPOSED_UI_NO_PLACEMENT"), most(60)))
-        .when(F.col("is_test"), rule("R5", V.REVIEW, F.lit("TEST_ONLY"), most(60)))
-        .when(flagged, r6)
-        .when(dead, rule("R5b", V.UNUSED, F.lit("UNREACHABLE"), F.greatest(most(85), F.lit(70.0))))
-        .when(weak & presence, rule("R7a", V.UNUSED, F.concat(F.lit("PRESENCE_ONLY_NO_DATA"), origin), most(70)))
-        .when(weak, rule("R7", V.REVIEW, F.concat(F.lit("WEAK_SIGNAL_ONLY"), origin), most(65)))
-        .when(passed, rule("R9", V.UNUSED, F.lit("NO_EVIDENCE_FROM_ANY_COLLECTOR"), least(70)))
-        .otherwise(rule("R2", V.REVIEW, F.lit("INSUFFICIENT_EVIDENCE"), most(55)))
-    )
+    why = {
+        "managed": F.lit("MANAGED_PACKAGE"),
+        "outside": F.coalesce("out_of_scope_reason", F.lit("OUT_OF_SCOPE")),
+        "incomplete": F.concat(F.lit("INSUFFICIENT_EVIDENCE (missing: "), F.concat_ws(", ", F.concat("completeness.missing", "completeness.gaps")), F.lit(")")),
+        "layout flagged": codes,
+        "layout only": F.concat(F.lit("LAYOUT_ONLY_NO_DATA ("), F.size("layout_names").cast("string"), F.lit(" layouts)")),
+        "bound": F.concat(bound, F.lit(" ("), c("n_a").cast("string"), F.lit(" collectors)")),
+        "runtime": F.lit("RUNTIME_OR_DATA_EVIDENCE"),
+        "entry point": F.lit("UNCALLED_ENTRY_POINT"),
+        "exposed": F.lit("EXPOSED_UI_NO_PLACEMENT"),
+        "test": F.lit("TEST_ONLY"),
+        "flagged": codes,
+        "unreachable": F.lit("UNREACHABLE"),
+        "presence": F.concat(F.lit("PRESENCE_ONLY_NO_DATA"), origin),
+        "weak": F.concat(F.lit("WEAK_SIGNAL_ONLY"), origin),
+        "nothing": F.lit("NO_EVIDENCE_FROM_ANY_COLLECTOR"),
+    }
+    said = F.lit("INSUFFICIENT_EVIDENCE")
+    for name, text in why.items():
+        said = F.when(c("way") == name, text).otherwise(said)
     step = lambda text, targets: F.struct(F.lit(text).alias("step"), targets.alias("targets"), F.lit(False).alias("blocking"))
-    steps = F.array(step(LAYOUT_STEPS[0], F.col("layout_names")), *[step(s, none) for s in LAYOUT_STEPS[1:]])
+    steps = F.array(step(LAYOUT_STEPS[0], c("layout_names")), *[step(s, none) for s in LAYOUT_STEPS[1:]])
     empty = F.filter(steps, lambda _: F.lit(False))
-    out = base.withColumn("d", decided)
-    return out.select(
-        "component_id", F.col("d.label").alias("label"), F.col("d.confidence").alias("confidence"), F.array("d.why").alias("reason_codes"), F.array(F.struct("d.rule", F.lit(True).alias("fired"), "d.why")).alias("rule_trace"),
+    return decided.withColumn("why", said).select(
+        "component_id", "label", T.clamp_confidence(F.greatest(F.least("conf", "high"), "low")).alias("confidence"), F.array("why").alias("reason_codes"), F.array(F.struct("rule", F.lit(True).alias("fired"), "why")).alias("rule_trace"),
         F.coalesce("score_breakdown", F.array().cast("array<struct<collector:string,contribution:int>>")).alias("score_breakdown"), "completeness", (F.size("gap_collectors") > 0).alias("had_gaps"),
-        F.when(layouts & F.col("d.rule").isin("R3a", "R6"), steps).otherwise(empty).alias("removal_prerequisites"),
+        F.when(c("way").isin("layout flagged", "layout only"), steps).otherwise(empty).alias("removal_prerequisites"),
     )
 
 
@@ -161,6 +192,6 @@ def transitive_guard(verdicts: DataFrame, edges: DataFrame, artifacts: DataFrame
 
 
 def audit(components: DataFrame, artifacts: DataFrame, edges: DataFrame, evidence: DataFrame, gaps: DataFrame, flags: DataFrame, ran: list[str]) -> DataFrame:
-    """The whole chain from evidence to verdicts."""
-    first = classify(components, evidence, gaps, flags, ran)
+    """The whole chain from evidence to verdicts; the first ones are written, as promotion and guard read them often."""
+    first = G.cut(classify(components, evidence, gaps, flags, ran), "verdicts")
     return transitive_guard(promote_parents(first, components), edges, artifacts, components)

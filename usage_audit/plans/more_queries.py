@@ -281,6 +281,14 @@ def read_event_logs(spark, d):
     return files.read_event_logs(spark, [f"{path}/a", f"{path}/b"]).groupBy(F.col("EVENT_TYPE").alias("event_type")).agg(F.count("*").alias("rows"))
 
 
+def _finish(writer, most_seconds: int = 600) -> None:
+    """Read what there is, then end; a stream that doesn't end is stopped and raises."""
+    running = writer.trigger(availableNow=True).start()
+    if not running.awaitTermination(most_seconds):
+        running.stop()
+        raise TimeoutError("the stream did not end")
+
+
 def _streamed(spark, d, make, mode="append"):
     """Events as run events in a folder, streamed once through `make`; the sink's rows."""
     source, out = _shared(spark, "events"), _shared(spark, "out")
@@ -288,8 +296,8 @@ def _streamed(spark, d, make, mode="append"):
     e.write.parquet(source)
     stream = make(ST.tail_events(spark, source, from_seq=100))
     put = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/{epoch}")
-    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", _shared(spark, "cursor")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.option("recursiveFileLookup", True).parquet(out)
+    _finish(stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", _shared(spark, "cursor")))
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
 
 
 @query("SELECT user_id::VARCHAR AS run_id, event_id AS seq FROM events WHERE event_id > 100", base=False)
@@ -307,9 +315,21 @@ def detect_gaps(spark, d):
     return _streamed(spark, d, ST.detect_gaps)
 
 
-@query()
+@query(
+    """SELECT run_id, seq FROM (
+    WITH RECURSIVE e AS (
+      SELECT user_id, event_type, event_id, epoch_us(ts) AS us, value / 100 >= 1 AS final, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events WHERE event_id > 100),
+    t AS (
+      SELECT user_id, event_type, event_id, k, true AS passes, us AS last FROM e WHERE k = 1
+      UNION ALL
+      SELECT e.user_id, e.event_type, e.event_id, e.k, e.final OR e.us - t.last >= 864000000000, CASE WHEN e.final OR e.us - t.last >= 864000000000 THEN e.us ELSE t.last END
+      FROM t JOIN e ON e.user_id = t.user_id AND e.event_type = t.event_type AND e.k = t.k + 1)
+    SELECT user_id::VARCHAR AS run_id, event_id AS seq FROM t WHERE passes)""",
+    base=False,
+)
 def throttle_progress(spark, d):
-    return _streamed(spark, d, lambda s: ST.throttle_progress(s, 3600.0)).groupBy("stage").agg(F.count("*").alias("events"))
+    """At most one event in ten days of each user and type, but all of 100 or more."""
+    return _streamed(spark, d, lambda s: ST.throttle_progress(s, 864_000.0)).select("run_id", "seq")
 
 
 @query(f", {I.LOG_SQL} SELECT bucket, key, count(*) AS total, max(seen) AS last_seen FROM hits GROUP BY 1, 2")
@@ -318,5 +338,5 @@ def streaming_event_hits(spark, d):
     I.logs(spark, d).write.parquet(source)
     stream = ST.streaming_event_hits(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source))
     put = lambda batch, epoch: batch.write.mode("overwrite").parquet(out)
-    stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", _shared(spark, "cursor")).trigger(availableNow=True).start().awaitTermination()
+    _finish(stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", _shared(spark, "cursor")))
     return spark.read.parquet(out).select("bucket", "key", "total", "last_seen")

@@ -29,46 +29,63 @@ def dedupe_replays(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("at", late).dropDuplicatesWithinWatermark(["run_id", "seq"])
 
 
-def detect_gaps(events: DataFrame, idle_ms: int = 86_400_000) -> DataFrame:
-    """(run_id, after, seq) where a run's seq jumps by more than one; batches are taken in order of seq."""
+def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """A group's rows of one micro-batch in order; maxFilesPerTrigger at the source bounds them."""
+    return pd.concat(list(batches)).sort_values(by)
+
+
+def detect_gaps(events: DataFrame, idle: str = "1 day") -> DataFrame:
+    """(run_id, after, seq) where a run's seq jumps by more than one; batches are taken in order of seq.
+
+    A run's state goes when the watermark over `at` is `idle` past its newest event. The timeout is one of event time,
+    so a stream that has read what there is ends.
+    """
 
     def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(batches).sort_values("seq")
+        last, until = state.get if state.exists else (None, 0)
+        rows = _ordered(batches, ["seq"])
         out = []
         for seq in rows["seq"]:
             if last is not None and seq - last > 1:
                 out.append((key[0], last, seq))
             last = int(seq) if last is None else max(last, int(seq))
-        state.update((last,))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["run_id", "after", "seq"])
+        until = max(until, int(rows["at"].max().timestamp() * 1000) + idle_ms)
+        state.update((last, until))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "after", "seq"])
 
-    return events.groupBy("run_id").applyInPandasWithState(one, "run_id string, after long, seq long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    return events.withWatermark("at", idle).groupBy("run_id").applyInPandasWithState(one, "run_id string, after long, seq long", "last long, until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def throttle_progress(events: DataFrame, interval: float = 0.4, idle_ms: int = 86_400_000) -> DataFrame:
-    """At most one progress event of each stage in `interval` seconds of event time; the final one (progress 1) always passes."""
+def throttle_progress(events: DataFrame, interval: float = 0.4, idle: str = "1 day") -> DataFrame:
+    """At most one progress event of each stage in `interval` seconds of event time; the final one (progress 1) always
+    passes. State goes as in `detect_gaps`."""
 
     def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else float("-inf")
-        rows = pd.concat(batches).sort_values(["at", "seq"])
+        last, until = state.get if state.exists else (float("-inf"), 0)
+        rows = _ordered(batches, ["at", "seq"])
         keep = []
         for at, progress in zip(rows["at"], rows["progress"], strict=True):
             passes = progress >= 1 or at.timestamp() - last >= interval
             keep.append(passes)
             last = at.timestamp() if passes else last
-        state.update((last,))
-        state.setTimeoutDuration(idle_ms)
-        yield rows[keep][["run_id", "seq", "at", "stage", "progress"]]
-
-    return events.filter("kind = 'progress'").groupBy("run_id", "stage").applyInPandasWithState(one, "run_id string, seq long, at timestamp, stage string, progress double", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        until = max(until, int(rows["at"].max().timestamp() * 1000) + idle_ms)
+        state.update((last, until))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        if any(keep):
+            yield rows[keep][["run_id", "seq", "at", "stage", "progress"]]
+
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    progress = events.filter("kind = 'progress'").withWatermark("at", idle)
+    return progress.groupBy("run_id", "stage").applyInPandasWithState(one, "run_id string, seq long, at timestamp, stage string, progress double", "last double, until long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def streaming_event_hits(logs: DataFrame) -> DataFrame:
