@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -219,6 +220,50 @@ def test_main_text_of_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("wrapper", [
+    '<div class="container sidebar-right">%s</div>', '<div id="page" class="navbar-fixed-top">%s</div>', '<form id="aspnetForm">%s</form>', '<article><section id="search">%s</section></article>',
+    '<article><div class="share-price-report">%s</div></article>', '<div style="display:none">%s</div>', "<main>%s</main>", "<div><div>%s</div></div>", "%s",
+])
+def test_hints_never_empty_a_page(wrapper):
+    page = "<body><nav><ul><li><a href=x>Home</a><li><a href=y>News, and more</a></ul></nav>" + wrapper % f"<h1>Title</h1>{LONG * 6}" + "<div class=ad>Buy this thing, now.</div><footer>Copyright, all rights.</footer></body>"
+    assert html.main_text(page).split("\n") == ["Title"] + [LONG[3:-4]] * 6
+
+
+def test_ratios_choose_the_nodes(monkeypatch):
+    words = "word " * 60
+    page = f"<body><div><p>{LONG * 5}</p></div><div><ul>{''.join(f'<li>{words}</li>{"<li>x</li>" * 25}' for _ in range(3))}</ul></div></body>"
+    assert html.main_text(page).split("\n") == [LONG[3:-4]] * 5
+    monkeypatch.setattr(html, "ratios", lambda path, chars, marks: chars.astype(float))
+    assert words.strip() in html.main_text(page)  # long, but without marks, and among short ones of its path
+    comments = f"<body><article><h1>Title</h1>{LONG * 4}<div class=comments>{'<p>I say, as a reader, that this, and that, is long. ' * 9}</div></article></body>"
+    monkeypatch.undo()
+    assert html.main_text(comments).split("\n") == ["Title"] + [LONG[3:-4]] * 4
+
+
+def test_ratios_by_brute_force():
+    r = random.Random(6)
+    for _ in range(20):
+        n = r.randint(1, 40)
+        path, chars, marks = [r.randint(0, 5) for _ in range(n)], [r.randint(1, 300) for _ in range(n)], [r.randint(0, 9) for _ in range(n)]
+        fused = []
+        for p in path:
+            same = [k for k in range(n) if path[k] == p]
+            fused.append(sum(chars[k] for k in same) / len(same) * (1 + sum(marks[k] for k in same) / len(same)))
+        assert np.allclose(html.ratios(*map(np.array, (path, chars, marks))), fused)
+        weights = [np.exp(-d * d / 2) for d in (-2, -1, 0, 1, 2)]
+        smooth = [sum(w * fused[min(max(k + d, 0), n - 1)] for w, d in zip(weights, (-2, -1, 0, 1, 2), strict=True)) / sum(weights) for k in range(n)]
+        mean = sum(smooth) / n
+        spread = (sum((x - mean) ** 2 for x in smooth) / n) ** 0.5
+        assert html.selected(np.array(fused)).tolist() == [s >= 0.8 * spread and f >= 0.1 * max(fused) for s, f in zip(smooth, fused, strict=True)]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "deep", "<b><div>" * 50_000 + "deep" + "</b>" * 50_000, "<p><b>" * 50_000 + "deep", "<div>" * 50_000 + "</p></i>" * 50_000 + "deep"])
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    assert html.main_text(page) == "deep"
+    assert time.process_time() - began < 10
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (None, None, None, 2)], "page_id long, url string, html string, text long")
     got = rows(html.extract(pages))

@@ -2,9 +2,12 @@
 
 A page is parsed into text nodes, each with its root-to-leaf tag path. Text length and punctuation are summed per path
 and divided by the path's nodes; both ratios are fused, smoothed along the page and thresholded by their spread. The
-nodes above it are text wherever they stand. They also mark where the article is: the smallest element around nearly all
-of them is the region, and its shorter blocks, those of other articles that hold such nodes, and headings just before
-them are text, too. What markup declares to be something else is left out of all this.
+nodes above it are text wherever they stand. Around them stand short blocks that belong to the text: headings just
+before it, and what else the smallest element around nearly all of it holds, or the article that this is part of.
+
+What markup says only weighs: an element that is a menu, an advert or a comment by its tag, role or class has paths of
+its own, whose ratios are lowered, and inside the text's own element its short blocks aren't added. Where such an element
+is a wrapper of nearly all of the page's text, what it says is not believed. Time is linear in the page's length, at any depth.
 """
 
 from __future__ import annotations
@@ -22,82 +25,113 @@ from . import common
 _words = lambda text: frozenset(text.split())
 BLOCKS = _words("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption")
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
-#: Elements that hold no article text, whatever they are called.
-OUTSIDE = _words("head title script style noscript template iframe object svg canvas nav footer aside form button select option textarea dialog menu audio video datalist")
+#: Elements whose characters aren't shown as text.
+NO_TEXT = _words("head title script style noscript template iframe object svg canvas select option textarea button audio video datalist")
 HEADINGS = _words("h1 h2 h3 h4 h5 h6")
+#: Elements, roles and words of a class or an id that say: this is not the article.
+ASIDE = _words("nav footer aside form dialog menu")
 ROLES = _words("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar")
-#: Words of a class or an id that say the same.
 HINTS = _words(
-    "ad ads advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
-    "subscription signup sidebar sidenav widget widgets related recommended recommendations share sharing social comment comments commentlist disqus reply replies respond menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer masthead topbar toolbar pagination pager login search skip hidden"
+    "ad ads advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay newsletter subscribe "
+    "subscription signup sidebar sidenav widget widgets related recommended recommendations comment comments commentlist disqus reply replies respond menu nav navbar navigation breadcrumb breadcrumbs "
+    "footer masthead topbar toolbar pagination pager login hidden"
 )
+#: Words that say so of a bar or a box, but that also name what an article is about.
+WEAK_HINTS = _words("notice notices notification alert share sharing social search skip")
 #: After these a hint says something about another element.
 NEGATED = _words("with has no without not hide")
+#: What a hint and a weak one multiply a path's ratio by.
+HINTED, WEAKLY = 0.001, 0.2
 #: A start tag closes these, up to the nearest of the second set.
 IMPLIED = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 IMPLIED = {k: (_words(a), _words(b)) for k, (a, b) in IMPLIED.items()}
 P_SCOPE = _words("div section article td th body li blockquote main aside header footer nav form button fieldset figure")
-#: A node is content from this many standard deviations of the fused ratio on; the region holds this part of their text.
-LEVEL, REGION = 0.8, 0.8
-#: Paths tell elements apart down to this depth; below it, text counts for its ancestor's path.
-DEPTH = 200
+_P = frozenset(("p",))
+#: A node is content from this many standard deviations of the smoothed ratio on, if its own is this part of the highest.
+LEVEL, LEAST = 0.8, 0.1
+#: The region holds this part of the selected text. Hints on an element that holds as much of all text aren't believed,
+#: if it holds one of these elements, too, or the page has none.
+REGION, MARKS = 0.8, _words("h1 h2 article main")
 _PUNCTUATION = re.compile(r"[,.;:!?。、，；：！？…]")
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _declared_outside(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
-    if tag in OUTSIDE or tag == "header" and not in_article:
-        return True
+def _hint(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> float:
+    """What the element's markup multiplies its paths' ratios by."""
+    if tag in ASIDE or tag == "header" and not in_article:
+        return HINTED
+    weight = 1.0
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
-        if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and value and tag not in ("html", "body", "main", "article"):
+            return HINTED
+        if name == "style" and value and _UNSEEN.search(value):
+            return HINTED
+        if name in ("class", "id") and value:
             for part in value.split():
                 words = [w.lower() for w in _NAME.findall(part)]
-                if any(w in HINTS and not NEGATED & {*words[:i]} for i, w in enumerate(words)):
-                    return True
-        elif name in ("class", "id") and value and tag == "article" and {w.lower() for w in _NAME.findall(value)} & {"comment", "comments", "reply", "related", "ad", "promo", "sponsored"}:
-            return True
-    return False
+                for i, w in enumerate(words):
+                    if (w in HINTS or w in WEAK_HINTS) and not NEGATED & {*words[:i]}:
+                        if w in HINTS:
+                            return HINTED
+                        weight = WEAKLY
+    return weight
 
 
 class _Page(HTMLParser):
-    """Text blocks in page order, and the elements they stand in."""
+    """Text blocks in page order, and the elements they stand in; element 0 is the page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parent, self.tag, self.path, self.out, self.article = [-1], [""], [""], [False], [False]
-        self.open = [0]
+        self.parent, self.tag, self.path, self.hint = [-1], [""], [0], [1.0]
+        self.shown, self.article, self.block_of, self.at_article = [True], [False], [0], [0]
+        self.paths: dict[tuple[int, str, float], int] = {}
+        self.open, self.closed = [0], [False]  # a closed element below open ones waits for them
+        self.places: dict[str, list[int]] = {}  # of each tag, where open elements of it are in `open`
         self.blocks: list[tuple[int, list[str]]] = []  # element, pieces of text
-        self.nodes: list[tuple[str, int, int, int, int]] = []  # path, element, block, characters, punctuation
+        self.nodes: list[tuple[int, int, int, int]] = []  # element, block, characters, punctuation
         self.fresh = True
 
     def _push(self, tag: str, attrs: list) -> None:
-        up = self.open[-1]
-        article = self.article[up] or tag in ("article", "main")
+        up, e = self.open[-1], len(self.tag)
+        article = tag in ("article", "main")
+        hint = _hint(tag, attrs, self.article[up] or article)
+        if self.tag[up] == "header" and self.article[up] and tag not in HEADINGS and tag != "hgroup":
+            hint = HINTED
         self.parent.append(up)
         self.tag.append(tag)
-        self.path.append(f"{self.path[up]}/{tag}" if len(self.open) < DEPTH else self.path[up])
-        self.out.append(self.out[up] or _declared_outside(tag, attrs, article) or self.tag[up] == "header" and self.article[up] and tag not in HEADINGS and tag != "hgroup")
-        self.article.append(article)
-        self.open.append(len(self.tag) - 1)
+        self.hint.append(hint)
+        self.path.append(self.paths.setdefault((self.path[up], tag, hint), len(self.paths) + 1))
+        self.shown.append(self.shown[up] and tag not in NO_TEXT)
+        self.article.append(self.article[up] or article)
+        self.at_article.append(e if article else self.at_article[up])
+        self.block_of.append(e if tag in BLOCKS else self.block_of[up])
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append(e)
+        self.closed.append(False)
+
+    def _pop(self, to: int) -> None:
+        """Close all from place `to` on, and what waited just below."""
+        while len(self.open) > max(to, 1) or self.closed[-1]:
+            if not self.closed.pop():
+                self.places[self.tag[self.open[-1]]].pop()
+            self.open.pop()
+
+    def _last(self, tags: frozenset) -> int:
+        return max((places[-1] for t in tags if (places := self.places.get(t))), default=-1)
 
     def _close(self, tags: frozenset, scope: frozenset) -> None:
-        for at in range(len(self.open) - 1, 0, -1):
-            tag = self.tag[self.open[at]]
-            if tag in tags:
-                del self.open[at:]
-                return
-            if tag in scope:
-                return
+        at = self._last(tags)
+        if at > self._last(scope):
+            self._pop(at)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self.fresh = True
-            self._close(frozenset(("p",)), P_SCOPE)
+            if self.places.get("head"):
+                self._pop(self.places["head"][-1])
+            if self.places.get("p"):
+                self._close(_P, P_SCOPE)
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
         if tag == "br":
@@ -109,47 +143,45 @@ class _Page(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS:
+        block = tag in BLOCKS
+        if block:
             self.fresh = True
-        inline = tag not in BLOCKS and tag not in OUTSIDE
-        for at in range(len(self.open) - 1, 0, -1):
-            if (name := self.tag[self.open[at]]) == tag:
-                if inline:
-                    del self.open[at]  # blocks that were opened inside stay open
-                else:
-                    del self.open[at:]
-                return
-            if name in ("table", "body") and tag not in ("table", "body", "html") and name != tag and tag in BLOCKS and tag not in P_SCOPE:
+        places = self.places.get(tag)
+        if not places:
+            return
+        if block or tag in NO_TEXT:
+            if block and tag not in P_SCOPE and tag != "table" and self._last(_words("table body")) > places[-1]:
                 return
+            self._pop(places[-1])
+        else:  # blocks that were opened inside stay open
+            self.closed[places.pop()] = True
+            self._pop(len(self.open))
 
     def handle_data(self, data: str) -> None:
-        at = self.open[-1]
-        if self.out[at]:
+        e = self.open[-1]
+        if not self.shown[e]:
             return
         if self.fresh:
             if not data.strip():
                 return
-            owner = next((e for e in reversed(self.open) if self.tag[e] in BLOCKS), 0)
-            self.blocks.append((owner, []))
+            self.blocks.append((self.block_of[e], []))
             self.fresh = False
         self.blocks[-1][1].append(data)
         if n := len("".join(data.split())):
-            self.nodes.append((self.path[at], at, len(self.blocks) - 1, n, len(_PUNCTUATION.findall(data))))
+            self.nodes.append((e, len(self.blocks) - 1, n, len(_PUNCTUATION.findall(data))))
+
+
+def ratios(path: np.ndarray, chars: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Of each node its path's fused ratio: characters a node, times one and the marks of punctuation a node."""
+    count = np.maximum(np.bincount(path), 1)
+    return ((np.bincount(path, chars) / count) * (1 + np.bincount(path, marks) / count))[path]
 
 
-def _selected(nodes: list) -> np.ndarray:
-    """The weight of each node's text where its smoothed, fused tag-path ratio is high; else 0."""
-    names, path = np.unique([n[0] for n in nodes], return_inverse=True)
-    chars, marks = np.array([n[3] for n in nodes], float), np.array([n[4] for n in nodes], float)
-    count = np.bincount(path, minlength=len(names))
-    text_ratio = np.bincount(path, chars, len(names)) / count
-    mark_ratio = np.bincount(path, marks, len(names)) / count
-    fused = (text_ratio * (1 + mark_ratio))[path]
+def selected(fused: np.ndarray) -> np.ndarray:
+    """The nodes that are text: by the ratio smoothed along the page, and not by their neighbours' alone."""
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     smooth = np.convolve(np.pad(fused, 2, mode="edge"), kernel / kernel.sum(), "valid")
-    keep = smooth >= LEVEL * smooth.std()
-    keep &= fused >= 0.1 * fused.max()
-    return np.where(keep, chars, 0.0)
+    return (smooth >= LEVEL * smooth.std()) & (fused >= LEAST * fused.max())
 
 
 def main_text(html: str | None) -> str:
@@ -162,48 +194,37 @@ def main_text(html: str | None) -> str:
     page.close()
     if not page.nodes:
         return ""
-    weight = _selected(page.nodes)
-    inside = np.zeros(len(page.tag))
-    for (_, element, _, _, _), w in zip(page.nodes, weight, strict=True):
-        inside[element] += w
-    for e in range(len(page.tag) - 1, 0, -1):
+    element, block, chars, marks = (np.array(x) for x in zip(*page.nodes, strict=True))
+    size, tag = len(page.tag), page.tag
+    held, marked = np.bincount(element, chars, size).tolist(), [t in MARKS for t in tag]
+    for e in range(size - 1, 0, -1):
+        held[page.parent[e]] += held[e]
+        marked[page.parent[e]] |= marked[e]
+    # what of the hints is believed, all the way down; how many elements above and at each one say such a thing
+    weight, said = [1.0] * size, [0] * size
+    for e in range(1, size):
+        up = page.parent[e]
+        believed = page.hint[e] < 1 and (held[e] < REGION * held[0] or marked[0] and not marked[e])
+        weight[e], said[e] = weight[up] * (page.hint[e] if believed else 1.0), said[up] + believed
+    keep = selected(ratios(np.array(page.path)[element], chars, marks) * np.maximum(np.array(weight)[element], 1e-12))
+
+    inside = np.bincount(element, chars * keep, size).tolist()
+    for e in range(size - 1, 0, -1):
         inside[page.parent[e]] += inside[e]
-    region = max((e for e in range(len(page.tag)) if inside[e] >= REGION * inside[0] and (page.tag[e] in BLOCKS or e == 0)), default=0)
-    up = region
-    while up > 0 and page.tag[up] not in ("article", "main"):
-        up = page.parent[up]
-    region = up if up > 0 else region
-
-    def within(e: int) -> bool:
-        while e > region:
-            e = page.parent[e]
-        return e == region
-
-    if up <= 0:  # nothing says where the article begins: its headings may stand just outside
-        while region > 0 and page.tag[page.parent[region]] not in ("", "html", "body"):
-            held, region = region, page.parent[region]
-            extra = [e for e, _ in page.blocks if within(e)]
-            region = held
-            if not all(page.tag[e] in HEADINGS or within(e) for e in extra):
-                break
-            region = page.parent[held]
-    kept = [within(e) for e, _ in page.blocks]
-    articles = set()
-    for (_, element, block, _, _), w in zip(page.nodes, weight, strict=True):
-        if w and not kept[block]:
-            kept[block] = True
-            while element > 0 and page.tag[element] not in ("article", "main"):
-                element = page.parent[element]
-            articles.add(element)
-    articles.discard(0)
-    if articles:
-        for k, (e, _) in enumerate(page.blocks):
-            while e > 0 and e not in articles:
-                e = page.parent[e]
-            kept[k] = kept[k] or e > 0
+    region = max((e for e in range(size) if inside[e] >= REGION * inside[0] and (tag[e] in BLOCKS or e == 0)), default=0)
+    lifted = page.at_article[region] or region
+    own = {lifted} | {page.at_article[e] for e in element[keep].tolist()} - {0}
+    # the text's own element around each one: the region, or an article that holds selected nodes
+    around = [0 if 0 in own else -1] * size
+    for e in range(1, size):
+        around[e] = e if e in own else around[page.parent[e]]
+    kept = [around[e] >= 0 and said[e] == said[around[e]] for e, _ in page.blocks]
+    for k in block[keep].tolist():
+        kept[k] = True
     for k in range(len(kept) - 2, -1, -1):
-        kept[k] = kept[k] or kept[k + 1] and page.tag[page.blocks[k][0]] in HEADINGS
-    texts = (" ".join("".join(pieces).split()) for (_, pieces), keep in zip(page.blocks, kept, strict=True) if keep)
+        e = page.blocks[k][0]
+        kept[k] = kept[k] or kept[k + 1] and tag[e] in HEADINGS and said[e] <= said[page.blocks[k + 1][0]]
+    texts = (" ".join("".join(pieces).split()) for (_, pieces), k in zip(page.blocks, kept, strict=True) if k)
     return "\n".join(t for t in texts if t)
 
 
