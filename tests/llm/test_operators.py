@@ -503,17 +503,72 @@ def test_toxicity_finds_document_and_sentence(spark):
     assert all(r["held_out"] for r in held) and 200 < len(held) < 400
     assert np.mean([(r["score"] >= toxicity.THRESHOLD) == (r["doc_id"] % 6 == 0) for r in held]) > 0.97
     caught = [r for r in held if r["doc_id"] % 6 == 0 and r["score"] >= toxicity.THRESHOLD]
-    assert np.mean([bool(re.search("idiot|scum|trash", r["worst_sentence"])) for r in caught]) > 0.95
+    assert np.mean([bool(re.search("idiot|scum|trash", r["text"][r["worst_start"] : r["worst_end"]])) for r in caught]) > 0.95
 
 
 def test_toxicity_odd_and_none(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd_docs, labels)
-    out = rows(toxicity.scored(odd_docs.select("doc_id", "text"), model))
-    assert len(out) == 15 and all(0 <= r["score"] <= 1 for r in out)
+    out = rows(toxicity.scored(odd_docs, model, where=True))
+    assert len(out) == 15 and all(0 <= r["score"] <= 1 for r in out) and "target" in out[0]
+    assert all((r["worst_start"] is None) == (not (r["text"] or "").strip()) for r in out)
     assert rows(toxicity.scored(no_docs.select("doc_id", "text"), toxicity.fit(no_docs, labels))) == []
 
 
+def test_scores_by_brute_force(spark):
+    r = random.Random(9)
+    model = {"": -3.0, "bad": 4.0, "worse": 6.5, "wors*": 0.5, "good": -2.0}
+    texts = ["".join(r.choices(["bad", "worse", "good", "plain", " ", " ", ". ", "!? ", "\n", "Bad "], k=r.randint(0, 30))) for _ in range(200)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for row in rows(toxicity.scored(d, model, where=True)):
+        rest, best = 1.0, None
+        for m in re.finditer(r"[^.!?\n]+", row["text"]):
+            if m[0].strip():
+                words = set(re.findall(r"[^\W_]+", m[0].lower()))
+                words |= {w[:4] + "*" for w in words if len(w) > 4}
+                p = 1 / (1 + np.exp(-(model[""] + sum(model[w] for w in words if w in model))))
+                rest *= 1 - p
+                if best is None or p > best[0] + 1e-12:
+                    best = (p, *m.span())
+        assert abs(row["score"] - (1 - rest)) < 1e-9
+        if best is None:
+            assert row["worst_start"] is None and row["worst_score"] == 0
+        else:
+            assert abs(row["worst_score"] - best[0]) < 1e-9 and (row["worst_start"], row["worst_end"]) == best[1:]
+
+
+def test_fit_by_brute_force():
+    r = random.Random(2)
+    texts = [". ".join(" ".join(r.choices(["a1", "b2", "c3", "d4"], k=3)) + (" vile" if i % 2 and k == 0 else "") for k in range(r.randint(1, 4))) for i in range(60)]
+    y = np.arange(60) % 2 == 1
+    got = toxicity.fit_bags(texts, y, rounds=12)
+    names = [w for w in got if w]
+    assert "vile" in names
+    bags = [[[w for w in names if w in toxicity.features(s)] for s in toxicity.sentences(t)] for t in texts]
+
+    def loss(theta):
+        total = 0.0
+        for bag, label in zip(bags, y, strict=True):
+            clean = np.prod([1 / (1 + np.exp(theta[""] + sum(theta[w] for w in s))) for s in bag])
+            total -= np.log(1 - clean if label else clean)
+        return total / len(texts) + 0.5e-4 * sum(theta[w] ** 2 for w in names)
+
+    theta = {"": -6.0} | dict.fromkeys(names, 0.0)
+    m, v = dict.fromkeys(theta, 0.0), dict.fromkeys(theta, 0.0)
+    for t in range(1, 13):  # Adam on numeric slopes
+        slope = {w: (loss(theta | {w: theta[w] + 1e-5}) - loss(theta | {w: theta[w] - 1e-5})) / 2e-5 for w in theta}
+        for w, g in slope.items():
+            m[w], v[w] = 0.9 * m[w] + 0.1 * g, 0.99 * v[w] + 0.01 * g * g
+            theta[w] -= 0.1 * (m[w] / (1 - 0.9**t)) / (np.sqrt(v[w] / (1 - 0.99**t)) + 1e-9)
+    assert all(abs(theta[w] - got[w]) < 1e-3 for w in theta)
+
+
+def test_fit_is_the_same_again(spark):
+    docs = spark.createDataFrame([(i % 40, f"some text {i} " + "scum " * (i % 2)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert toxicity.fit(docs.repartition(7), labels, 15) == toxicity.fit(docs.repartition(2), labels.repartition(3), 15)
+
+
 # --- helpers ------------------------------------------------------------------------------------------------------------------
 
 

@@ -26,12 +26,17 @@ FIT_WORDS, MIN_DOCS, EVIDENCE, PREFIX = 20_000, 3, 12.0, 4
 #: A document is rejected at this score.
 THRESHOLD = 0.3
 
-_END = re.compile(r"[.!?\n]+")
+_SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where the sentences of `text` begin and end; none is blank."""
+    return [m.span() for m in _SENTENCE.finditer(text) if not m[0].isspace()]
+
+
 def sentences(text: str) -> list[str]:
-    return [s for s in _END.split(text) if s.strip()]
+    return [text[a:b] for a, b in spans(text)]
 
 
 def features(sentence: str) -> set[str]:
@@ -105,6 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS) -> dict[str,
     known = known.filter(~held_out(F.col("doc_id")))
     known = known.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(limit)
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    # rows that repeat a doc_id could be more: then, too, the same ones are taken at every run
+    sample = sample.orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id", F.xxhash64("text"), "text").limit(limit)
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "text"])
@@ -113,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCS) -> dict[str,
         return pd.DataFrame({"word": list(got), "weight": list(got.values())})
 
     # at most `limit` rows, whatever the input: one group
-    fitted = sample.limit(2 * limit).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(one, "word string, weight double")
+    fitted = sample.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(one, "word string, weight double")
     return {r["word"]: r["weight"] for r in fitted.toLocalIterator()} or {"": -50.0}
 
 
@@ -123,46 +130,61 @@ def held_out(doc_id):
 
 
 def scored(docs: DataFrame, model: dict[str, float], name: str = "score", where: bool = False) -> DataFrame:
-    """`docs` with each text's probability; with `where`, also its likeliest sentence and that one's probability.
+    """`docs` with each text's probability in column `name`; with `where`, also its likeliest sentence: from which
+    character of the text (worst_start) up to which (worst_end), and its probability (worst_score).
 
-    A null or empty text has no sentence and scores 0. Equal texts score alike.
+    A null or empty text has no sentence: it scores 0, and the place is null. Equal texts score alike; of equally likely
+    sentences the first is located. Columns of `docs` that are called like the new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    added = {name: "double"} | ({"worst_start": "int", "worst_end": "int", "worst_score": "double"} if where else {})
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     columns = docs.columns
-    added = f"{name} double" + (", worst_sentence string, worst_score double" if where else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         bias = weights[""]
-        base = np.logaddexp(0, bias)
-        get = weights.get
+        words, get = weights.keys(), weights.get
         for batch in batches:
-            total, worst, most = [], [], []
-            for text in batch.column(columns.index("text")).to_pylist():
-                hazard, top, at = 0.0, -1.0, ""
-                for s in _END.split(text or ""):
-                    if s.strip():
-                        known = weights.keys() & features(s)
-                        h = float(np.logaddexp(0, bias + sum(map(get, sorted(known))))) if known else base
-                        hazard += h
-                        if h > top:
-                            top, at = h, s
-                total.append(-np.expm1(-hazard))
-                worst.append(at)
-                most.append(-np.expm1(-max(top, 0.0)))
-            extra = [pa.array(total, pa.float64())] + ([pa.array(worst, pa.string()), pa.array(most, pa.float64())] if where else [])
-            names = [name] + (["worst_sentence", "worst_score"] if where else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*columns, *names])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, {added}")
+            texts = batch.column(columns.index("text")).to_pylist()
+            n, first = np.zeros(len(texts)), np.full((len(texts), 2), -1)
+            doc, z, place = [], [], []  # of the sentences with known features
+            for i, text in enumerate(texts):
+                found = spans(text) if text else []
+                if found:
+                    n[i] = len(found)
+                    told = bool(words & features(text))
+                    for span in found:
+                        if told and (known := words & features(text[span[0] : span[1]])):
+                            doc.append(i)
+                            z.append(bias + sum(map(get, sorted(known))))
+                            place.append(span)
+                        elif first[i, 0] < 0:
+                            first[i] = span  # of the sentences without any
+                            if not told:
+                                break
+            doc, z, place = np.array(doc, np.int64), np.array(z), np.array(place).reshape(-1, 2)
+            plain = n - np.bincount(doc, minlength=len(n))
+            hazard = np.bincount(doc, np.logaddexp(0, z), len(n)) + plain * np.logaddexp(0, bias)
+            out = [pa.array(-np.expm1(-hazard))]
+            if where:
+                top, at = np.where(n > 0, bias, -np.inf), first
+                best = np.lexsort((-place[:, 0], z, doc))  # a document's best sentence is its last
+                best = best[np.append(doc[best][1:] != doc[best][:-1], True)] if len(best) else best
+                best = best[(z[best] > bias) | (plain[doc[best]] == 0)]
+                top[doc[best]], at[doc[best]] = z[best], place[best]
+                out += [pa.array(at[:, k], pa.int32(), mask=n == 0) for k in (0, 1)] + [pa.array(1 / (1 + np.exp(-top)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*columns, *added])
+
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{c}` {kind}" for c, kind in added.items()])
+    return docs.mapInArrow(run, fields)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its score and verdict, and the place and probability of its likeliest sentence."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, common.read(spark, sf_dir, "labels"))
-    out = scored(docs, model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    out = scored(docs, fit(docs, common.read(spark, sf_dir, "labels")), where=True)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_score")
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
