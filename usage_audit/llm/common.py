@@ -77,26 +77,39 @@ def with_bloom_hits(df: DataFrame, hashed: Column, keys: DataFrame, n_keys: int)
     return with_bloom_mark(df, hashed, keys, n_keys).filter("__maybe").drop("__maybe")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _with_least(links: DataFrame, most: int) -> DataFrame:
+    """`links` (a, b), at most `most` of them, with m, the smallest b of each a.
+
+    An a with more than a thousandth of all links would meet in one task: there are fewer than 1000 of these, whose m
+    is broadcast to wherever their links are.
+    """
+    least = links.groupBy("a").agg(F.min("b").alias("m"), (F.count("*") * 1000 > most).alias("hot"))
+    hot = F.broadcast(least.filter("hot").select("a", F.col("m").alias("hot_m")))
+    marked = links.join(hot, "a", "left")
+    cold = marked.filter("hot_m is null").select("a", "b").join(least.filter("not hot").select("a", "m"), "a")
+    return cold.unionByName(marked.filter("hot_m is not null").select("a", "b", F.col("hot_m").alias("m")))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of each node of `edges` (a long, b long): the smallest node that it is connected with.
 
     Alternating large and small stars: every round links nodes to the smallest node known near them, so that long chains
-    shrink exponentially; each round is written to the shared folder. Nothing is collected but two numbers a round.
+    shrink exponentially, until nothing changes; each round is written to the shared folder. Nothing is collected but
+    two numbers a round.
     """
     links = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links, before = staged(links, "links"), None
-    for _ in range(most_rounds):
+    while True:
         after = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if after == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = after
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        nearest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(nearest, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = staged(small.unionByName(nearest.select("a", F.col("m").alias("b"))).distinct(), "links")
-    raise RuntimeError(f"not connected after {most_rounds} rounds")
+        large = _with_least(both, 2 * after[0]).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = _with_least(large, after[0])
+        onward = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        nearest = large.groupBy("a").agg(F.min("b").alias("b"))
+        links = staged(onward.unionByName(nearest).distinct(), "links")
 
 
 def keep_decided(docs: DataFrame, key: Column, decisions: DataFrame, n_decisions: int) -> DataFrame:

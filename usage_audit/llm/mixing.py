@@ -13,10 +13,9 @@ from pyspark.sql import Window as W
 
 from . import common
 
-#: Slices of a source by hash; about this many rows a slice, so a hot source is spread.
-ROWS_PER_SLICE = 50_000
-#: More slices than this in all aren't made.
-MAX_SLICES = 1 << 16
+#: A source is cut into 2**this slices by hash, and the one where its target ends into as many once more: in the last one
+#: there is one row of 16 millions.
+SLICE_BITS = 12
 
 
 def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
@@ -56,40 +55,50 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2,
 
     size counts the words (null text: 0). A document is taken whole `repeats` times: as often as its source's target
     holds the source, and once more if, in the source's order by seeded hash, the rest of the target holds it and all
-    before it; one document more, of the size nearest to what is then missing, comes from the same slice of that order.
+    before it; one document more, of the size nearest to what is then missing, comes from all others of the source.
     So each source gives what its target says but for a fraction of a document, equal input gives equal output, and no
     document exceeds max_epochs times its size. Documents without words are repeated 0 times. Rows without source form
     a source of their own. Repeated rows are treated alike. Further columns are not read; no rows give no rows.
     """
     words = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"), place(seed).alias("place"))
-    sized = common.staged(words, "sizes")
-    slices = max(1, min(MAX_SLICES, sized.count() // ROWS_PER_SLICE + 1))
-    sized = sized.withColumn("slice", (F.shiftright("place", 28) * slices / F.lit(1 << 32)).cast("int"))
+    sized = common.staged(words, "sizes").withColumn("coarse", F.shiftright("place", 60 - SLICE_BITS)).withColumn("fine", F.shiftright("place", 60 - 2 * SLICE_BITS))
 
-    sums = sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
+    sums = sized.groupBy("source", "coarse").agg(F.sum("size").alias("slice_size"))
     sources = cyclic_weights(sums.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights)
     filled = water_fill(sources, max_epochs).withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     filled = filled.withColumn("rest", F.col("target") - F.col("times") * F.col("source_size"))
     filled = common.staged(filled.select(F.col("source").alias("of"), "source_size", "target", "times", "rest"), "targets")
 
-    # in the one slice of each source where the rest ends, a running sum finds the last document that is taken
-    running = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    at = sums.withColumn("before", F.coalesce(F.sum("slice_size").over(running), F.lit(0))).join(filled, F.col("source").eqNullSafe(F.col("of")))
-    at = at.filter((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("slice_size"))).select("of", F.col("slice").alias("at"), "before", "rest")
+    def ends_in(sums: DataFrame, rests: DataFrame, key: str, at: str) -> DataFrame:
+        """(of, at, rest, before): the slice in which each source's rest ends, and the words of its earlier slices."""
+        running = W.partitionBy("source").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+        earlier = sums.withColumn("sum", F.coalesce(F.sum("slice_size").over(running), F.lit(0))).join(rests, F.col("source").eqNullSafe(F.col("of")))
+        earlier = earlier.withColumn("before", F.col("before") + F.col("sum"))
+        ends = earlier.filter((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("slice_size")))
+        return ends.select("of", F.col(key).alias(at), "rest", "before")
+
+    # in the fine slice of each source where the rest ends, a running sum finds the last document that is taken
+    same = F.col("source").eqNullSafe(F.col("of"))
+    at_coarse = ends_in(sums, filled.select("of", "rest", F.lit(0).cast("long").alias("before")), "coarse", "at_coarse")
+    parts = sized.join(at_coarse.select("of", "at_coarse"), same & (F.col("coarse") == F.col("at_coarse"))).groupBy("source", "fine").agg(F.sum("size").alias("slice_size"))
+    at = common.staged(ends_in(parts, at_coarse.select("of", "rest", "before"), "fine", "at"), "ends")
     row = W.partitionBy("of").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    inside = sized.filter("size > 0").join(at, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("at")))
-    inside = inside.select("of", "place", "doc_id", "size", (F.col("rest") - F.col("before") - F.sum("size").over(row)).alias("left"), (F.col("rest") - F.col("before")).alias("all"))
-    held = F.when(F.col("left") >= 0, F.col("left"))
-    inside = inside.withColumn("gap", F.coalesce(F.min(held).over(W.partitionBy("of")), F.col("all")))
-    near = F.when((F.col("left") < 0) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")), F.struct(F.abs(F.col("size") - F.col("gap")), "place"))
-    last = inside.groupBy("of").agg(F.max(F.when(F.col("left") >= 0, F.col("place"))).alias("last"), F.min(near)["place"].alias("extra"))
-    cuts = filled.join(at.select(F.col("of").alias("at_of"), "at"), F.col("of").eqNullSafe(F.col("at_of")), "left").join(last.withColumnRenamed("of", "cut_of"), F.col("of").eqNullSafe(F.col("cut_of")), "left")
+    worded = sized.filter("size > 0").join(at, same)
+    left = F.col("rest") - (F.col("before") + F.sum("size").over(row))
+    inside = common.staged(worded.filter("fine = at").select("of", "place", "size", left.alias("left")), "inside")
+    fits = F.col("left") >= 0
+    last = at.join(inside.groupBy(F.col("of").alias("i_of")).agg(F.max(F.when(fits, F.col("place"))).alias("last"), F.min(F.when(fits, F.col("left"))).alias("gap")), F.col("of").eqNullSafe(F.col("i_of")), "left")
+    last = common.staged(last.select("of", "at", "last", F.coalesce(F.col("gap"), F.col("rest") - F.col("before")).alias("gap")), "last")
+    # of all documents that are left, the one nearest in size to the gap
+    onward = worded.filter("fine > at").select(F.col("of").alias("l_of"), "place", "size").unionByName(inside.filter(~fits).select(F.col("of").alias("l_of"), "place", "size"))
+    off = F.abs(F.col("size") - F.col("gap"))
+    extra = onward.join(last.select("of", "gap"), F.col("l_of").eqNullSafe(F.col("of"))).filter(off < F.col("gap")).groupBy("of").agg(F.min(F.struct(off.alias("off"), "place"))["place"].alias("extra"))
+    cuts = filled.join(last.select(F.col("of").alias("l_of"), "at", "last"), F.col("of").eqNullSafe(F.col("l_of")), "left").join(extra.withColumnRenamed("of", "e_of"), F.col("of").eqNullSafe(F.col("e_of")), "left")
     cuts = common.staged(cuts.select("of", "source_size", "target", "times", "at", "last", "extra"), "cuts")
 
-    here = F.col("slice") == F.col("at")
-    more = F.when(F.col("slice") < F.col("at"), 1).when(here & ((F.col("place") <= F.col("last")) | (F.col("place") == F.col("extra"))), 1).otherwise(0)
+    more = F.when((F.col("fine") < F.col("at")) | (F.col("place") <= F.col("last")) & (F.col("fine") == F.col("at")) | (F.col("place") == F.col("extra")), 1).otherwise(0)
     repeats = F.when(F.col("size") == 0, 0).otherwise(F.col("times") + more).cast("long")
-    mixed = sized.join(cuts, F.col("source").eqNullSafe(F.col("of"))).withColumn("repeats", repeats)
+    mixed = sized.join(cuts, same).withColumn("repeats", repeats)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", "source", "place")
 
 

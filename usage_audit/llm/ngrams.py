@@ -28,6 +28,8 @@ BANDS, ROWS = 32, 4
 STEP, TOLERANCE = 16, 1e-7
 #: Representatives of a block, in buckets and at verification.
 BUCKET_BLOCK, EXACT_BLOCK = 2048, 256
+#: Members of candidate groups that are verified in one task, about.
+EXACT_TASK = 500
 #: Bytes of text that are hashed at once.
 AT_ONCE = 1 << 20
 
@@ -281,8 +283,8 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """(u, parent, links, texts) of each representative in each pair of blocks: `rows` has component, b1, b2, b, u, copies, text.
+def verified(rows: DataFrame, threshold: float, tasks: int) -> DataFrame:
+    """In so many tasks, (u, parent, links, texts) of each representative in each pair of blocks: `rows` has component, b1, b2, b, u, copies, text.
 
     links counts the documents, texts the representatives that it is linked with there; parent is its parent in a
     spanning forest of the links, or itself.
@@ -316,7 +318,7 @@ def verified(rows: DataFrame, threshold: float) -> DataFrame:
                 counted = linked if group.column("b1")[0] == group.column("b2")[0] else linked & (block[:, None] != block)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(parent), pa.array((counted * copies).sum(1)), pa.array(counted.sum(1))], names=["u", "parent", "links", "texts"])
 
-    dealt = rows.select("component", "b1", "b2", "b", "u", "copies", "text").repartition("component", "b1", "b2").sortWithinPartitions("component", "b1", "b2")
+    dealt = rows.select("component", "b1", "b2", "b", "u", "copies", "text").repartition(tasks, "component", "b1", "b2").sortWithinPartitions("component", "b1", "b2")
     return dealt.mapInArrow(run, "u long, parent long, links long, texts long")
 
 
@@ -337,9 +339,10 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, threshold: float = THR
     groups = near.groupBy("component").agg(F.count("*").alias("members"))
     members = near.withColumnRenamed("node", "u").join(groups, "component").join(reps.select("u", "v", "copies"), "u")
     members = common.staged(members, "members")
-    texts = common.with_bloom_hits(_lower(docs).select("v", "text"), F.xxhash64("v"), members.select(F.xxhash64("v").alias("h")), members.count())
+    n_members = members.count()
+    texts = common.with_bloom_hits(_lower(docs).select("v", "text"), F.xxhash64("v"), members.select(F.xxhash64("v").alias("h")), n_members)
     rows = _block_pairs(members.join(texts, "v"), F.col("members"), EXACT_BLOCK, "u")
-    links = common.staged(verified(rows, threshold), "links")
+    links = common.staged(verified(rows, threshold, n_members // EXACT_TASK + 1), "links")
     classes = common.components(links.select(F.col("u").alias("a"), F.col("parent").alias("b"))).withColumnRenamed("node", "u")
     counts = links.groupBy("u").agg(F.sum("links").alias("links"))
     known = reps.select("u", "u2", "n", "least", "copies").join(classes, "u", "left").join(counts, "u", "left")
