@@ -295,6 +295,27 @@ def test_urls(spark):
     assert {r["verdict"] for r in rows(urls.judge_urls(spark, pages, rules.limit(0)))} == {"allow"}
 
 
+def test_many_rules_and_hot_urls(spark):
+    r = random.Random(3)
+    listed = [(r.choice(["allow", "block"]), f"{r.choice('abcdef')}{r.randint(0, 9999)}.{r.choice(['com', 'org'])}", "/" + "x" * r.randint(0, 30)) for _ in range(100_000)] + [("block", "com", "/"), ("allow", "com", "/")]
+    by_key = defaultdict(set)
+    for v, h, p in listed:
+        by_key[h + p].add(v)
+    urls_ = [f"http://{r.choice(['', 'www.'])}{r.choice('abcdefg')}{r.randint(0, 9999)}.{r.choice(['com', 'org', 'net'])}/{'x' * r.randint(0, 35)}{r.choice(['', '?q', 'y'])}" for _ in range(1500)] + ["http://hot.com/x"] * 700 + [None] * 300
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string").repartition(5)
+    got = rows(urls.judge_urls(spark, pages, spark.createDataFrame(listed, "verdict string, host string, path string")))
+    assert len(got) == len(urls_)
+    for x in got:
+        want = None
+        labels = x["host"].split(".")
+        for k in range(len(labels)):
+            for n in range(len(x["path"]) + 1):
+                key = ".".join(labels[k:]) + x["path"][:n]
+                if x["host"] and n and key in by_key and (want is None or len(key) > len(want)):
+                    want = key
+        assert x["rule"] == want and x["verdict"] == ("allow" if want is None or "block" not in by_key[want] else "block")
+
+
 # --- token files --------------------------------------------------------------------------------------------------------
 
 
@@ -572,6 +593,12 @@ def test_fit_is_the_same_again(spark):
 # --- helpers ------------------------------------------------------------------------------------------------------------------
 
 
+def test_components_of_hubs(spark):
+    edges = [(i, 10_000) for i in range(1, 3000)] + [(20_000, i) for i in range(5000, 8000)] + [(10_000, 30_000), (30_000, 20_000), (40_000, 40_001)]
+    got = {r["node"]: r["component"] for r in rows(common.components(spark.createDataFrame(edges, "a long, b long")))}
+    assert set(got) == {x for e in edges for x in e} and all(c == (40_000 if n in (40_000, 40_001) else 1) for n, c in got.items())
+
+
 def test_components(spark):
     random.seed(6)
     edges = [(k, k + 1) for k in range(60)] + [(100 + random.randrange(50), 100 + random.randrange(50)) for _ in range(40)] + [(7, 7)]

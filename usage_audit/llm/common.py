@@ -77,6 +77,17 @@ def with_bloom_hits(df: DataFrame, hashed: Column, keys: DataFrame, n_keys: int)
     return with_bloom_mark(df, hashed, keys, n_keys).filter("__maybe").drop("__maybe")
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with `table`, which has few rows a key; `how` is inner or left.
+
+    Keys that more than a thousandth of `rows` hold, fewer than 1000, would meet in one task each: what the table says
+    of these is broadcast to wherever their rows are.
+    """
+    hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") * 1000 > rows.count()).filter(F.col(key).isNotNull()).select(key))
+    here = rows.join(F.broadcast(table.join(hot, key, "left_semi")), key, how).join(hot, key, "left_semi")
+    return here.unionByName(rows.join(hot, key, "left_anti").join(table, key, how))
+
+
 def _with_least(links: DataFrame, most: int) -> DataFrame:
     """`links` (a, b), at most `most` of them, with m, the smallest b of each a.
 

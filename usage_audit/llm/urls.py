@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: A Bloom filter has at most 2**this words of 64 bits; with more rules than it holds, more keys reach the join.
-MAX_LOG2_WORDS = 16
 #: The rules of the contract: verdict, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -29,51 +27,35 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def _bits(h: Column) -> Column:
-    one = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, by).bitwiseAND(F.lit(63)).cast("int"))
-    return one(0).bitwiseOR(one(6)).bitwiseOR(one(12))
-
-
-def bloom_words(rules: DataFrame, n: int) -> list[int]:
-    """The filter of the rules' keys: 2**k words of 64 bits, k from 4 to MAX_LOG2_WORDS; three bits of one word a key."""
-    log2 = max(4, min(MAX_LOG2_WORDS, (n // 4).bit_length()))
-    h = F.xxhash64("key")
-    masks = rules.groupBy(F.shiftrightunsigned(h, 64 - log2).cast("int").alias("word")).agg(F.bit_or(_bits(h)).alias("mask"))
-    words = [0] * (1 << log2)
-    for r in masks.toLocalIterator():  # at most 2**MAX_LOG2_WORDS rows
-        words[r["word"]] = r["mask"]
-    return words
-
-
 def judge_urls(spark: SparkSession, pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """One row for each row of `pages` (page_id, url): page_id, url, host, path, rule, verdict.
 
     `rules`: verdict, host, path. A rule fits its host and all subdomains if the url's path starts with the rule's; the
     longest (host and path together) wins, block before allow among equally long ones; without one the verdict is
-    `default` and rule is null. A null url, or one without ://, has an empty host and path. Repeated urls are judged
-    once; further columns are not read.
+    `default` and rule is null. A null url, or one without ://, has an empty host and path. Further columns are not read.
+
+    The filter is a table of words that is broadcast, sized by the number of rules and bounded by common.with_bloom_mark;
+    what passes meets the rules by key and then the pages by url, where common keys and urls are spread.
     """
-    rules = rules.select("verdict", F.concat("host", "path").alias("key")).dropDuplicates(["verdict", "key"])
+    rules = common.staged(rules.select("verdict", F.concat("host", "path").alias("key")).dropDuplicates(["verdict", "key"]), "rules")
     lengths = sorted(r[0] for r in rules.select(F.length(F.regexp_extract("key", "/.*", 0))).distinct().toLocalIterator())  # distinct lengths only
-    words = bloom_words(rules, rules.count())
-    log2 = len(words).bit_length() - 1
     urls = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
 
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())
-    keys = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p)))) if lengths else F.array().cast("array<string>")
-    table = F.array(*map(F.lit, words))
-
-    def listed(key: Column) -> Column:
-        h = F.xxhash64(key)
-        return F.get(table, F.shiftrightunsigned(h, 64 - log2).cast("int")).bitwiseAND(_bits(h)) == _bits(h)
-
-    hits = urls.select("url", "host", F.filter(keys, listed).alias("keys")).filter("host != '' and size(keys) > 0")
-    found = hits.select("url", "keys").distinct().select("url", F.explode("keys").alias("key")).join(rules, "key")
+    fits = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
+    keys = F.flatten(F.transform(hosts, lambda h: F.transform(fits, lambda n: F.concat(h, F.substring(F.col("path"), F.lit(1), n)))))
+    keyed = urls.filter("host != ''").select("url", F.explode(keys).alias("key"))
+    hits = common.with_bloom_hits(keyed, F.xxhash64("key"), rules.select(F.xxhash64("key").alias("h")), rules.count())
+    hits = common.staged(hits.distinct(), "hits")
+    found = common.spread_join(hits, rules, "key")
     best = found.groupBy("url").agg(F.max(F.struct(F.length("key").alias("n"), (F.col("verdict") == "block").alias("b"), "key")).alias("best"))
-    best = best.select("url", F.col("best.key").alias("rule"), F.when(F.col("best.b"), "block").otherwise("allow").alias("judged"))
-    return urls.join(best, "url", "left").select("page_id", "url", "host", "path", "rule", F.coalesce("judged", F.lit(default)).alias("verdict"))
+    best = common.staged(best.select("url", F.col("best.key").alias("rule"), F.when(F.col("best.b"), "block").otherwise("allow").alias("judged")), "judged")
+
+    marked = common.with_bloom_mark(urls, F.xxhash64("url"), best.select(F.xxhash64("url").alias("h")), best.count()).withColumn("__maybe", F.col("__maybe") & F.col("url").isNotNull())
+    judged = common.spread_join(marked.filter("__maybe"), best, "url", "left")
+    others = marked.filter("not __maybe").select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("judged"))
+    return judged.unionByName(others).select("page_id", "url", "host", "path", "rule", F.coalesce("judged", F.lit(default)).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
