@@ -412,6 +412,29 @@ def test_neighbours(spark):
     assert tied == [v for _, v in sorted((-round(product[100, v], 9), v) for v in range(1500) if v != 100)[:10]]
 
 
+def test_fewer_are_scored_as_rows_grow():
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(40, 24))
+    share = []
+    for n in (500, 4000, 40_000):
+        x = centres[r.integers(0, 40, n)] + 0.2 * r.normal(size=(n, 24))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        hashes, probes = neighbours.fit(x[:4096], n, 10, 1.0)
+        need = neighbours.first_probes(x, x[:50], hashes)
+        share.append((need <= probes).mean())
+        best = np.argsort(-(x[:50] @ x.T), axis=1)[:, :11]
+        assert (np.take_along_axis(need, best, 1) <= probes).mean() > 0.9
+    assert share[2] < share[1] < share[0] and share[2] < 0.3, share
+
+
+def test_neighbours_of_uneven_lengths_are_whole(spark):
+    r = np.random.default_rng(8)
+    e = r.normal(size=(300, 8)) * np.exp(3 * r.normal(size=(300, 1)))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(e)], "vec_id long, embedding array<double>")
+    got = rows(neighbours.nearest(spark, df, df.filter("vec_id % 20 = 0"), 20))
+    assert len(got) == 15 * 20
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(i, [1.0 + i, 2.0]) for i in range(5)], "vec_id long, embedding array<double>")
     got = rows(neighbours.nearest(spark, df, df.filter("vec_id = 0"), 20))

@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 For the largest inner product, vectors get one coordinate more that brings all to one length; then the nearest in
-Euclidean distance have the largest product. Each of TABLES tables hashes a vector by PROJECTIONS Gaussian projections,
-cut into slots of one width. A query visits, in each table, its own bucket and the neighbouring ones in the order in
+Euclidean distance have the largest product. Each of TABLES tables hashes a vector by a few Gaussian projections, cut
+into slots of one width. A query visits, in each table, its own bucket and the neighbouring ones in the order in
 which they are likely to hold its neighbours: by the squared distances from its projections to the slots' borders. All
-candidates are scored exactly; a query's own buckets come first, and what they yield is the bar for the others.
+candidates are scored exactly; a query's own buckets come first, and what they yield is the bar for the others. Queries
+that find too few are compared with all vectors.
 """
 
 from __future__ import annotations
@@ -21,31 +22,32 @@ from pyspark.sql import Window as W
 from . import common
 from .ngrams import _groups, _runs
 
-TABLES, PROJECTIONS, WIDTH = 10, 3, 1.0
-#: The number of probes is fitted on at most so many vectors, drawn by hash, to reach TARGET recall among them.
+TABLES, WIDTH = 10, 1.0
+#: Numbers of projections to choose from, and the most probes a table.
+PROJECTIONS, MOST_PROBES = (3, 4, 5), 27
+#: Both are fitted on at most so many vectors, drawn by hash, to reach TARGET recall among them with the fewest scored.
 FIT_VECTORS, FIT_QUERIES, TARGET = 4096, 256, 0.95
 #: Vectors, and queries, of a block of a bucket.
 BLOCK = 4096
 
-_PERTURBED = np.array(list(itertools.product((-1, 0, 1), repeat=PROJECTIONS)))
-
 
 class Hashes:
-    """The projections of all tables, for vectors of `dimension` and at most `longest` length."""
+    """`projections` of each table, for vectors of `dimension` and at most `longest` length."""
 
-    def __init__(self, dimension: int, longest: float, seed: int = 11) -> None:
+    def __init__(self, dimension: int, longest: float, projections: int, seed: int = 11) -> None:
         random = np.random.default_rng(seed)
-        self.longest = longest
-        self.a = random.normal(size=(dimension + 1, TABLES * PROJECTIONS))
-        self.b = random.uniform(0, WIDTH, TABLES * PROJECTIONS)
+        self.longest, self.n = longest, projections
+        self.a = random.normal(size=(dimension + 1, TABLES * projections))
+        self.b = random.uniform(0, WIDTH, TABLES * projections)
+        self.perturbed = np.array(list(itertools.product((-1, 0, 1), repeat=projections)))
 
     def _slots(self, x: np.ndarray) -> np.ndarray:
-        return ((x @ self.a + self.b) / WIDTH).reshape(len(x), TABLES, PROJECTIONS)
+        return ((x @ self.a + self.b) / WIDTH).reshape(len(x), TABLES, self.n)
 
     def _key(self, slots: np.ndarray) -> np.ndarray:
         """A long for a table (third axis from the end of `slots` is over tables) and its slots."""
         key = np.zeros(slots.shape[:-1], np.int64)
-        for k in range(PROJECTIONS):
+        for k in range(self.n):
             key = key * 4093 + slots[..., k]
         return key * TABLES + np.arange(TABLES).reshape((-1,) + (1,) * (slots.ndim - 3))
 
@@ -61,29 +63,41 @@ class Hashes:
         at = self._slots(np.concatenate([unit, np.zeros((len(q), 1))], 1))
         home = np.floor(at)
         low, high = (at - home) ** 2, (1 - (at - home)) ** 2
-        cost = low @ (_PERTURBED == -1).T.astype(float) + high @ (_PERTURBED == 1).T.astype(float)
+        cost = low @ (self.perturbed == -1).T.astype(float) + high @ (self.perturbed == 1).T.astype(float)
         order = np.argsort(cost, axis=2, kind="stable")[:, :, :n]
-        return self._key((home[:, :, None] + _PERTURBED[order]).astype(np.int64))
+        return self._key((home[:, :, None] + self.perturbed[order]).astype(np.int64))
+
+
+def first_probes(sample: np.ndarray, q: np.ndarray, hashes: Hashes) -> np.ndarray:
+    """How many probes a table each query needs to visit each vector of the sample; one more than the most, if all miss."""
+    own, probed = hashes.buckets(sample), hashes.probes(q, MOST_PROBES)
+    need = np.full((len(q), len(sample)), MOST_PROBES + 1, np.int16)
+    for p in range(probed.shape[2] - 1, -1, -1):
+        for t in range(TABLES):
+            need[own[:, t] == probed[:, t, p, None]] = p + 1
+    return need
 
 
-def fit_probes(sample: np.ndarray, hashes: Hashes, k: int) -> int:
-    """The fewest probes a table that find TARGET of the k nearest of a sample's first vectors among the sample."""
+def fit(sample: np.ndarray, n_vectors: int, k: int, longest: float) -> tuple[Hashes, int]:
+    """The number of projections, and of probes a table, that find TARGET of what is nearest with the fewest scored.
+
+    The sample's first vectors ask the sample. Of the k nearest among all n_vectors a part is in the sample: as many of
+    the nearest there have to be found, so that fewer candidates do as the table grows and neighbours get nearer.
+    """
     q = sample[:FIT_QUERIES]
     product = q @ sample.T
     product[np.arange(len(q)), np.arange(len(q))] = -np.inf
-    k = min(k, len(sample) - 1)
-    if k < 1:
-        return 1
-    best = np.argpartition(-product, k - 1, axis=1)[:, :k]
-    own, probed = hashes.buckets(sample), hashes.probes(q, len(_PERTURBED))
-    need = np.full((len(q), k), len(_PERTURBED) + 1)
-    for t in range(TABLES):
-        hit = own[best, t][:, :, None] == probed[:, t][:, None, :]
-        need = np.minimum(need, np.where(hit.any(2), hit.argmax(2) + 1, len(_PERTURBED) + 1))
-    for n in range(1, len(_PERTURBED)):
-        if (need <= n).mean() >= TARGET:
-            return n
-    return len(_PERTURBED)
+    near = min(max(1, -(-k * len(sample) // n_vectors)), len(sample) - 1)
+    choices = []
+    for projections in PROJECTIONS:
+        hashes = Hashes(sample.shape[1], longest, projections)
+        if near < 1:
+            return hashes, 1
+        need = first_probes(sample, q, hashes)
+        best = np.take_along_axis(need, np.argpartition(-product, near - 1, axis=1)[:, :near], 1)
+        n = next((n for n in range(1, MOST_PROBES) if (best <= n).mean() >= TARGET), MOST_PROBES)
+        choices.append(((best <= n).mean() < TARGET, (need <= n).mean(), projections, n, hashes))
+    return min(choices, key=lambda c: c[:3])[4], min(choices, key=lambda c: c[:3])[3]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -103,13 +117,16 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
-            for u, i, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got = held.setdefault(u, [e, []])
+            e = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)  # all have one dimension
+            for n, (u, i) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if u not in held:
+                    held[u] = [e[n].tobytes(), []]
+                got = held[u]
                 got[1].append(i)
                 if len(got[1]) > 4 * keep:
                     got[1] = sorted(got[1])[:keep]
         us = list(held)
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array([np.array(held[u][0]).tobytes() for u in us], pa.binary()), pa.array([sorted(held[u][1])[:keep] for u in us], pa.list_(pa.int64()))], names=["u", "e", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array([held[u][0] for u in us], pa.binary()), pa.array([sorted(held[u][1])[:keep] for u in us], pa.list_(pa.int64()))], names=["u", "e", "ids"])
 
     parts = rows.select("u", F.col("vec_id").cast("long").alias("vec_id"), "e").mapInArrow(combine, "u long, e binary, ids array<long>")
     return parts.groupBy("u").agg(F.first("e").alias("e"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
@@ -159,7 +176,7 @@ def nearest(spark: SparkSession, df: DataFrame, queries: DataFrame, k: int) -> D
     Both have vec_id and embedding; nearness is the inner product in double precision, ties go to the smaller vec_id.
     Rows whose vector is null, empty, zero, or has a null or non-finite component take no part, nor do vectors of a
     dimension other than the commonest. Equal vectors are searched once; each keeps its k + 1 smallest ids, more than
-    which no answer needs. With k other rows or fewer all are candidates. No rows give no rows.
+    which no answer needs. A query gets k answers, or all other rows if there are fewer. No rows give no rows.
     """
     rows, asked = valid_vectors(df), valid_vectors(queries)
     sizes = rows.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))).alias("longest"))
@@ -168,15 +185,13 @@ def nearest(spark: SparkSession, df: DataFrame, queries: DataFrame, k: int) -> D
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, asked = rows.filter(F.size("e") == shape["d"]), asked.filter(F.size("e") == shape["d"])
     vectors = common.staged(distinct_vectors(rows, k + 1), "vectors")
-    hashes = Hashes(shape["d"], shape["longest"])
     sample = [np.frombuffer(r["e"]) for r in vectors.orderBy(F.xxhash64("u", F.lit(5))).limit(FIT_VECTORS).select("e").toLocalIterator()]
-    n_probes = fit_probes(np.array(sample), hashes, k)
-    few = len(sample) <= 2 * k  # so few vectors that every one is a candidate
+    hashes, n_probes = fit(np.array(sample), vectors.count(), k, shape["longest"])
 
     def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                key = np.zeros((batch.num_rows, 1), np.int64) if few else hashes.buckets(_matrix(batch.column(1)))
+                key = hashes.buckets(_matrix(batch.column(1)))
                 at = np.repeat(np.arange(len(key)), key.shape[1])
                 part = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *part.columns], names=["key", "u", "e"])
@@ -186,7 +201,7 @@ def nearest(spark: SparkSession, df: DataFrame, queries: DataFrame, k: int) -> D
             for whole in batches:
                 for start in range(0, whole.num_rows, 1000):
                     batch = whole.slice(start, 1000)
-                    key = np.zeros((batch.num_rows, 1), np.int64) if few else hashes.probes(_matrix(batch.column(1)), last)[:, :, first:].reshape(batch.num_rows, -1)
+                    key = hashes.probes(_matrix(batch.column(1)), last)[:, :, first:].reshape(batch.num_rows, -1)
                     part = batch.take(pa.array(np.repeat(np.arange(len(key)), key.shape[1])))
                     yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *part.columns], names=["key", "q", "e", "bar"])
 
@@ -198,12 +213,17 @@ def nearest(spark: SparkSession, df: DataFrame, queries: DataFrame, k: int) -> D
     probe = "key long, q long, e binary, bar double"
     keep = k + 1
     found = common.staged(_search(index, questions.withColumn("bar", F.lit(float("-inf"))).mapInArrow(probing(0, 1), probe), keep).distinct(), "found")
-    if n_probes > 1 and not few:
+    if n_probes > 1:
         best = W.partitionBy("q").orderBy(F.desc("score"))
         bars = found.withColumn("n", F.row_number().over(best)).filter(F.col("n") == keep).select("q", F.col("score").alias("bar"))
         more = questions.join(bars, "q", "left").select("q", "e", F.coalesce("bar", F.lit(float("-inf"))).alias("bar"))
         more = _search(index, more.mapInArrow(probing(1, n_probes), probe), keep)
-        found = found.unionByName(more).distinct()
+        found = common.staged(found.unionByName(more).distinct(), "found")
+    rows_found = found.join(vectors.select("u", F.size("ids").alias("n")), "u").groupBy("q").agg(F.sum("n").alias("n"))
+    short = common.staged(questions.join(rows_found, "q", "left").filter(F.coalesce("n", F.lit(0)) < keep).select("q", "e"), "short")
+    if not short.isEmpty():  # their buckets hold too few: all vectors are their candidates
+        every = vectors.select(F.lit(0).cast("long").alias("key"), "u", "e")
+        found = found.unionByName(_search(every, short.select(F.lit(0).cast("long").alias("key"), "q", "e", F.lit(float("-inf")).alias("bar")), keep)).distinct()
     each = found.join(vectors.select("u", "ids"), "u").select("q", "score", F.explode("ids").alias("vec_id"))
     order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     top = each.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep)
