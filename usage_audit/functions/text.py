@@ -119,8 +119,8 @@ def rest_path_keys(class_name: Col) -> Column:
 
 
 def redact(text: Col) -> Column:
-    """Credential-shaped values as key=[REDACTED]."""
-    return F.regexp_replace(_c(text), r"(?i)\b(password|passwd|secret|token|api[_-]?key|apikey|authorization|bearer)\b\s*[:=]\s*\S+", "$1=[REDACTED]")
+    """Credential-shaped values of eight characters or more as key=[REDACTED], wherever the key's name ends with such a word."""
+    return F.regexp_replace(_c(text), V.SECRETS, "$1=[REDACTED]")
 
 
 def parse_timestamp(c: Col) -> Column:
@@ -154,15 +154,16 @@ def unused_flavor(label: Col, reason: Col) -> Column:
     return F.when(_c(label) != V.UNUSED, None).when(r.startswith("LAYOUT_ONLY"), "layout_only").when(r.startswith("UNREACHABLE"), "unreachable").when(r.startswith("NO_EVIDENCE"), "no_evidence").when(_c(label) == V.UNUSED, "generic")
 
 
-# --- fixed values: reason -> what to ask a reviewer, the first that applies -------------------------------------------
+# --- fixed values: reason -> what to ask a reviewer, the first code that occurs in a reason ---------------------
 QUESTIONS = {
-    "BLOCKED_BY_DEPENDENT": "Can the components that refer to it go first?",
+    "DYNAMIC_APEX": "Does code that makes names at run time reach it?",
     "UNCALLED_ENTRY_POINT": "Does anything outside the system call it?",
-    "EXPOSED_UI_NO_PLACEMENT": "Is it placed on a page that was not retrieved?",
-    "TEST_ONLY": "Which code does this test cover, and does that stay?",
-    "DYNAMIC_APEX_IN_SCOPE": "Does dynamic code reach it by name?",
-    "WEAK_SIGNAL_ONLY": "Is access alone a reason to keep it?",
+    "TEST_ONLY": "Is the code that this test covers still needed, or can both go?",
+    "BLOCKED_BY_DEPENDENT": "Can what still refers to it go together with it?",
+    "WEAK_SIGNAL": "Will what only mentions it, or is inactive, be used again?",
     "INSUFFICIENT_EVIDENCE": "Which missing checks can be run again?",
+    "RECENTLY_CHANGED": "Is someone still building on it?",
+    "LLM_FLAGGED": "Is the concern that a model raised about it founded?",
 }
 
 

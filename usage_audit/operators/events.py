@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from .. import vocabulary as V
 from ..functions import text as T
+from .graph import cut
 
 KINDS = ("execution", "trigger", "callout", "ui", "object", "field", "rest")
 #: The columns of a log that are read.
@@ -69,11 +70,13 @@ def normalised_events(logs: DataFrame, hint: str | None = None) -> DataFrame:
 def event_hits(events: DataFrame, samples: int = 3) -> DataFrame:
     """One row for each (bucket, key) of normalised events: counts by kind, total, last_seen, samples.
 
-    Counts are sums, so a hot key is combined before the shuffle; of each key the `samples` smallest distinct samples
-    stay, found without gathering all of them.
+    Rows are counted by sample first, once, and that is written; counts are sums, so a hot key is combined before the
+    shuffle. Of each key the `samples` smallest distinct samples stay, found without gathering all of them.
     """
-    counts = events.groupBy("bucket", "key").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in KINDS], F.count("*").alias("total"), F.max("seen").alias("last_seen"))
-    return counts.join(sample_values(events.filter("sample is not null"), ["bucket", "key"], "sample", samples), ["bucket", "key"], "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+    sums = {**{f"{k}s": F.count_if(F.col("kind") == k) for k in KINDS}, "total": F.count("*")}
+    parts = cut(events.groupBy("bucket", "key", "sample").agg(*[n.alias(c) for c, n in sums.items()], F.max("seen").alias("last_seen")), "hits")
+    counts = parts.groupBy("bucket", "key").agg(*[F.sum(c).alias(c) for c in sums], F.max("last_seen").alias("last_seen"))
+    return counts.join(sample_values(parts.filter("sample is not null"), ["bucket", "key"], "sample", samples), ["bucket", "key"], "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
 
 
 def sample_values(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:

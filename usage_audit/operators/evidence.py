@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..functions import text as T
+from . import events as E
 from .resolve import mark_self_references
 
 SHAPE = ["component_id", "collector_id", "result", "tier", "weight", "payload"]
@@ -87,10 +88,11 @@ def collect_population(components: DataFrame, population: DataFrame, records: Da
     return evidence, gaps
 
 
-def match_dependencies(dependencies: DataFrame, components: DataFrame, cap: int | None = 2000) -> DataFrame:
+def match_dependencies(dependencies: DataFrame, components: DataFrame, shown: int = 6) -> DataFrame:
     """Evidence of recorded dependencies for all but methods. `dependencies`: ref_id, ref_name, by_name, by_type.
 
-    A row names a component by its name, its name without the object, or its 18- or 15-character id.
+    A row names a component by its name, its name without the object, or its 18- or 15-character id. The first `shown`
+    dependents are named.
     """
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     own = components.filter(F.col("in_scope") & (F.col("ctype") != V.METHOD))
@@ -98,8 +100,9 @@ def match_dependencies(dependencies: DataFrame, components: DataFrame, cap: int
     left = dependencies.select("by_name", "by_type", F.explode(forms("ref_name", "ref_id")).alias("k"))
     right = own.select(F.col("id").alias("component_id"), F.explode(forms("api_name", "sf_id")).alias("k"))
     found = left.join(right, "k").select("component_id", "by_name", "by_type").distinct()
-    first = found.groupBy("component_id").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(F.concat_ws(":", "by_type", "by_name"))), 1, 6).alias("by"))
-    joined = own.select(F.col("id").alias("component_id")).join(first, "component_id", "left")
+    counts = found.groupBy("component_id").agg(F.count("*").alias("n"))
+    first = E.sample_values(found.withColumn("by", F.concat_ws(":", "by_type", "by_name")), ["component_id"], "by", shown).withColumnRenamed("samples", "by")
+    joined = own.select(F.col("id").alias("component_id")).join(counts, "component_id", "left").join(first, "component_id", "left")
     hit = F.col("n") > 0
     return joined.select(*_row(V.DEPENDENCY, F.when(hit, V.HIT).otherwise(V.MISS), F.when(hit, "A"), F.when(hit, 1.0).otherwise(0.0), F.struct(F.coalesce("n", F.lit(0)).alias("dependents"), "by")))
 
@@ -135,7 +138,8 @@ def match_config_data(rows: DataFrame, text_columns: list[str], table: str, alia
     """Evidence of configuration cells whose trimmed text is an alias; every other component in scope has a miss."""
     cells = rows.select(F.explode(F.array(*[F.struct(F.lit(f"{table}.{c}").alias("cell"), F.lower(F.trim(F.col(c).cast("string"))).alias("alias_lc")) for c in text_columns])).alias("x")).select("x.*")
     able = aliases.filter(F.col("alias_kind").isin("api_name", "qualified", "bare_name", "sf_id_18", "sf_id_15"))
-    found = cells.filter("alias_lc != ''").join(able, "alias_lc").groupBy("component_id").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("cell")), 1, 5).alias("cells"))
+    found = cells.filter("alias_lc != ''").join(able, "alias_lc").groupBy("component_id", "cell").agg(F.count("*").alias("n"))  # a row a text column
+    found = found.groupBy("component_id").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_list("cell")), 1, 5).alias("cells"))
     joined = components.filter("in_scope").select(F.col("id").alias("component_id")).join(found, "component_id", "left")
     hit = F.col("n") > 0
     return joined.select(*_row(V.CONFIG, F.when(hit, V.HIT).otherwise(V.MISS), F.when(hit, "A"), F.when(hit, 1.0).otherwise(0.0), F.struct(F.coalesce("n", F.lit(0)).alias("matches"), "cells")))

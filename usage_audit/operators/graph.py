@@ -14,9 +14,11 @@ from .. import vocabulary as V
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where none is set."""
+    """The folder in spark.checkpoint.dir, which all executors share; on one machine a temporary one if none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -108,23 +110,48 @@ def reachability_evidence(nodes: DataFrame, edges: DataFrame, reached: DataFrame
     return joined.select(F.col("ref_id").alias("component_id"), F.lit(V.REACHABILITY).alias("collector_id"), F.when(hit, V.HIT).otherwise(V.MISS).alias("result"), F.when(hit, "A").alias("tier"), F.when(hit, 1.0).otherwise(0.0).alias("weight"), payload.alias("payload"))
 
 
-def clusters(members: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, cluster): connected components of `edges` (src, dst) among `members` (node); cluster is the smallest node.
+def _with_least(links: DataFrame, most: int) -> DataFrame:
+    """`links` (a, b), at most `most` of them, with m, the smallest b of each a.
+
+    An a with more than a thousandth of all links would meet in one task: there are fewer than 1000 of these, whose m
+    is broadcast to wherever their links are.
+    """
+    least = links.groupBy("a").agg(F.min("b").alias("m"), (F.count("*") * 1000 > most).alias("hot"))
+    hot = F.broadcast(least.filter("hot").select("a", F.col("m").alias("hot_m")))
+    marked = links.join(hot, "a", "left")
+    cold = marked.filter("hot_m is null").select("a", "b").join(least.filter("not hot").select("a", "m"), "a")
+    return cold.unionByName(marked.filter("hot_m is not null").select("a", "b", F.col("hot_m").alias("m")))
 
-    Smallest labels spread to the neighbours, and each label then takes its own label's label, so chains halve.
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of each node of `edges` (a, b): the smallest node that it is connected with.
+
+    Alternating large and small stars: every round links nodes to the smallest node known near them, so that long chains
+    shrink exponentially, until nothing changes; each round is written to the shared folder. Nothing is collected but
+    two numbers a round.
     """
-    inside = edges.select("src", "dst").join(members.select(F.col("node").alias("src")), "src", "left_semi").join(members.select(F.col("node").alias("dst")), "dst", "left_semi")
-    both = cut(inside.unionByName(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "links")
-    labels = cut(members.select("node", F.col("node").alias("cluster")).distinct(), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("dst"), F.col("cluster").alias("c")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("c").alias("near"))
-        lower = labels.join(near, "node", "left").select("node", F.col("cluster").alias("before"), F.least("cluster", F.coalesce("near", "cluster")).alias("cluster"))
-        jump = lower.select(F.col("node").alias("cluster"), F.col("cluster").alias("further"))
-        now = cut(lower.join(jump, "cluster", "left").select("node", "before", F.least("cluster", F.coalesce("further", "cluster")).alias("cluster")), "labels")
-        labels = now.select("node", "cluster")
-        if now.filter("before != cluster").isEmpty():
-            return labels
-    raise RuntimeError(f"labels still move after {most_rounds} rounds")
+    links = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links, before = cut(links, "links"), None
+    while True:
+        after = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if after == before:
+            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        before = after
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = _with_least(both, 2 * after[0]).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = _with_least(large, after[0])
+        onward = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        nearest = large.groupBy("a").agg(F.min("b").alias("b"))
+        links = cut(onward.unionByName(nearest).distinct(), "links")
+
+
+def clusters(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, cluster): connected components of `edges` (src, dst) among `members` (node); cluster is the smallest node.
+    A member without such an edge is its own cluster."""
+    nodes = members.select("node").distinct()
+    inside = edges.select("src", "dst").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    found = components(inside.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"))
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -46,9 +46,9 @@ def reason_frequencies(verdicts: DataFrame, top: int = 20) -> DataFrame:
 
 
 def removal_manifest(components: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(ctype, members): the names of UNUSED components by type, both sorted."""
-    joined = components.select(F.col("id").alias("component_id"), "ctype", "api_name").join(verdicts.filter(F.col("label") == V.UNUSED).select("component_id"), "component_id", "left_semi")
-    return joined.groupBy("ctype").agg(F.array_sort(F.collect_list("api_name")).alias("members")).orderBy("ctype")
+    """(ctype, member): the names of UNUSED components by type, sorted by both; a row a member, as types can be huge."""
+    joined = components.select(F.col("id").alias("component_id"), "ctype", F.col("api_name").alias("member")).join(verdicts.filter(F.col("label") == V.UNUSED).select("component_id"), "component_id", "left_semi")
+    return joined.select("ctype", "member").orderBy("ctype", "member")
 
 
 def evidence_detail(evidence: DataFrame, components: DataFrame, collector_runs: DataFrame) -> DataFrame:
@@ -146,19 +146,35 @@ def reconcile_received(requested: DataFrame, received: DataFrame) -> DataFrame:
     return requested.select("metadata_type").distinct().join(received.select("metadata_type").distinct(), "metadata_type", "left_anti")
 
 
-# --- fixed values: what a missing capability means ------------------------------------------------------------------------
+# --- fixed values: what a probed capability means; of one that isn't listed for a state nothing is said ---------------------
 CAPABILITIES = {
-    "has_event_logs": "runtime logs are not available: use by people and integrations can't be seen", "has_dependency_api": "recorded dependencies are not available",
-    "has_data_access": "stored data can't be counted", "has_tooling": "code symbols are not available: methods are incomplete",
-}
+    ("has_event_logs", True): "runtime logs are read for the types that name components; others are skipped",
+    ("has_event_logs", None): "it is not known whether runtime logs are available",
+    ("has_dependency_api", False): "recorded dependencies are not available: nothing is checked against them",
+    ("has_field_history", False): "no history of fields: a value written long ago looks like one of yesterday",
+    ("has_code_coverage", False): "no code coverage is recorded",
+}
+NO_LOGS = ("no runtime logs came, but files of them are read: ", "runtime logs are not available: use by people and integrations can't be seen")
+NAMED_LOGS, NAMED_OBJECTS = 5, 8
 
 
 def coverage_caveats(collector_runs: DataFrame, capabilities: DataFrame) -> DataFrame:
-    """(caveat): collectors that did not finish well, and capabilities that are missing or were not probed (null)."""
-    bad = collector_runs.filter("status != 'OK'").select(F.concat_ws(" ", T.label_for("collector_id"), F.concat(F.lit("is "), F.lower("status"))).alias("caveat"))
-    have = [c for c in CAPABILITIES if c in capabilities.columns]
-    said = F.array(*[F.when(F.col(c).isNull(), F.concat(F.lit("not probed: "), F.lit(c))).when(~F.col(c), F.lit(CAPABILITIES[c])) for c in have])
-    return bad.unionByName(capabilities.select(F.explode(F.array_compact(said)).alias("caveat"))).distinct()
+    """(run_id, caveat): collectors that did not finish well, and what a run's capabilities leave unseen.
+
+    `collector_runs`: run_id, collector_id, status; `capabilities`: run_id, the flags of CAPABILITIES (null: not probed),
+    log_files and unavailable_objects (arrays of names), is_admin, run_as.
+    """
+    bad = collector_runs.filter("status != 'OK'").select("run_id", F.concat_ws(" ", T.label_for("collector_id"), F.concat(F.lit("is "), F.lower("status"))).alias("caveat"))
+    names = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    first = lambda c, n: F.concat_ws(", ", F.slice(names(c), 1, n))
+    files, hidden = F.size(names("log_files")), F.size(names("unavailable_objects"))
+    more = F.when(files > NAMED_LOGS, F.concat(F.lit(" and "), (files - NAMED_LOGS).cast("string"), F.lit(" more"))).otherwise("")
+    said = [F.when(~F.col("has_event_logs"), F.when(files > 0, F.concat(F.lit(NO_LOGS[0]), first("log_files", NAMED_LOGS), more)).otherwise(NO_LOGS[1]))]
+    said += [F.when(F.col(c).eqNullSafe(F.lit(state)), text) for (c, state), text in CAPABILITIES.items()]
+    sorted_ = F.concat_ws(", ", F.slice(F.array_sort(names("unavailable_objects")), 1, NAMED_OBJECTS))
+    said.append(F.when(hidden > 0, F.concat(hidden.cast("string"), F.lit(" objects could not be read: "), sorted_, F.when(hidden > NAMED_OBJECTS, F.lit(" and more")).otherwise(F.lit("")))))
+    said.append(F.when(~F.col("is_admin"), F.concat(F.lit("the user "), F.coalesce("run_as", F.lit("?")), F.lit(" is no administrator: what it can't see looks unused"))))
+    return bad.unionByName(capabilities.select("run_id", F.explode(F.array_compact(F.array(*said))).alias("caveat"))).distinct()
 
 
 def kind_buckets(classes: DataFrame, methods: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -68,8 +68,11 @@ def resolve_references(said: DataFrame, aliases: DataFrame, components: DataFram
     guarded = (F.col("match_kind") == "comment_mention") | ((F.col("match_kind") == "token_sweep") & ~F.col("is_code"))
     matched = matched.filter(~guarded | T.is_sweepable("alias_lc"))
     base = F.when(F.col("match_kind") == "comment_mention", "C").when((F.col("match_kind") == "token_sweep") & (F.col("alias_kind") == "bare_name"), "C").otherwise("A")
-    parents = tokens.select("artifact_id", F.col("token").alias("parent"), F.lit(True).alias("named"))
-    matched = matched.withColumn("tier", base).join(parents, ["artifact_id", "parent"], "left")
+    # only ambiguous aliases ask whether the file names the parent, and only names of such parents can answer
+    asked = owned.filter("ambiguous and parent is not null").select("parent").distinct()
+    parents = tokens.select("artifact_id", F.col("token").alias("parent")).join(asked, "parent", "left_semi").distinct().withColumn("named", F.lit(True))
+    matched = matched.withColumn("tier", base)
+    matched = matched.filter("ambiguous").join(parents, ["artifact_id", "parent"], "left").unionByName(matched.filter("not ambiguous").withColumn("named", F.lit(False)))
     doubtful = F.col("ambiguous") & ~F.coalesce("named", F.lit(False))
     placed = F.col("metadata_type").isin(*V.PLACEMENT_CONSUMERS) & F.col("ctype").isin(*V.UI_TYPES)
     weak = F.col("is_test") | ~F.col("is_active") | (F.col("metadata_type").isin(*V.WEAK_CONSUMERS) & ~placed)

@@ -86,17 +86,19 @@ def logs(spark: SparkSession, d: str) -> DataFrame:
     """Events as log rows: each type of event stands for a type of log."""
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.selectExpr(
-        "CASE event_type WHEN 'view' THEN 'LightningPageView' WHEN 'click' THEN 'LightningInteraction' WHEN 'purchase' THEN 'ApexExecution' WHEN 'signup' THEN 'RestApi' ELSE 'ApexCallout' END AS EVENT_TYPE", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") AS TIMESTAMP_DERIVED",
+        "CASE event_type WHEN 'view' THEN CASE user_id % 10 WHEN 0 THEN 'ApexRestApi' WHEN 1 THEN 'DatabaseSave' ELSE 'LightningPageView' END WHEN 'click' THEN 'LightningInteraction' WHEN 'purchase' THEN 'ApexExecution' WHEN 'signup' THEN 'RestApi' ELSE 'ApexCallout' END AS EVENT_TYPE", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") AS TIMESTAMP_DERIVED",
         "CASE WHEN event_type IN ('view', 'click') THEN 'Entity_' || user_id || '__c' END AS PAGE_ENTITY_TYPE", "CASE WHEN event_type = 'click' THEN 'force:x;c:Card' || (user_id % 10) END AS COMPONENT_NAME",
         "CASE WHEN event_type = 'purchase' THEN 'Service' || (user_id % 20) || '.run' || (event_id % 3) END AS ENTRY_POINT", "CASE WHEN event_type = 'signup' THEN 'SELECT Field_' || (user_id % 7) || '__c FROM Order_' || (user_id % 5) || '__c' END AS QUERY",
-        "CASE WHEN event_type = 'error' THEN 'Caller' || (user_id % 9) END AS APEX_CLASS_NAME", "'send' AS APEX_METHOD_NAME", "CASE WHEN event_type = 'error' THEN '/out/' || user_id END AS URI",
+        "CASE WHEN event_type = 'error' THEN 'Caller' || (user_id % 9) END AS APEX_CLASS_NAME", "'send' AS APEX_METHOD_NAME", "CASE WHEN event_type = 'error' THEN '/out/' || user_id WHEN user_id % 10 = 0 THEN '/Rest' || (user_id % 30 + 1) || '/items/' || event_id END AS URI", "'a' || (user_id % 30) AS KEY_PREFIX",
     )
 
 
 LOG_SQL = """
 logrows AS (SELECT event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS seen, user_id, event_id FROM events),
 hits AS (
-  SELECT 'object' AS bucket, lower('Entity_' || user_id || '__c') AS key, 'object' AS kind, seen FROM logrows WHERE event_type IN ('view', 'click')
+  SELECT 'object' AS bucket, lower('Entity_' || user_id || '__c') AS key, 'object' AS kind, seen FROM logrows WHERE event_type = 'click' OR (event_type = 'view' AND user_id % 10 > 1)
+  UNION ALL SELECT 'rest_path', 'rest' || (user_id % 30 + 1), 'rest', seen FROM logrows WHERE event_type = 'view' AND user_id % 10 = 0
+  UNION ALL SELECT 'key_prefix', 'a' || (user_id % 30), 'object', seen FROM logrows WHERE event_type = 'view' AND user_id % 10 = 1
   UNION ALL SELECT 'ui', lower('Card' || (user_id % 10)), 'ui', seen FROM logrows WHERE event_type = 'click'
   UNION ALL SELECT 'class', lower('Service' || (user_id % 20)), 'execution', seen FROM logrows WHERE event_type = 'purchase'
   UNION ALL SELECT 'method', lower('Service' || (user_id % 20) || '.run' || (event_id % 3)), 'execution', seen FROM logrows WHERE event_type = 'purchase'

@@ -127,7 +127,7 @@ def reconcile_received(spark, d):
 @query("SELECT id AS component_id, CASE WHEN n IS NULL THEN 'INCONCLUSIVE' WHEN n > 0 THEN 'EVIDENCE_OF_USE' ELSE 'NO_EVIDENCE_FOUND' END AS result FROM comps LEFT JOIN (SELECT p_partkey, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 45 WHERE p_partkey % 4 <> 0 GROUP BY 1) ON p_partkey = id WHERE in_scope AND ctype = 'CustomField' AND parent_object <> 'Obj_3__c'")
 def collect_population(spark, d):
     c = I.components(spark, d).filter(F.col("ctype") == V.FIELD)
-    li = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_quantity > 45").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("n"))
+    li = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_partkey").alias("id")).agg(F.count_if(F.col("l_quantity") > 45).alias("n"))
     population = c.filter("id % 4 <> 0").join(li, "id", "left").select(F.col("parent_object").alias("object"), F.col("api_name").alias("field"), F.lit(100).alias("total"), F.coalesce("n", F.lit(0)).alias("filled"))
     failed = c.filter("parent_object = 'Obj_3__c'").select(F.col("parent_object").alias("object"))
     return EV.collect_population(c, population, c.select(F.col("parent_object").alias("object"), F.lit(1).alias("records")).distinct(), failed)[0].select("component_id", "result")
@@ -159,8 +159,8 @@ def dependency_status(spark, d):
 
 def _small_graph(spark, d):
     nodes = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), F.lit("component").alias("kind"), F.col("p_name").alias("label"), F.col("p_type").alias("ctype"), F.col("p_partkey").alias("ref_id"), (F.col("p_partkey") % 101 == 0).alias("is_entry_point"), F.lit(None).cast("string").alias("entry_reason"))
-    edges = _parts_graph(spark, d, whole=True)
-    return nodes, edges, G.reachability(nodes, edges, 30)
+    edges = _parts_graph(spark, d)
+    return nodes, edges, G.reachability(nodes, edges)
 
 
 @query()
@@ -189,11 +189,47 @@ def source_for_component(spark, d):
     return R.source_for_component(c, sources)
 
 
-@query("SELECT 'runtime logs are not available: use by people and integrations can''t be seen' AS caveat UNION ALL SELECT 'not probed: has_data_access' UNION ALL SELECT 'Recorded dependencies is partial' WHERE (SELECT count(*) FROM part) = 2000", base=False)
+@query(
+    """WITH n AS (SELECT n_nationkey AS k, n_name AS who FROM nation), t AS (
+      SELECT k, 'Recorded dependencies is partial' AS caveat FROM n WHERE (SELECT count(*) FROM part) = 2000
+      UNION ALL SELECT k, CASE WHEN k % 5 = 0 THEN 'no runtime logs came, but files of them are read: A, B, C, D, E and 1 more' WHEN k % 5 = 1 THEN 'no runtime logs came, but files of them are read: A' ELSE 'runtime logs are not available: use by people and integrations can''t be seen' END FROM n WHERE k % 3 = 0
+      UNION ALL SELECT k, 'runtime logs are read for the types that name components; others are skipped' FROM n WHERE k % 3 = 1
+      UNION ALL SELECT k, 'it is not known whether runtime logs are available' FROM n WHERE k % 3 = 2
+      UNION ALL SELECT k, 'recorded dependencies are not available: nothing is checked against them' FROM n WHERE k % 4 = 0
+      UNION ALL SELECT k, 'no history of fields: a value written long ago looks like one of yesterday' FROM n WHERE k % 4 = 1
+      UNION ALL SELECT k, 'no code coverage is recorded' FROM n WHERE k % 4 = 2
+      UNION ALL SELECT k, CASE WHEN k % 6 = 0 THEN '9 objects could not be read: O1, O2, O3, O4, O5, O6, O7, O8 and more' ELSE '2 objects could not be read: Bar, Foo' END FROM n WHERE k % 6 < 2
+      UNION ALL SELECT k, 'the user ' || who || ' is no administrator: what it can''t see looks unused' FROM n WHERE k % 7 = 0)
+    SELECT k AS run_id, caveat FROM t""",
+    base=False,
+)
 def coverage_caveats(spark, d):
-    runs = EV.dependency_status(spark.read.parquet(f"{d}/part.parquet")).select(F.lit(V.DEPENDENCY).alias("collector_id"), "status")
-    have = spark.createDataFrame([(False, None, True)], "has_event_logs boolean, has_data_access boolean, has_tooling boolean")
-    return R.coverage_caveats(runs, have)
+    """Each nation is a run with capabilities of its own."""
+    n = spark.read.parquet(f"{d}/nation.parquet").withColumn("k", F.col("n_nationkey"))
+    have = n.selectExpr(
+        "k AS run_id", "CASE k % 3 WHEN 0 THEN false WHEN 1 THEN true END AS has_event_logs", "k % 4 != 0 AS has_dependency_api", "k % 4 != 1 AS has_field_history", "k % 4 != 2 AS has_code_coverage",
+        "CASE k % 5 WHEN 0 THEN array('A', 'B', 'C', 'D', 'E', 'F') WHEN 1 THEN array('A') END AS log_files", "CASE k % 6 WHEN 0 THEN array('O9', 'O8', 'O7', 'O6', 'O5', 'O4', 'O3', 'O2', 'O1') WHEN 1 THEN array('Foo', 'Bar') END AS unavailable_objects",
+        "k % 7 != 0 AS is_admin", "n_name AS run_as",
+    )
+    status = EV.dependency_status(spark.read.parquet(f"{d}/part.parquet")).select(F.lit(V.DEPENDENCY).alias("collector_id"), "status")
+    return R.coverage_caveats(n.select(F.col("k").alias("run_id")).join(F.broadcast(status)), have)  # one row of status
+
+
+_CODES = ("DYNAMIC_APEX_IN_SCOPE", "UNCALLED_ENTRY_POINT", "TEST_ONLY", "BLOCKED_BY_DEPENDENT", "WEAK_SIGNAL_ONLY (Profile only)", "INSUFFICIENT_EVIDENCE (missing: C20)", "RECENTLY_CHANGED", "LLM_FLAGGED", "EXPOSED_UI_NO_PLACEMENT")
+
+
+@query(
+    f"""WITH q AS (SELECT p_partkey, [{', '.join(repr(c) for c in _CODES)}] AS codes, p_size % 9 AS i, p_partkey % 9 AS j FROM part)
+    SELECT p_partkey, CASE least(i, j) WHEN 0 THEN 'Does code that makes names at run time reach it?' WHEN 1 THEN 'Does anything outside the system call it?' WHEN 2 THEN 'Is the code that this test covers still needed, or can both go?'
+      WHEN 3 THEN 'Can what still refers to it go together with it?' WHEN 4 THEN 'Will what only mentions it, or is inactive, be used again?' WHEN 5 THEN 'Which missing checks can be run again?' WHEN 6 THEN 'Is someone still building on it?'
+      WHEN 7 THEN 'Is the concern that a model raised about it founded?' ELSE 'Who owns it, and is it still needed?' END AS question FROM q""",
+    base=False,
+)
+def review_question(spark, d):
+    """Of two reasons of each part, in any order, the question that comes first."""
+    codes = F.array(*map(F.lit, _CODES))
+    both = F.array(F.get(codes, (F.col("p_partkey") % 9).cast("int")), F.get(codes, F.col("p_size") % 9))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", T.review_question(both).alias("question"))
 
 
 @query("SELECT m.parent_id AS id, 0.0 + CASE p.label WHEN 'UNUSED' THEN 3 WHEN 'NEEDS_REVIEW' THEN 2 ELSE 0 END + sum(CASE v.label WHEN 'UNUSED' THEN 1.0 WHEN 'NEEDS_REVIEW' THEN 0.5 ELSE 0 END)::DOUBLE AS score FROM comps m JOIN verdicts v ON v.component_id = m.id JOIN verdicts p ON p.component_id = m.parent_id WHERE m.ctype = 'ApexMethod' GROUP BY m.parent_id, p.label")
@@ -335,8 +371,14 @@ def throttle_progress(spark, d):
 @query(f", {I.LOG_SQL} SELECT bucket, key, count(*) AS total, max(seen) AS last_seen FROM hits GROUP BY 1, 2")
 def streaming_event_hits(spark, d):
     source, out = _shared(spark, "logs"), _shared(spark, "hits")
-    I.logs(spark, d).write.parquet(source)
-    stream = ST.streaming_event_hits(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source))
-    put = lambda batch, epoch: batch.write.mode("overwrite").parquet(out)
-    _finish(stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", _shared(spark, "cursor")))
-    return spark.read.parquet(out).select("bucket", "key", "total", "last_seen")
+    I.logs(spark, d).repartition(2).write.parquet(source)  # two files, a batch each
+    stream = ST.streaming_event_hits(spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source))
+    last = []
+    fold = ST.fold_into(out, ["bucket", "key"])
+
+    def put(batch, epoch):
+        fold(batch, epoch)
+        last.append(epoch)
+
+    _finish(stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", _shared(spark, "cursor")))
+    return spark.read.parquet(f"{out}/v{max(last)}").select("bucket", "key", "total", "last_seen")

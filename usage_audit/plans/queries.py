@@ -86,7 +86,7 @@ def weak_inventory_warning(spark, d):
     return A.weak_inventory_warning(I.edges(spark, d), I.components(spark, d))
 
 
-@query(r"SELECT doc_id, regexp_replace(text, '(?i)\b(password|passwd|secret|token|api[_-]?key|apikey|authorization|bearer)\b\s*[:=]\s*\S+', '\1=[REDACTED]', 'g') AS clean FROM documents", base=False)
+@query(r"""SELECT doc_id, regexp_replace(text, '(?i)(password|secret|token|api[_-]?key|private[_-]?key|bearer)\s*[:=]\s*[''"]?[\p{L}\p{N}_\-./+=]{8,}', '\1=[REDACTED]', 'g') AS clean FROM documents""", base=False)
 def redact(spark, d):
     return _docs(spark, d).select("doc_id", T.redact("text").alias("clean"))
 
@@ -302,20 +302,39 @@ def async_runs(spark, d):
     return E.async_runs(spark.read.parquet(f"{d}/orders.parquet").selectExpr("'0Z' || lpad(CAST(o_custkey % 100 AS STRING), 13, '0') || 'AAB' AS class_id", "1 AS runs"))
 
 
-@query(f", {I.LOG_SQL}, k AS (SELECT DISTINCT bucket, key FROM hits), c AS (SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN 'ApexClass' WHEN 1 THEN 'CustomObject' ELSE 'CustomField' END AS ctype, CASE p_size % 3 WHEN 0 THEN 'Service' || p_partkey % 40 WHEN 1 THEN 'Entity_' || p_partkey || '__c' ELSE 'Obj.Field_' || p_partkey % 14 || '__c' END AS n FROM part) SELECT id AS component_id, CASE WHEN key IS NULL THEN 'NO_EVIDENCE_FOUND' ELSE 'EVIDENCE_OF_USE' END AS result, CASE WHEN key IS NULL THEN 0.0 WHEN ctype = 'ApexClass' THEN 0.95 ELSE 0.9 END::DOUBLE AS weight FROM c LEFT JOIN k ON key = lower(CASE WHEN ctype = 'CustomField' THEN split_part(n, '.', 2) ELSE n END) AND bucket = CASE ctype WHEN 'ApexClass' THEN 'class' WHEN 'CustomObject' THEN 'object' ELSE 'field' END")
+#: Components whose names, ids and prefixes the logs of inputs.logs() name; both dialects read these expressions.
+_RUNTIME = (
+    "p_partkey AS id",
+    "CASE p_size % 3 WHEN 0 THEN 'ApexClass' WHEN 1 THEN 'CustomObject' ELSE 'CustomField' END AS ctype",
+    "CASE p_size % 3 WHEN 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'Service' || p_partkey % 40 ELSE 'Rest' || p_partkey % 60 || 'Resource' END WHEN 1 THEN 'Entity_' || p_partkey || '__c' ELSE 'Obj.Field_' || p_partkey % 14 || '__c' END AS api_name",
+    "CASE WHEN p_size % 3 = 0 THEN '01p' || lpad(CAST(p_partkey AS VARCHAR(20)), 12, '0') || 'AAA' END AS sf_id",
+    "CASE WHEN p_size % 3 = 1 THEN 'A' || p_partkey % 40 END AS key_prefix",
+)
+
+
+@query(
+    f", {I.LOG_SQL}, c AS (SELECT {', '.join(_RUNTIME)} FROM part), k AS (SELECT DISTINCT bucket, key FROM hits), n AS (SELECT *, lower(CASE WHEN ctype = 'CustomField' THEN split_part(api_name, '.', 2) ELSE api_name END) AS own FROM c), "
+    "f AS (SELECT n.*, CASE WHEN ctype = 'ApexClass' AND ('class', own) IN (SELECT (bucket, key) FROM k) THEN 'class' WHEN ctype = 'ApexClass' AND (('rest_path', own) IN (SELECT (bucket, key) FROM k) OR ('rest_path', regexp_replace(own, '(resource|service)$', '')) IN (SELECT (bucket, key) FROM k)) THEN 'rest_path' "
+    "WHEN ctype = 'CustomObject' AND ('object', own) IN (SELECT (bucket, key) FROM k) THEN 'object' WHEN ctype = 'CustomObject' AND ('key_prefix', lower(key_prefix)) IN (SELECT (bucket, key) FROM k) THEN 'key_prefix' WHEN ctype = 'CustomField' AND ('field', own) IN (SELECT (bucket, key) FROM k) THEN 'field' END AS bucket, "
+    "(SELECT count(*) FROM orders WHERE 3 * o_custkey = n.id AND n.ctype = 'ApexClass') AS runs, n.ctype = 'ApexClass' AND n.api_name IN (SELECT api_name FROM c WHERE id % 29 = 0) AS scheduled FROM n) "
+    "SELECT id AS component_id, bucket, runs, scheduled, CASE WHEN bucket IS NULL AND runs = 0 AND NOT scheduled THEN 'NO_EVIDENCE_FOUND' ELSE 'EVIDENCE_OF_USE' END AS result, CASE WHEN bucket IS NULL AND runs = 0 AND NOT scheduled THEN 0.0 WHEN ctype = 'ApexClass' AND bucket IS NOT NULL THEN 0.95 ELSE 0.9 END::DOUBLE AS weight FROM f"
+)
 def match_runtime(spark, d):
-    names = "CASE p_size % 3 WHEN 0 THEN 'Service' || p_partkey % 40 WHEN 1 THEN 'Entity_' || p_partkey || '__c' ELSE 'Obj.Field_' || p_partkey % 14 || '__c' END AS api_name"
-    c = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey AS id", "CASE p_size % 3 WHEN 0 THEN 'ApexClass' WHEN 1 THEN 'CustomObject' ELSE 'CustomField' END AS ctype", names, "CAST(NULL AS STRING) AS sf_id", "CAST(NULL AS STRING) AS key_prefix")
-    hits = E.event_hits(E.normalised_events(I.logs(spark, d)))
-    runs = E.async_runs(c.selectExpr("'x' AS class_id", "1 AS runs").limit(0))
-    return E.match_runtime(c, hits, runs, c.selectExpr("api_name AS class_name").limit(0)).select("component_id", "result", "weight")
+    """Logs by name, by REST path and by key prefix, runs of jobs, and schedules."""
+    part, orders = spark.read.parquet(f"{d}/part.parquet"), spark.read.parquet(f"{d}/orders.parquet")
+    c = part.selectExpr(*_RUNTIME)
+    runs = E.async_runs(orders.selectExpr("'01P' || lpad(CAST(3 * o_custkey AS STRING), 12, '0') || 'AAB' AS class_id", "1 AS runs"))
+    scheduled = c.filter("id % 29 = 0").select(F.upper("api_name").alias("class_name"))
+    found = E.match_runtime(c, E.event_hits(E.normalised_events(I.logs(spark, d))), runs, scheduled)
+    said = lambda path: F.get_json_object("payload", path)
+    return found.select("component_id", said("$.hit.bucket").alias("bucket"), said("$.async_runs").cast("long").alias("runs"), said("$.scheduled").cast("boolean").alias("scheduled"), "result", "weight")
 
 
-@query("SELECT id AS component_id, CASE WHEN count(DISTINCT s_name) > 0 THEN 'EVIDENCE_OF_USE' ELSE 'NO_EVIDENCE_FOUND' END AS result FROM comps LEFT JOIN lineitem ON l_partkey = id AND l_quantity > 49 LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE in_scope AND ctype <> 'ApexMethod' GROUP BY 1")
+@query("SELECT id AS component_id, CASE WHEN count(DISTINCT s_name) > 0 THEN 'EVIDENCE_OF_USE' ELSE 'NO_EVIDENCE_FOUND' END AS result FROM comps LEFT JOIN lineitem ON l_partkey - l_partkey % 3 = id LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE in_scope AND ctype <> 'ApexMethod' GROUP BY 1")
 def match_dependencies(spark, d):
-    li = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_quantity > 49")
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
     named = I.components(spark, d).select("id", "sf_id")
-    deps = li.join(named, F.col("l_partkey") == F.col("id")).join(spark.read.parquet(f"{d}/supplier.parquet"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("sf_id").alias("ref_id"), F.lit(None).cast("string").alias("ref_name"), F.col("s_name").alias("by_name"), F.lit("Report").alias("by_type"))
+    deps = li.join(named, F.col("l_partkey") - F.col("l_partkey") % 3 == F.col("id")).join(spark.read.parquet(f"{d}/supplier.parquet"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("sf_id").alias("ref_id"), F.lit(None).cast("string").alias("ref_name"), F.col("s_name").alias("by_name"), F.lit("Report").alias("by_type"))
     return EV.match_dependencies(deps, I.components(spark, d)).select("component_id", "result")
 
 
@@ -366,21 +385,20 @@ def check_matrix(spark, d):
 # --- the graph ----------------------------------------------------------------------------------------------------------------
 
 
-def _parts_graph(spark, d, whole=False):
-    """Edges of the rows that the SQL of the graph queries takes, or with `whole` of all rows."""
-    li = spark.read.parquet(f"{d}/lineitem.parquet").filter("true" if whole else "l_quantity > 47")
+def _parts_graph(spark, d):
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
     edges = li.select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("reference").alias("kind"))
-    orders = spark.read.parquet(f"{d}/orders.parquet").filter("true" if whole else "o_totalprice > 400000").select(F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"), F.when(F.col("o_orderstatus") == "P", "declares").otherwise("reference").alias("kind"))
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("dst"), F.when(F.col("o_orderstatus") == "P", "declares").otherwise("reference").alias("kind"))
     return edges.unionByName(orders).distinct()
 
 
-_GRAPH = "g AS (SELECT DISTINCT * FROM (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, 'reference' AS kind FROM lineitem WHERE l_quantity > 47 UNION ALL SELECT 'p' || o_custkey, 'o' || o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'declares' ELSE 'reference' END FROM orders WHERE o_totalprice > 400000))"
+_GRAPH = "g AS (SELECT DISTINCT * FROM (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, 'reference' AS kind FROM lineitem UNION ALL SELECT 'p' || o_custkey, 'o' || o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'declares' ELSE 'reference' END FROM orders))"
 
 
 @query(f"WITH RECURSIVE {_GRAPH}, walk(key, distance) AS (SELECT 'p' || p_partkey, 0 FROM part WHERE p_partkey % 101 = 0 UNION SELECT dst, distance + 1 FROM walk JOIN g ON src = key WHERE kind <> 'declares' AND distance < 30) SELECT key, min(distance) AS distance FROM walk GROUP BY 1", base=False)
 def reachability(spark, d):
     nodes = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), (F.col("p_partkey") % 101 == 0).alias("is_entry_point"))
-    return G.reachability(nodes, _parts_graph(spark, d), 30).select("key", "distance")
+    return G.reachability(nodes, _parts_graph(spark, d)).select("key", "distance")
 
 
 @query(f"WITH {_GRAPH} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM g UNION ALL SELECT dst FROM g) GROUP BY 1", base=False)
@@ -388,9 +406,9 @@ def degree(spark, d):
     return G.degree(_parts_graph(spark, d))
 
 
-@query("WITH RECURSIVE e AS (SELECT 'p' || (l_partkey) AS a, 'p' || (l_partkey - 7) AS b FROM lineitem WHERE l_quantity = 50 AND l_partkey > 7), m AS (SELECT 'p' || p_partkey AS n FROM part), b AS (SELECT a, b FROM e JOIN m x ON x.n = a JOIN m y ON y.n = b UNION SELECT b, a FROM e JOIN m x ON x.n = a JOIN m y ON y.n = b), w(n, c) AS (SELECT n, n FROM m UNION SELECT b.a, w.c FROM w JOIN b ON b.b = w.n WHERE w.c < b.a) SELECT n AS node, min(c) AS cluster FROM w GROUP BY 1", base=False)
+@query("WITH RECURSIVE e AS (SELECT 'p' || (l_partkey) AS a, 'p' || (l_partkey - 7) AS b FROM lineitem WHERE l_partkey > 7), m AS (SELECT 'p' || p_partkey AS n FROM part), b AS (SELECT a, b FROM e JOIN m x ON x.n = a JOIN m y ON y.n = b UNION SELECT b, a FROM e JOIN m x ON x.n = a JOIN m y ON y.n = b), w(n, c) AS (SELECT n, n FROM m UNION SELECT b.a, w.c FROM w JOIN b ON b.b = w.n WHERE w.c < b.a) SELECT n AS node, min(c) AS cluster FROM w GROUP BY 1", base=False)
 def clusters(spark, d):
-    li = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_quantity = 50 AND l_partkey > 7")
+    li = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_partkey > 7")
     p = lambda c: F.concat(F.lit("p"), c.cast("string"))
     return G.clusters(spark.read.parquet(f"{d}/part.parquet").select(p(F.col("p_partkey")).alias("node")), li.select(p(F.col("l_partkey")).alias("src"), p(F.col("l_partkey") - 7).alias("dst")))
 
@@ -400,9 +418,9 @@ def neighbours(spark, d):
     return G.neighbours(_parts_graph(spark, d), spark.read.parquet(f"{d}/part.parquet").filter("p_size = 1").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node")))
 
 
-@query(f"WITH RECURSIVE {_GRAPH}, w(start, node) AS (SELECT 'p' || p_partkey, 'p' || p_partkey FROM part WHERE p_size = 1 UNION SELECT start, dst FROM w JOIN g ON src = node) SELECT start, node FROM w WHERE start <> node", base=False)
+@query(f"WITH RECURSIVE {_GRAPH}, w(start, node) AS (SELECT 'p' || p_partkey, 'p' || p_partkey FROM part WHERE p_partkey <= 3 UNION SELECT start, dst FROM w JOIN g ON src = node) SELECT start, node FROM w WHERE start <> node", base=False)
 def closure(spark, d):
-    starts = spark.read.parquet(f"{d}/part.parquet").filter("p_size = 1").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
+    starts = spark.read.parquet(f"{d}/part.parquet").filter("p_partkey <= 3").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"))
     return G.closure(_parts_graph(spark, d), starts).select("start", "node")
 
 
@@ -482,9 +500,9 @@ def verdicts_by_type(spark, d):
     return R.verdicts_by_type(I.verdicts(spark, d), I.components(spark, d))
 
 
-@query("SELECT ctype, array_to_string(list_sort(list(api_name)), '|') AS members FROM comps JOIN verdicts v ON component_id = id WHERE v.label = 'UNUSED' GROUP BY 1")
+@query("SELECT ctype, api_name AS member FROM comps JOIN verdicts v ON component_id = id WHERE v.label = 'UNUSED'")
 def removal_manifest(spark, d):
-    return R.removal_manifest(I.components(spark, d), I.verdicts(spark, d)).select("ctype", _joined("members"))
+    return R.removal_manifest(I.components(spark, d), I.verdicts(spark, d))
 
 
 @query(f", {_CLASSIFY} SELECT trim(split_part(CASE rule WHEN 'R2' THEN 'INSUFFICIENT_EVIDENCE' WHEN 'R6' THEN 'DYNAMIC_APEX_IN_SCOPE' WHEN 'R7' THEN 'WEAK_SIGNAL_ONLY' ELSE CASE WHEN ctype IN ('ApexClass', 'ApexMethod') AND is_entry_point THEN 'UNCALLED_ENTRY_POINT' WHEN ctype = 'LightningComponentBundle' AND (is_exposed OR is_entry_point) THEN 'EXPOSED_UI_NO_PLACEMENT' ELSE 'TEST_ONLY' END END, '(', 1)) AS reason, count(*) AS components FROM judged JOIN comps ON id = component_id WHERE judged.label = 'NEEDS_REVIEW' GROUP BY 1")

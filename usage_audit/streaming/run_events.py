@@ -89,7 +89,7 @@ def throttle_progress(events: DataFrame, interval: float = 0.4, idle: str = "1 d
 
 
 def streaming_event_hits(logs: DataFrame) -> DataFrame:
-    """Hits by (bucket, key), kept up to date as log rows come: use output mode update or complete."""
+    """Hits by (bucket, key), kept up to date as log rows come: in output mode update fold_into() keeps the table."""
     e = E.normalised_events(logs)
     return e.groupBy("bucket", "key").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in E.KINDS], F.count("*").alias("total"), F.max("seen").alias("last_seen"))
 

@@ -90,3 +90,6 @@ SKIPPED_ENTRY_POINTS = ("execute_anonymous_apex", "triggers", "anonymousapex")
 TOKEN = r"[A-Za-z_][A-Za-z0-9_]*"
 REPORT_COLUMN = r"[A-Za-z0-9_]+\$[A-Za-z0-9_]+"
 MERGE_FIELD = r"\{!\s*([^}]{2,200})\}"
+
+#: Fixed value: a credential's key and its value.
+SECRETS = r"(?i)(password|secret|token|api[_-]?key|private[_-]?key|bearer)\s*[:=]\s*['\"]?[\p{L}\p{N}_\-./+=]{8,}"
