@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -110,25 +110,26 @@ def reachability_evidence(nodes: DataFrame, edges: DataFrame, reached: DataFrame
     return joined.select(F.col("ref_id").alias("component_id"), F.lit(V.REACHABILITY).alias("collector_id"), F.when(hit, V.HIT).otherwise(V.MISS).alias("result"), F.when(hit, "A").alias("tier"), F.when(hit, 1.0).otherwise(0.0).alias("weight"), payload.alias("payload"))
 
 
-def _with_least(links: DataFrame, most: int) -> DataFrame:
-    """`links` (a, b), at most `most` of them, with m, the smallest b of each a.
-
-    An a with more than a thousandth of all links would meet in one task: there are fewer than 1000 of these, whose m
-    is broadcast to wherever their links are.
-    """
-    least = links.groupBy("a").agg(F.min("b").alias("m"), (F.count("*") * 1000 > most).alias("hot"))
-    hot = F.broadcast(least.filter("hot").select("a", F.col("m").alias("hot_m")))
-    marked = links.join(hot, "a", "left")
-    cold = marked.filter("hot_m is null").select("a", "b").join(least.filter("not hot").select("a", "m"), "a")
-    return cold.unionByName(marked.filter("hot_m is not null").select("a", "b", F.col("hot_m").alias("m")))
+def _with_least(links: DataFrame, key: str, least: DataFrame, hot: list) -> DataFrame:
+    """`links` (a, b) with m, what `least` (a, m) says of column `key`, or null. Of the `hot` keys, fewer than 1000, m is
+    fetched and broadcast, so that their links don't meet in one task."""
+    named = least.select(F.col("a").alias(key), "m")
+    if not hot:
+        return links.join(named, key, "left").select("a", "b", "m")
+    kind = links.schema[key].dataType.simpleString()
+    known = {r[key]: r["m"] for r in named.filter(F.col(key).isin(hot)).toLocalIterator()}
+    few = links.sparkSession.createDataFrame([(k, known.get(k)) for k in hot], f"{key} {kind}, m {kind}")
+    warm = links.filter(F.col(key).isin(hot)).join(F.broadcast(few), key).select("a", "b", "m")
+    return links.filter(~F.col(key).isin(hot)).join(named, key, "left").select("a", "b", "m").unionByName(warm)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of each node of `edges` (a, b): the smallest node that it is connected with.
 
     Alternating large and small stars: every round links nodes to the smallest node known near them, so that long chains
-    shrink exponentially, until nothing changes; each round is written to the shared folder. Nothing is collected but
-    two numbers a round.
+    shrink exponentially, until nothing changes; each round is written to the shared folder. A node with more than a
+    thousandth of all links, and more than 100, would meet them in one task: there are fewer than 1000 such nodes a
+    side, and they are looked up apart. Nothing else is collected but two numbers a round.
     """
     links = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links, before = cut(links, "links"), None
@@ -137,12 +138,18 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = after
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_least(both, 2 * after[0]).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        small = _with_least(large, after[0])
-        onward = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        nearest = large.groupBy("a").agg(F.min("b").alias("b"))
-        links = cut(onward.unionByName(nearest).distinct(), "links")
+        ends = links.select(F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("node")) for c in ("a", "b")])).alias("e")).select("e.*")
+        found = ends.groupBy("side", "node").agg(F.count("*").alias("n")).filter(F.col("n") * 1000 > F.greatest(F.lit(after[0]), F.lit(100_000))).collect()
+        hot = {c: [r["node"] for r in found if r["side"] == c] for c in ("a", "b")}
+        # large star: a takes the smallest neighbour of its smaller neighbour, or that one
+        least = links.groupBy("a").agg(F.min("b").alias("m"))
+        large = _with_least(links, "b", least, hot["b"]).select("a", F.coalesce("m", "b").alias("b")).distinct()
+        if hot["a"]:
+            large = cut(large, "links")
+        # small star: all smaller neighbours of a take the smallest of them
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = _with_least(large, "a", least, hot["a"]).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        links = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
 
 
 def clusters(members: DataFrame, edges: DataFrame) -> DataFrame:
