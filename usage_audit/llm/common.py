@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.graph import components, cut, shared_folder  # noqa: F401  the same here as there
+
 #: ASCII white space, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
 #: A run of anything else: a word.
@@ -19,28 +20,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: what the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that is unset (tests, one machine) a temporary folder is made and remembered.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path for `name` in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there and rows can't change on a retry."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut(df, name)
 
 
 def normalised(text: Column) -> Column:
@@ -88,41 +75,6 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner")
     return here.unionByName(rows.join(hot, key, "left_anti").join(table, key, how))
 
 
-def _with_least(links: DataFrame, most: int) -> DataFrame:
-    """`links` (a, b), at most `most` of them, with m, the smallest b of each a.
-
-    An a with more than a thousandth of all links would meet in one task: there are fewer than 1000 of these, whose m
-    is broadcast to wherever their links are.
-    """
-    least = links.groupBy("a").agg(F.min("b").alias("m"), (F.count("*") * 1000 > most).alias("hot"))
-    hot = F.broadcast(least.filter("hot").select("a", F.col("m").alias("hot_m")))
-    marked = links.join(hot, "a", "left")
-    cold = marked.filter("hot_m is null").select("a", "b").join(least.filter("not hot").select("a", "m"), "a")
-    return cold.unionByName(marked.filter("hot_m is not null").select("a", "b", F.col("hot_m").alias("m")))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of each node of `edges` (a long, b long): the smallest node that it is connected with.
-
-    Alternating large and small stars: every round links nodes to the smallest node known near them, so that long chains
-    shrink exponentially, until nothing changes; each round is written to the shared folder. Nothing is collected but
-    two numbers a round.
-    """
-    links = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links, before = staged(links, "links"), None
-    while True:
-        after = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if after == before:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        before = after
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_least(both, 2 * after[0]).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        small = _with_least(large, after[0])
-        onward = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        nearest = large.groupBy("a").agg(F.min("b").alias("b"))
-        links = staged(onward.unionByName(nearest).distinct(), "links")
-
-
 def keep_decided(docs: DataFrame, key: Column, decisions: DataFrame, n_decisions: int) -> DataFrame:
     """`docs` without the rows that `decisions` (h long, keep boolean) drops; of equal keys that stay, one row stays.
 

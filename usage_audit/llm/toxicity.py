@@ -153,16 +153,13 @@ def scored(docs: DataFrame, model: dict[str, float], name: str = "score", where:
                 found = spans(text) if text else []
                 if found:
                     n[i] = len(found)
-                    told = bool(words & features(text))
                     for span in found:
-                        if told and (known := words & features(text[span[0] : span[1]])):
+                        if known := words & features(text[span[0] : span[1]]):
                             doc.append(i)
                             z.append(bias + sum(map(get, sorted(known))))
                             place.append(span)
                         elif first[i, 0] < 0:
                             first[i] = span  # of the sentences without any
-                            if not told:
-                                break
             doc, z, place = np.array(doc, np.int64), np.array(z), np.array(place).reshape(-1, 2)
             plain = n - np.bincount(doc, minlength=len(n))
             hazard = np.bincount(doc, np.logaddexp(0, z), len(n)) + plain * np.logaddexp(0, bias)
