@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 #: A worker remembers the ids of at most so many distinct pieces, a few MB.
 REMEMBERED = 400_000
 #: Texts are taken in slices of about so many bytes.
-SLICE = 12 << 20
+SLICE = 6 << 20
 #: NFC and lower-casing keep the number of bytes of a word of these characters.
 _KEPT = "^[!-~À-ÖØ-öø-ÿ]+$"
 #: A space between two characters of white space, or at the end after one: there a piece can't be cut at each space.
