@@ -62,7 +62,9 @@ def test_literals(spark):
 
 
 def test_small_functions(spark):
-    assert one(spark, T.redact(F.lit("password=abc x token: t1"))) == "password=[REDACTED] x token=[REDACTED]"
+    assert one(spark, T.redact(F.lit("password=abcdefgh x token: t1"))) == "password=[REDACTED] x token: t1"  # eight characters or more
+    assert one(spark, T.redact(F.lit("db_password = 'hunter2hunter2' and private_key: MIIEvgIBADAN"))) == "db_password=[REDACTED]' and private_key=[REDACTED]"
+    assert one(spark, T.redact(F.lit("API-KEY:aaaa/bbbb+c= Bearer=xyz12345."))) == "API-KEY=[REDACTED] Bearer=[REDACTED]"
     assert one(spark, T.rest_path_keys(F.lit("OrderRestService"))) == ["orderrestservice", "order"]
     assert one(spark, T.confidence_band(F.lit(None).cast("double"))) == "Unknown"
     assert one(spark, T.parse_timestamp(F.lit("nonsense"))) is None and one(spark, T.parse_timestamp(F.lit("2024-05-01T10:00:00.000+0000"))).hour == 10
