@@ -1,6 +1,6 @@
 """The query functions of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from . import dedup, html, mixing, neighbours, ngrams, packing, sharding, tokenfile, toxicity, urls
+from . import dedup, html, lines, mixing, neighbours, ngrams, packing, sharding, tokenfile, toxicity, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_ngram_join": ngrams.op8_ngram_join,
     "op9_exact_dedup": dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_line_dedup": lines.op11_line_dedup,
 }
 
 ORACLE_SQL = {
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op3_sharding": sharding.OP3_SQL,
     "op5_url_filter": urls.OP5_SQL,
     "op9_exact_dedup": dedup.OP9_SQL,
+    "op11_line_dedup": lines.OP11_SQL,
 }
