@@ -1,6 +1,6 @@
 """The query functions of this subpackage and their SQL, as ``__spark_entry__`` registers them."""
 
-from . import dedup, html, lines, mixing, neighbours, ngrams, packing, sharding, tokenfile, toxicity, urls
+from . import conversations, dedup, html, lines, mixing, neighbours, ngrams, packing, phrases, sharding, tokenfile, toxicity, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_exact_dedup": dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_line_dedup": lines.op11_line_dedup,
+    "op12_phrases": phrases.op12_phrases,
+    "op13_conversations": conversations.op13_conversations,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,5 @@ ORACLE_SQL = {
     "op5_url_filter": urls.OP5_SQL,
     "op9_exact_dedup": dedup.OP9_SQL,
     "op11_line_dedup": lines.OP11_SQL,
+    "op12_phrases": phrases.OP12_SQL,
 }
