@@ -213,7 +213,8 @@ def split_markup(text: Col) -> Column:
 def tokens(text: Col) -> Column:
     """Lower-cased identifiers, repeats kept, and the joined forms of report columns."""
     t = F.coalesce(_c(text), F.lit(""))
-    return F.transform(F.concat(F.regexp_extract_all(t, F.lit(V.TOKEN), 0), F.regexp_extract_all(t, F.lit(V.REPORT_COLUMN), 0)), F.lower)
+    joined = F.when(F.contains(t, F.lit("$")), F.regexp_extract_all(t, F.lit(V.REPORT_COLUMN), 0)).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.concat(F.regexp_extract_all(t, F.lit(V.TOKEN), 0), joined), F.lower)
 
 
 def _literal(value: Column, origin: str, precedence: int) -> Column:

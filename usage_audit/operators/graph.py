@@ -5,12 +5,13 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import vocabulary as V
+from .joins import hot_keys, salted_join
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +32,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table of which nothing is read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def build_nodes(components: DataFrame, artifacts: DataFrame) -> DataFrame:
     """(key, kind, label, ctype, ref_id, is_entry_point, entry_reason) of components and files.
 
@@ -62,12 +69,82 @@ def build_edges(edges: DataFrame, components: DataFrame, artifacts: DataFrame) -
     return every.groupBy("src", "dst").agg(F.min_by("kind", order).alias("kind"))
 
 
-def _hops(most_hops: int | None) -> Iterator[int]:
-    """1, 2, 3 and so on; an error where a frontier is left after `most_hops` and one more: nothing is cut silently."""
-    for hop in itertools.count(1):
-        if most_hops is not None and hop > most_hops + 1:
-            raise RuntimeError(f"nodes are still found after {most_hops} hops")
-        yield hop
+class _Levels:
+    """Breadth-first levels of (start, node), each in a folder of its own, in parts by the node's hash.
+
+    Nothing is written twice: a level reads the parts of the edges in which its frontier lies, and of the earlier levels
+    the parts in which what it found lies, to leave that out. A source of more than a thousandth of all edges, and of more
+    than 10,000, is looked up apart (salted_join).
+    """
+
+    #: Edges of a part, about, and the bounds of the number of parts.
+    EDGES_PER_PART, LEAST_PARTS, MOST_PARTS = 200_000, 16, 4096
+
+    def __init__(self, edges: DataFrame, keep_path: int):
+        """`edges`: src, dst, first; an edge that isn't `first` leads on only from beyond the seeds. With `keep_path`, rows
+        have the last so many nodes of their path and its first, the root."""
+        self.spark, self.keep = edges.sparkSession, keep_path
+        self.base = f"{shared_folder(self.spark)}/levels-{uuid.uuid4().hex}"
+        plain = cut(edges, "edges")
+        parts = max(self.LEAST_PARTS, min(self.MOST_PARTS, plain.count() // self.EDGES_PER_PART))
+        self.part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+        hot = hot_keys(plain, ["src"], 10_000).collect()  # fewer than 1000
+        self.hot = self.spark.createDataFrame(hot, plain.select("src").schema) if hot else None
+        self.kind = plain.schema["src"].dataType
+        self.edges = self._written(plain, "edges", "src")
+        self.levels: list[tuple[str, set[int], T.StructType]] = []
+
+    def _written(self, df: DataFrame, name: str, by: str) -> tuple[str, set[int], T.StructType]:
+        """Write `df` in parts by column `by`; the folder, the parts that have rows, and the schema."""
+        path = f"{self.base}/{name}"
+        df.withColumn("part", self.part(by)).repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(path)
+        files = self.spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(path).inputFiles()
+        return path, {int(f.rsplit("part=", 1)[1].split("/", 1)[0]) for f in files}, df.schema
+
+    def _read(self, tables: list[tuple[str, set[int], T.StructType]], parts: set[int]) -> DataFrame | None:
+        paths = [f"{path}/part={k}" for path, have, _ in tables for k in sorted(have & parts)]
+        return self.spark.read.schema(tables[0][2]).parquet(*paths) if paths else None
+
+    def _meet(self, rows: DataFrame, table: DataFrame, keys: list[str], source: str) -> DataFrame:
+        if self.hot is None:
+            return rows.join(table, keys)
+        return salted_join(rows, table, keys, hot=rows.join(F.broadcast(self.hot.withColumnRenamed("src", source)), source, "left_semi").select(*keys).distinct())
+
+    def run(self, seeds: DataFrame, most_hops: int | None) -> DataFrame:
+        """(start, node, hops, path, root) of all that `seeds` (start, node) lead to, themselves at 0 hops; of a node's
+        predecessors in the level before, the path has the smallest. If anything is further away than `most_hops`, that is
+        an error."""
+        none = F.lit(None).cast(self.kind)
+        own = seeds.select("start", "node").distinct().withColumn("hops", F.lit(0))
+        own = own.withColumn("path", F.array("node")).withColumn("root", F.col("node")) if self.keep else own.withColumn("path", F.array().cast(T.ArrayType(self.kind))).withColumn("root", none)
+        self.levels = [self._written(own, "level-0", "node")]
+        for hop in itertools.count(1):
+            path, parts, schema = self.levels[-1]
+            ways, frontier = self._read([self.edges], parts), self._read([self.levels[-1]], parts)
+            if ways is None or frontier is None:
+                break
+            onward = self._meet((ways.filter("first") if hop == 1 else ways).select("src", "dst"), frontier.select("start", F.col("node").alias("src")), ["src"], "src")
+            found = self._written(onward.groupBy("start", F.col("dst").alias("node")).agg(F.min("src").alias("via")), f"found-{hop}", "node")
+            fresh = self._read([found], found[1])
+            if fresh is None:
+                break
+            if (seen := self._read(self.levels, found[1])) is not None:
+                fresh = fresh.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+            if self.keep:
+                whole = F.concat("before", F.array("node"))
+                last = F.slice(whole, F.greatest(F.size(whole) - self.keep + 1, F.lit(1)), F.lit(self.keep))
+                fresh = self._meet(fresh, frontier.select("start", F.col("node").alias("via"), F.col("path").alias("before"), "root"), ["start", "via"], "via").select("start", "node", F.lit(hop).alias("hops"), last.alias("path"), "root")
+            else:
+                fresh = fresh.select("start", "node", F.lit(hop).alias("hops"), F.array().cast(T.ArrayType(self.kind)).alias("path"), none.alias("root"))
+            level = self._written(fresh, f"level-{hop}", "node")
+            remove(self.spark, found[0])
+            if not level[1]:
+                break
+            if most_hops is not None and hop > most_hops:
+                raise RuntimeError(f"nodes are still found after {most_hops} hops")
+            self.levels.append(level)
+        remove(self.spark, self.edges[0])
+        return self.spark.read.schema(self.levels[0][2]).option("recursiveFileLookup", True).parquet(*[path for path, _, _ in self.levels])
 
 
 def reachability(nodes: DataFrame, edges: DataFrame, most_hops: int | None = None, keep_path: int = 12) -> DataFrame:
@@ -77,19 +154,9 @@ def reachability(nodes: DataFrame, edges: DataFrame, most_hops: int | None = Non
     path lists the keys up to the node, the last `keep_path` of them, and root is the entry. If nodes are further away
     than `most_hops`, that is an error. `nodes` needs key and is_entry_point.
     """
-    steps = edges.filter("kind != 'declares'").select("src", "dst", "kind")
-    seen = cut(nodes.filter("is_entry_point").select("key").distinct().withColumn("distance", F.lit(0)).withColumn("path", F.array("key")).withColumn("root", F.col("key")), "reached")
-    frontier = seen
-    for hop in _hops(most_hops):
-        usable = steps if hop > 1 else steps.filter("kind != 'member_of'")
-        onward = usable.join(frontier.select(F.col("key").alias("src"), "path", "root"), "src").groupBy(F.col("dst").alias("key")).agg(F.min_by(F.struct("src", "path", "root"), "src").alias("from"))
-        whole = F.concat("from.path", F.array("key"))
-        last = F.slice(whole, F.greatest(F.size(whole) - keep_path + 1, F.lit(1)), F.lit(keep_path))
-        fresh = onward.join(seen.select("key"), "key", "left_anti").select("key", F.lit(hop).alias("distance"), last.alias("path"), "from.root")
-        frontier = cut(fresh, "frontier")
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier), "reached")
+    steps = edges.filter("kind != 'declares'").select("src", "dst", (F.col("kind") != "member_of").alias("first"))
+    seeds = nodes.filter("is_entry_point").select(F.lit(0).alias("start"), F.col("key").alias("node"))
+    return _Levels(steps, keep_path).run(seeds, most_hops).select(F.col("node").alias("key"), F.col("hops").alias("distance"), "path", "root")
 
 
 def path_to_root(reached: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -174,14 +241,8 @@ def closure(edges: DataFrame, starts: DataFrame, direction: str = "descendants",
     If that is further than `most_hops`, it is an error.
     """
     step = edges.select("src", "dst") if direction == "descendants" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    seen = cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops")).distinct(), "closure")
-    frontier = seen
-    for hop in _hops(most_hops):
-        fresh = frontier.join(step.withColumnRenamed("src", "node"), "node").select("start", F.col("dst").alias("node")).distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
-        frontier = cut(fresh.withColumn("hops", F.lit(hop)), "frontier")
-        if frontier.isEmpty():
-            return seen.filter("hops > 0")
-        seen = cut(seen.unionByName(frontier), "closure")
+    found = _Levels(step.withColumn("first", F.lit(True)), 0).run(starts.select(F.col("node").alias("start"), "node"), most_hops)
+    return found.filter("hops > 0").select("start", "node", "hops")
 
 
 def degree(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 from .. import vocabulary as V
 from ..functions import text as T
+from .graph import cut
+from .joins import maybe_among, salted_join
 
 
 def token_counts(files: DataFrame, text: str = "code", key: str = "artifact_id") -> DataFrame:
@@ -18,13 +20,13 @@ def token_counts(files: DataFrame, text: str = "code", key: str = "artifact_id")
 def union_layers(files: DataFrame) -> DataFrame:
     """(artifact_id, said, origin, precedence) of `files` (artifact_id, code, comments, literals): what every layer says.
 
-    Layers are united as rows, so one that finds nothing takes nothing from another.
+    Layers are united as rows of one pass over the files, so one that finds nothing takes nothing from another.
     """
-    code = files.select("artifact_id", F.explode(F.array_distinct(T.tokens("code"))).alias("said"), F.lit("token").alias("origin"), F.lit(0).alias("precedence"))
-    spoken = F.concat(T.harvest_literals("literals", "code"), T.ui_reference_literals("code"))
-    said = files.select("artifact_id", F.explode(spoken).alias("l")).select("artifact_id", F.col("l.literal").alias("said"), F.col("l.origin").alias("origin"), F.col("l.precedence").alias("precedence"))
-    comments = files.select("artifact_id", F.explode(F.array_distinct(T.tokens("comments"))).alias("said"), F.lit("comment").alias("origin"), F.lit(9).alias("precedence"))
-    return code.unionByName(said).unionByName(comments)
+    row = lambda said, origin, precedence: F.struct(said.alias("literal"), F.lit(origin).alias("origin"), F.lit(precedence).alias("precedence"))
+    code = F.transform(F.array_distinct(T.tokens("code")), lambda t: row(t, "token", 0))
+    comments = F.transform(F.array_distinct(T.tokens("comments")), lambda t: row(t, "comment", 9))
+    every = F.concat(code, T.harvest_literals("literals", "code"), T.ui_reference_literals("code"), comments)
+    return files.select("artifact_id", F.explode(every).alias("l")).select("artifact_id", F.col("l.literal").alias("said"), "l.origin", "l.precedence")
 
 
 def first_origin(literals: DataFrame) -> DataFrame:
@@ -42,7 +44,8 @@ def best_edge(edges: DataFrame) -> DataFrame:
 def ambiguity_guard(aliases: DataFrame) -> DataFrame:
     """`aliases` that can be references, with ambiguous: does another alias row have the same text?"""
     able = aliases.filter(~F.col("alias_kind").isin(*V.NON_REFERENCE_KINDS))
-    return able.withColumn("ambiguous", F.count("*").over(W.partitionBy("alias_lc")) > 1)
+    several = able.groupBy("alias_lc").agg(F.count("*").alias("n")).filter("n > 1").select("alias_lc", F.lit(True).alias("ambiguous"))
+    return salted_join(able, several, ["alias_lc"], "left").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
 
 
 def resolve_references(said: DataFrame, aliases: DataFrame, components: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -53,30 +56,32 @@ def resolve_references(said: DataFrame, aliases: DataFrame, components: DataFram
     aren't code, and in comments everywhere. Of an ambiguous alias only the component whose parent the file also names
     keeps tier A. Tests, inactive and weak consumers give tier C, but an app or a tab that places a UI bundle keeps A.
     Comments give C.
+
+    Files are read once: most of what they say is no alias and stays where it is (maybe_among); the rest is written
+    before it is joined, and an alias that all files name is dealt over many tasks (salted_join).
     """
-    able = ambiguity_guard(aliases).select("component_id", "alias_lc", "alias_kind", "ambiguous")
-    owned = able.join(components.select(F.col("id").alias("component_id"), "ctype", F.lower("parent_object").alias("parent")), "component_id")
-    tokens = said.filter("origin = 'token'").select("artifact_id", F.col("said").alias("token"))
-    spoken = said.filter("origin not in ('token', 'comment')").select("artifact_id", F.col("said").alias("literal"), "origin", "precedence")
-    kinds = (
-        tokens.select("artifact_id", F.col("token").alias("alias_lc"), F.lit("token_sweep").alias("match_kind"))
-        .unionByName(first_origin(spoken).select("artifact_id", F.col("literal").alias("alias_lc"), F.when(F.col("origin") == "merge_field", "merge_field").otherwise("string_literal").alias("match_kind")))
-        .unionByName(said.filter("origin = 'comment'").select("artifact_id", F.col("said").alias("alias_lc"), F.lit("comment_mention").alias("match_kind")))
-    )
-    # the alias side is joined first: most names in files are no alias at all
-    matched = kinds.join(owned, "alias_lc").join(artifacts.select("artifact_id", "metadata_type", "is_code", "is_test", "is_active"), "artifact_id")
+    parents = components.select(F.col("id").alias("component_id"), "ctype", F.lower("parent_object").alias("parent"))
+    owned = cut(ambiguity_guard(aliases).select("component_id", "alias_lc", "alias_kind", "ambiguous").join(parents, "component_id"), "aliases")
+    # only ambiguous aliases ask whether the file names the parent, and only names of such parents can answer
+    asked = owned.filter("ambiguous and parent is not null").select("parent").distinct()
+    names = owned.select(F.col("alias_lc").alias("said")).union(asked).distinct()
+    said = cut(maybe_among(said.select("artifact_id", "said", "origin", "precedence"), names, ["said"]), "said")
+
+    own = said.filter("origin = 'token'").select("artifact_id", F.col("said").alias("alias_lc"), F.lit("token_sweep").alias("match_kind"))
+    literals = first_origin(said.filter("origin not in ('token', 'comment')").select("artifact_id", F.col("said").alias("literal"), "origin", "precedence"))
+    spoken = literals.select("artifact_id", F.col("literal").alias("alias_lc"), F.when(F.col("origin") == "merge_field", "merge_field").otherwise("string_literal").alias("match_kind"))
+    comments = said.filter("origin = 'comment'").select("artifact_id", F.col("said").alias("alias_lc"), F.lit("comment_mention").alias("match_kind"))
+    kinds = own.unionByName(spoken).unionByName(comments)
+    matched = salted_join(kinds, owned, ["alias_lc"]).join(artifacts.select("artifact_id", "metadata_type", "is_code", "is_test", "is_active"), "artifact_id")
     guarded = (F.col("match_kind") == "comment_mention") | ((F.col("match_kind") == "token_sweep") & ~F.col("is_code"))
     matched = matched.filter(~guarded | T.is_sweepable("alias_lc"))
+    named = salted_join(own.select("artifact_id", F.col("alias_lc").alias("parent")), asked, ["parent"]).distinct().withColumn("named", F.lit(True))
+    matched = matched.join(named, ["artifact_id", "parent"], "left")
     base = F.when(F.col("match_kind") == "comment_mention", "C").when((F.col("match_kind") == "token_sweep") & (F.col("alias_kind") == "bare_name"), "C").otherwise("A")
-    # only ambiguous aliases ask whether the file names the parent, and only names of such parents can answer
-    asked = owned.filter("ambiguous and parent is not null").select("parent").distinct()
-    parents = tokens.select("artifact_id", F.col("token").alias("parent")).join(asked, "parent", "left_semi").distinct().withColumn("named", F.lit(True))
-    matched = matched.withColumn("tier", base)
-    matched = matched.filter("ambiguous").join(parents, ["artifact_id", "parent"], "left").unionByName(matched.filter("not ambiguous").withColumn("named", F.lit(False)))
     doubtful = F.col("ambiguous") & ~F.coalesce("named", F.lit(False))
     placed = F.col("metadata_type").isin(*V.PLACEMENT_CONSUMERS) & F.col("ctype").isin(*V.UI_TYPES)
     weak = F.col("is_test") | ~F.col("is_active") | (F.col("metadata_type").isin(*V.WEAK_CONSUMERS) & ~placed)
-    tier = F.when((F.col("tier") == "A") & (doubtful | weak), "C").otherwise(F.col("tier"))
+    tier = F.when((base == "A") & (doubtful | weak), "C").otherwise(base)
     return best_edge(matched.select("artifact_id", "component_id", "match_kind", "alias_kind", tier.alias("tier"), "ambiguous"))
 
 
