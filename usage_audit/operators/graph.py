@@ -78,7 +78,7 @@ class _Levels:
     """
 
     #: Edges of a part, about, and the bounds of the number of parts.
-    EDGES_PER_PART, LEAST_PARTS, MOST_PARTS = 200_000, 16, 4096
+    EDGES_PER_PART, LEAST_PARTS, MOST_PARTS = 200_000, 4, 4096
 
     def __init__(self, edges: DataFrame, keep_path: int):
         """`edges`: src, dst, first; an edge that isn't `first` leads on only from beyond the seeds. With `keep_path`, rows
@@ -86,8 +86,8 @@ class _Levels:
         self.spark, self.keep = edges.sparkSession, keep_path
         self.base = f"{shared_folder(self.spark)}/levels-{uuid.uuid4().hex}"
         plain = cut(edges, "edges")
-        parts = max(self.LEAST_PARTS, min(self.MOST_PARTS, plain.count() // self.EDGES_PER_PART))
-        self.part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+        self.parts = max(self.LEAST_PARTS, min(self.MOST_PARTS, plain.count() // self.EDGES_PER_PART))
+        self.part = lambda c: F.pmod(F.xxhash64(c), F.lit(self.parts)).cast("int")
         hot = hot_keys(plain, ["src"], 10_000).collect()  # fewer than 1000
         self.hot = self.spark.createDataFrame(hot, plain.select("src").schema) if hot else None
         self.kind = plain.schema["src"].dataType
@@ -124,11 +124,13 @@ class _Levels:
             if ways is None or frontier is None:
                 break
             onward = self._meet((ways.filter("first") if hop == 1 else ways).select("src", "dst"), frontier.select("start", F.col("node").alias("src")), ["src"], "src")
-            found = self._written(onward.groupBy("start", F.col("dst").alias("node")).agg(F.min("src").alias("via")), f"found-{hop}", "node")
-            fresh = self._read([found], found[1])
-            if fresh is None:
-                break
-            if (seen := self._read(self.levels, found[1])) is not None:
+            fresh, touched, found = onward.groupBy("start", F.col("dst").alias("node")).agg(F.min("src").alias("via")), set(range(self.parts)), None
+            if len(parts) < self.parts:  # a frontier that lies in all parts leads to all, too
+                found = self._written(fresh, f"found-{hop}", "node")
+                touched, fresh = found[1], self._read([found], found[1])
+                if fresh is None:
+                    break
+            if (seen := self._read(self.levels, touched)) is not None:
                 fresh = fresh.join(seen.select("start", "node"), ["start", "node"], "left_anti")
             if self.keep:
                 whole = F.concat("before", F.array("node"))
@@ -137,7 +139,8 @@ class _Levels:
             else:
                 fresh = fresh.select("start", "node", F.lit(hop).alias("hops"), F.array().cast(T.ArrayType(self.kind)).alias("path"), none.alias("root"))
             level = self._written(fresh, f"level-{hop}", "node")
-            remove(self.spark, found[0])
+            if found:
+                remove(self.spark, found[0])
             if not level[1]:
                 break
             if most_hops is not None and hop > most_hops:

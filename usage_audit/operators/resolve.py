@@ -17,15 +17,16 @@ def token_counts(files: DataFrame, text: str = "code", key: str = "artifact_id")
     return files.select(key, F.explode(T.tokens(text)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
-def union_layers(files: DataFrame) -> DataFrame:
-    """(artifact_id, said, origin, precedence) of `files` (artifact_id, code, comments, literals): what every layer says.
+def union_layers(files: DataFrame, layers: tuple[str, ...] = ("code", "literals", "forms", "comments")) -> DataFrame:
+    """(artifact_id, said, origin, precedence) of `files` (artifact_id, code, comments, literals): what the layers say.
 
-    Layers are united as rows of one pass over the files, so one that finds nothing takes nothing from another.
+    Layers are united as rows of one pass over the files, so one that finds nothing takes nothing from another. literals
+    are merge fields too; forms are those that name UI bundles.
     """
     row = lambda said, origin, precedence: F.struct(said.alias("literal"), F.lit(origin).alias("origin"), F.lit(precedence).alias("precedence"))
-    code = F.transform(F.array_distinct(T.tokens("code")), lambda t: row(t, "token", 0))
-    comments = F.transform(F.array_distinct(T.tokens("comments")), lambda t: row(t, "comment", 9))
-    every = F.concat(code, T.harvest_literals("literals", "code"), T.ui_reference_literals("code"), comments)
+    words = lambda column, origin, precedence: F.transform(F.array_distinct(T.tokens(column)), lambda t: row(t, origin, precedence))
+    said = {"code": lambda: words("code", "token", 0), "literals": lambda: T.harvest_literals("literals", "code"), "forms": lambda: T.ui_reference_literals("code"), "comments": lambda: words("comments", "comment", 9)}
+    every = F.concat(*[said[k]() for k in layers])
     return files.select("artifact_id", F.explode(every).alias("l")).select("artifact_id", F.col("l.literal").alias("said"), "l.origin", "l.precedence")
 
 

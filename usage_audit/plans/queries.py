@@ -190,8 +190,7 @@ def _registry(spark, d):
 
 
 def _layers(spark, d):
-    rows = _docs(spark, d).select(F.col("doc_id").alias("artifact_id"), F.col("text").alias("code"), F.lit("").alias("comments"), F.array().cast("array<string>").alias("literals"))
-    return RE.union_layers(rows)
+    return RE.union_layers(_docs(spark, d).select(F.col("doc_id").alias("artifact_id"), F.col("text").alias("code")), ("code",))
 
 
 def _files(spark, d):
@@ -208,7 +207,7 @@ def resolve_references(spark, d):
     """Which names of the registry do the documents mention, and what is each mention worth?"""
     registry = _registry(spark, d)
     aliases = registry.select(F.col("id").alias("component_id"), F.col("id").alias("alias_lc"), F.lit("api_name").alias("alias_kind"))
-    edges = RE.resolve_references(_layers(spark, d).filter("origin = 'token'"), aliases, registry, _files(spark, d))
+    edges = RE.resolve_references(_layers(spark, d), aliases, registry, _files(spark, d))
     return edges.select("artifact_id", "component_id", "match_kind", "tier")
 
 
