@@ -348,7 +348,7 @@ def dedupe_replays(spark, d):
 
 @query("SELECT run_id, after, seq FROM (SELECT user_id::VARCHAR AS run_id, event_id AS seq, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM events WHERE event_id > 100) WHERE seq - after > 1", base=False)
 def detect_gaps(spark, d):
-    return _streamed(spark, d, ST.detect_gaps)
+    return ST.current_gaps(_streamed(spark, d, ST.detect_gaps))
 
 
 @query(

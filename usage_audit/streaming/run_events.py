@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import events as E
@@ -34,32 +36,77 @@ def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(by)
 
 
+class _Gaps(StatefulProcessor):
+    """The open gaps of each run, as a map from their beginning to their end; a timer forgets a run that is idle."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "first long, last long, until long")
+        self.open = handle.getMapState("open", "after long", "seq long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batches = list(rows)  # a run's rows of one micro-batch; maxFilesPerTrigger at the source bounds them
+        seqs = np.unique(np.concatenate([b["seq"].to_numpy(np.int64) for b in batches]))
+        newest = max(int(b["ms"].max()) for b in batches) + self.idle_ms
+        first, last, until = self.known.get() if self.known.exists() else (int(seqs[0]), int(seqs[0]), 0)
+        closed, opened = [], []
+        # before all and after all that is known, the new numbers leave gaps between them
+        for edge in (np.append(seqs[seqs < first], first), np.append(last, seqs[seqs > last])):
+            wide = np.flatnonzero(np.diff(edge) > 1)
+            opened += zip(edge[wide].tolist(), edge[wide + 1].tolist(), strict=True)
+        inside = seqs[(seqs > first) & (seqs < last)]
+        if len(inside):
+            gaps = np.array(sorted((a[0], b[0]) for a, b in self.open.iterator()), np.int64).reshape(-1, 2)
+            at = np.searchsorted(gaps[:, 0], inside, "left") - 1
+            fits = at >= 0
+            fits[fits] = inside[fits] < gaps[at[fits], 1]
+            for k in np.unique(at[fits]):
+                cuts = np.concatenate((gaps[k, :1], inside[fits & (at == k)], gaps[k, 1:]))
+                wide = np.flatnonzero(np.diff(cuts) > 1)
+                closed.append((int(gaps[k, 0]), int(gaps[k, 1])))
+                opened += zip(cuts[wide].tolist(), cuts[wide + 1].tolist(), strict=True)
+        for after, _ in closed:
+            self.open.removeKey((after,))
+        for after, seq in opened:
+            self.open.updateValue((after,), (seq,))
+        if newest > until:
+            if until:
+                self.handle.deleteTimer(until)
+            self.handle.registerTimer(newest)
+        self.known.update((min(first, int(seqs[0])), max(last, int(seqs[-1])), max(until, newest)))
+        out = [(key[0], a, b, -1) for a, b in closed] + [(key[0], a, b, 1) for a, b in opened]
+        if out:
+            yield pd.DataFrame(out, columns=["run_id", "after", "seq", "change"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.known.clear()
+        self.open.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def detect_gaps(events: DataFrame, idle: str = "1 day") -> DataFrame:
-    """(run_id, after, seq) where a run's seq jumps by more than one; batches are taken in order of seq.
+    """(run_id, after, seq, change): a gap between two numbers of a run opens (1), and closes (-1) when a later row, of
+    any batch, falls into it; what is left of it opens. current_gaps() sums them up.
 
-    A run's state goes when the watermark over `at` is `idle` past its newest event. The timeout is one of event time,
-    so a stream that has read what there is ends.
+    Numbers may come in any order; rows without number or time are left out. A run's state goes when the watermark over `at` is `idle` past its newest event; it is
+    kept in RocksDB, since maps of state need that.
     """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    keyed = events.filter("seq is not null and at is not null").withWatermark("at", idle).select("run_id", "seq", "at", F.unix_millis("at").alias("ms")).groupBy("run_id")
+    return keyed.transformWithStateInPandas(_Gaps(idle_ms), "run_id string, after long, seq long, change int", "Append", "EventTime")
 
-    def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, until = state.get if state.exists else (None, 0)
-        rows = _ordered(batches, ["seq"])
-        out = []
-        for seq in rows["seq"]:
-            if last is not None and seq - last > 1:
-                out.append((key[0], last, seq))
-            last = int(seq) if last is None else max(last, int(seq))
-        until = max(until, int(rows["at"].max().timestamp() * 1000) + idle_ms)
-        state.update((last, until))
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=["run_id", "after", "seq"])
 
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    return events.withWatermark("at", idle).groupBy("run_id").applyInPandasWithState(one, "run_id string, after long, seq long", "last long, until long", "append", GroupStateTimeout.EventTimeTimeout)
+def current_gaps(changes: DataFrame) -> DataFrame:
+    """(run_id, after, seq) of the gaps that are open after all `changes`, which may come in any order."""
+    return changes.groupBy("run_id", "after", "seq").agg(F.sum("change").alias("n")).filter("n > 0").drop("n")
 
 
 def throttle_progress(events: DataFrame, interval: float = 0.4, idle: str = "1 day") -> DataFrame:
