@@ -41,3 +41,69 @@ def test_an_idle_run_is_forgotten(spark, tmp_path):
     batches = [spark.createDataFrame(s, "run_id string, seq long, s long").selectExpr("run_id", "seq", "timestamp_seconds(1700000000 + s) AS at") for s in steps]
     changes = streamed(spark, tmp_path, batches, EVENT, ST.detect_gaps)
     assert sorted(tuple(r) for r in changes.collect()) == [("a", 1, 3, 1), ("a", 9, 11, 1)]  # 3 to 9 is no gap: the run began anew
+
+
+def files_of(path):
+    return {str(p.relative_to(path)): p.stat().st_size for p in path.rglob("*.parquet")}
+
+
+@pytest.mark.parametrize("policy", ["replace", "keep", "coalesce", "add"])
+def test_folded_batches(spark, tmp_path, policy):
+    random.seed(3)
+    table, put = {}, ST.fold_into(str(tmp_path), ["k"], policy, most_epochs=3)
+    for epoch in range(8):
+        rows = [(k, random.choice([None, random.randint(0, 9)]), random.randint(0, 9)) for k in random.sample(range(12), 6)]
+        batch = spark.createDataFrame(rows, "k int, x int, epoch long")
+        put(batch, epoch)
+        if epoch in (1, 5):
+            put(batch, epoch)  # a repeated batch changes nothing, folded or not
+        for k, *new in rows:
+            old = table.get(k)
+            table[k] = {"replace": new, "keep": old or new, "coalesce": [b if b is not None else a for a, b in zip(old or new, new, strict=True)], "add": [(a or 0) + (b or 0) for a, b in zip(old or [0, 0], new, strict=True)]}[policy]
+        got = {r["k"]: [r["x"], r["epoch"]] for r in ST.folded(spark, str(tmp_path), ["k"], policy).collect()}
+        assert got == table
+    assert len([p for p in tmp_path.iterdir() if p.is_dir()]) <= 3  # what is folded is removed
+
+
+def test_a_small_batch_writes_little(spark, tmp_path):
+    rows = spark.range(100_000).selectExpr("id AS k", "uuid() AS v")
+    put = ST.fold_into(str(tmp_path), ["k"])
+    put(rows, 0)
+    whole = sum(files_of(tmp_path).values())
+    put(rows.filter("k % 100 = 7").selectExpr("k", "'new' AS v"), 1)
+    assert sum(files_of(tmp_path).values()) - whole < whole / 50
+    found = ST.folded(spark, str(tmp_path), ["k"])
+    assert found.count() == 100_000 and found.filter("v = 'new'").count() == 1000
+
+
+def test_an_unfinished_fold_is_not_read(spark, tmp_path):
+    put = ST.fold_into(str(tmp_path), ["k"], "add", most_epochs=2)
+    one = spark.createDataFrame([(1, 5)], "k int, v int")
+    for epoch in range(2):
+        put(one, epoch)
+    one.write.parquet(f"{tmp_path}/upto=9")
+    (tmp_path / "upto=9/_SUCCESS").unlink()
+    put(one, 2)
+    assert [tuple(r) for r in ST.folded(spark, str(tmp_path), ["k"], "add").collect()] == [(1, 15)]
+    with pytest.raises(ValueError):
+        ST.folded(spark, str(tmp_path), ["k"], "no")
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_numbers_of_large_groups(spark, hot):
+    random.seed(8)
+    rows = [(random.choice([None, "a", "b"]) if not hot else "a", random.choice([None, *range(40)]), k) for k in range(3000)]
+    events = spark.createDataFrame(rows, "run_id string, at int, event_id long").selectExpr("*", "1 AS seq", "2 AS part", "3 AS own", "4 AS first").repartition(6)
+    want, last = {}, {}
+    for run, at, k in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2])):
+        want[k] = last[run] = last.get(run, 0) + 1
+    found = RU.assign_sequence(events)
+    assert {r["event_id"]: r["seq"] for r in found.collect()} == want
+    assert sorted(found.columns) == sorted(events.columns)
+
+
+def test_gaps_of_a_large_run(spark):
+    random.seed(9)
+    kept = sorted(random.sample(range(100_000), 60_000))
+    gaps = RU.sequence_gaps(spark.createDataFrame([("r", s) for s in kept], "run_id string, seq long").repartition(7))
+    assert {(r["after"], r["seq"]) for r in gaps.collect()} == {(a, b) for a, b in zip(kept, kept[1:], strict=False) if b - a > 1}

@@ -38,6 +38,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def folder_of(spark: SparkSession, path: str):
+    """The file system of `path`, and the names in that folder; none if it doesn't exist."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def build_nodes(components: DataFrame, artifacts: DataFrame) -> DataFrame:
     """(key, kind, label, ctype, ref_id, is_entry_point, entry_reason) of components and files.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from .. import vocabulary as V
 from ..functions import text as T
+from .runs import numbered
 
 LABEL_ORDER = (V.UNUSED, V.REVIEW, V.USED, V.OUT)
 
@@ -202,8 +203,8 @@ def inventory_profile(components: DataFrame) -> DataFrame:
 
 def removal_batches(summary: DataFrame, size: int) -> DataFrame:
     """(run_id, component_id, batch): candidates of each run in order of type and name, `size` a batch."""
-    order = W.partitionBy("run_id").orderBy("ctype", "api_name", "component_id")
-    return summary.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size).cast("long")).select("run_id", "component_id", "batch")
+    place = numbered(summary.select("run_id", "ctype", "api_name", "component_id"), "run_id", ["ctype", "api_name", "component_id"], "place")
+    return place.select("run_id", "component_id", F.floor((F.col("place") - 1) / size).cast("long").alias("batch"))
 
 
 def report_tables(components: DataFrame, verdicts: DataFrame, evidence: DataFrame, gaps: DataFrame, flags: DataFrame, collector_runs: DataFrame) -> dict[str, DataFrame]:

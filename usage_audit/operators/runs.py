@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import vocabulary as V
+from .graph import cut
+from .joins import unused
 
 
 def _seconds(at: str):
@@ -43,15 +45,44 @@ def stage_durations(stages: DataFrame) -> DataFrame:
     return stages.select("run_id", "stage", F.round(_seconds("finished_at") - _seconds("started_at"), 3).alias("seconds"))
 
 
+def _dealt(rows: DataFrame, group: str, order: list[str], at: str) -> tuple[DataFrame, DataFrame]:
+    """`rows`, written in order of (group, order) by ranges, so that a group of any size lies in many parts; and the parts of
+    each group: (group, part, first, n, before), with the rows of the group in earlier parts.
+
+    Column `at` numbers the rows in that order: the part in the high bits, the place in it in the 33 low ones.
+    """
+    columns = [F.col(c).asc_nulls_first() for c in (group, *order)]
+    rows = cut(rows.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn(at, F.monotonically_increasing_id()), "ordered")
+    parts = rows.groupBy(group, F.shiftright(at, 33).alias("part")).agg(F.min(at).alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy(group).orderBy("part")) - F.col("n")  # a row for each part that the group lies in
+    return rows, parts.withColumn("before", before)
+
+
+def numbered(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """`rows` with column `name`: 1, 2, 3 and so on in each `group`, in `order`, nulls first; no task holds a whole group."""
+    at, own, part = unused("at", rows), unused("own", rows), unused("part", rows)
+    rows, parts = _dealt(rows, group, order, at)
+    parts = parts.select(F.col(group).alias(own), F.col("part").alias(f"{part}_of"), (F.col("first") - F.col("before") - 1).alias(f"{at}_from"))
+    joined = rows.withColumn(part, F.shiftright(at, 33)).join(parts, F.col(group).eqNullSafe(F.col(own)) & (F.col(part) == F.col(f"{part}_of")))
+    return joined.withColumn(name, F.col(at) - F.col(f"{at}_from")).drop(at, f"{at}_from", own, part, f"{part}_of")
+
+
 def assign_sequence(events: DataFrame, order: str = "at", tie: str = "event_id") -> DataFrame:
     """`events` with seq, gapless from 1 in each run, in order of time."""
-    return events.withColumn("seq", F.row_number().over(W.partitionBy("run_id").orderBy(order, tie)).cast("long"))
+    return numbered(events.drop("seq"), "run_id", [order, tie], "seq")
 
 
 def sequence_gaps(events: DataFrame) -> DataFrame:
-    """(run_id, after, seq): where seq jumps by more than one."""
-    before = F.lag("seq").over(W.partitionBy("run_id").orderBy("seq"))
-    return events.withColumn("after", before).filter(F.col("seq") - F.col("after") > 1).select("run_id", "after", "seq")
+    """(run_id, after, seq): where seq jumps by more than one.
+
+    A run lies in many parts by ranges of seq; before a part's first number comes the last of the part before it.
+    """
+    rows, _ = _dealt(events.select("run_id", "seq"), "run_id", ["seq"], "at")
+    rows = rows.withColumn("part", F.shiftright("at", 33))
+    inside = F.lag("seq").over(W.partitionBy("run_id", "part").orderBy("at"))
+    ends = rows.groupBy("run_id", "part").agg(F.min("seq").alias("seq"), F.max("seq").alias("last"))
+    between = ends.select("run_id", F.lag("last").over(W.partitionBy("run_id").orderBy("part")).alias("after"), "seq")
+    return rows.select("run_id", inside.alias("after"), "seq").unionByName(between).filter(F.col("seq") - F.col("after") > 1)
 
 
 def compare_runs(base: DataFrame, head: DataFrame) -> DataFrame:

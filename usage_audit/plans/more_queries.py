@@ -373,12 +373,6 @@ def streaming_event_hits(spark, d):
     source, out = _shared(spark, "logs"), _shared(spark, "hits")
     I.logs(spark, d).repartition(2).write.parquet(source)  # two files, a batch each
     stream = ST.streaming_event_hits(spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source))
-    last = []
-    fold = ST.fold_into(out, ["bucket", "key"])
-
-    def put(batch, epoch):
-        fold(batch, epoch)
-        last.append(epoch)
-
+    put = ST.fold_into(out, ["bucket", "key"])
     _finish(stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", _shared(spark, "cursor")))
-    return spark.read.parquet(f"{out}/v{max(last)}").select("bucket", "key", "total", "last_seen")
+    return ST.folded(spark, out, ["bucket", "key"]).select("bucket", "key", "total", "last_seen")

@@ -16,7 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import events as E
-from ..sources import files
+from ..operators.graph import folder_of, remove
+from ..operators.joins import unused
 
 EVENT = "run_id string, seq long, at timestamp, stage string, kind string, state string, note string, progress double"
 
@@ -141,13 +142,65 @@ def streaming_event_hits(logs: DataFrame) -> DataFrame:
     return e.groupBy("bucket", "key").agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in E.KINDS], F.count("*").alias("total"), F.max("seen").alias("last_seen"))
 
 
-def fold_into(path: str, keys: list[str], policy: str = "replace"):
-    """A foreachBatch function that upserts each batch into the parquet tables under `path`, one folder a version."""
+def _stored(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """Of the table under `path`: the last complete fold, if any, and the epochs after it."""
+    fs, names = folder_of(spark, path)
+    whole = lambda name: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS"))
+    folds = [int(n.removeprefix("upto=")) for n in names if n.startswith("upto=") and whole(n)]
+    upto = max(folds, default=None)
+    epochs = [int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch=") and whole(n)]
+    return upto, sorted(e for e in epochs if upto is None or e > upto)
+
+
+def folded(spark: SparkSession, path: str, keys: list[str], policy: str = "replace") -> DataFrame:
+    """The table that fold_into() keeps under `path`: a row for each of `keys`.
+
+    replace: the row of the latest batch; keep: that of the first; coalesce: of each column the latest value that isn't
+    null; add: the sum of each column, nulls as 0.
+    """
+    if policy not in ("replace", "keep", "coalesce", "add"):
+        raise ValueError(f"no such policy: {policy}")
+    upto, epochs = _stored(spark, path)
+    parts = [(f"{path}/upto={upto}", upto)] * (upto is not None) + [(f"{path}/epoch={e}", e) for e in epochs]
+    if not parts:
+        raise ValueError(f"nothing is stored in {path}")
+    schema = spark.read.parquet(parts[0][0]).schema
+    at = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:upto|epoch)=(\d+)/[^/]*$", 1).cast("long")
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*[p for p, _ in parts])
+    epoch = unused("epoch", rows)
+    rows = rows.withColumn(epoch, at)
+    others = [c for c in schema.names if c not in keys]
+    if policy == "add":
+        aggs = [F.sum(F.coalesce(F.col(c), F.lit(0))).cast(schema[c].dataType).alias(c) for c in others]
+    elif policy == "coalesce":
+        aggs = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(epoch))).alias(c) for c in others]
+    else:
+        pick = F.max_by if policy == "replace" else F.min_by
+        return rows.groupBy(*keys).agg(pick(F.struct(*others), epoch).alias(epoch)).select(*keys, *[F.col(f"{epoch}.{c}").alias(c) for c in others])
+    return rows.groupBy(*keys).agg(*aggs)
+
+
+def fold_into(path: str, keys: list[str], policy: str = "replace", most_epochs: int = 16):
+    """A foreachBatch function that keeps a table of `keys` under `path`; folded() reads it.
+
+    A batch writes its own rows and nothing else, into a folder of its own: a repeated batch replaces that, so that sums
+    aren't added twice either. After `most_epochs` batches they are folded with all before them into one folder, and
+    what it holds is removed; a reader counts only complete folds and the batches after the last of them. Keys within a
+    batch are unique.
+    """
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/v{epoch - 1}"
-        table = files.upsert(spark.read.parquet(before), batch, keys, policy) if epoch > 0 else batch
-        table.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        upto, epochs = _stored(spark, path)
+        if upto is not None and epoch <= upto:
+            return  # a repeated batch that is folded already
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/epoch={epoch}")
+        if len({*epochs, epoch}) < most_epochs:
+            return
+        folded(spark, path, keys, policy).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/upto={epoch}")
+        for name in folder_of(spark, path)[1]:
+            kind, _, n = name.partition("=")
+            if (kind == "epoch" and int(n) <= epoch) or (kind == "upto" and int(n) < epoch):
+                remove(spark, f"{path}/{name}")
 
     return put
