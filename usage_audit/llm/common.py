@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.graph import components, cut, shared_folder  # noqa: F401  the same here as there
+from ..operators.joins import unused
 
 #: ASCII white space, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -44,24 +45,26 @@ def _bits(h: Column) -> Column:
     return one(0).bitwiseOR(one(6)).bitwiseOR(one(12))
 
 
-def with_bloom_mark(df: DataFrame, hashed: Column, keys: DataFrame, n_keys: int, max_log2_words: int = 20) -> DataFrame:
-    """`df` with ``__maybe``: may its 64-bit `hashed` be among column ``h`` of `keys`?
+def with_bloom_mark(df: DataFrame, hashed: Column, keys: DataFrame, n_keys: int, max_log2_words: int = 20, mark: str = "__maybe") -> DataFrame:
+    """`df` with column `mark`: may its 64-bit `hashed` be among column ``h`` of `keys`?
 
     A blocked Bloom filter of one 64-bit word a key, three bits each, kept as a table (word, mask) of at most
     2**max_log2_words rows: that bound is why it may be broadcast at any size of the input. When more keys come
     than it was sized for, more rows are marked; none is missed, and callers join exactly afterwards.
     """
     log2 = max(6, min(max_log2_words, max(1, n_keys // 8).bit_length()))
-    words = keys.groupBy(_word(F.col("h"), log2).alias("__word")).agg(F.bit_or(_bits(F.col("h"))).alias("__mask"))
-    probed = df.withColumn("__h", hashed).withColumn("__of", _word(F.col("__h"), log2))
-    joined = probed.join(F.broadcast(words), F.col("__of") == F.col("__word"), "left")
-    maybe = F.coalesce(F.col("__mask").bitwiseAND(_bits(F.col("__h"))) == _bits(F.col("__h")), F.lit(False))
-    return joined.withColumn("__maybe", maybe).drop("__h", "__of", "__word", "__mask")
+    h, of, word, mask = (unused(n, df) for n in ("hash", "of", "word", "mask"))
+    words = keys.groupBy(_word(F.col("h"), log2).alias(word)).agg(F.bit_or(_bits(F.col("h"))).alias(mask))
+    probed = df.withColumn(h, hashed).withColumn(of, _word(F.col(h), log2))
+    joined = probed.join(F.broadcast(words), F.col(of) == F.col(word), "left")
+    maybe = F.coalesce(F.col(mask).bitwiseAND(_bits(F.col(h))) == _bits(F.col(h)), F.lit(False))
+    return joined.withColumn(mark, maybe).drop(h, of, word, mask)
 
 
 def with_bloom_hits(df: DataFrame, hashed: Column, keys: DataFrame, n_keys: int) -> DataFrame:
     """Rows of `df` whose 64-bit `hashed` may be among column ``h`` of `keys`."""
-    return with_bloom_mark(df, hashed, keys, n_keys).filter("__maybe").drop("__maybe")
+    mark = unused("maybe", df)
+    return with_bloom_mark(df, hashed, keys, n_keys, mark=mark).filter(F.col(mark)).drop(mark)
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -70,7 +73,8 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner")
     Keys that more than a thousandth of `rows` hold, fewer than 1000, would meet in one task each: what the table says
     of these is broadcast to wherever their rows are.
     """
-    hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") * 1000 > rows.count()).filter(F.col(key).isNotNull()).select(key))
+    n = unused("n", rows)
+    hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias(n)).filter(F.col(n) * 1000 > rows.count()).filter(F.col(key).isNotNull()).select(key))
     here = rows.join(F.broadcast(table.join(hot, key, "left_semi")), key, how).join(hot, key, "left_semi")
     return here.unionByName(rows.join(hot, key, "left_anti").join(table, key, how))
 
@@ -81,10 +85,11 @@ def keep_decided(docs: DataFrame, key: Column, decisions: DataFrame, n_decisions
     Only rows whose key is in the Bloom filter of the decided keys are shuffled; all others stay where they are.
     """
     columns = docs.columns
-    marked = with_bloom_mark(docs.withColumn("__key", key), F.col("__key"), decisions.select("h"), n_decisions)
-    sure = marked.filter("not __maybe").select(columns)
-    maybe = marked.filter("__maybe").join(decisions.select(F.col("h").alias("__key"), F.col("keep").alias("__keep")), "__key", "left")
-    undecided = maybe.filter("__keep is null").select(columns)
-    first = F.row_number().over(W.partitionBy("__key").orderBy("__key"))
-    rest = maybe.filter("__keep").withColumn("__n", first).filter("__n = 1").select(columns).unionByName(undecided)
+    by, mark, stays, n = (unused(name, docs) for name in ("key", "maybe", "keep", "n"))
+    marked = with_bloom_mark(docs.withColumn(by, key), F.col(by), decisions.select("h"), n_decisions, mark=mark)
+    sure = marked.filter(~F.col(mark)).select(columns)
+    maybe = marked.filter(mark).join(decisions.select(F.col("h").alias(by), F.col("keep").alias(stays)), by, "left")
+    undecided = maybe.filter(F.col(stays).isNull()).select(columns)
+    first = F.row_number().over(W.partitionBy(by).orderBy(by))
+    rest = maybe.filter(stays).withColumn(n, first).filter(F.col(n) == 1).select(columns).unionByName(undecided)
     return sure.unionByName(rest)

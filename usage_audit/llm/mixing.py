@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.joins import unused
 from . import common
 
 #: A source is cut into 2**this slices by hash, and the one where its target ends into as many once more: in the last one
@@ -104,9 +105,10 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2,
 
 def repeated(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """`docs` as the mix takes them: each row as many times as mix() says, with the columns of `docs`."""
-    times = mix(spark, docs, **options).select(F.col("doc_id").alias("__id"), F.col("place").alias("__place"), F.col("repeats").alias("__times")).filter("__times > 0").distinct()
-    joined = docs.withColumn("__key", place(options.get("seed", 17))).join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__place")))
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(docs.columns)
+    of, at, key, times, n = (unused(name, docs) for name in ("of", "at", "key", "times", "n"))
+    mixed = mix(spark, docs, **options).select(F.col("doc_id").alias(of), F.col("place").alias(at), F.col("repeats").alias(times)).filter(F.col(times) > 0).distinct()
+    joined = docs.withColumn(key, place(options.get("seed", 17))).join(mixed, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(key) == F.col(at)))
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

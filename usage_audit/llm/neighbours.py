@@ -112,7 +112,8 @@ def valid_vectors(df: DataFrame) -> DataFrame:
 
 
 def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
-    """(u, e, ids): equal vectors once, with their `keep` smallest ids, sorted. Each partition combines its own first."""
+    """(u, e, ids): equal vectors once, with their `keep` smallest ids, sorted, nulls last. Each partition combines its own first."""
+    smallest = lambda ids: sorted(ids, key=lambda i: (i is None, i))[:keep]
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -124,9 +125,9 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
                 got = held[u]
                 got[1].append(i)
                 if len(got[1]) > 4 * keep:
-                    got[1] = sorted(got[1])[:keep]
+                    got[1] = smallest(got[1])
         us = list(held)
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array([held[u][0] for u in us], pa.binary()), pa.array([sorted(held[u][1])[:keep] for u in us], pa.list_(pa.int64()))], names=["u", "e", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array([held[u][0] for u in us], pa.binary()), pa.array([smallest(held[u][1]) for u in us], pa.list_(pa.int64()))], names=["u", "e", "ids"])
 
     parts = rows.select("u", F.col("vec_id").cast("long").alias("vec_id"), "e").mapInArrow(combine, "u long, e binary, ids array<long>")
     return parts.groupBy("u").agg(F.first("e").alias("e"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"))
@@ -176,7 +177,8 @@ def nearest(spark: SparkSession, df: DataFrame, queries: DataFrame, k: int) -> D
     Both have vec_id and embedding; nearness is the inner product in double precision, ties go to the smaller vec_id.
     Rows whose vector is null, empty, zero, or has a null or non-finite component take no part, nor do vectors of a
     dimension other than the commonest. Equal vectors are searched once; each keeps its k + 1 smallest ids, more than
-    which no answer needs. A query gets k answers, or all other rows if there are fewer. No rows give no rows.
+    which no answer needs. A row without vec_id is a candidate, last among equally near ones, and answers no query that
+    has none itself. A query gets k answers, or all other rows if there are fewer. No rows give no rows.
     """
     rows, asked = valid_vectors(df), valid_vectors(queries)
     sizes = rows.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))).alias("longest"))
@@ -225,10 +227,10 @@ def nearest(spark: SparkSession, df: DataFrame, queries: DataFrame, k: int) -> D
         every = vectors.select(F.lit(0).cast("long").alias("key"), "u", "e")
         found = found.unionByName(_search(every, short.select(F.lit(0).cast("long").alias("key"), "q", "e", F.lit(float("-inf")).alias("bar")), keep)).distinct()
     each = found.join(vectors.select("u", "ids"), "u").select("q", "score", F.explode("ids").alias("vec_id"))
-    order = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     top = each.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep)
     lists = top.groupBy(F.col("q").alias("u")).agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("top"))
-    others = F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    others = F.slice(F.filter("top", lambda x: ~x["vec_id"].eqNullSafe(F.col("query_id"))), 1, k)
     out = asks.join(lists, "u").select("query_id", F.posexplode(others).alias("rank", "x"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 

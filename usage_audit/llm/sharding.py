@@ -9,12 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ..operators.runs import numbered
 from . import common
 
-#: Rows of a shard that are numbered together, about.
-ROWS_PER_SLICE = 50_000
 #: A key jumps ln(shards) times on average; more than this many jumps have a probability below 1e-60.
 MOST_JUMPS = 128
 
@@ -44,28 +42,21 @@ def assign_shards(spark: SparkSession, docs: DataFrame, shards: int) -> DataFram
     """One row for each row of `docs` (doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the text's UTF-8 bytes and 8 more; a null text has none and the CRC of the empty text. Rows with equal
-    doc_id share a shard; a null doc_id counts as -1. Slots are gapless from 0 in each shard, so a writer can place
-    rows without a sort: each shard is numbered in slices by hash, whose counts are summed first, so a large shard is
-    no single task. Further columns are not read; no rows give no rows.
+    doc_id share a shard; a null doc_id counts as -1. Slots are gapless from 0 in each shard, in order of doc_id (null
+    first), CRC and size at every number of rows: shards are numbered by ranges of these, whose counts are summed first,
+    so a large shard is no single task. Further columns are not read; no rows give no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = rows.withColumn("shard", jump_hash(F.col("doc_id"), shards)).withColumn("grown_shard", jump_hash(F.col("doc_id"), shards + 1))
-    rows = common.staged(rows, "shards")
-    slices = max(1, rows.count() // (shards * ROWS_PER_SLICE) + 1)
-    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slices)))
-    counts = rows.groupBy("shard", "slice").agg(F.count("*").alias("n"))
-    first = counts.withColumn("first", F.sum("n").over(W.partitionBy("shard").orderBy("slice")) - F.col("n")).drop("n")
-    place = F.row_number().over(W.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size")) - 1
-    numbered = rows.withColumn("place", place).join(first, ["shard", "slice"])
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("place")).alias("slot"), "grown_shard")
+    placed = numbered(rows, "shard", ["doc_id", "text_crc32", "size"], "place")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("place") - 1).alias("slot"), "grown_shard")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(spark, common.read(spark, sf_dir, "documents"), 24)
 
 
-
 #: The jumps by a recursive query; CRC-32 byte by byte, with its table made from the polynomial.
 OP3_SQL = r"""
 WITH RECURSIVE

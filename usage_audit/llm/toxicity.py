@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.joins import unused
 from . import common
 
 #: At most so many labelled documents are fitted on, drawn by hash of their ids: the bound of the fit's memory and time.
@@ -187,4 +188,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of `docs` whose score is below the threshold, with their columns."""
     model = fit(docs, common.read(spark, sf_dir, "labels"))
-    return scored(docs, model, "__toxic").filter(F.col("__toxic") < THRESHOLD).select(docs.columns)
+    name = unused("toxic", docs)
+    return scored(docs, model, name).filter(F.col(name) < THRESHOLD).select(docs.columns)
