@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import vocabulary as V
 from ..functions import text as T
-from .graph import cut
 
+#: Rows that a task sums at once, and groups of tasks whose sums are joined first.
+HELD, PARTS = 200_000, 64
 KINDS = ("execution", "trigger", "callout", "ui", "object", "field", "rest")
 #: The columns of a log that are read.
 COLUMNS = "EVENT_TYPE TIMESTAMP_DERIVED TIMESTAMP LOGDATE APEX_CLASS_NAME CLASS_NAME APEX_METHOD_NAME METHOD_NAME ENTRY_POINT TRIGGER_NAME OPERATION_TYPE TRIGGER_TYPE URI URL PAGE_ENTITY_TYPE COMPONENT_NAME TARGET_UI_ELEMENT PARENT_UI_ELEMENT ENTITY_NAME QUERY QUERY_IDENTIFIER KEY_PREFIX DML_TYPE".split()
@@ -67,16 +74,59 @@ def normalised_events(logs: DataFrame, hint: str | None = None) -> DataFrame:
     return logs.select(either("TIMESTAMP_DERIVED", "TIMESTAMP", "LOGDATE").alias("seen"), F.explode(F.array_compact(said)).alias("h")).select("h.bucket", "h.key", "h.kind", "seen", "h.sample")
 
 
+def _reduced(rows: pa.Table, samples: int) -> pa.Table:
+    """Counts and last times by (bucket, key, kind, sample); of each key the `samples` smallest samples stay, others become null."""
+    names = ["bucket", "key", "kind", "sample"]
+    t = rows.group_by(names, use_threads=False).aggregate([("n", "sum"), ("seen", "max")]).select([*names, "n_sum", "seen_max"]).rename_columns([*names, "n", "seen"])
+    t = t.sort_by([(c, "ascending") for c in ("bucket", "key", "sample")]).combine_chunks()  # nulls last
+    begins = {c: np.ones(t.num_rows, bool) for c in ("bucket", "key", "sample")}
+    for c, new in begins.items():
+        v = t.column(c)
+        new[1:] = ~pc.fill_null(pc.equal(v[1:], v[:-1]), False).to_numpy() if t.num_rows > 1 else new[1:]
+    group = begins["bucket"] | begins["key"]
+    place = np.cumsum(group | begins["sample"])
+    place -= np.repeat(place[group], np.diff(np.flatnonzero(group), append=t.num_rows))
+    kept = pc.if_else(pa.array(place < samples), t.column("sample"), pa.scalar(None, pa.string()))
+    return t.set_column(3, "sample", kept)
+
+
+def _partial(samples: int):
+    """A task's rows in few: at most `samples` + 1 of each key and kind for about HELD rows read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, n, known = TaskContext.get().partitionId() % PARTS, [], 0, 0
+
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from table.append_column("part", pa.repeat(pa.scalar(part, pa.int32()), table.num_rows)).to_batches()
+
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]).append_column("n", pa.repeat(pa.scalar(1, pa.int64()), batch.num_rows)).select(["bucket", "key", "kind", "sample", "n", "seen"]))
+            n += batch.num_rows
+            if n - known >= HELD:
+                held = [_reduced(pa.concat_tables(held), samples)]
+                n = known = held[0].num_rows
+                if known >= HELD // 2:  # keys that hardly repeat go on
+                    yield from out(held[0])
+                    held, n, known = [], 0, 0
+        if held:
+            yield from out(_reduced(pa.concat_tables(held), samples))
+
+    return run
+
+
 def event_hits(events: DataFrame, samples: int = 3) -> DataFrame:
     """One row for each (bucket, key) of normalised events: counts by kind, total, last_seen, samples.
 
-    Rows are counted by sample first, once, and that is written; counts are sums, so a hot key is combined before the
-    shuffle. Of each key the `samples` smallest distinct samples stay, found without gathering all of them.
+    Of each key the `samples` smallest distinct samples stay. Each task sums its rows and keeps as many samples of a key
+    before anything is shuffled, and sums of up to PARTS groups of tasks are made before the last one, so that a key that
+    all tasks have is no large group either.
     """
-    sums = {**{f"{k}s": F.count_if(F.col("kind") == k) for k in KINDS}, "total": F.count("*")}
-    parts = cut(events.groupBy("bucket", "key", "sample").agg(*[n.alias(c) for c, n in sums.items()], F.max("seen").alias("last_seen")), "hits")
-    counts = parts.groupBy("bucket", "key").agg(*[F.sum(c).alias(c) for c in sums], F.max("last_seen").alias("last_seen"))
-    return counts.join(sample_values(parts.filter("sample is not null"), ["bucket", "key"], "sample", samples), ["bucket", "key"], "left").withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
+    rows = events.select("bucket", "key", "kind", "sample", "seen")
+    parts = rows.mapInArrow(_partial(samples), "bucket string, key string, kind string, sample string, n long, seen string, part int")
+    sums = {**{f"{k}s": F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)) for k in KINDS}, "total": F.sum("n")}
+    first = lambda found: F.slice(F.array_sort(found), 1, samples).alias("samples")
+    some = parts.groupBy("bucket", "key", "part").agg(*[v.alias(c) for c, v in sums.items()], F.max("seen").alias("last_seen"), first(F.collect_set("sample")))
+    return some.groupBy("bucket", "key").agg(*[F.sum(c).alias(c) for c in sums], F.max("last_seen").alias("last_seen"), first(F.array_distinct(F.flatten(F.collect_list("samples")))))
 
 
 def sample_values(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:

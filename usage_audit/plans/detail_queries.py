@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
+from ..operators import events as E
 from ..operators import resolve as RE
-from .queries import _SWEEP, _docs, query
+from . import inputs as I
+from .queries import _SWEEP, _docs, _joined, query
 
 # --- references -----------------------------------------------------------------------------------------------------------
 
@@ -55,3 +57,25 @@ def resolve_layers(spark, d):
     aliases = own.select(F.col("id").alias("component_id"), F.explode(forms).alias("f")).select("component_id", F.col("f.a").alias("alias_lc"), F.col("f.k").alias("alias_kind"))
     files = _docs(spark, d).selectExpr("doc_id AS artifact_id", f"{_PLACES} AS metadata_type", "doc_id % 2 = 0 AS is_code", "lang = 'de' AS is_test", "lang <> 'fr' AS is_active")
     return RE.resolve_references(RE.union_layers(rows), aliases, own, files)
+
+
+# --- events ----------------------------------------------------------------------------------------------------------------
+
+_SAMPLE = """
+sampled AS (
+  SELECT 'object' AS bucket, lower('Entity_' || user_id || '__c') AS key, 'object' AS kind, CASE WHEN event_type = 'click' THEN 'interaction:' ELSE 'page:' END || 'Entity_' || user_id || '__c' AS sample, seen FROM logrows WHERE event_type = 'click' OR (event_type = 'view' AND user_id % 10 > 1)
+  UNION ALL SELECT 'rest_path', 'rest' || (user_id % 30 + 1), 'rest', left('/Rest' || (user_id % 30 + 1) || '/items/' || event_id, 80), seen FROM logrows WHERE event_type = 'view' AND user_id % 10 = 0
+  UNION ALL SELECT 'key_prefix', 'a' || (user_id % 30), 'object', 'dml:?:a' || (user_id % 30), seen FROM logrows WHERE event_type = 'view' AND user_id % 10 = 1
+  UNION ALL SELECT 'ui', lower('Card' || (user_id % 10)), 'ui', 'component_name:Card' || (user_id % 10), seen FROM logrows WHERE event_type = 'click'
+  UNION ALL SELECT unnest(['class', 'method']), unnest([lower('Service' || (user_id % 20)), lower('Service' || (user_id % 20) || '.run' || (event_id % 3))]), 'execution', 'Service' || (user_id % 20) || '.run' || (event_id % 3), seen FROM logrows WHERE event_type = 'purchase'
+  UNION ALL SELECT 'object', lower('Order_' || (user_id % 5) || '__c'), 'object', 'restapi:FROM order_' || (user_id % 5) || '__c', seen FROM logrows WHERE event_type = 'signup'
+  UNION ALL SELECT 'field', unnest([lower('Field_' || (user_id % 7) || '__c'), lower('Order_' || (user_id % 5) || '__c')]), 'field', 'restapi:' || unnest([lower('Field_' || (user_id % 7) || '__c'), lower('Order_' || (user_id % 5) || '__c')]), seen FROM logrows WHERE event_type = 'signup'
+  UNION ALL SELECT unnest(['class', 'method']), unnest([lower('Caller' || (user_id % 9)), lower('Caller' || (user_id % 9) || '.send')]), 'callout', 'Caller' || (user_id % 9) || '.send > /out/' || user_id, seen FROM logrows WHERE event_type = 'error')
+"""
+_COUNTS = ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}s" for k in E.KINDS)
+
+
+@query(f", {I.LOG_SQL}, {_SAMPLE} SELECT bucket, key, {_COUNTS}, count(*) AS total, max(seen) AS last_seen, array_to_string(list_sort(list(DISTINCT sample))[1:3], '|') AS samples FROM sampled GROUP BY 1, 2")
+def event_hit_details(spark, d):
+    """All seven counts, the last time and the samples of what the logs say was used."""
+    return E.event_hits(E.normalised_events(I.logs(spark, d))).withColumn("samples", _joined("samples"))
