@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from .. import vocabulary as V
 from ..functions import text as T
+from .joins import unused
 
 #: Rows that a task sums at once, and groups of tasks whose sums are joined first.
 HELD, PARTS = 200_000, 64
@@ -38,7 +39,9 @@ def normalised_events(logs: DataFrame, hint: str | None = None) -> DataFrame:
         return F.transform(keys, lambda k: F.struct(F.lit(bucket).alias("bucket"), F.lower(k).alias("key"), F.lit(kind).alias("kind"), sample(k).alias("sample")))
 
     dotted = lambda c, m: F.concat_ws(".", c, F.nullif(m, F.lit("")))
-    parsed = T.parse_entry_point(col["ENTRY_POINT"])
+    # a column of its own: what is named often below would be parsed as often
+    name = unused("parsed", logs)
+    logs, parsed = logs.withColumn(name, F.when(event.contains("apexexecution"), T.parse_entry_point(col["ENTRY_POINT"]))), F.col(name)
     is_class, is_trigger = cls.isNotNull() | (parsed["kind"] == "class"), cls.isNull() & (parsed["kind"] == "trigger")
     run_class = F.coalesce(cls, F.when(parsed["kind"] == "class", parsed["name"]))
     run_method = F.nullif(F.when(cls.isNotNull(), meth).otherwise(parsed["detail"]), F.lit(""))
