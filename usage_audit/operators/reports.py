@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -217,6 +217,30 @@ def report_tables(components: DataFrame, verdicts: DataFrame, evidence: DataFram
     }
 
 
+#: The columns by whose ranges each table of a report is laid out, as far as it has them.
+REPORT_LAYOUT = ("label", "ctype", "api_name", "component_id", "collector_id")
+
+
+def write_report(tables: dict[str, DataFrame], path: str, run_id: str, rows_per_file: int = 1_000_000, format: str = "parquet") -> None:
+    """Write the `tables` of a run, as report_tables() gives them, under `path`/name/run_id=...
+
+    Rows are laid out by ranges of REPORT_LAYOUT, in files of at most `rows_per_file`. Each table's run replaces what was
+    there of it and of no other run, when it is written whole: a repeated write leaves the same, a failed one what was
+    there. `format` is parquet or json.
+    """
+    for name, table in tables.items():
+        by = [c for c in REPORT_LAYOUT if c in table.columns] or table.columns[:1]
+        own = table.withColumn("run_id", F.lit(run_id))
+        laid = own.repartitionByRange(*by).sortWithinPartitions(*by)
+        laid.write.format(format).mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy("run_id").save(f"{path}/{name}")
+
+
+def read_report(spark: SparkSession, path: str, run_id: str, names: list[str], format: str = "parquet") -> dict[str, DataFrame]:
+    """The tables `names` of a run that write_report() wrote."""
+    read = lambda name: spark.read.format(format).load(f"{path}/{name}")
+    return {name: read(name).filter(F.col("run_id") == F.lit(run_id)).drop("run_id") for name in names}
+
+
 def attrs_get(df: DataFrame, path: str, kind: str, json: str = "attrs") -> Column:
     """A typed value of a JSON column at a path such as $.is_test."""
     return F.get_json_object(df[json], path).cast(kind)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .. import vocabulary as V
+from ..operators.joins import unused
 
 
 def read_artifacts(spark: SparkSession, root: str) -> DataFrame:
@@ -25,30 +29,57 @@ def read_artifacts(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(relative.alias("path"), suffix.alias("suffix"), F.when(suffix.isin(*V.TEXT_SUFFIXES), text).alias("content"), F.col("length").alias("bytes"))
 
 
+def _headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files under `paths` by their column names: their first lines, read in one job over all of them."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    by_names: dict[tuple[str, ...], list[str]] = {}
+    for r in first.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect():  # names of files, as many as the caller has
+        names = [c.replace("\ufeff", "").strip().upper() for c in next(csv.reader([r["header"]]), [])]
+        names = [n if n and n not in names[:k] else f"{n}_{k}" for k, n in enumerate(names)]
+        by_names.setdefault(tuple(names), []).extend(map(unquote, r["files"]))
+    return by_names
+
+
 def read_event_logs(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The rows of CSV logs with differing columns, all strings, names trimmed and in upper case, plus LOG_FILE.
 
-    A missing column is null. EVENT_TYPE comes from its column, else from the file's name.
+    A missing column is null; a name that a file has twice, or none, gets its position added. EVENT_TYPE comes from its
+    column, else from the file's name. Files of one header are one scan, however many they are; empty files say nothing.
     """
-    def one(path: str) -> DataFrame:
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-        df = df.toDF(*[c.replace("﻿", "").strip().upper() for c in df.columns])
+
+    def one(names: tuple[str, ...], files: list[str]) -> DataFrame:
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(files)
         return df.withColumn("LOG_FILE", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
 
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(one, paths))
+    found = _headers(spark, paths)
+    none = spark.createDataFrame([], "EVENT_TYPE string, LOG_FILE string")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [one(names, files) for names, files in found.items()] or [none])
     said = F.nullif(F.trim("EVENT_TYPE"), F.lit("")) if "EVENT_TYPE" in rows.columns else F.lit(None).cast("string")
     from_name = F.coalesce(F.nullif(F.regexp_extract("LOG_FILE", r"\(([A-Za-z]+)\)", 1), F.lit("")), F.regexp_extract("LOG_FILE", r"^([A-Za-z]+)", 1))
     return rows.withColumn("EVENT_TYPE", F.coalesce(said, from_name))
 
 
+#: A type's files are ranked in this many parts first.
+RANK_PARTS = 64
+
+
 def latest_log_files(files: DataFrame, since, per_type: int) -> DataFrame:
-    """Of `files` (event_type, log_date, ...) the newest `per_type` of each type since then; if a type has none so new, its
-    newest min(per_type, 3) of any age."""
-    recent = F.col("log_date") >= F.lit(since)
-    by_type = W.partitionBy("event_type")
-    ranked = files.withColumn("__any", F.max(recent.cast("int")).over(by_type)).withColumn("__n", F.row_number().over(by_type.orderBy(F.desc("log_date"), "file")))
-    keep = F.when(F.col("__any") == 1, recent & (F.col("__n") <= per_type)).otherwise(F.col("__n") <= min(per_type, 3))
-    return ranked.filter(keep).drop("__any", "__n")
+    """Of `files` (event_type, log_date, file, ...) the newest `per_type` of each type since then; if a type has none so new,
+    its newest min(per_type, 3) of any age.
+
+    The newest of each of RANK_PARTS parts of a type come first, then the newest of these: no task has a whole type. If
+    any file of a type is new enough, its newest is.
+    """
+    most = max(per_type, 3)
+    part, n, new = (unused(name, files) for name in ("part", "n", "new"))
+    place = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("log_date"), "file"))
+    few = files.withColumn(part, F.pmod(F.xxhash64("file", "log_date"), F.lit(RANK_PARTS))).withColumn(n, place("event_type", part)).filter(F.col(n) <= most)
+    ranked = few.withColumn(n, place("event_type")).filter(F.col(n) <= most).withColumn(new, F.col("log_date") >= F.lit(since))
+    recent = F.coalesce(F.col(new), F.lit(False))
+    any_new = F.max(recent).over(W.partitionBy("event_type"))
+    return ranked.withColumn(part, any_new).filter(F.when(F.col(part), recent & (F.col(n) <= per_type)).otherwise(F.col(n) <= min(per_type, 3))).drop(part, n, new)
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], policy: str, columns: list[str] | None = None) -> DataFrame:
