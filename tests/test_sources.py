@@ -1,5 +1,7 @@
 """The scanner, definition files, file trees, logs, upserts."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,36 @@ def test_tree_and_logs(spark, tmp_path):
     (tmp_path / "b.csv").write_text("EVENT_TYPE,X\nRestApi,2\n,3\n")
     rows = files.read_event_logs(spark, [str(tmp_path / "mock(ApexTrigger).csv"), str(tmp_path / "b.csv")])
     assert sorted((r["EVENT_TYPE"], r["TRIGGER_NAME"], r["X"]) for r in rows.collect()) == sorted([("ApexTrigger", "T", None), ("RestApi", None, "2"), ("b", None, "3")], key=str) or rows.count() == 3
+
+
+def test_overlaps_against_a_loop(spark):
+    random.seed(12)
+    rows = []
+    for _ in range(900):
+        start = random.randint(0, 120)
+        rows.append((random.randint(1, 9), start, start + random.randint(1, 12), random.randint(1, 6), random.choice(["token_sweep", "merge_field"]), random.choice(["api_name", "qualified"]), random.choice(["code", "comment"])))
+    want = []
+    for file in range(1, 10):
+        kept = []
+        for r in sorted((r for r in rows if r[0] == file), key=lambda r: (r[1], -r[2], *r[3:])):
+            if kept and r[1] < kept[-1][2]:
+                if r[3] != kept[-1][3] and r[3] not in kept[-1][-1]:
+                    kept[-1][-1].append(r[3])
+            else:
+                kept.append([*r, []])
+        want += map(tuple, kept)
+    hits = spark.createDataFrame(rows, "artifact_id long, start int, end int, component_id long, match_kind string, alias_kind string, region string").repartition(4)
+    got = [(*r[:-1], list(r[-1])) for r in map(tuple, S.dedupe_overlaps(hits).collect())]
+    assert sorted(got) == sorted(want)
+
+
+def test_located_literals_and_merge_fields(spark):
+    content = "a = 'Old__c'; q = 'SELECT Old__c FROM Order__c';\n/* Old__c\nOld__c */ b = \"{!Old__c.Name}\";"
+    files_ = spark.createDataFrame([(1, ".cls", content)], "artifact_id long, suffix string, content string")
+    aliases = spark.createDataFrame([(5, "old__c", "api_name"), (6, "order__c", "api_name")], "component_id long, alias_lc string, alias_kind string")
+    edges = spark.createDataFrame([(1, c, k) for c in (5, 6) for k in ("token_sweep", "string_literal", "comment_mention")], "artifact_id long, component_id long, match_kind string")
+    got = sorted((r["line"], r["col"], r["end_col"], r["text"], r["component_id"], r["match_kind"], r["region"], list(r["also"])) for r in S.locate_references(files_, edges, aliases).collect())
+    assert got == [
+        (0, 5, 11, "Old__c", 5, "string_literal", "literal", []), (0, 26, 32, "Old__c", 5, "string_literal", "literal", []), (0, 38, 46, "Order__c", 6, "string_literal", "literal", []),
+        (1, 3, 9, "Old__c", 5, "comment_mention", "comment", []), (2, 0, 6, "Old__c", 5, "comment_mention", "comment", []),
+    ]

@@ -9,8 +9,9 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from xml.parsers import expat
 
 from .. import vocabulary as V
@@ -98,22 +99,26 @@ def split_source(files: DataFrame, content: str = "content", suffix: str = "suff
 def dedupe_overlaps(hits: DataFrame) -> DataFrame:
     """Non-overlapping hits of each file: the first, longest one stays and lists the others' components in ``also``.
 
-    `hits`: artifact_id, start, end, component_id, match_kind, alias_kind, region.
+    `hits`: artifact_id, start, end, component_id, match_kind, alias_kind, region. Hits are cut into islands, before each of
+    which all earlier ones have ended: a running maximum finds them. An island is folded by itself, in order.
     """
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(size=rows["start"] - rows["end"]).sort_values(["start", "size", "component_id", "match_kind", "alias_kind"]).drop(columns="size")
-        kept: list[dict] = []
-        for r in rows.to_dict("records"):
-            if kept and r["start"] < kept[-1]["end"]:
-                if r["component_id"] != kept[-1]["component_id"] and r["component_id"] not in kept[-1]["also"]:
-                    kept[-1]["also"].append(r["component_id"])
-            else:
-                kept.append(r | {"also": []})
-        return pd.DataFrame(kept, columns=[*rows.columns, "also"])
-
-    cols = ["artifact_id", "start", "end", "component_id", "match_kind", "alias_kind", "region"]
-    return hits.select(cols).groupBy("artifact_id").applyInPandas(one, "artifact_id long, start int, end int, component_id long, match_kind string, alias_kind string, region string, also array<long>")
+    by = W.partitionBy("artifact_id").orderBy("start", F.desc("end"), "component_id", "match_kind", "alias_kind", "region")
+    ended = F.col("start") >= F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
+    islands = hits.withColumn("opens", F.coalesce(ended, F.lit(True)).cast("int")).withColumn("island", F.sum("opens").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    fields = ("component_id", "match_kind", "alias_kind", "region")
+    row = F.struct("start", (F.col("start") - F.col("end")).alias("size"), *fields)
+    grouped = islands.groupBy("artifact_id", "island").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+
+    def put(kept: Column, x: Column) -> Column:
+        last = F.element_at(kept, -1)
+        new = F.struct(x["start"].alias("start"), (x["start"] - x["size"]).alias("end"), *[x[c].alias(c) for c in fields], F.array().cast("array<bigint>").alias("also"))
+        known = (x["component_id"] == last["component_id"]) | F.array_contains(last["also"], x["component_id"])
+        more = F.struct(last["start"].alias("start"), last["end"].alias("end"), *[last[c].alias(c) for c in fields], F.when(known, last["also"]).otherwise(F.array_append(last["also"], x["component_id"])).alias("also"))
+        return F.when((F.size(kept) == 0) | (x["start"] >= F.coalesce(last["end"], F.lit(0))), F.array_append(kept, new)).otherwise(F.array_append(F.slice(kept, F.lit(1), F.size(kept) - 1), more))
+
+    none = F.array().cast("array<struct<start:int,end:int,component_id:bigint,match_kind:string,alias_kind:string,region:string,also:array<bigint>>>")
+    kept = grouped.select("artifact_id", F.explode(F.aggregate("rows", none, put)).alias("k"))
+    return kept.select("artifact_id", "k.start", "k.end", *[f"k.{c}" for c in fields], "k.also")
 
 
 def _occurrences(source: str, suffix: str) -> Iterator[tuple[int, int, str, str, str]]:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
+from ..functions import source as S
 from ..operators import events as E
+from ..operators import graph as G
+from ..operators import reports as R
 from ..operators import resolve as RE
 from . import inputs as I
-from .queries import _SWEEP, _docs, _joined, query
+from .queries import _GRAPH, _SELF, _SWEEP, _docs, _joined, _parts_graph, query
 
 # --- references -----------------------------------------------------------------------------------------------------------
 
@@ -79,3 +84,64 @@ _COUNTS = ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}s" for k in E.KINDS)
 def event_hit_details(spark, d):
     """All seven counts, the last time and the samples of what the logs say was used."""
     return E.event_hits(E.normalised_events(I.logs(spark, d))).withColumn("samples", _joined("samples"))
+
+
+# --- places, referrers, paths, written reports ------------------------------------------------------------------------------
+
+
+@query(
+    rf"""WITH w AS (SELECT doc_id, unnest(ws) AS t, unnest(range(len(ws))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{V.TOKEN}') AS ws FROM documents)),
+    al AS (SELECT w, min(item_id) AS component_id, {_SWEEP} AS sweepable FROM (SELECT item_id, lower(unnest(regexp_extract_all(text, '{V.TOKEN}'))) AS w FROM benchmark) WHERE length(w) >= 4 GROUP BY w)
+    SELECT doc_id AS artifact_id, i::INT AS line, (CASE i % 3 WHEN 0 THEN 0 WHEN 1 THEN 5 ELSE 3 END)::INT AS col, (CASE i % 3 WHEN 0 THEN 0 WHEN 1 THEN 5 ELSE 3 END + length(t))::INT AS end_col, t AS text, component_id,
+      CASE i % 3 WHEN 0 THEN 'token_sweep' WHEN 1 THEN 'string_literal' ELSE 'comment_mention' END AS match_kind, CASE i % 3 WHEN 0 THEN 'code' WHEN 1 THEN 'literal' ELSE 'comment' END AS region, 0::INT AS also
+    FROM w JOIN al ON al.w = lower(t) WHERE i % 3 < 2 OR sweepable""",
+    base=False,
+)
+def locate_layers(spark, d):
+    """Documents as code, a word a line: bare, in a literal, in a comment. Where are the names of benchmark passages?"""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(V.TOKEN), 0)
+    line = lambda w, i: F.when(i % 3 == 0, w).when(i % 3 == 1, F.concat(F.lit("x = '"), w, F.lit("'"))).otherwise(F.concat(F.lit("// "), w))
+    rows = _docs(spark, d).select(F.col("doc_id").alias("artifact_id"), F.lit(".cls").alias("suffix"), F.array_join(F.transform(words, line), "\n").alias("content"))
+    names = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(V.TOKEN), 0)).alias("alias_lc")).filter("length(alias_lc) >= 4")
+    aliases = names.groupBy("alias_lc").agg(F.min("item_id").alias("component_id")).withColumn("alias_kind", F.lit("api_name"))
+    kind = F.when(F.col("i") % 3 == 0, "token_sweep").when(F.col("i") % 3 == 1, "string_literal").otherwise("comment_mention")
+    said = _docs(spark, d).select(F.col("doc_id").alias("artifact_id"), F.posexplode(words).alias("i", "w")).select("artifact_id", F.lower("w").alias("alias_lc"), kind.alias("match_kind")).distinct()
+    edges = said.join(aliases, "alias_lc").select("artifact_id", "component_id", "match_kind").distinct()
+    return S.locate_references(rows, edges, aliases).select("artifact_id", "line", "col", "end_col", "text", "component_id", "match_kind", "region", F.size("also").alias("also"))
+
+
+@query(
+    f""", {_SELF}, n AS (SELECT ctype, lower(api_name) AS name, min(id) AS referrer_id FROM comps GROUP BY 1, 2)
+    SELECT component_id, row_number() OVER (PARTITION BY component_id ORDER BY tier, metadata_type, member_name, match_kind, artifact_id) AS place, artifact_id, metadata_type, member_name, tier, match_kind, referrer_id
+    FROM marked LEFT JOIN n ON ctype = metadata_type AND name = lower(member_name) WHERE NOT is_self QUALIFY place <= 200"""
+)
+def referenced_by_rows(spark, d):
+    """Who refers to each component: order, place and the component that the file defines."""
+    return RE.referenced_by(I.edges(spark, d), I.artifacts(spark, d), I.components(spark, d)).withColumn("place", F.col("place").cast("long"))
+
+
+@query(
+    f"""WITH RECURSIVE {_GRAPH}, walk(key, distance) AS (SELECT 'p' || p_partkey, 0 FROM part WHERE p_partkey % 101 = 0 UNION SELECT dst, distance + 1 FROM walk JOIN g ON src = key WHERE kind <> 'declares' AND distance < 30),
+    d AS (SELECT key, min(distance) AS distance FROM walk GROUP BY 1), v AS (SELECT b.key, b.distance, min(src) AS via FROM d b JOIN g ON dst = b.key AND kind <> 'declares' JOIN d a ON a.key = src AND a.distance = b.distance - 1 GROUP BY 1, 2),
+    p(key, distance, root, path) AS (SELECT key, 0, key, [key] FROM d WHERE distance = 0 UNION ALL SELECT v.key, v.distance, root, path || [v.key] FROM p JOIN v ON via = p.key AND v.distance = p.distance + 1)
+    SELECT key, distance, root, array_to_string(path[-12:], '|') AS path FROM p""",
+    base=False,
+)
+def reachability_paths(spark, d):
+    """How each node is reached: its entry point, and the last twelve nodes of the way."""
+    nodes = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), (F.col("p_partkey") % 101 == 0).alias("is_entry_point"))
+    return G.reachability(nodes, _parts_graph(spark, d)).select("key", "distance", "root", _joined("path"))
+
+
+@query("SELECT 'evidence' AS name, component_id, collector_id || ':' || result AS said FROM evidence UNION ALL SELECT 'components', c.id, c.api_name || ':' || coalesce(v.label, '') FROM comps c LEFT JOIN verdicts v ON v.component_id = c.id UNION ALL SELECT 'candidates', component_id, api_name || ':UNUSED' FROM comps JOIN verdicts v ON component_id = id WHERE v.label = 'UNUSED'")
+def written_report(spark, d):
+    """A report written twice, and read: its tables row by row."""
+    v = I.verdicts(spark, d).withColumn("reason_codes", F.array(F.lit("TEST_ONLY")))
+    runs = spark.createDataFrame([(V.STATIC, "OK", 7)], "collector_id string, status string, searched int")
+    tables = R.report_tables(I.components(spark, d), v, I.evidence(spark, d), I.gaps(spark, d), I.flags(spark, d), runs)
+    names, path = ["candidates", "components", "evidence"], f"{G.shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    for _ in range(2):
+        R.write_report({n: tables[n] for n in names}, path, "run")
+    found = R.read_report(spark, path, "run", names)
+    verdict = lambda n: found[n].select(F.lit(n).alias("name"), "component_id", F.concat("api_name", F.lit(":"), F.coalesce("label", F.lit(""))).alias("said"))
+    return verdict("candidates").unionByName(verdict("components")).unionByName(found["evidence"].select(F.lit("evidence").alias("name"), "component_id", F.concat("collector_id", F.lit(":"), "result").alias("said")))

@@ -325,12 +325,12 @@ def _finish(writer, most_seconds: int = 600) -> None:
         raise TimeoutError("the stream did not end")
 
 
-def _streamed(spark, d, make, mode="append"):
-    """Events as run events in a folder, streamed once through `make`; the sink's rows."""
+def _streamed(spark, d, make, mode="append", from_seq=-1):
+    """Events as run events in a folder, streamed once through `make` from a cursor on; the sink's rows."""
     source, out = _shared(spark, "events"), _shared(spark, "out")
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.col("event_type").alias("stage"), F.lit("progress").alias("kind"), F.lit("running").alias("state"), F.lit("").alias("note"), (F.col("value") / 100).alias("progress"))
     e.write.parquet(source)
-    stream = make(ST.tail_events(spark, source, from_seq=100))
+    stream = make(ST.tail_events(spark, source, from_seq=from_seq))
     put = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/{epoch}")
     _finish(stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", _shared(spark, "cursor")))
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
@@ -338,15 +338,15 @@ def _streamed(spark, d, make, mode="append"):
 
 @query("SELECT user_id::VARCHAR AS run_id, event_id AS seq FROM events WHERE event_id > 100", base=False)
 def tail_events(spark, d):
-    return _streamed(spark, d, lambda s: s.select("run_id", "seq"))
+    return _streamed(spark, d, lambda s: s.select("run_id", "seq"), from_seq=100)
 
 
-@query("SELECT user_id::VARCHAR AS run_id, event_id AS seq FROM events WHERE event_id > 100", base=False)
+@query("SELECT user_id::VARCHAR AS run_id, event_id AS seq FROM events", base=False)
 def dedupe_replays(spark, d):
     return _streamed(spark, d, lambda s: ST.dedupe_replays(s.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))).select("run_id", "seq"))
 
 
-@query("SELECT run_id, after, seq FROM (SELECT user_id::VARCHAR AS run_id, event_id AS seq, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM events WHERE event_id > 100) WHERE seq - after > 1", base=False)
+@query("SELECT run_id, after, seq FROM (SELECT user_id::VARCHAR AS run_id, event_id AS seq, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS after FROM events) WHERE seq - after > 1", base=False)
 def detect_gaps(spark, d):
     return ST.current_gaps(_streamed(spark, d, ST.detect_gaps))
 
@@ -354,7 +354,7 @@ def detect_gaps(spark, d):
 @query(
     """SELECT run_id, seq FROM (
     WITH RECURSIVE e AS (
-      SELECT user_id, event_type, event_id, epoch_us(ts) AS us, value / 100 >= 1 AS final, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events WHERE event_id > 100),
+      SELECT user_id, event_type, event_id, epoch_us(ts) AS us, value / 100 >= 1 AS final, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events),
     t AS (
       SELECT user_id, event_type, event_id, k, true AS passes, us AS last FROM e WHERE k = 1
       UNION ALL

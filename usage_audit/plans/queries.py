@@ -340,7 +340,8 @@ def match_dependencies(spark, d):
 @query("SELECT id AS component_id, CASE WHEN id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') THEN 'EVIDENCE_OF_USE' ELSE 'NO_EVIDENCE_FOUND' END AS result FROM comps WHERE in_scope")
 def match_config_data(spark, d):
     c = I.components(spark, d)
-    rows = spark.read.parquet(f"{d}/customer.parquet").filter("c_mktsegment = 'BUILDING'").join(c.select("id", "api_name"), F.col("c_custkey") == F.col("id")).select(F.concat(F.lit("  "), F.upper("api_name")).alias("target"), "c_name")
+    target = F.when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("  "), F.upper("api_name"))).otherwise(F.col("c_mktsegment"))
+    rows = spark.read.parquet(f"{d}/customer.parquet").join(c.select("id", "api_name"), F.col("c_custkey") == F.col("id"), "left").select(target.alias("target"), "c_name")
     aliases = c.select(F.col("id").alias("component_id"), F.lower("api_name").alias("alias_lc"), F.lit("api_name").alias("alias_kind"))
     return EV.match_config_data(rows, ["target", "c_name"], "config", aliases, c).select("component_id", "result")
 
@@ -626,14 +627,16 @@ def fold_stage_state(spark, d):
     return RU.fold_stage_state(snapshot, e).select("run_id", "stage", "state")
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN a.n ELSE coalesce(a.n, 0) + b.n END AS n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.k = b.k", base=False)
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN a.n ELSE coalesce(a.n, 0) + b.n END AS n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) b ON a.k = b.k", base=False)
 def upsert_add(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
-    by = lambda s: o.filter(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
-    return files.upsert(by("F"), by("O"), ["k"], "add")
+    by = lambda s: o.filter(f"o_orderstatus {s} 'F'").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    return files.upsert(by("="), by("<>"), ["k"], "add")
 
 
-@query("SELECT event_type, log_date, file FROM (SELECT o_orderstatus AS event_type, o_orderdate AS log_date, o_orderkey AS file, max((o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderstatus <> 'P')::INT) OVER (PARTITION BY o_orderstatus) AS any_, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders WHERE o_orderstatus <> 'P' OR o_orderdate < TIMESTAMP '1999-01-01') WHERE CASE WHEN any_ = 1 THEN log_date >= TIMESTAMP '1999-01-01' AND n <= 5 ELSE n <= 3 END", base=False)
+@query("SELECT event_type, log_date, file FROM (SELECT *, max((log_date >= TIMESTAMP '1999-01-01')::INT) OVER (PARTITION BY event_type) AS any_, row_number() OVER (PARTITION BY event_type ORDER BY log_date DESC, file) AS n FROM (SELECT o_orderstatus AS event_type, CASE WHEN o_orderstatus = 'P' THEN o_orderdate - INTERVAL 20 YEAR ELSE o_orderdate END AS log_date, o_orderkey AS file FROM orders)) WHERE CASE WHEN any_ = 1 THEN log_date >= TIMESTAMP '1999-01-01' AND n <= 5 ELSE n <= 3 END", base=False)
 def latest_log_files(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderstatus <> 'P' or o_orderdate < timestamp'1999-01-01'").select(F.col("o_orderstatus").alias("event_type"), F.col("o_orderdate").alias("log_date"), F.col("o_orderkey").alias("file"))
+    """Orders as files, the status their type; those of status P are twenty years older, so that the type has none so new."""
+    date = F.when(F.col("o_orderstatus") == "P", F.expr("o_orderdate - interval 20 years")).otherwise(F.col("o_orderdate"))
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderstatus").alias("event_type"), date.alias("log_date"), F.col("o_orderkey").alias("file"))
     return files.latest_log_files(o, "1999-01-01", 5)
