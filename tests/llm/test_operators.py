@@ -233,13 +233,24 @@ def test_ratios_choose_the_nodes(monkeypatch):
     words = "word " * 60
     page = f"<body><div><p>{LONG * 5}</p></div><div><ul>{''.join(f'<li>{words}</li>{"<li>x</li>" * 25}' for _ in range(3))}</ul></div></body>"
     assert html.main_text(page).split("\n") == [LONG[3:-4]] * 5
-    monkeypatch.setattr(html, "ratios", lambda path, chars, marks: chars.astype(float))
+    monkeypatch.setattr(html, "ratios", lambda path, chars, marks: np.ones(len(path)))
     assert words.strip() in html.main_text(page)  # long, but without marks, and among short ones of its path
     comments = f"<body><article><h1>Title</h1>{LONG * 4}<div class=comments>{'<p>I say, as a reader, that this, and that, is long. ' * 9}</div></article></body>"
     monkeypatch.undo()
     assert html.main_text(comments).split("\n") == ["Title"] + [LONG[3:-4]] * 4
 
 
+@pytest.mark.parametrize("page", [
+    f'<article><div class="article-body related-research">{LONG * 2}</div></article>', f'<main><p>First, as a start, some text.</p><section id="ad-hoc-networks">{LONG * 3}</section></main>',
+    f'<article><p>First, as a start, some text.</p><div class="editor-comment">{LONG * 2}</div></article>', f'<header class="article-header"><h1>Headline</h1></header><article>{LONG * 4}</article>',
+    f"<div>{LONG * 3}<p>Short.</p>{LONG}<p>The end</p></div>", f"<div><h1>Title</h1><p>By someone</p>{LONG * 3}</div>",
+])
+def test_text_that_names_or_lengths_might_hide(page):
+    want = re.sub(r"(<[^>]*>)+", "\n", page).strip().split("\n")
+    whole = f'<body><nav><ul><li><a href=x>Home</a><li><a href=y>News, and more</a></ul></nav>{page}<div class="comments"><p>I say so.</p></div><footer>Copyright, by us.</footer></body>'
+    assert html.main_text(whole).split("\n") == want
+
+
 def test_ratios_by_brute_force():
     r = random.Random(6)
     for _ in range(20):
@@ -252,9 +263,8 @@ def test_ratios_by_brute_force():
         assert np.allclose(html.ratios(*map(np.array, (path, chars, marks))), fused)
         weights = [np.exp(-d * d / 2) for d in (-2, -1, 0, 1, 2)]
         smooth = [sum(w * fused[min(max(k + d, 0), n - 1)] for w, d in zip(weights, (-2, -1, 0, 1, 2), strict=True)) / sum(weights) for k in range(n)]
-        mean = sum(smooth) / n
-        spread = (sum((x - mean) ** 2 for x in smooth) / n) ** 0.5
-        assert html.selected(np.array(fused)).tolist() == [s >= 0.8 * spread and f >= 0.1 * max(fused) for s, f in zip(smooth, fused, strict=True)]
+        mean = {p: np.mean([min(smooth[k], 1.2 * fused[k]) for k in range(n) if path[k] == p]) for p in path}
+        assert html.selected(np.array(path), np.array(fused)).tolist() == [bool(mean[p] >= 0.6 * max(mean.values())) for p in path]
 
 
 @pytest.mark.parametrize("page", ["<div>" * 50_000 + "deep", "<b><div>" * 50_000 + "deep" + "</b>" * 50_000, "<p><b>" * 50_000 + "deep", "<div>" * 50_000 + "</p></i>" * 50_000 + "deep"])

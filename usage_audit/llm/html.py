@@ -1,13 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
 A page is parsed into text nodes, each with its root-to-leaf tag path. Text length and punctuation are summed per path
-and divided by the path's nodes; both ratios are fused, smoothed along the page and thresholded by their spread. The
-nodes above it are text wherever they stand. Around them stand short blocks that belong to the text: headings just
-before it, and what else the smallest element around nearly all of it holds, or the article that this is part of.
+and divided by the path's nodes; both ratios are fused on a log scale, lowered by the path's share of links, and smoothed
+along the page. The mean of a path decides for all its nodes, so a short paragraph stays with the long ones. The smallest
+element around nearly all text of the paths above the threshold, or the article that this is part of, is the text's own
+region: what stands outside isn't text, whatever its ratio. Inside, an article is taken whole, anything else from the
+first such text to the last, with headings just before it.
 
 What markup says only weighs: an element that is a menu, an advert or a comment by its tag, role or class has paths of
-its own, whose ratios are lowered, and inside the text's own element its short blocks aren't added. Where such an element
-is a wrapper of nearly all of the page's text, what it says is not believed. Time is linear in the page's length, at any depth.
+its own, whose ratios are halved, and inside the region it isn't added with the rest. Where such an element is a wrapper
+of nearly all of the page's text, what it says is not believed. Time is linear in the page's length, at any depth.
 """
 
 from __future__ import annotations
@@ -38,20 +40,26 @@ HINTS = _words(
 )
 #: Words that say so of a bar or a box, but that also name what an article is about.
 WEAK_HINTS = _words("notice notices notification alert share sharing social search skip")
-#: After these a hint says something about another element.
-NEGATED = _words("with has no without not hide")
+#: After these a hint says something about another element, or about an article.
+NEGATED = _words("with has no without not hide editor editors editorial author")
+#: A name of two of these or more says: this is the article.
+OWN = _words("article body content entry post story text main page blog news")
 #: What a hint and a weak one multiply a path's ratio by.
-HINTED, WEAKLY = 0.001, 0.2
+HINTED, WEAKLY = 0.5, 0.8
 #: A start tag closes these, up to the nearest of the second set.
 IMPLIED = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 IMPLIED = {k: (_words(a), _words(b)) for k, (a, b) in IMPLIED.items()}
 P_SCOPE = _words("div section article td th body li blockquote main aside header footer nav form button fieldset figure")
 _P = frozenset(("p",))
-#: A node is content from this many standard deviations of the smoothed ratio on, if its own is this part of the highest.
-LEVEL, LEAST = 0.8, 0.1
-#: The region holds this part of the selected text. Hints on an element that holds as much of all text aren't believed,
+#: A path is content if its smoothed ratio, a logarithm, is this part of the highest; smoothing raises it to this times its
+#: own at most. Outside the region only what nothing speaks against and has this part of the highest ratio is content.
+LEVEL, RAISED, ALONE = 0.6, 1.2, 0.95
+#: Regions that are the whole page, and elements that are a piece of text and no region.
+WHOLE = ("", "html", "body")
+PIECES = HEADINGS | _words("p li dt dd pre td th tr blockquote figcaption caption summary hgroup header")
+#: The region holds this part of the selected text. Hints on an element that holds the second part of all text aren't believed,
 #: if it holds one of these elements, too, or the page has none.
-REGION, MARKS = 0.8, _words("h1 h2 article main")
+MOST, REGION, MARKS = 0.65, 0.8, _words("h1 h2 article main")
 _PUNCTUATION = re.compile(r"[,.;:!?。、，；：！？…]")
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -59,7 +67,9 @@ _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 def _hint(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> float:
     """What the element's markup multiplies its paths' ratios by."""
-    if tag in ASIDE or tag == "header" and not in_article:
+    names = [[w.lower() for w in _NAME.findall(part)] for name, value in attrs if name in ("class", "id") and value for part in value.split()]
+    own = any(len(words) > 1 and OWN.issuperset(words) for words in names)
+    if tag in ASIDE or tag == "header" and not in_article and not any(OWN & {*words} for words in names):
         return HINTED
     weight = 1.0
     for name, value in attrs:
@@ -67,14 +77,12 @@ def _hint(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> fl
             return HINTED
         if name == "style" and value and _UNSEEN.search(value):
             return HINTED
-        if name in ("class", "id") and value:
-            for part in value.split():
-                words = [w.lower() for w in _NAME.findall(part)]
-                for i, w in enumerate(words):
-                    if (w in HINTS or w in WEAK_HINTS) and not NEGATED & {*words[:i]}:
-                        if w in HINTS:
-                            return HINTED
-                        weight = WEAKLY
+    for words in [] if own else names:
+        for i, w in enumerate(words):
+            if (w in HINTS or w in WEAK_HINTS) and not NEGATED & {*words[:i]} and words[i : i + 2] != ["ad", "hoc"]:
+                if w in HINTS:
+                    return HINTED
+                weight = WEAKLY
     return weight
 
 
@@ -84,7 +92,7 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parent, self.tag, self.path, self.hint = [-1], [""], [0], [1.0]
-        self.shown, self.article, self.block_of, self.at_article = [True], [False], [0], [0]
+        self.shown, self.article, self.block_of, self.at_article, self.linked = [True], [False], [0], [0], [False]
         self.paths: dict[tuple[int, str, float], int] = {}
         self.open, self.closed = [0], [False]  # a closed element below open ones waits for them
         self.places: dict[str, list[int]] = {}  # of each tag, where open elements of it are in `open`
@@ -105,6 +113,7 @@ class _Page(HTMLParser):
         self.shown.append(self.shown[up] and tag not in NO_TEXT)
         self.article.append(self.article[up] or article)
         self.at_article.append(e if article else self.at_article[up])
+        self.linked.append(self.linked[up] or tag == "a")
         self.block_of.append(e if tag in BLOCKS else self.block_of[up])
         self.places.setdefault(tag, []).append(len(self.open))
         self.open.append(e)
@@ -177,11 +186,13 @@ def ratios(path: np.ndarray, chars: np.ndarray, marks: np.ndarray) -> np.ndarray
     return ((np.bincount(path, chars) / count) * (1 + np.bincount(path, marks) / count))[path]
 
 
-def selected(fused: np.ndarray) -> np.ndarray:
-    """The nodes that are text: by the ratio smoothed along the page, and not by their neighbours' alone."""
+def selected(path: np.ndarray, fused: np.ndarray) -> np.ndarray:
+    """The nodes whose paths are text: by the mean over the path of the ratio smoothed along the page, a little above its
+    own ratio at most."""
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     smooth = np.convolve(np.pad(fused, 2, mode="edge"), kernel / kernel.sum(), "valid")
-    return (smooth >= LEVEL * smooth.std()) & (fused >= LEAST * fused.max())
+    mean = (np.bincount(path, np.minimum(smooth, RAISED * fused)) / np.maximum(np.bincount(path), 1))[path]
+    return mean >= LEVEL * mean.max()
 
 
 def main_text(html: str | None) -> str:
@@ -206,21 +217,35 @@ def main_text(html: str | None) -> str:
         up = page.parent[e]
         believed = page.hint[e] < 1 and (held[e] < REGION * held[0] or marked[0] and not marked[e])
         weight[e], said[e] = weight[up] * (page.hint[e] if believed else 1.0), said[up] + believed
-    keep = selected(ratios(np.array(page.path)[element], chars, marks) * np.maximum(np.array(weight)[element], 1e-12))
-
-    inside = np.bincount(element, chars * keep, size).tolist()
+    path = np.array(page.path)[element]
+    held_by = np.bincount(path, chars)
+    plain = 1 - (np.bincount(path, chars * np.array(page.linked)[element]) / np.maximum(held_by, 1))[path]
+    fused = np.log1p(ratios(path, chars, marks) * plain) * np.array(weight)[element]
+    keep = selected(path, fused)
+
+    # a path counts by all it holds: a paragraph among many more than one long footer
+    inside = np.bincount(element, chars * keep * held_by[path] * np.array(weight)[element] ** 2, size).tolist()
     for e in range(size - 1, 0, -1):
         inside[page.parent[e]] += inside[e]
-    region = max((e for e in range(size) if inside[e] >= REGION * inside[0] and (tag[e] in BLOCKS or e == 0)), default=0)
+    region = max((e for e in range(size) if inside[e] >= MOST * inside[0] and (tag[e] in BLOCKS - PIECES or e == 0)), default=0)
     lifted = page.at_article[region] or region
     own = {lifted} | {page.at_article[e] for e in element[keep].tolist()} - {0}
     # the text's own element around each one: the region, or an article that holds selected nodes
     around = [0 if 0 in own else -1] * size
     for e in range(1, size):
         around[e] = e if e in own else around[page.parent[e]]
-    kept = [around[e] >= 0 and said[e] == said[around[e]] for e, _ in page.blocks]
-    for k in block[keep].tolist():
-        kept[k] = True
+    # inside the region all that nothing speaks against; if that is the whole page, from the first block of text to the last
+    text, alone = {*block[keep].tolist()}, {*block[keep & (fused >= ALONE * fused.max())].tolist()}
+    ends: dict[int, tuple[int, int]] = {}
+    for k in sorted(text):
+        a = around[page.blocks[k][0]]
+        ends[a] = (ends.get(a, (k, k))[0], k)
+    kept, doubtful = [], all(said[page.blocks[k][0]] for k in text)
+    for k, (e, _) in enumerate(page.blocks):
+        a = around[e]
+        fits = a >= 0 and (tag[a] not in WHOLE or k in text or a in ends and ends[a][0] <= k <= ends[a][1])
+        fits |= a < 0 and k in alone and not said[e]
+        kept.append(fits and (said[e] == (said[a] if a >= 0 else 0) or k in text and (doubtful or tag[a] not in WHOLE)))
     for k in range(len(kept) - 2, -1, -1):
         e = page.blocks[k][0]
         kept[k] = kept[k] or kept[k + 1] and tag[e] in HEADINGS and said[e] <= said[page.blocks[k + 1][0]]
