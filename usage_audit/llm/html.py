@@ -222,6 +222,10 @@ def main_text(html: str | None) -> str:
     plain = 1 - (np.bincount(path, chars * np.array(page.linked)[element]) / np.maximum(held_by, 1))[path]
     fused = np.log1p(ratios(path, chars, marks) * plain) * np.array(weight)[element]
     keep = selected(path, fused)
+    # a few words of an article beside much that isn't: the article's
+    hinted, inner = np.array(said)[element] > 0, np.array(page.at_article)[element] > 0
+    if not (keep & ~hinted).any() and (inner & ~hinted).any():
+        keep = inner & ~hinted
 
     # a path counts by all it holds: a paragraph among many more than one long footer
     inside = np.bincount(element, chars * keep * held_by[path] * np.array(weight)[element] ** 2, size).tolist()
