@@ -226,12 +226,13 @@ def main_text(html: str | None) -> str:
     hinted, inner = np.array(said)[element] > 0, np.array(page.at_article)[element] > 0
     if not (keep & ~hinted).any() and (inner & ~hinted).any():
         keep = inner & ~hinted
+    doubtful = not (keep & ~hinted).any()
 
     # a path counts by all it holds: a paragraph among many more than one long footer
     inside = np.bincount(element, chars * keep * held_by[path] * np.array(weight)[element] ** 2, size).tolist()
     for e in range(size - 1, 0, -1):
         inside[page.parent[e]] += inside[e]
-    region = max((e for e in range(size) if inside[e] >= MOST * inside[0] and (tag[e] in BLOCKS - PIECES or e == 0)), default=0)
+    region = max((e for e in range(size) if inside[e] >= MOST * inside[0] and (tag[e] in BLOCKS - PIECES and (doubtful or not said[e]) or e == 0)), default=0)
     lifted = page.at_article[region] or region
     own = {lifted} | {page.at_article[e] for e in element[keep].tolist()} - {0}
     # the text's own element around each one: the region, or an article that holds selected nodes
@@ -244,7 +245,7 @@ def main_text(html: str | None) -> str:
     for k in sorted(text):
         a = around[page.blocks[k][0]]
         ends[a] = (ends.get(a, (k, k))[0], k)
-    kept, doubtful = [], all(said[page.blocks[k][0]] for k in text)
+    kept = []
     for k, (e, _) in enumerate(page.blocks):
         a = around[e]
         fits = a >= 0 and (tag[a] not in WHOLE or k in text or a in ends and ends[a][0] <= k <= ends[a][1])
