@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import text as T
 
-_GATE = r"(?i)<field>(\w*(?:is_?enabled|is_?active|active|enabled)\w*)</field>\s*<value[^>]*type=\"xsd:boolean\">false</value>"
+#: A switch of a custom record, a field named after being active or enabled, that is off.
+_GATE = r'(?i)<field>\w*(?:active|enabled)\w*</field>\s*<value[^>]*type="xsd:boolean">false</value>'
 
 
 def artifact_attributes(files: DataFrame) -> DataFrame:
