@@ -6,12 +6,12 @@ import itertools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import vocabulary as V
-from .joins import hot_keys, salted_join
+from .joins import SALTS, hot_keys, salted_join
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -98,13 +98,17 @@ class _Levels:
         hot = hot_keys(plain, ["src"], 10_000).collect()  # fewer than 1000
         self.hot = self.spark.createDataFrame(hot, plain.select("src").schema) if hot else None
         self.kind = plain.schema["src"].dataType
-        self.edges = self._written(plain, "edges", "src")
+        dealt = F.when(F.col("src").isin([r["src"] for r in hot]), F.pmod(F.xxhash64("dst"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
+        self.edges = self._written(plain, "edges", "src", dealt)
         self.levels: list[tuple[str, set[int], T.StructType]] = []
 
-    def _written(self, df: DataFrame, name: str, by: str) -> tuple[str, set[int], T.StructType]:
-        """Write `df` in parts by column `by`; the folder, the parts that have rows, and the schema."""
-        path = f"{self.base}/{name}"
-        df.withColumn("part", self.part(by)).repartition("part").write.partitionBy("part").option("compression", "zstd").parquet(path)
+    def _written(self, df: DataFrame, name: str, by: str, dealt: Column | None = None) -> tuple[str, set[int], T.StructType]:
+        """Write `df` in parts by column `by`; the folder, the parts that have rows, and the schema.
+
+        A part is written by several tasks where `dealt` differs: by default, where many starts lead to one node.
+        """
+        path, dealt = f"{self.base}/{name}", F.pmod(F.xxhash64("start"), F.lit(8)) if dealt is None else dealt
+        df.withColumn("part", self.part(by)).repartition("part", dealt).write.partitionBy("part").option("compression", "zstd").parquet(path)
         files = self.spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(path).inputFiles()
         return path, {int(f.rsplit("part=", 1)[1].split("/", 1)[0]) for f in files}, df.schema
 
