@@ -6,15 +6,18 @@ These three need a scan with state, so they run in Arrow batches; every file is
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from xml.parsers import expat
 
 from .. import vocabulary as V
+from ..operators.graph import cut
 from . import text as T
 
 SPLIT = "code string, comments string, literals array<string>, spans array<struct<start:int,end:int,kind:string>>"
@@ -96,16 +99,17 @@ def split_source(files: DataFrame, content: str = "content", suffix: str = "suff
     return files.mapInPandas(run, f"{schema}, {SPLIT}")
 
 
-def dedupe_overlaps(hits: DataFrame) -> DataFrame:
+def dedupe_overlaps(hits: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Non-overlapping hits of each file: the first, longest one stays and lists the others' components in ``also``.
 
-    `hits`: artifact_id, start, end, component_id, match_kind, alias_kind, region. Hits are cut into islands, before each of
-    which all earlier ones have ended: a running maximum finds them. An island is folded by itself, in order.
+    `hits`: artifact_id, start, end, component_id, match_kind, alias_kind, region, and the columns `carried`, which follow
+    from the file and the place. Hits are cut into islands, before each of which all earlier ones have ended: a running
+    maximum finds them. An island is folded by itself, in order.
     """
     by = W.partitionBy("artifact_id").orderBy("start", F.desc("end"), "component_id", "match_kind", "alias_kind", "region")
     ended = F.col("start") >= F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))
     islands = hits.withColumn("opens", F.coalesce(ended, F.lit(True)).cast("int")).withColumn("island", F.sum("opens").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    fields = ("component_id", "match_kind", "alias_kind", "region")
+    fields = ("component_id", "match_kind", "alias_kind", "region", *carried)
     row = F.struct("start", (F.col("start") - F.col("end")).alias("size"), *fields)
     grouped = islands.groupBy("artifact_id", "island").agg(F.sort_array(F.collect_list(row)).alias("rows"))
 
@@ -116,7 +120,8 @@ def dedupe_overlaps(hits: DataFrame) -> DataFrame:
         more = F.struct(last["start"].alias("start"), last["end"].alias("end"), *[last[c].alias(c) for c in fields], F.when(known, last["also"]).otherwise(F.array_append(last["also"], x["component_id"])).alias("also"))
         return F.when((F.size(kept) == 0) | (x["start"] >= F.coalesce(last["end"], F.lit(0))), F.array_append(kept, new)).otherwise(F.array_append(F.slice(kept, F.lit(1), F.size(kept) - 1), more))
 
-    none = F.array().cast("array<struct<start:int,end:int,component_id:bigint,match_kind:string,alias_kind:string,region:string,also:array<bigint>>>")
+    more_types = "".join(f"{c}:{hits.schema[c].dataType.simpleString()}," for c in carried)
+    none = F.array().cast(f"array<struct<start:int,end:int,component_id:bigint,match_kind:string,alias_kind:string,region:string,{more_types}also:array<bigint>>>")
     kept = grouped.select("artifact_id", F.explode(F.aggregate("rows", none, put)).alias("k"))
     return kept.select("artifact_id", "k.start", "k.end", *[f"k.{c}" for c in fields], "k.also")
 
@@ -125,8 +130,10 @@ def _occurrences(source: str, suffix: str) -> Iterator[tuple[int, int, str, str,
     """(start, end, lower-cased text, match kind, region) of everything in a file that an alias could match."""
     names, columns, merge = re.compile(V.TOKEN, re.A), re.compile(V.REPORT_COLUMN, re.A), re.compile(V.MERGE_FIELD)
 
+    patterns = (names, columns) if "$" in source else (names,)  # a report column has one
+
     def words(lo: int, hi: int) -> Iterator[tuple[int, int, str]]:
-        for pattern in (names, columns):
+        for pattern in patterns:
             for m in pattern.finditer(source, lo, hi):
                 yield m.start(), m.end(), m.group().lower()
 
@@ -149,33 +156,59 @@ def _occurrences(source: str, suffix: str) -> Iterator[tuple[int, int, str, str,
                 yield a, b, w, "comment_mention", kind
 
 
+#: What _located() gives, and how many rows and characters of it are held at once.
+_LOCATED = "artifact_id long, start int, end int, alias_lc string, match_kind string, region string, is_code boolean, line int, lead int, said string"
+_HELD_ROWS, _HELD_CHARACTERS = 20_000, 4_000_000
+
+
+def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The occurrences of `names` in files (artifact_id, suffix, content, names), with their first line, their place in it
+    and their text.
+
+    One file is scanned at a time, and what is found is handed on in small batches, however much a file or a batch holds.
+    """
+    schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in _LOCATED.split(", "))])
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    rows, held = [], 0
+    for batch in batches:
+        for artifact, suffix, content, names in zip(*map(batch.column, ("artifact_id", "suffix", "content", "names")), strict=True):
+            key, kind, source, among = artifact.as_py(), suffix.as_py(), content.as_py() or "", set(names.as_py())
+            is_code, ends = (kind or "").lower() in V.CODE_SUFFIXES, [m.start() for m in re.finditer("\n", source)]
+            for a, b, w, match_kind, region in _occurrences(source, kind):
+                if w not in among:
+                    continue
+                line = bisect_left(ends, a)
+                rows.append((key, a, b, w, match_kind, region, is_code, line, a - (ends[line - 1] + 1 if line else 0), source[a:b]))
+                held += b - a + len(w)
+                if len(rows) >= _HELD_ROWS or held >= _HELD_CHARACTERS:
+                    yield made(rows)
+                    rows, held = [], 0
+    if rows:
+        yield made(rows)
+
+
 def locate_references(files: DataFrame, edges: DataFrame, aliases: DataFrame) -> DataFrame:
     """Segments (artifact_id, line, col, end_col, text, component_id, match_kind, alias_kind, region, also) of recorded edges.
 
     `files`: artifact_id, suffix, content; `edges`: artifact_id, component_id, match_kind; `aliases`: component_id,
     alias_lc, alias_kind. Only components with an edge of that kind from that file are marked, and never by a label or
     a stripped name. Lines and columns count from 0; a hit over several lines has a segment on each.
-    """
-    wanted = edges.select("artifact_id", "component_id", "match_kind").distinct()
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, a, b, w, k, g) for i, s, c in zip(batch["artifact_id"], batch["suffix"], batch["content"], strict=True) for a, b, w, k, g in _occurrences(c or "", s)]
-            yield pd.DataFrame(rows, columns=["artifact_id", "start", "end", "alias_lc", "match_kind", "region"])
-
-    touched = files.join(wanted.select("artifact_id").distinct(), "artifact_id", "left_semi").select("artifact_id", "suffix", "content")
-    said = touched.mapInPandas(find, "artifact_id long, start int, end int, alias_lc string, match_kind string, region string")
-    said = said.join(touched.select("artifact_id", F.lower("suffix").isin(*V.CODE_SUFFIXES).alias("is_code")), "artifact_id")
+    A file meets the names of the components that it has edges to, which bounds them by what it says; only where these
+    occur it gives rows, and each brings its line and text with it, so contents are joined with nothing else.
+    """
+    wanted = cut(edges.select(F.col("artifact_id").cast("long").alias("artifact_id"), "component_id", "match_kind").distinct(), "wanted")
+    able = aliases.filter(~F.col("alias_kind").isin(*V.NON_REFERENCE_KINDS)).select("component_id", "alias_lc", "alias_kind")
+    names = wanted.select("artifact_id", "component_id").distinct().join(able, "component_id").groupBy("artifact_id").agg(F.collect_set("alias_lc").alias("names"))
+    touched = files.select(F.col("artifact_id").cast("long").alias("artifact_id"), "suffix", "content").join(names, "artifact_id")
+    said = touched.mapInArrow(_located, _LOCATED)
     guarded = (F.col("match_kind") == "comment_mention") | ((F.col("match_kind") == "token_sweep") & ~F.col("is_code"))
     said = said.filter(~guarded | T.is_sweepable("alias_lc"))
-    hits = said.join(aliases.filter(~F.col("alias_kind").isin(*V.NON_REFERENCE_KINDS)).select("component_id", "alias_lc", "alias_kind"), "alias_lc").join(wanted, ["artifact_id", "component_id", "match_kind"], "left_semi")
-    kept = dedupe_overlaps(hits).join(touched.select("artifact_id", "content"), "artifact_id")
-    before = lambda at: F.substring_index(F.substring("content", F.lit(1), at), "\n", -1)
-    first = F.length(F.substring("content", F.lit(1), F.col("start"))) - F.length(F.replace(F.substring("content", F.lit(1), F.col("start")), F.lit("\n"), F.lit("")))
-    said_text = F.substring("content", F.col("start") + 1, F.col("end") - F.col("start"))
-    lines = kept.withColumn("first", first).withColumn("lead", F.length(before(F.col("start")))).select("*", F.posexplode(F.split(said_text, "\n")).alias("n", "text"))
+    hits = said.join(able, "alias_lc").join(wanted, ["artifact_id", "component_id", "match_kind"], "left_semi")
+    kept = dedupe_overlaps(hits, ("line", "lead", "said"))
+    lines = kept.select("*", F.posexplode(F.split("said", "\n")).alias("n", "text"))
     col = F.when(F.col("n") == 0, F.col("lead")).otherwise(0)
-    return lines.filter("text != ''").select("artifact_id", (F.col("first") + F.col("n")).cast("int").alias("line"), col.cast("int").alias("col"), (col + F.length("text")).cast("int").alias("end_col"), "text", "component_id", "match_kind", "alias_kind", "region", "also")
+    return lines.filter("text != ''").select("artifact_id", (F.col("line") + F.col("n")).cast("int").alias("line"), col.cast("int").alias("col"), (col + F.length("text")).cast("int").alias("end_col"), "text", "component_id", "match_kind", "alias_kind", "region", "also")
 
 
 #: Elements of a definition file that have a name.
