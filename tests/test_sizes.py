@@ -1,8 +1,13 @@
 """What one task holds, and how often a step runs, stay bounded as inputs grow."""
 
+import random
+
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from usage_audit.functions import source as S
+from usage_audit.operators import graph as G
+from usage_audit.streaming import run_events as ST
 
 
 def test_found_places_are_handed_on_in_small_batches():
@@ -15,3 +20,34 @@ def test_found_places_are_handed_on_in_small_batches():
     assert len(rows) == 2 * (sum(n % 7 in (3, 5) for n in range(words)) + 1)
     assert {(r["line"], r["lead"], r["said"]) for r in rows if r["artifact_id"] == 1} == {(n, 0, f"name_{n % 7}") for n in range(words) if n % 7 in (3, 5)}
     assert [r["is_code"] for r in rows if r["artifact_id"] == 2] == [False, False]
+
+
+def test_clusters_send_no_table_through_the_driver(spark):
+    links = G.cut(spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "a")], "a string, b string"), "links")
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    found = G._with_least(links, "b", least, [])
+    assert sorted(tuple(r) for r in found.collect()) == [("b", "a", None), ("c", "b", "a"), ("d", "a", None)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    members = G.cut(spark.createDataFrame([("a",), ("b",), ("c",), ("z",)], "node string"), "members")
+    whole = G.clusters(members, links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    assert sorted(tuple(r) for r in whole.collect()) == [("a", "a"), ("b", "a"), ("c", "a"), ("z", "z")]
+    assert "Broadcast" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stages_share_calls_of_python(spark, tmp_path):
+    random.seed(5)
+    rows = sorted((1_700_000_000 + random.randrange(4_000), n, f"r{n % 9}", f"s{n % 2}", random.choice([0.1, 0.5, 1.0])) for n in range(600))
+    want, last = set(), {}
+    for at, seq, run, stage, progress in rows:
+        if progress >= 1 or at - last.get((run, stage), float("-inf")) >= 300:
+            want.add((run, seq))
+            last[run, stage] = at
+    for k in range(3):
+        part = spark.createDataFrame(rows[200 * k : 200 * k + 200], "s long, seq long, run_id string, stage string, progress double")
+        part.selectExpr("run_id", "seq", "timestamp_seconds(s) AS at", "stage", "'progress' AS kind", "progress").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = ST.throttle_progress(spark.readStream.schema("run_id string, seq long, at timestamp, stage string, kind string, progress double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in"), 300.0, groups=2)
+    put = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/{epoch}")
+    running = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{tmp_path}/cursor").trigger(availableNow=True).start()
+    assert running.awaitTermination(120)
+    found = spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/out")
+    assert {(r["run_id"], r["seq"]) for r in found.collect()} == want

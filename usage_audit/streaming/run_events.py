@@ -110,30 +110,55 @@ def current_gaps(changes: DataFrame) -> DataFrame:
     return changes.groupBy("run_id", "after", "seq").agg(F.sum("change").alias("n")).filter("n > 0").drop("n")
 
 
-def throttle_progress(events: DataFrame, interval: float = 0.4, idle: str = "1 day") -> DataFrame:
+#: Stages are dealt over so many groups of state: one call of Python serves all stages of a group that a batch touches.
+STAGE_GROUPS = 4096
+
+
+def _throttled(group: pd.DataFrame, known: dict[tuple, tuple[float, int]], interval: float, idle_ms: int) -> list[bool]:
+    """Which of the rows, ordered by stage, time and number, pass; `known` (last passed, forgotten at) is brought up to date."""
+    keep, now, last, until = [], None, 0.0, 0
+    stamps = group["at"].astype("datetime64[us]").astype("int64").to_numpy()
+    for run, stage, us, progress in zip(group["run_id"], group["stage"], stamps.tolist(), group["progress"], strict=True):
+        if (run, stage) != now:
+            if now is not None:
+                known[now] = last, until
+            now = run, stage
+            last, until = known.get(now, (float("-inf"), 0))
+        at = us / 1e6
+        passes = progress >= 1 or at - last >= interval
+        keep.append(passes)
+        last, until = at if passes else last, max(until, us // 1000 + idle_ms)
+    if now is not None:
+        known[now] = last, until
+    return keep
+
+
+def throttle_progress(events: DataFrame, interval: float = 0.4, idle: str = "1 day", groups: int = STAGE_GROUPS) -> DataFrame:
     """At most one progress event of each stage in `interval` seconds of event time; the final one (progress 1) always
-    passes. State goes as in `detect_gaps`."""
+    passes. State goes as in `detect_gaps`.
+
+    A stage's state is two numbers; those of many stages are kept together, dealt by hash over `groups` groups, since a
+    call of Python for each stage costs more than its rows.
+    """
 
     def one(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        runs, stages, lasts, untils = state.get if state.exists else ([], [], [], [])
+        known = {(r, s): (a, u) for r, s, a, u in zip(runs, stages, lasts, untils, strict=True) if u > state.getCurrentWatermarkMs()}
+        if not state.hasTimedOut:
+            rows = _ordered(batches, ["run_id", "stage", "at", "seq"])
+            kept = rows[_throttled(rows, known, interval, idle_ms)]
+            if len(kept):
+                yield kept[["run_id", "seq", "at", "stage", "progress"]]
+        if not known:
             state.remove()
             return
-        last, until = state.get if state.exists else (float("-inf"), 0)
-        rows = _ordered(batches, ["at", "seq"])
-        keep = []
-        for at, progress in zip(rows["at"], rows["progress"], strict=True):
-            passes = progress >= 1 or at.timestamp() - last >= interval
-            keep.append(passes)
-            last = at.timestamp() if passes else last
-        until = max(until, int(rows["at"].max().timestamp() * 1000) + idle_ms)
-        state.update((last, until))
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        if any(keep):
-            yield rows[keep][["run_id", "seq", "at", "stage", "progress"]]
+        state.update(([k[0] for k in known], [k[1] for k in known], [v[0] for v in known.values()], [v[1] for v in known.values()]))
+        state.setTimeoutTimestamp(max(min(v[1] for v in known.values()), state.getCurrentWatermarkMs() + 1))
 
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     progress = events.filter("kind = 'progress'").withWatermark("at", idle)
-    return progress.groupBy("run_id", "stage").applyInPandasWithState(one, "run_id string, seq long, at timestamp, stage string, progress double", "last double, until long", "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = progress.select("run_id", "seq", "at", "stage", "progress", F.pmod(F.xxhash64("run_id", "stage"), F.lit(groups)).alias("group"))
+    return dealt.groupBy("group").applyInPandasWithState(one, "run_id string, seq long, at timestamp, stage string, progress double", "runs array<string>, stages array<string>, lasts array<double>, untils array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def streaming_event_hits(logs: DataFrame) -> DataFrame:
