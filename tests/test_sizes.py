@@ -1,12 +1,14 @@
 """What one task holds, and how often a step runs, stay bounded as inputs grow."""
 
 import random
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from usage_audit.functions import source as S
 from usage_audit.operators import graph as G
+from usage_audit.plans import more_queries as M
 from usage_audit.streaming import run_events as ST
 
 
@@ -51,3 +53,23 @@ def test_stages_share_calls_of_python(spark, tmp_path):
     assert running.awaitTermination(120)
     found = spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/out")
     assert {(r["run_id"], r["seq"]) for r in found.collect()} == want
+
+
+def test_a_sample_of_a_graph_is_ranked_once(spark):
+    nodes = spark.createDataFrame([(f"k{n}", n == 0) for n in range(6)], "key string, is_entry_point boolean")
+    edges = spark.createDataFrame([("k0", "k1"), ("k1", "k2"), ("k4", "k5")], "src string, dst string")
+    reached = spark.createDataFrame([("k0", 0, ["k0"]), ("k1", 1, ["k0", "k1"]), ("k2", 2, ["k0", "k1", "k2"])], "key string, distance int, path array<string>")
+    found = G.sample_subgraph(nodes, edges, reached, most_nodes=4)
+    assert [tuple(r) for r in found.orderBy("place").collect()] == [("k3", 1), ("k4", 2), ("k5", 3), ("k0", 4)]
+    assert "distance" not in found._jdf.queryExecution().analyzed().toString()  # the ranked nodes are read, not ranked again
+
+
+def test_a_batch_of_logs_is_several_files_but_the_batches_stay_two(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROWS_OF_LOG_FILE", 200)
+    base = Path(G.shared_folder(spark).removeprefix("file://"))
+    before, d = set(base.iterdir()), "/root/testdata/sf0.001"
+    M.streaming_event_hits(spark, d).collect()
+    names = {p.name.rsplit("-", 1)[0]: p for p in set(base.iterdir()) - before}
+    each = 1 + spark.read.parquet(f"{d}/events.parquet").count() // 200
+    assert each > 1 and len(list(names["logs"].glob("*.parquet"))) == 2 * each
+    assert len([p for p in (names["cursor"] / "commits").iterdir() if p.name.isdigit()]) == 2
