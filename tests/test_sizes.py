@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from usage_audit.functions import source as S
 from usage_audit.operators import graph as G
+from usage_audit.operators import joins as J
+from usage_audit.operators import resolve as RE
 from usage_audit.plans import more_queries as M
 from usage_audit.streaming import run_events as ST
 
@@ -73,3 +75,25 @@ def test_a_batch_of_logs_is_several_files_but_the_batches_stay_two(spark, monkey
     each = 1 + spark.read.parquet(f"{d}/events.parquet").count() // 200
     assert each > 1 and len(list(names["logs"].glob("*.parquet"))) == 2 * each
     assert len([p for p in (names["cursor"] / "commits").iterdir() if p.name.isdigit()]) == 2
+
+
+def _tasks(df):
+    """Tasks of the last step of `df`, which Spark may merge unless they were dealt by a number."""
+    return df.rdd.getNumPartitions()
+
+
+def test_referrers_lie_in_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(J, "ROWS_OF_TASK", 50)
+    components = spark.createDataFrame([(n, f"c{n}", "ApexClass", "p") for n in range(20)], "id long, api_name string, ctype string, parent_object string")
+    artifacts = spark.createDataFrame([(n, "ApexClass", f"C{n % 25}", True) for n in range(100)], "artifact_id long, metadata_type string, member_name string, is_active boolean")
+    edges = spark.createDataFrame([(n % 100, n % 20, "A", "token_sweep") for n in range(1000)], "artifact_id long, component_id long, tier string, match_kind string")
+    found = RE.referenced_by(edges, artifacts, components, 7)
+    assert _tasks(found) == 1000 // 50 + 1
+    want = {}
+    for a, c in ((n % 100, n % 20) for n in range(1000)):
+        if a % 25 != c:
+            want.setdefault(c, []).append((f"C{a % 25}", a, a % 25 if a % 25 < 20 else None))
+    got = {}
+    for r in found.orderBy("component_id", "place").collect():
+        got.setdefault(r["component_id"], []).append((r["member_name"], r["artifact_id"], r["referrer_id"]))
+    assert got == {c: sorted(rows, key=lambda x: x[:2])[:7] for c, rows in want.items()}

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 MOST_LOG2_WORDS = 20
 #: A key that more than 1/HOT_PART of the rows hold is hot: there are fewer than HOT_PART such. Their rows are dealt over SALTS.
 HOT_PART, SALTS = 1000, 64
+#: Rows that a task joins, sorts or sums at once, about, where they are dealt by `dealt`.
+ROWS_OF_TASK = 100_000
 
 
 def unused(name: str, *frames: DataFrame) -> str:
@@ -20,6 +22,12 @@ def unused(name: str, *frames: DataFrame) -> str:
     return next(n for n in (name, *(f"{name}_{k}" for k in range(1, len(taken) + 2))) if n.lower() not in taken)
 
 
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """`rows` by the hash of `keys` in as many tasks as `n` rows need. Partitions that Spark chooses are merged until they
+    are large, for as many tasks as there are cores; these stay as they are, so a task's memory doesn't grow with the input."""
+    return rows.repartition(n // ROWS_OF_TASK + 1, *keys)
+
+
 def _word(h: Column, log2: int) -> Column:
     return F.shiftrightunsigned(h, 64 - log2)
 

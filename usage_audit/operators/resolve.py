@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from .. import vocabulary as V
 from ..functions import text as T
 from .graph import cut
-from .joins import maybe_among, salted_join
+from .joins import dealt, maybe_among, salted_join
 
 
 def token_counts(files: DataFrame, text: str = "code", key: str = "artifact_id") -> DataFrame:
@@ -110,10 +110,15 @@ def referenced_by(edges: DataFrame, artifacts: DataFrame, components: DataFrame,
     """(component_id, place, artifact_id, metadata_type, member_name, tier, match_kind, referrer_id): at most `limit` a component.
 
     Its own file is left out; referrer_id is the component that the file defines, if any. The best tiers come first.
+    Files learn what they define before their edges are joined; rows are dealt by their number (`dealt`).
     """
-    marked = mark_self_references(edges, artifacts, components).filter("not is_self")
+    n = max(edges.count(), artifacts.count())
+    files = artifacts.select("artifact_id", "metadata_type", "member_name", F.lower("member_name").alias("__name"))
     named = components.groupBy(F.col("ctype").alias("metadata_type"), F.lower("api_name").alias("__name")).agg(F.min("id").alias("referrer_id"))
-    joined = marked.withColumn("__name", F.lower("member_name")).join(named, ["metadata_type", "__name"], "left")
+    files = dealt(files, n, "metadata_type", "__name").join(dealt(named, n, "metadata_type", "__name"), ["metadata_type", "__name"], "left").drop("__name")
+    said = dealt(edges.select("artifact_id", "component_id", "tier", "match_kind"), n, "artifact_id").join(dealt(files, n, "artifact_id"), "artifact_id")
+    targets = components.select(F.col("id").alias("component_id"), "api_name", "parent_object")
+    joined = dealt(said, n, "component_id").join(dealt(targets, n, "component_id"), "component_id").filter(~is_self())
     rank = T.mapped("tier", {k: str(v) for k, v in V.TIER_RANK.items()}).cast("int")
     order = W.partitionBy("component_id").orderBy(rank.desc(), "metadata_type", "member_name", "match_kind", "artifact_id")
     return joined.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("component_id", "place", "artifact_id", "metadata_type", "member_name", "tier", "match_kind", "referrer_id")
