@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from usage_audit.functions import source as S
+from usage_audit.operators import aliases as A
 from usage_audit.operators import graph as G
 from usage_audit.operators import joins as J
 from usage_audit.operators import resolve as RE
@@ -97,3 +98,11 @@ def test_referrers_lie_in_as_many_tasks_as_their_rows_need(spark, monkeypatch):
     for r in found.orderBy("component_id", "place").collect():
         got.setdefault(r["component_id"], []).append((r["member_name"], r["artifact_id"], r["referrer_id"]))
     assert got == {c: sorted(rows, key=lambda x: x[:2])[:7] for c, rows in want.items()}
+
+
+def test_aliases_lie_in_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(J, "ROWS_OF_TASK", 50)
+    rows = [(n % 90, "ApexClass", f"Klass{n % 90}") for n in range(100)]  # ten come twice
+    found = A.generate_aliases(spark.createDataFrame(rows, "id long, ctype string, api_name string"))
+    assert _tasks(found) == 100 * A.FORMS // 50 + 1
+    assert sorted(tuple(r)[:3] for r in found.collect()) == sorted([(n, f"klass{n}", "api_name") for n in range(90)] + [(n, f"klass{n}.", "qualified") for n in range(90)])

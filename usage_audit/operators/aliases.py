@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 from ..functions import text as T
+from .joins import dealt
+
+
+#: Forms of a component, at most about.
+FORMS = 10
 
 
 def _forms(*forms: tuple[Column, str, str]) -> Column:
@@ -22,7 +27,7 @@ def generate_aliases(components: DataFrame) -> DataFrame:
 
     Read columns: id, ctype, api_name, parent_object, label, sf_id, relationship_name, key_prefix, namespace; missing ones
     count as null. Fields and methods may come qualified by their parent. Forms shorter than two characters and repeats
-    of (component, form, kind) are dropped; the first rule stays.
+    of (component, form, kind) are dropped; the first rule stays. `components` is read twice: its rows are counted first.
     """
     for name in ("parent_object", "label", "sf_id", "relationship_name", "key_prefix", "namespace"):
         if name not in components.columns:
@@ -58,7 +63,8 @@ def generate_aliases(components: DataFrame) -> DataFrame:
     )
     kind = F.col("ctype")
     forms = F.when(kind == V.FIELD, field).when(kind == V.OBJECT, object_).when(kind == V.CLASS, code(True)).when(kind == V.TRIGGER, code(False)).when(kind == V.METHOD, method).when(kind.isin(*V.UI_TYPES), ui)
-    rows = components.select(F.col("id").alias("component_id"), F.explode(forms).alias("f")).select("component_id", "f.*").filter("length(alias_lc) >= 2")
+    near = dealt(components, FORMS * components.count(), "id")  # the components, not their forms, are shuffled
+    rows = near.select(F.col("id").alias("component_id"), F.explode(forms).alias("f")).select("component_id", "f.*").filter("length(alias_lc) >= 2")
     return rows.groupBy("component_id", "alias_lc", "alias_kind").agg(F.min_by("generated_by", "place").alias("generated_by"))
 
 
