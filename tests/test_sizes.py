@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from usage_audit.functions import source as S
 from usage_audit.operators import aliases as A
+from usage_audit.operators import evidence as EV
 from usage_audit.operators import graph as G
 from usage_audit.operators import joins as J
 from usage_audit.operators import resolve as RE
@@ -106,3 +107,16 @@ def test_aliases_lie_in_as_many_tasks_as_their_rows_need(spark, monkeypatch):
     found = A.generate_aliases(spark.createDataFrame(rows, "id long, ctype string, api_name string"))
     assert _tasks(found) == 100 * A.FORMS // 50 + 1
     assert sorted(tuple(r)[:3] for r in found.collect()) == sorted([(n, f"klass{n}", "api_name") for n in range(90)] + [(n, f"klass{n}.", "qualified") for n in range(90)])
+
+
+def test_dependents_of_one_component_lie_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(J, "ROWS_OF_TASK", 50)
+    monkeypatch.setattr(EV.E, "sample_values", lambda df, *a, find=EV.E.sample_values: seen.append(df) or find(df, *a))
+    seen = []
+    components = spark.createDataFrame([(1, "Klass", "ApexClass", "a00000000000001AAA", True), (2, "Other", "ApexClass", None, True)], "id long, api_name string, ctype string, sf_id string, in_scope boolean")
+    deps = spark.createDataFrame([("a00000000000001AAA", None, f"r{n % 150}", "Report") for n in range(300)], "ref_id string, ref_name string, by_name string, by_type string")
+    found = {r["component_id"]: (r["result"], r["payload"]) for r in EV.match_dependencies(deps, components, 2).collect()}
+    assert found[1][0] == "EVIDENCE_OF_USE" and '"dependents":150' in found[1][1] and '["Report:r0","Report:r1"]' in found[1][1]
+    assert found[2][0] == "NO_EVIDENCE_FOUND"
+    held = seen[0].groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) > 5

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import text as T
 from . import events as E
+from .joins import dealt
 from .resolve import mark_self_references
 
 SHAPE = ["component_id", "collector_id", "result", "tier", "weight", "payload"]
@@ -88,20 +89,23 @@ def collect_population(components: DataFrame, population: DataFrame, records: Da
     return evidence, gaps
 
 
-def match_dependencies(dependencies: DataFrame, components: DataFrame, shown: int = 6) -> DataFrame:
+def match_dependencies(dependencies: DataFrame, components: DataFrame, shown: int = 6, most_rows: int | None = None) -> DataFrame:
     """Evidence of recorded dependencies for all but methods. `dependencies`: ref_id, ref_name, by_name, by_type.
 
     A row names a component by its name, its name without the object, or its 18- or 15-character id. The first `shown`
-    dependents are named.
+    dependents are named. `most_rows`: a bound of the rows of `dependencies` if one is known; else they are counted first.
     """
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     own = components.filter(F.col("in_scope") & (F.col("ctype") != V.METHOD))
     forms = lambda name, sid: F.array_distinct(F.filter(F.array(low(F.col(name)), low(F.element_at(F.split(name, r"\."), -1)), low(F.col(sid)), low(F.substring(sid, 1, 15))), lambda x: x != ""))
     left = dependencies.select("by_name", "by_type", F.explode(forms("ref_name", "ref_id")).alias("k"))
     right = own.select(F.col("id").alias("component_id"), F.explode(forms("api_name", "sf_id")).alias("k"))
-    found = left.join(right, "k").select("component_id", "by_name", "by_type").distinct()
+    n = 2 * max(dependencies.count() if most_rows is None else most_rows, own.count())  # a row has two forms or more
+    pairs = dealt(left, n, "k").join(dealt(right, n, "k"), "k").select("component_id", "by_name", "by_type")
+    # by the dependent, too: all may name one component
+    found = dealt(pairs.withColumn("by", F.concat_ws(":", "by_type", "by_name")), n, "component_id", "by").distinct()
     counts = found.groupBy("component_id").agg(F.count("*").alias("n"))
-    first = E.sample_values(found.withColumn("by", F.concat_ws(":", "by_type", "by_name")), ["component_id"], "by", shown).withColumnRenamed("samples", "by")
+    first = E.sample_values(found, ["component_id"], "by", shown).withColumnRenamed("samples", "by")
     joined = own.select(F.col("id").alias("component_id")).join(counts, "component_id", "left").join(first, "component_id", "left")
     hit = F.col("n") > 0
     return joined.select(*_row(V.DEPENDENCY, F.when(hit, V.HIT).otherwise(V.MISS), F.when(hit, "A"), F.when(hit, 1.0).otherwise(0.0), F.struct(F.coalesce("n", F.lit(0)).alias("dependents"), "by")))
