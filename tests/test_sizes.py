@@ -120,3 +120,23 @@ def test_dependents_of_one_component_lie_in_several_tasks(spark, monkeypatch):
     assert found[2][0] == "NO_EVIDENCE_FOUND"
     held = seen[0].groupBy(F.spark_partition_id()).count().collect()
     assert len(held) > 5
+
+
+def test_hot_nodes_are_looked_up_in_one_job(spark):
+    links = [(f"x{n:03}", "hub") for n in range(300)] + [("hub", "a")]
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    spark.sparkContext.setJobGroup("hot nodes", "")
+    try:
+        for name, value in zip(names, ("90", "false"), strict=True):
+            spark.conf.set(name, value)
+        found = G.components(spark.createDataFrame(links, "a string, b string"))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("hot nodes"))
+        assert {tuple(r) for r in found.collect()} == {(k, "a") for pair in links for k in pair}
+        written = found.inputFiles()
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 90  # an iterator over what is found of a hot node had been a job for each partition
+    assert len(written) <= 1 + G.LEAST_TASKS
