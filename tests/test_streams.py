@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from usage_audit.operators import runs as RU
@@ -107,3 +108,53 @@ def test_gaps_of_a_large_run(spark):
     kept = sorted(random.sample(range(100_000), 60_000))
     gaps = RU.sequence_gaps(spark.createDataFrame([("r", s) for s in kept], "run_id string, seq long").repartition(7))
     assert {(r["after"], r["seq"]) for r in gaps.collect()} == {(a, b) for a, b in zip(kept, kept[1:], strict=False) if b - a > 1}
+
+
+class _Handle:
+    """State of one run, in memory; calls are counted."""
+
+    def __init__(self):
+        self.calls, self.value, self.list = 0, None, []
+
+    def getValueState(self, *_):
+        return self
+
+    def getListState(self, *_):
+        return type("List", (), {"get": lambda _: iter(self.list), "put": lambda _, x: self._call(self.list.clear, lambda: self.list.extend(x)), "appendValue": lambda _, x: self._call(lambda: self.list.append(x)), "clear": lambda _: self._call(self.list.clear)})()
+
+    def _call(self, *steps):
+        self.calls += 1
+        for step in steps:
+            step()
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self._call(lambda: setattr(self, "value", value))
+
+    def registerTimer(self, _):
+        self.calls += 1
+
+    deleteTimer = registerTimer
+
+
+def test_gaps_cost_calls_of_the_state_for_each_batch_not_for_each_gap():
+    for seed in range(40):
+        chance, handle, seen, change = random.Random(seed), _Handle(), set(), {}
+        gaps = ST._Gaps(1000)
+        gaps.init(handle)
+        for _ in range(chance.randint(1, 8)):
+            batch = [chance.randint(0, chance.choice([30, 400, 3000])) for _ in range(chance.choice([1, 5, 200]))]
+            seen |= set(batch)
+            before = handle.calls
+            frames = [pd.DataFrame({"seq": batch[k::2], "ms": 5}) for k in range(2) if batch[k::2]]
+            for out in gaps.handleInputRows(("r",), iter(frames), None):
+                for run, after, seq, n in out.itertuples(index=False):
+                    assert run == "r"
+                    change[after, seq] = change.get((after, seq), 0) + n
+            assert handle.calls - before <= 4
+            known = sorted(seen)
+            assert {k for k, n in change.items() if n} == {(a, b) for a, b in zip(known, known[1:], strict=False) if b - a > 1}
+            assert set(change.values()) <= {0, 1}
+        assert sum(len(e[0]) for e in handle.list) // 24 <= 2 * (len(seen) + 200)

@@ -37,8 +37,29 @@ def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(by)
 
 
+def _still_open(changes: np.ndarray) -> np.ndarray:
+    """The (after, seq) of rows (after, seq, change) whose changes add up to one, in ascending order."""
+    changes = changes[np.lexsort((changes[:, 1], changes[:, 0]))]
+    first = np.flatnonzero(np.append(True, (changes[1:, :2] != changes[:-1, :2]).any(1))) if len(changes) else np.zeros(0, np.int64)
+    return changes[first][np.add.reduceat(changes[:, 2], first) > 0, :2] if len(changes) else changes[:, :2]
+
+
+def _gaps_between(edge: np.ndarray) -> np.ndarray:
+    """(after, seq) of the gaps between ascending numbers."""
+    wide = np.flatnonzero(np.diff(edge) > 1)
+    return np.stack((edge[wide], edge[wide + 1]), 1)
+
+
 class _Gaps(StatefulProcessor):
-    """The open gaps of each run, as a map from their beginning to their end; a timer forgets a run that is idle."""
+    """The open gaps of each run; a timer forgets a run that is idle.
+
+    They are kept as a list of changes, each entry those of one batch, as bytes of (after, seq, change): a call of the
+    state for each gap would cost more than its rows. The list is read where a number falls between known ones, and put
+    together when less than half of it is still open.
+    """
+
+    #: Changes of an entry at most.
+    ENTRY = 16_384
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
@@ -46,41 +67,54 @@ class _Gaps(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.known = handle.getValueState("known", "first long, last long, until long")
-        self.open = handle.getMapState("open", "after long", "seq long")
+        self.open = handle.getListState("open", "changes binary")
+
+    def _keep(self, changes: np.ndarray, instead: bool) -> None:
+        for at in range(0, len(changes), self.ENTRY):
+            entry = (changes[at : at + self.ENTRY].tobytes(),)
+            if instead and not at:
+                self.open.put([entry])
+            else:
+                self.open.appendValue(entry)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batches = list(rows)  # a run's rows of one micro-batch; maxFilesPerTrigger at the source bounds them
         seqs = np.unique(np.concatenate([b["seq"].to_numpy(np.int64) for b in batches]))
         newest = max(int(b["ms"].max()) for b in batches) + self.idle_ms
-        first, last, until = self.known.get() if self.known.exists() else (int(seqs[0]), int(seqs[0]), 0)
-        closed, opened = [], []
+        first, last, until = self.known.get() or (int(seqs[0]), int(seqs[0]), 0)
         # before all and after all that is known, the new numbers leave gaps between them
-        for edge in (np.append(seqs[seqs < first], first), np.append(last, seqs[seqs > last])):
-            wide = np.flatnonzero(np.diff(edge) > 1)
-            opened += zip(edge[wide].tolist(), edge[wide + 1].tolist(), strict=True)
+        opened = [_gaps_between(np.append(seqs[seqs < first], first)), _gaps_between(np.append(last, seqs[seqs > last]))]
+        closed, kept = np.zeros((0, 2), np.int64), None
         inside = seqs[(seqs > first) & (seqs < last)]
         if len(inside):
-            gaps = np.array(sorted((a[0], b[0]) for a, b in self.open.iterator()), np.int64).reshape(-1, 2)
+            kept = np.concatenate([np.zeros((0, 3), np.int64), *[np.frombuffer(e[0], np.int64).reshape(-1, 3) for e in self.open.get()]])
+            gaps = _still_open(kept)
             at = np.searchsorted(gaps[:, 0], inside, "left") - 1
             fits = at >= 0
             fits[fits] = inside[fits] < gaps[at[fits], 1]
-            for k in np.unique(at[fits]):
-                cuts = np.concatenate((gaps[k, :1], inside[fits & (at == k)], gaps[k, 1:]))
-                wide = np.flatnonzero(np.diff(cuts) > 1)
-                closed.append((int(gaps[k, 0]), int(gaps[k, 1])))
-                opened += zip(cuts[wide].tolist(), cuts[wide + 1].tolist(), strict=True)
-        for after, _ in closed:
-            self.open.removeKey((after,))
-        for after, seq in opened:
-            self.open.updateValue((after,), (seq,))
+            closed = gaps[np.unique(at[fits])]
+            # the ends of what closes and the numbers within; what one gap ends with and the next begins with isn't a gap
+            cuts = np.unique(np.concatenate((closed.ravel(), inside[fits])))
+            pieces = _gaps_between(cuts)
+            within = np.searchsorted(closed[:, 0], pieces[:, 0], "right") - 1
+            opened.append(pieces[pieces[:, 1] <= closed[within, 1]] if len(closed) else pieces)
+        opened = np.concatenate(opened)
+        changes = np.concatenate((np.insert(closed, 2, -1, 1), np.insert(opened, 2, 1, 1)))
+        if kept is not None and len(kept) + len(changes) > 2 * (len(gaps) - len(closed) + len(opened)):
+            left = np.insert(_still_open(np.concatenate((kept, changes))), 2, 1, 1)
+            if len(left):
+                self._keep(left, True)
+            else:
+                self.open.clear()
+        else:
+            self._keep(changes, False)
         if newest > until:
             if until:
                 self.handle.deleteTimer(until)
             self.handle.registerTimer(newest)
         self.known.update((min(first, int(seqs[0])), max(last, int(seqs[-1])), max(until, newest)))
-        out = [(key[0], a, b, -1) for a, b in closed] + [(key[0], a, b, 1) for a, b in opened]
-        if out:
-            yield pd.DataFrame(out, columns=["run_id", "after", "seq", "change"])
+        if len(changes):
+            yield pd.DataFrame({"run_id": key[0], "after": changes[:, 0], "seq": changes[:, 1], "change": changes[:, 2].astype(np.int32)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.known.clear()
