@@ -1,6 +1,7 @@
 """The scanner, definition files, file trees, logs, upserts."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 from usage_audit.functions import source as S
 from usage_audit.operators import artifacts as AR
 from usage_audit.operators import resolve as RE
+from usage_audit.operators import graph as G
+from usage_audit.plans import more_queries as M
 from usage_audit.sources import files
 
 
@@ -116,3 +119,18 @@ def test_located_literals_and_merge_fields(spark):
         (0, 5, 11, "Old__c", 5, "string_literal", "literal", []), (0, 26, 32, "Old__c", 5, "string_literal", "literal", []), (0, 38, 46, "Order__c", 6, "string_literal", "literal", []),
         (1, 3, 9, "Old__c", 5, "comment_mention", "comment", []), (2, 0, 6, "Old__c", 5, "comment_mention", "comment", []),
     ]
+
+
+def test_a_tree_has_a_folder_for_many_pages(spark):
+    base = Path(G.shared_folder(spark).removeprefix("file://"))
+    before, d = set(base.iterdir()), "/root/testdata/sf0.001"
+    got = {r["page_id"]: r["bytes"] for r in M.read_artifacts(spark, d).collect()}
+    pages = spark.read.parquet(f"{d}/pages.parquet").collect()
+    assert got == {r["page_id"]: len(r["html"].encode()) + 1 for r in pages}
+    (tree,) = (p for p in set(base.iterdir()) - before if p.name.startswith("tree-"))
+    held = [p for p in tree.rglob("*") if p.is_file()]
+    assert len(held) == len(pages) and len({p.parent for p in held}) <= max(got) // 1000 + 1
+    rows = spark.createDataFrame([("a/b.txt", "ü\r\nx"), ("c.txt", None)], "path string, content string")
+    assert files.write_artifacts(rows, f"file://{tree}/more") == 2
+    assert (tree / "more/a/b.txt").read_bytes() == "ü\r\nx".encode() and (tree / "more/c.txt").read_bytes() == b""
+    assert files.write_artifacts(rows.limit(0), f"file://{tree}/none") == 0 and files.read_artifacts(spark, f"file://{tree}/none").count() == 0
