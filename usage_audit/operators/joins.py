@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 MOST_LOG2_WORDS = 20
 #: A key that more than 1/HOT_PART of the rows hold is hot: there are fewer than HOT_PART such. Their rows are dealt over SALTS.
 HOT_PART, SALTS = 1000, 64
+#: Keys are counted in so many buckets by their hash first, to find those that may be hot.
+BUCKETS = 1 << 16
 #: Rows that a task joins, sorts or sums at once, about, where they are dealt by `dealt`.
 ROWS_OF_TASK = 100_000
 
@@ -52,9 +54,13 @@ def maybe_among(rows: DataFrame, table: DataFrame, keys: list[str], n_keys: int
 
 
 def hot_keys(rows: DataFrame, keys: list[str], least: int = 0) -> DataFrame:
-    """The `keys` that more than 1/HOT_PART of `rows`, and more than `least`, hold: fewer than HOT_PART. `rows` is read twice."""
-    n = unused("n", rows)
-    return rows.groupBy(*keys).agg(F.count("*").alias(n)).filter(F.col(n) > max(rows.count() // HOT_PART, least)).dropna(subset=keys).select(*keys)
+    """The `keys` that more than 1/HOT_PART of `rows`, and more than `least`, hold: fewer than HOT_PART. `rows` is read
+    three times: buckets of keys are counted before the keys of crowded ones, fewer than HOT_PART, are."""
+    n, most = unused("n", rows), max(rows.count() // HOT_PART, least)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    crowded = [r[0] for r in rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).filter(F.col("n") > most).collect()]
+    maybe = rows.filter(bucket.isin(crowded)) if crowded else rows.limit(0)
+    return maybe.groupBy(*keys).agg(F.count("*").alias(n)).filter(F.col(n) > most).dropna(subset=keys).select(*keys)
 
 
 def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import graph as G
 from ..operators import reports as R
 from ..operators import resolve as RE
 from . import inputs as I
-from .queries import _GRAPH, _SELF, _SWEEP, _docs, _joined, _parts_graph, query
+from .queries import _GRAPH, _SELF, _SWEEP, _docs, _joined, _parts_links, query
 
 # --- references -----------------------------------------------------------------------------------------------------------
 
@@ -130,7 +130,7 @@ def referenced_by_rows(spark, d):
 def reachability_paths(spark, d):
     """How each node is reached: its entry point, and the last twelve nodes of the way."""
     nodes = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), (F.col("p_partkey") % 101 == 0).alias("is_entry_point"))
-    return G.reachability(nodes, _parts_graph(spark, d)).select("key", "distance", "root", _joined("path"))
+    return G.reachability(nodes, _parts_links(spark, d)).select("key", "distance", "root", _joined("path"))
 
 
 @query("SELECT 'evidence' AS name, component_id, collector_id || ':' || result AS said FROM evidence UNION ALL SELECT 'components', c.id, c.api_name || ':' || coalesce(v.label, '') FROM comps c LEFT JOIN verdicts v ON v.component_id = c.id UNION ALL SELECT 'candidates', component_id, api_name || ':UNUSED' FROM comps JOIN verdicts v ON component_id = id WHERE v.label = 'UNUSED'")
