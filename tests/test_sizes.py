@@ -109,6 +109,17 @@ def test_aliases_lie_in_as_many_tasks_as_their_rows_need(spark, monkeypatch):
     assert sorted(tuple(r)[:3] for r in found.collect()) == sorted([(n, f"klass{n}", "api_name") for n in range(90)] + [(n, f"klass{n}.", "qualified") for n in range(90)])
 
 
+def test_resolved_edges_lie_in_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(J, "ROWS_OF_TASK", 50)
+    components = spark.createDataFrame([(n, "CustomField", "owner__c") for n in range(10)], "id long, ctype string, parent_object string")
+    aliases = spark.createDataFrame([(n, f"field{n % 5}__c", "api_name") for n in range(10)], "component_id long, alias_lc string, alias_kind string")
+    artifacts = spark.createDataFrame([(n, "ApexClass", True, False, True) for n in range(60)], "artifact_id long, metadata_type string, is_code boolean, is_test boolean, is_active boolean")
+    said = [(n, f"field{m}__c", "token", 0) for n in range(60) for m in range(5)] + [(n, "owner__c", "token", 0) for n in range(0, 60, 2)]
+    found = RE.resolve_references(spark.createDataFrame(said, "artifact_id long, said string, origin string, precedence int"), aliases, components, artifacts)
+    assert _tasks(found) == len(said) // 50 + 1
+    assert {(r["artifact_id"], r["component_id"], r["tier"]) for r in found.collect()} == {(n, c, "C" if n % 2 else "A") for n in range(60) for c in range(10)}
+
+
 def test_dependents_of_one_component_lie_in_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(J, "ROWS_OF_TASK", 50)
     monkeypatch.setattr(EV.E, "sample_values", lambda df, *a, find=EV.E.sample_values: seen.append(df) or find(df, *a))

@@ -67,7 +67,7 @@ def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "
     """`rows` joined with `table` on `keys`; `how` is inner, left or left_semi.
 
     The rows of a hot key, of which a list of fewer than HOT_PART is broadcast, are dealt over SALTS tasks, and what the
-    table says of it is sent to each. Without `hot` (keys), `rows` is read twice more to find them: a written table is best.
+    table says of it is sent to each. Without `hot` (keys), `rows` is read three times more to find them: a written table is best.
     """
     salts, salt = unused("salts", rows, table), unused("salt", rows, table)
     hot = F.broadcast((hot_keys(rows, keys) if hot is None else hot).withColumn(salts, F.lit(SALTS)))

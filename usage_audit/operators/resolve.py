@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from .. import vocabulary as V
 from ..functions import text as T
 from .graph import cut
-from .joins import dealt, maybe_among, salted_join
+from .joins import dealt, hot_keys, maybe_among, salted_join
 
 
 def token_counts(files: DataFrame, text: str = "code", key: str = "artifact_id") -> DataFrame:
@@ -59,7 +59,9 @@ def resolve_references(said: DataFrame, aliases: DataFrame, components: DataFram
     Comments give C.
 
     Files are read once: most of what they say is no alias and stays where it is (maybe_among); the rest is written
-    before it is joined, and an alias that all files name is dealt over many tasks (salted_join).
+    before it is joined, and an alias that all files name is dealt over many tasks (salted_join). Tasks are as many as the
+    rows need, and what was matched moves once more, to its file: its attributes, the parents that it names and its best
+    edges are found there.
     """
     parents = components.select(F.col("id").alias("component_id"), "ctype", F.lower("parent_object").alias("parent"))
     owned = cut(ambiguity_guard(aliases).select("component_id", "alias_lc", "alias_kind", "ambiguous").join(parents, "component_id"), "aliases")
@@ -67,19 +69,22 @@ def resolve_references(said: DataFrame, aliases: DataFrame, components: DataFram
     asked = owned.filter("ambiguous and parent is not null").select("parent").distinct()
     names = owned.select(F.col("alias_lc").alias("said")).union(asked).distinct()
     said = cut(maybe_among(said.select("artifact_id", "said", "origin", "precedence"), names, ["said"]), "said")
+    n, common = said.count(), hot_keys(said, ["said"]).collect()  # fewer than 1000
+    hot = said.sparkSession.createDataFrame(common, said.select("said").schema)
 
     own = said.filter("origin = 'token'").select("artifact_id", F.col("said").alias("alias_lc"), F.lit("token_sweep").alias("match_kind"))
     literals = first_origin(said.filter("origin not in ('token', 'comment')").select("artifact_id", F.col("said").alias("literal"), "origin", "precedence"))
     spoken = literals.select("artifact_id", F.col("literal").alias("alias_lc"), F.when(F.col("origin") == "merge_field", "merge_field").otherwise("string_literal").alias("match_kind"))
     comments = said.filter("origin = 'comment'").select("artifact_id", F.col("said").alias("alias_lc"), F.lit("comment_mention").alias("match_kind"))
     kinds = own.unionByName(spoken).unionByName(comments)
-    matched = salted_join(kinds, owned, ["alias_lc"]).join(artifacts.select("artifact_id", "metadata_type", "is_code", "is_test", "is_active"), "artifact_id")
+    about = dealt(artifacts.select("artifact_id", "metadata_type", "is_code", "is_test", "is_active"), n, "artifact_id")
+    matched = dealt(salted_join(kinds, owned, ["alias_lc"], hot=hot.withColumnRenamed("said", "alias_lc")), n, "artifact_id").join(about, "artifact_id")
     guarded = (F.col("match_kind") == "comment_mention") | ((F.col("match_kind") == "token_sweep") & ~F.col("is_code"))
     matched = matched.filter(~guarded | T.is_sweepable("alias_lc"))
-    named = salted_join(own.select("artifact_id", F.col("alias_lc").alias("parent")), asked, ["parent"]).distinct().withColumn("named", F.lit(True))
-    matched = matched.join(named, ["artifact_id", "parent"], "left")
+    named = salted_join(own.select("artifact_id", F.col("alias_lc").alias("parent")), asked, ["parent"], hot=hot.withColumnRenamed("said", "parent"))
+    matched = matched.join(dealt(named, n, "artifact_id").groupBy("artifact_id").agg(F.collect_set("parent").alias("named")), "artifact_id", "left")
     base = F.when(F.col("match_kind") == "comment_mention", "C").when((F.col("match_kind") == "token_sweep") & (F.col("alias_kind") == "bare_name"), "C").otherwise("A")
-    doubtful = F.col("ambiguous") & ~F.coalesce("named", F.lit(False))
+    doubtful = F.col("ambiguous") & ~F.coalesce(F.array_contains("named", F.col("parent")), F.lit(False))
     placed = F.col("metadata_type").isin(*V.PLACEMENT_CONSUMERS) & F.col("ctype").isin(*V.UI_TYPES)
     weak = F.col("is_test") | ~F.col("is_active") | (F.col("metadata_type").isin(*V.WEAK_CONSUMERS) & ~placed)
     tier = F.when((base == "A") & (doubtful | weak), "C").otherwise(base)
