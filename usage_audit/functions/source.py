@@ -5,9 +5,11 @@ These three need a scan with state, so they run in Arrow batches; every file is
 
 from __future__ import annotations
 
+import heapq
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, compress
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +20,7 @@ from xml.parsers import expat
 
 from .. import vocabulary as V
 from ..operators.graph import cut
+from ..operators.joins import ROWS_OF_TASK
 from . import text as T
 
 SPLIT = "code string, comments string, literals array<string>, spans array<struct<start:int,end:int,kind:string>>"
@@ -126,65 +129,237 @@ def dedupe_overlaps(hits: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame
     return kept.select("artifact_id", "k.start", "k.end", *[f"k.{c}" for c in fields], "k.also")
 
 
-def _occurrences(source: str, suffix: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """(start, end, lower-cased text, match kind, region) of everything in a file that an alias could match."""
-    names, columns, merge = re.compile(V.TOKEN, re.A), re.compile(V.REPORT_COLUMN, re.A), re.compile(V.MERGE_FIELD)
-
-    patterns = (names, columns) if "$" in source else (names,)  # a report column has one
-
-    def words(lo: int, hi: int) -> Iterator[tuple[int, int, str]]:
-        for pattern in patterns:
-            for m in pattern.finditer(source, lo, hi):
-                yield m.start(), m.end(), m.group().lower()
-
-    for lo, hi, kind in split_any(suffix, source)[3]:
-        if kind in ("code", "markup"):
-            for a, b, w in words(lo, hi):
-                yield a, b, w, "token_sweep", kind
-            for m in merge.finditer(source, lo, hi):
+#: A file is cut into pieces: what says nothing, and then a run of word characters, a comment, a literal or a single character.
+_CODE_PIECES = re.compile(r"""[^A-Za-z0-9_$/'"]*(?:[A-Za-z0-9_$]+|//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\])*(?:'|\Z|\\\Z)|"(?:\\.|[^"\\])*(?:"|\Z|\\\Z)|.)""", re.S)
+_MARKUP_PIECES = re.compile(r"[^A-Za-z0-9_$<]*(?:[A-Za-z0-9_$]+|<!--.*?(?:-->|\Z)|<!?-?\Z|.)", re.S)
+_SILENT = {_CODE_PIECES: re.compile(r"""[^A-Za-z0-9_$/'"]*"""), _MARKUP_PIECES: re.compile(r"[^A-Za-z0-9_$<]*")}
+_NAMES, _COLUMNS, _MERGE = re.compile(V.TOKEN, re.A), re.compile(V.REPORT_COLUMN, re.A), re.compile(V.MERGE_FIELD)
+#: Pieces of so many characters at most are remembered, so many of them, and so many characters are cut into pieces at once.
+_SHORT, _REMEMBERED, _WINDOW = 100, 1 << 18, 1 << 18
+_LONG = ("long",)
+
+
+class _Pieces(dict):
+    """(start, end, name, match kind, region) of the `known` names in a piece. Short pieces are read once: words come again."""
+
+    def __init__(self, known, suffix: str | None):
+        self.known, self.scanned = known, (suffix or "").lower() in V.SCANNED_SUFFIXES
+        self.pattern = _CODE_PIECES if self.scanned else _MARKUP_PIECES
+        self.silent = _SILENT[self.pattern]
+        self.free_of = known.keys().isdisjoint
+        self.odd = not all(map(re.compile(V.TOKEN).fullmatch, known))  # such names only are literals as a whole
+
+    def __missing__(self, piece: str) -> tuple:
+        if len(piece) > _SHORT:
+            return _LONG
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        # most pieces name nothing known; a literal that isn't made of names is asked for as a whole
+        plain = "$" not in piece and not ((self.odd or not piece.isascii()) and ("'" in piece or '"' in piece))
+        found = self[piece] = () if plain and self.free_of(map(str.lower, _NAMES.findall(piece))) else tuple(self.said(piece, 0, len(piece)))
+        return found
+
+    def words(self, source: str, lo: int, hi: int, match_kind: str, region: str) -> Iterator[tuple[int, int, str, str, str]]:
+        found = _NAMES.finditer(source, lo, hi)
+        if source.find("$", lo, hi) >= 0:  # a report column has one
+            found = heapq.merge(found, _COLUMNS.finditer(source, lo, hi), key=re.Match.start)
+        for m in found:
+            name = m.group().lower()
+            if name in self.known:
+                yield m.start(), m.end(), name, match_kind, region
+
+    def said(self, source: str, lo: int, hi: int) -> Iterator[tuple[int, int, str, str, str]]:
+        """What the piece of `source` from `lo` to `hi` says, in order of start."""
+        at = self.silent.match(source, lo, hi).end()
+        if not self.scanned:
+            closed = source.startswith("<!--", at, hi) and source.endswith("-->", at + 4, hi)
+            return self.words(source, at, hi, *(("comment_mention", "comment") if closed else ("token_sweep", "markup")))
+        if source.startswith(("//", "/*"), at, hi):
+            return self.words(source, at, hi, "comment_mention", "comment")
+        return self.literal(source, at + 1, max(at + 1, hi - 1)) if source.startswith(("'", '"'), at, hi) else self.words(source, at, hi, "token_sweep", "code")
+
+    def literal(self, source: str, lo: int, hi: int) -> Iterator[tuple[int, int, str, str, str]]:
+        inner = source[lo:hi]
+        if (whole := inner.strip().lower()) in self.known:
+            yield lo, hi, whole, "string_literal", "literal"
+        if " " in inner:
+            yield from self.words(source, lo, hi, "string_literal", "literal")
+
+
+def _occurrences(source: str, pieces: _Pieces) -> Iterator[tuple[int, Iterable[tuple[int, int, str, str, str]]]]:
+    """(place, hits), in order: hits are (start, end, name, match kind, region) of known names, from that place.
+
+    Windows are cut into pieces and these are looked up by calls that loop in C; only pieces that say a name come back to
+    Python. A window's last piece may go on behind it and is left to the next one.
+    """
+    at, window = 0, _WINDOW
+    while at < len(source):
+        end = min(at + window, len(source))
+        found = pieces.pattern.findall(source, at, end)
+        if end < len(source):
+            if len(found) == 1:
+                window *= 2
+                continue
+            found.pop()
+        said = [*map(pieces.__getitem__, found)]
+        for start, piece, hits in compress(zip(accumulate(map(len, found), initial=at), found, said, strict=False), said):
+            yield (0, pieces.said(source, start, start + len(piece))) if hits is _LONG else (start, hits)
+        at, window = at + sum(map(len, found)), _WINDOW
+
+
+def _merge_fields(source: str, suffix: str | None, known) -> Iterator[tuple[int, int, str, str, str]]:
+    for lo, hi, region in split_any(suffix, source)[3]:
+        if region in ("code", "markup"):
+            for m in _MERGE.finditer(source, lo, hi):
                 said = m.group(1).strip()
                 for part in dict.fromkeys([said, *(p for p in re.split(r"[.\s(),]+", said) if len(p) > 1)]):
-                    yield m.start(), m.end(), part.lower(), "merge_field", kind
-        elif kind == "literal":
-            inner = source[lo + 1 : max(lo + 1, hi - 1)]
-            yield lo + 1, lo + 1 + len(inner), inner.strip().lower(), "string_literal", kind
-            if " " in inner:
-                for a, b, w in words(lo + 1, lo + 1 + len(inner)):
-                    yield a, b, w, "string_literal", kind
-        else:
-            for a, b, w in words(lo, hi):
-                yield a, b, w, "comment_mention", kind
+                    if part.lower() in known:
+                        yield m.start(), m.end(), part.lower(), "merge_field", region
+
+
+def _found(source: str, suffix: str | None, pieces: _Pieces) -> Iterator[tuple[int, Iterable[tuple[int, int, str, str, str]]]]:
+    """What _occurrences() gives, with merge fields."""
+    found = _occurrences(source, pieces)
+    if "{!" not in source:
+        return found
+    each = ((start + a, start + b, *about) for start, hits in found for a, b, *about in hits)
+    return ((0, (hit,)) for hit in heapq.merge(each, _merge_fields(source, suffix, pieces.known), key=itemgetter(0)))
 
 
-#: What _located() gives, and how many rows and characters of it are held at once.
-_LOCATED = "artifact_id long, start int, end int, alias_lc string, match_kind string, region string, is_code boolean, line int, lead int, said string"
+#: How many rows and characters of what is found are held at once.
 _HELD_ROWS, _HELD_CHARACTERS = 20_000, 4_000_000
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+
+
+def _handed_on(rows: Iterator[tuple], columns: str, text: int) -> Iterator[pa.RecordBatch]:
+    """`rows` in small batches, however many there are; column number `text` holds the most characters."""
+    schema = pa.schema([(n, _ARROW[t]) for n, t in (c.split() for c in columns.split(", "))])
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    held, characters = [], 0
+    for row in rows:
+        held.append(row)
+        characters += len(row[text])
+        if len(held) >= _HELD_ROWS or characters >= _HELD_CHARACTERS:
+            yield made(held)
+            held, characters = [], 0
+    if held:
+        yield made(held)
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The occurrences of `names` in files (artifact_id, suffix, content, names), with their first line, their place in it
-    and their text.
+    and their text. One file is scanned at a time, and what is found is handed on in small batches."""
 
-    One file is scanned at a time, and what is found is handed on in small batches, however much a file or a batch holds.
-    """
-    schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in _LOCATED.split(", "))])
-    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-    rows, held = [], 0
-    for batch in batches:
-        for artifact, suffix, content, names in zip(*map(batch.column, ("artifact_id", "suffix", "content", "names")), strict=True):
-            key, kind, source, among = artifact.as_py(), suffix.as_py(), content.as_py() or "", set(names.as_py())
-            is_code, ends = (kind or "").lower() in V.CODE_SUFFIXES, [m.start() for m in re.finditer("\n", source)]
-            for a, b, w, match_kind, region in _occurrences(source, kind):
-                if w not in among:
-                    continue
-                line = bisect_left(ends, a)
-                rows.append((key, a, b, w, match_kind, region, is_code, line, a - (ends[line - 1] + 1 if line else 0), source[a:b]))
-                held += b - a + len(w)
-                if len(rows) >= _HELD_ROWS or held >= _HELD_CHARACTERS:
-                    yield made(rows)
-                    rows, held = [], 0
-    if rows:
-        yield made(rows)
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for artifact, suffix, content, names in zip(*map(batch.column, ("artifact_id", "suffix", "content", "names")), strict=True):
+                key, kind, source = artifact.as_py(), suffix.as_py(), content.as_py() or ""
+                is_code, places = (kind or "").lower() in V.CODE_SUFFIXES, _Places(source)
+                for start, hits in _found(source, kind, _Pieces(dict.fromkeys(names.as_py()), kind)):
+                    for a, b, *about in hits:
+                        yield key, start + a, start + b, *about, is_code, *places.of(start + a), source[start + a : start + b]
+
+    return _handed_on(rows(), "artifact_id long, start int, end int, alias_lc string, match_kind string, region string, is_code boolean, line int, lead int, said string", 9)
+
+
+class _Places:
+    """Lines of places that come in order."""
+
+    def __init__(self, source: str):
+        self.source, self.line, self.begins, self.seen = source, 0, 0, 0
+
+    def of(self, at: int) -> tuple[int, int]:
+        """(line, place in the line), both from 0."""
+        feed = self.source.rfind("\n", self.seen, at)
+        if feed >= 0:
+            self.line += self.source.count("\n", self.seen, at)
+            self.begins = feed + 1
+        self.seen = at
+        return self.line, at - self.begins
+
+
+#: Match kinds as bits of a number.
+_BITS = {"token_sweep": 1, "string_literal": 2, "merge_field": 4, "comment_mention": 8}
+
+
+def _first_longest(island: list[tuple]) -> list[tuple]:
+    """What dedupe_overlaps() does to hits (start, -length, component, match kind, alias kind, region) that overlap."""
+    if len(island) == 1:
+        a, size, component, match_kind, alias_kind, region = island[0]
+        return [(a, a - size, component, match_kind, alias_kind, region, ())]
+    kept = []
+    for a, size, component, match_kind, alias_kind, region in sorted(island):
+        if not kept or a >= kept[-1][1]:
+            kept.append((a, a - size, component, match_kind, alias_kind, region, []))
+        elif component != kept[-1][2] and component not in kept[-1][-1]:
+            kept[-1][-1].append(component)
+    return kept
+
+
+def _kept(found: Iterator[tuple], known: dict[str, list], kinds: dict[int, int], is_code: bool) -> Iterator[tuple]:
+    """(start, end, component, match kind, alias kind, region, also) of the hits that stay, of components with an edge of
+    that kind. Hits are judged in islands, before each of which all earlier ones have ended."""
+    island, reach = [], 0
+    guarded = {k: k == "comment_mention" or (k == "token_sweep" and not is_code) for k in _BITS}
+    for start, hits in found:
+        for a, b, name, match_kind, region in hits:
+            bit, guard, a, b = _BITS[match_kind], guarded[match_kind], start + a, start + b
+            new = [(a, a - b, c, match_kind, alias_kind, region) for c, alias_kind, sweepable in known[name] if (sweepable or not guard) and c in kinds and kinds[c] & bit]
+            if not new:
+                continue
+            if a >= reach:
+                if island:
+                    yield from _first_longest(island)
+                island, reach = new, b
+            else:
+                island += new
+                reach = max(reach, b)
+    yield from _first_longest(island) if island else ()
+
+
+_MARKED = "artifact_id long, line int, col int, end_col int, text string, component_id long, match_kind string, alias_kind string, region string, also array<long>"
+#: Rows of the stream that _marked() reads: of each bucket first its aliases, then of each file its edges and the file itself.
+_ALIAS, _EDGE, _FILE = 0, 1, 2
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The segments (_MARKED) of the files in a stream of buckets. Only a bucket's aliases and one file's edges are held."""
+
+    def listed(column: pa.Array) -> list:
+        whole = column.null_count and not pa.types.is_string(column.type)  # numbers would become floats
+        return column.to_pylist() if whole else column.to_numpy(zero_copy_only=False).tolist()
+
+    def rows() -> Iterator[tuple]:
+        now, file = None, _marked
+        for batch in batches:
+            named = ("bucket", "step", "artifact_id", "component_id", "bits", "alias_lc", "alias_kind", "sweepable")
+            suffixes, contents = batch.column("suffix"), batch.column("content")
+            for n, (bucket, step, key, component, bits, alias, alias_kind, sweepable) in enumerate(zip(*(listed(batch.column(c)) for c in named), strict=True)):
+                if bucket != now:
+                    now, file, known, pieces = bucket, _marked, {}, {}
+                if step == _ALIAS:
+                    known.setdefault(alias, []).append((component, alias_kind, sweepable))
+                elif step == _EDGE:
+                    if key != file:
+                        file, kinds = key, {}
+                    kinds[component] = bits
+                elif key == file:
+                    suffix, source = suffixes[n].as_py(), contents[n].as_py() or ""
+                    if suffix not in pieces:
+                        pieces[suffix] = _Pieces(known, suffix)
+                    places, is_code = _Places(source), (suffix or "").lower() in V.CODE_SUFFIXES
+                    for a, b, component, match_kind, alias_kind, region, also in _kept(_found(source, suffix, pieces[suffix]), known, kinds, is_code):
+                        line, col = places.of(a)
+                        for text in source[a:b].split("\n"):
+                            if text:
+                                yield key, line, col, col + len(text), text, component, match_kind, alias_kind, region, also
+                            line, col = line + 1, 0
+
+    return _handed_on(rows(), _MARKED, 4)
+
+
+#: Files that a task scans, about.
+FILES_OF_TASK = 2000
 
 
 def locate_references(files: DataFrame, edges: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -194,21 +369,23 @@ def locate_references(files: DataFrame, edges: DataFrame, aliases: DataFrame) ->
     alias_lc, alias_kind. Only components with an edge of that kind from that file are marked, and never by a label or
     a stripped name. Lines and columns count from 0; a hit over several lines has a segment on each.
 
-    A file meets the names of the components that it has edges to, which bounds them by what it says; only where these
-    occur it gives rows, and each brings its line and text with it, so contents are joined with nothing else.
+    Files are dealt to buckets, one a task. A bucket's stream has the aliases of the components that its edges name, each
+    once, and then file by file its edges and its text: a file is found, judged, freed of overlaps and cut into lines where
+    it is read, so what is found is never sorted or joined, and contents move once.
     """
-    wanted = cut(edges.select(F.col("artifact_id").cast("long").alias("artifact_id"), "component_id", "match_kind").distinct(), "wanted")
-    able = aliases.filter(~F.col("alias_kind").isin(*V.NON_REFERENCE_KINDS)).select("component_id", "alias_lc", "alias_kind")
-    names = wanted.select("artifact_id", "component_id").distinct().join(able, "component_id").groupBy("artifact_id").agg(F.collect_set("alias_lc").alias("names"))
-    touched = files.select(F.col("artifact_id").cast("long").alias("artifact_id"), "suffix", "content").join(names, "artifact_id")
-    said = touched.mapInArrow(_located, _LOCATED)
-    guarded = (F.col("match_kind") == "comment_mention") | ((F.col("match_kind") == "token_sweep") & ~F.col("is_code"))
-    said = said.filter(~guarded | T.is_sweepable("alias_lc"))
-    hits = said.join(able, "alias_lc").join(wanted, ["artifact_id", "component_id", "match_kind"], "left_semi")
-    kept = dedupe_overlaps(hits, ("line", "lead", "said"))
-    lines = kept.select("*", F.posexplode(F.split("said", "\n")).alias("n", "text"))
-    col = F.when(F.col("n") == 0, F.col("lead")).otherwise(0)
-    return lines.filter("text != ''").select("artifact_id", (F.col("line") + F.col("n")).cast("int").alias("line"), col.cast("int").alias("col"), (col + F.length("text")).cast("int").alias("end_col"), "text", "component_id", "match_kind", "alias_kind", "region", "also")
+    bits = F.coalesce(*[F.when(F.col("match_kind") == k, b) for k, b in _BITS.items()]).alias("bits")
+    key, component = F.col("artifact_id").cast("long").alias("artifact_id"), F.col("component_id").cast("long").alias("component_id")
+    wanted = edges.select(key, component, bits).dropna(subset=["component_id", "bits"])
+    wanted = cut(wanted.groupBy("artifact_id", "component_id").agg(F.bit_or("bits").alias("bits")), "wanted")
+    n = max(wanted.count() // ROWS_OF_TASK, files.count() // FILES_OF_TASK) + 1
+    bucket = F.pmod(F.xxhash64("artifact_id"), F.lit(n)).cast("int").alias("bucket")
+    able = aliases.filter(~F.col("alias_kind").isin(*V.NON_REFERENCE_KINDS)).select(component, "alias_lc", "alias_kind", T.is_sweepable("alias_lc").alias("sweepable"))
+    named = wanted.select(bucket, "component_id").distinct().join(able.dropna(subset=["alias_lc"]), "component_id").withColumn("step", F.lit(_ALIAS))
+    said = wanted.select(bucket, F.lit(_EDGE).alias("step"), "artifact_id", "component_id", "bits")
+    whole = files.select(key, "suffix", "content").select(bucket, F.lit(_FILE).alias("step"), "artifact_id", "suffix", "content")
+    stream = named.unionByName(said, allowMissingColumns=True).unionByName(whole, allowMissingColumns=True).fillna({"component_id": -1, "bits": 0, "sweepable": False})
+    order = ("bucket", F.col("step") != _ALIAS, "artifact_id", "step")
+    return stream.repartitionById(n, "bucket").sortWithinPartitions(*order).mapInArrow(_marked, _MARKED)
 
 
 #: Elements of a definition file that have a name.

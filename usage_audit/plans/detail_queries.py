@@ -12,6 +12,7 @@ from ..operators import events as E
 from ..operators import graph as G
 from ..operators import reports as R
 from ..operators import resolve as RE
+from ..operators.joins import maybe_among
 from . import inputs as I
 from .queries import _GRAPH, _SELF, _SWEEP, _docs, _joined, _parts_links, query
 
@@ -105,8 +106,8 @@ def locate_layers(spark, d):
     names = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(V.TOKEN), 0)).alias("alias_lc")).filter("length(alias_lc) >= 4")
     aliases = names.groupBy("alias_lc").agg(F.min("item_id").alias("component_id")).withColumn("alias_kind", F.lit("api_name"))
     kind = F.when(F.col("i") % 3 == 0, "token_sweep").when(F.col("i") % 3 == 1, "string_literal").otherwise("comment_mention")
-    said = _docs(spark, d).select(F.col("doc_id").alias("artifact_id"), F.posexplode(words).alias("i", "w")).select("artifact_id", F.lower("w").alias("alias_lc"), kind.alias("match_kind")).distinct()
-    edges = said.join(aliases, "alias_lc").select("artifact_id", "component_id", "match_kind").distinct()
+    said = _docs(spark, d).select(F.col("doc_id").alias("artifact_id"), F.posexplode(words).alias("i", "w")).select("artifact_id", F.lower("w").alias("alias_lc"), kind.alias("match_kind"))
+    edges = maybe_among(said, aliases, ["alias_lc"]).join(aliases, "alias_lc").select("artifact_id", "component_id", "match_kind")  # repeats go later
     return S.locate_references(rows, edges, aliases).select("artifact_id", "line", "col", "end_col", "text", "component_id", "match_kind", "region", F.size("also").alias("also"))
 
 
