@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,25 @@ def test_windows_and_long_pieces_change_nothing(monkeypatch):
             assert sorted(set(got)) == want and [o[0] for o in got] == sorted(o[0] for o in got), (source, suffix, window)
 
 
+def test_lines_tell_by_themselves_only_what_is_so():
+    random.seed(3)
+    for suffix, aliases in ((".cls", ALIASES), (".xml", ALIASES), (".cls", ALIASES[:4])):
+        known = {a: [(c, k, True)] for c, a, k in aliases}
+        lines = ["".join(random.choice([*WORDS, "alpha", "9x"] if random.random() < 0.5 else GLUE) for _ in range(random.randint(0, 12))).replace("\n", " ") for _ in range(3000)]
+        reader, quiet = S._Lines(known, suffix), 0
+        for line, silent in zip(lines, reader.silent(pa.array(lines)).tolist(), strict=True):
+            text = line + "\nQ"
+            hits, spans = {o for o in occurrences(text, suffix) if o[2] in known}, S.split_any(suffix, text)[3]
+            ends_open = spans[-1][1:] not in ((len(text), "code"), (len(text), "markup"))
+            found = reader[line]
+            if silent or found is not S._WHOLE:
+                assert not ends_open and (not silent or not hits), (suffix, line)
+            if found is not S._WHOLE:
+                assert {(a, b, text[a:b], kind, region) for a, b, _, kind, region in hits} == {(a, b, t, kind, region) for a, b, t, _, _, kind, _, region in found}, (suffix, line)
+            quiet += silent
+        assert 300 < quiet < 2900
+
+
 def test_what_is_found_is_neither_sorted_nor_joined(spark):
     files = [(k, ".cls", "Old__c // order__c\nTotal") for k in range(30)]
     found = S.locate_references(*frames(spark, files, {(k, 1, "token_sweep") for k in range(30)}, ALIASES))

@@ -8,11 +8,13 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterable, Iterator
-from itertools import accumulate, compress
+from itertools import accumulate, chain, compress
 from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -231,9 +233,13 @@ _HELD_ROWS, _HELD_CHARACTERS = 20_000, 4_000_000
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
 
 
+def _schema(columns: str) -> pa.Schema:
+    return pa.schema([(n, _ARROW[t]) for n, t in (c.split() for c in columns.split(", "))])
+
+
 def _handed_on(rows: Iterator[tuple], columns: str, text: int) -> Iterator[pa.RecordBatch]:
     """`rows` in small batches, however many there are; column number `text` holds the most characters."""
-    schema = pa.schema([(n, _ARROW[t]) for n, t in (c.split() for c in columns.split(", "))])
+    schema = _schema(columns)
     made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
     held, characters = [], 0
     for row in rows:
@@ -296,11 +302,10 @@ def _first_longest(island: list[tuple]) -> list[tuple]:
     return kept
 
 
-def _kept(found: Iterator[tuple], known: dict[str, list], kinds: dict[int, int], is_code: bool) -> Iterator[tuple]:
+def _kept(found: Iterator[tuple], known: dict[str, list], kinds: dict[int, int], guarded: dict[str, bool]) -> Iterator[tuple]:
     """(start, end, component, match kind, alias kind, region, also) of the hits that stay, of components with an edge of
     that kind. Hits are judged in islands, before each of which all earlier ones have ended."""
     island, reach = [], 0
-    guarded = {k: k == "comment_mention" or (k == "token_sweep" and not is_code) for k in _BITS}
     for start, hits in found:
         for a, b, name, match_kind, region in hits:
             bit, guard, a, b = _BITS[match_kind], guarded[match_kind], start + a, start + b
@@ -317,45 +322,168 @@ def _kept(found: Iterator[tuple], known: dict[str, list], kinds: dict[int, int],
     yield from _first_longest(island) if island else ()
 
 
+#: A line without a comment or literal that goes on behind it, and the longest line that is remembered.
+_CLOSED = re.compile(r"""(?>[^/'"]++|//[^\n]*+|/\*.*?\*/|'(?:\\.|[^'\\])*+'|"(?:\\.|[^"\\])*+"|/(?![/*]))*+""", re.S)
+_LINE = 200
+#: Lines of code that are closed without a look at escapes; each character can be taken in one way only.
+_PLAIN_CODE = r"""^(?:[^'"/$]|'[^'\\$]*'|"[^"\\$]*"|/[^*/'"$]|/$)*(?://[^$]*)?$"""
+_WHOLE = ("whole",)
+
+
+class _Lines(dict):
+    """Hits (col, end, text, component, bit, match kind, alias kind, region) of components in a line, if they can be told
+    from the line alone and don't overlap; else _WHOLE: its file is to be read as a whole."""
+
+    def __init__(self, known: dict[str, list], suffix: str | None):
+        self.known, self.suffix, self.pieces, self.names = known, suffix, _Pieces(known, suffix), pa.array(list(known), pa.string())
+        is_code = (suffix or "").lower() in V.CODE_SUFFIXES
+        self.guarded = {k: k == "comment_mention" or (k == "token_sweep" and not is_code) for k in _BITS}
+
+    def __missing__(self, line: str) -> tuple:
+        if len(self) >= _REMEMBERED:
+            self.clear()
+        found = self[line] = self.read(line) if len(line) <= _LINE and "{!" not in line and self.closed(line) else _WHOLE
+        return found
+
+    def closed(self, line: str) -> bool:
+        if not self.pieces.scanned:
+            return "<!--" not in line
+        return ("'" not in line and '"' not in line and "/*" not in line) or _CLOSED.fullmatch(line) is not None
+
+    def read(self, line: str) -> tuple:
+        hits, reach = [], 0
+        for start, found in _occurrences(line, self.pieces):
+            for a, b, name, match_kind, region in found:
+                about = {(c, k) for c, k, sweepable in self.known[name] if sweepable or not self.guarded[match_kind]}
+                if about and (len(about) > 1 or start + a < reach or a == b):
+                    return _WHOLE
+                for component, alias_kind in about:
+                    hits.append((start + a, start + b, line[start + a : start + b], component, _BITS[match_kind], match_kind, alias_kind, region))
+                    reach = start + b
+        return tuple(hits)
+
+    def silent(self, lines: pa.Array) -> np.ndarray:
+        """Which `lines` surely have no hit and are closed? By whole columns, for most lines; the others are read one by one."""
+        plain, low = pc.match_substring_regex(lines, _PLAIN_CODE if self.pieces.scanned else "^[^$]*$"), pc.ascii_lower(lines)
+        doubts = [pc.match_substring(lines, "{!"), pc.match_substring(lines, "<!--"), pc.match_substring_regex(low, "(?:^|[^a-z0-9_])[0-9]+[a-z_]")]  # there a name begins within a word
+        if self.pieces.odd:
+            doubts.append(pc.match_substring_regex(lines, "['\"]"))
+        words = pc.split_pattern_regex(low, "[^a-z0-9_]+")
+        named = np.flatnonzero(pc.is_in(words.values, value_set=self.names).to_numpy(zero_copy_only=False))
+        sure = pc.and_(pc.and_(plain, pc.string_is_ascii(lines)), pc.less_equal(pc.binary_length(lines), _LINE)).to_numpy(zero_copy_only=False)
+        for doubt in doubts:
+            sure = sure & ~doubt.to_numpy(zero_copy_only=False)
+        sure[np.searchsorted(words.offsets.to_numpy(), named, side="right") - 1] = False
+        return sure
+
+    def segments(self, key: int | None, source: str, kinds: dict[int, int]) -> Iterator[tuple]:
+        """The segments (_MARKED) of one file, read as a whole."""
+        places = _Places(source)
+        for a, b, component, match_kind, alias_kind, region, also in _kept(_found(source, self.suffix, self.pieces), self.known, kinds, self.guarded):
+            line, col = places.of(a)
+            for text in source[a:b].split("\n"):
+                if text:
+                    yield key, line, col, col + len(text), text, component, match_kind, alias_kind, region, also
+                line, col = line + 1, 0
+
+
+def _by_line(files: list[tuple], lines: _Lines) -> tuple[pa.RecordBatch | None, list[tuple]]:
+    """The segments of files (key, source, component -> bits) whose lines tell all, and the other files.
+
+    Each distinct line is looked up once; what it says is laid out for all lines like it by whole columns.
+    """
+    parts = pc.split_pattern(pa.array([source for _, source, _ in files], pa.string()), "\n")
+    coded, begins = parts.values.dictionary_encode(), parts.offsets.to_numpy()
+    same, file = coded.indices.to_numpy(), np.repeat(np.arange(len(files)), np.diff(begins))
+    distinct, hits = len(coded.dictionary), []
+    first, count, whole = np.zeros(distinct, np.int64), np.zeros(distinct, np.int64), np.zeros(distinct, bool)
+    asked = np.flatnonzero(~lines.silent(coded.dictionary))
+    for n, line in zip(asked.tolist(), coded.dictionary.take(pa.array(asked)).to_pylist(), strict=True):
+        found = lines[line]
+        if found is _WHOLE:
+            whole[n] = True
+        else:
+            first[n], count[n] = len(hits), len(found)
+            hits += found
+    aside = np.zeros(len(files), bool)
+    aside[file[whole[same]]] = True
+    others = [*compress(files, aside.tolist())]
+    at = np.flatnonzero((count[same] > 0) & ~aside[file])
+    if not len(at):
+        return None, others
+    each = count[same[at]]
+    hit = np.arange(each.sum()) + np.repeat(first[same[at]] - np.cumsum(each) + each, each)
+    at = np.repeat(at, each)
+    col, end, text, component, bit, match_kind, alias_kind, region = zip(*hits, strict=True)
+
+    asked = np.fromiter(chain.from_iterable(k for _, _, k in files), np.int64)
+    bits = np.fromiter(chain.from_iterable(k.values() for _, _, k in files), np.int64)
+    components, number = np.unique(asked, return_inverse=True)
+    edges = np.repeat(np.arange(len(files)), [len(k) for _, _, k in files]) * len(components) + number
+    order = np.argsort(edges)
+    edges, bits = edges[order], bits[order]
+    number = np.minimum(np.searchsorted(components, component), len(components) - 1)
+    known = components[number] == component
+    edge = file[at] * len(components) + number[hit]
+    near = np.minimum(np.searchsorted(edges, edge), len(edges) - 1)
+    stays = known[hit] & (edges[near] == edge) & ((bits[near] & np.array(bit)[hit]) > 0)
+    hit, at = hit[stays], at[stays]
+    owner, none = file[at], pa.ListArray.from_arrays(np.zeros(len(at) + 1, np.int32), pa.array([], pa.int64()))
+    laid = lambda values, kind: pa.array(values, kind).take(pa.array(hit))
+    ids = pa.array([key for key, _, _ in files], pa.int64()).take(pa.array(owner))
+    columns = [ids, pa.array(at - begins[owner], pa.int32()), laid(col, pa.int32()), laid(end, pa.int32()), laid(text, pa.string()), laid(component, pa.int64()), *(laid(c, pa.string()) for c in (match_kind, alias_kind, region)), none]
+    return pa.RecordBatch.from_arrays(columns, schema=_schema(_MARKED)), others
+
+
 _MARKED = "artifact_id long, line int, col int, end_col int, text string, component_id long, match_kind string, alias_kind string, region string, also array<long>"
 #: Rows of the stream that _marked() reads: of each bucket first its aliases, then of each file its edges and the file itself.
 _ALIAS, _EDGE, _FILE = 0, 1, 2
+#: Characters of files that are read by line at once, about; a file of more than that is read as a whole.
+_AT_ONCE = 1 << 22
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The segments (_MARKED) of the files in a stream of buckets. Only a bucket's aliases and one file's edges are held."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Lines, list[tuple]]]:
+    """Files (key, source, component -> bits) of one bucket and suffix, with what their lines say, from a stream of buckets."""
 
     def listed(column: pa.Array) -> list:
         whole = column.null_count and not pa.types.is_string(column.type)  # numbers would become floats
         return column.to_pylist() if whole else column.to_numpy(zero_copy_only=False).tolist()
 
-    def rows() -> Iterator[tuple]:
-        now, file = None, _marked
-        for batch in batches:
-            named = ("bucket", "step", "artifact_id", "component_id", "bits", "alias_lc", "alias_kind", "sweepable")
-            suffixes, contents = batch.column("suffix"), batch.column("content")
-            for n, (bucket, step, key, component, bits, alias, alias_kind, sweepable) in enumerate(zip(*(listed(batch.column(c)) for c in named), strict=True)):
-                if bucket != now:
-                    now, file, known, pieces = bucket, _marked, {}, {}
-                if step == _ALIAS:
-                    known.setdefault(alias, []).append((component, alias_kind, sweepable))
-                elif step == _EDGE:
-                    if key != file:
-                        file, kinds = key, {}
-                    kinds[component] = bits
-                elif key == file:
-                    suffix, source = suffixes[n].as_py(), contents[n].as_py() or ""
-                    if suffix not in pieces:
-                        pieces[suffix] = _Pieces(known, suffix)
-                    places, is_code = _Places(source), (suffix or "").lower() in V.CODE_SUFFIXES
-                    for a, b, component, match_kind, alias_kind, region, also in _kept(_found(source, suffix, pieces[suffix]), known, kinds, is_code):
-                        line, col = places.of(a)
-                        for text in source[a:b].split("\n"):
-                            if text:
-                                yield key, line, col, col + len(text), text, component, match_kind, alias_kind, region, also
-                            line, col = line + 1, 0
-
-    return _handed_on(rows(), _MARKED, 4)
+    now, file, known, lines, held, characters = None, _groups, {}, {}, {}, 0
+    for batch in batches:
+        named = ("bucket", "step", "artifact_id", "component_id", "bits", "alias_lc", "alias_kind", "sweepable")
+        suffixes, contents = batch.column("suffix"), batch.column("content")
+        for n, (bucket, step, key, component, bits, alias, alias_kind, sweepable) in enumerate(zip(*(listed(batch.column(c)) for c in named), strict=True)):
+            if bucket != now or characters >= _AT_ONCE:
+                yield from ((lines[k], files) for k, files in held.items())
+                held, characters = {}, 0
+            if bucket != now:
+                now, file, known, lines = bucket, _groups, {}, {}
+            if step == _ALIAS:
+                known.setdefault(alias, []).append((component, alias_kind, sweepable))
+            elif step == _EDGE:
+                if key != file:
+                    file, kinds = key, {}
+                kinds[component] = bits
+            elif key == file and (source := contents[n].as_py()):
+                suffix = suffixes[n].as_py()
+                if suffix not in lines:
+                    lines[suffix] = _Lines(known, suffix)
+                held.setdefault(suffix, []).append((key, source, kinds))
+                characters += len(source)
+    yield from ((lines[k], files) for k, files in held.items())
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The segments (_MARKED) of the files in a stream of buckets, in small batches. A bucket's aliases are held, and files
+    of _AT_ONCE characters, with their edges, or one larger file."""
+    for lines, files in _groups(batches):
+        small = [f for f in files if len(f[1]) < _AT_ONCE]
+        found, others = _by_line(small, lines) if small else (None, [])
+        for n in range(0, found.num_rows if found else 0, _HELD_ROWS):
+            yield found.slice(n, _HELD_ROWS)
+        others += [f for f in files if len(f[1]) >= _AT_ONCE]
+        yield from _handed_on((row for f in others for row in lines.segments(*f)), _MARKED, 4)
 
 
 #: Files that a task scans, about.
